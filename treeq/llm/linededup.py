@@ -171,12 +171,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH l AS (
-  SELECT doc_id, line, generate_subscripts(lines, 1) - 1 AS seq FROM (
-    SELECT doc_id, lines, unnest(lines) AS line FROM (
-      SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
-]')) AS lines FROM documents))),
-c AS (SELECT *, len(regexp_extract_all(line, '[^ 	-
-]+')) AS w FROM l),
+  SELECT doc_id, lines[n] AS line, n - 1 AS seq FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS n FROM (
+    SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents))),
+c AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
 k AS (SELECT doc_id, seq, list(line) OVER ahead AS lines, list(w) OVER ahead AS ws FROM c
       WINDOW ahead AS (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
 m AS (SELECT *, list_position(list_transform(range(1, len(ws) + 1), lambda n: list_sum(ws[1:n]) >= 10), true) AS run FROM k),
