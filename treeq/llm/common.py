@@ -84,24 +84,20 @@ def ordered(df: DataFrame, keys: list[str], scratch: Scratch, name: str) -> Data
     )
 
 
-def before(df: DataFrame, value: Column, keys: list[str], out: str) -> DataFrame:
-    """Adds the sum of ``value`` over all rows that come before, in ``ordered`` order.
+def before(df: DataFrame, sums: dict[str, Column], keys: list[str]) -> DataFrame:
+    """Adds sums over all rows that come before, in ``ordered`` order, by their names.
 
     Each range partition sums its own rows; what precedes a partition is added from
     a table with one row for each partition.
     """
-    within = Window.partitionBy("__part").orderBy(*[F.col(k).asc_nulls_first() for k in keys])
-    totals = df.groupBy("__part").agg(F.sum(value).alias("__total"))
-    offsets = totals.select(
-        F.col("__part"),
-        F.coalesce(F.sum("__total").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"),
-    )
-    summed = df.withColumn(out, F.coalesce(F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (
-        summed.join(F.broadcast(offsets), "__part")  # one row for each range partition
-        .withColumn(out, F.col(out) + F.col("__offset"))
-        .drop("__part", "__offset")
-    )
+    prior = Window.unboundedPreceding, -1
+    within = Window.partitionBy("__part").orderBy(*[F.col(k).asc_nulls_first() for k in keys]).rowsBetween(*prior)
+    over = Window.orderBy("__part").rowsBetween(*prior)
+    totals = df.groupBy("__part").agg(*[F.sum(x).alias(f"__{k}") for k, x in sums.items()])
+    offsets = totals.select("__part", *[F.coalesce(F.sum(f"__{k}").over(over), F.lit(0)).alias(f"__{k}") for k in sums])
+    summed = df.withColumns({k: F.coalesce(F.sum(x).over(within), F.lit(0)) for k, x in sums.items()})
+    joined = summed.join(F.broadcast(offsets), "__part")  # one row for each range partition
+    return joined.withColumns({k: F.col(k) + F.col(f"__{k}") for k in sums}).drop("__part", *[f"__{k}" for k in sums])
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:

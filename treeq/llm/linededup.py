@@ -50,7 +50,7 @@ def with_lines(docs: DataFrame) -> DataFrame:
 
 def ranked(distinct: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
     """``distinct`` rows with their place in the global order of ``keys`` as ``rank``."""
-    return before(ordered(distinct, keys, scratch, "order"), F.lit(1), keys, "rank")
+    return before(ordered(distinct, keys, scratch, "order"), {"rank": F.lit(1)}, keys)
 
 
 def suffix_array(lines: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
@@ -99,7 +99,7 @@ def later_copies(lines: DataFrame, min_words: int, scratch: Scratch) -> DataFram
         .select(*DOC, "seq", "rank", "run", F.transform(F.slice("lines", F.lit(1), F.col("run")), lambda x: F.struct(x["h"], x["g"])).alias("prefix"))
     )
     keys = ["rank", *DOC, "seq"]
-    placed = before(ordered(runs, keys, scratch, "array"), F.lit(1), keys, "at")
+    placed = before(ordered(runs, keys, scratch, "array"), {"at": F.lit(1)}, keys)
 
     # neighbours meet in stretches of the array; the last of a stretch is also the first of the next
     stretch = F.floor(F.col("at") / STRETCH)

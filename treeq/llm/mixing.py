@@ -98,22 +98,32 @@ def route(supply: list[int], member: list[list[int]], demand: list[int], repeats
     return [sum(room[e ^ 1] for e in head[i] if to[e] < start and to[e] >= n) for i in range(n)]
 
 
-def mix(docs: DataFrame, sources: Column, weight_of, share: float = 1.5, repeats: int = 2, seed: str = SEED) -> DataFrame:
-    """Adds ``__size``, ``__pattern`` and ``__copies`` to the rows of ``docs``, written.
+def sized(docs: DataFrame, sources: Column, seed: str = SEED) -> DataFrame:
+    """Adds ``__size, __pattern, __order, __slot, __tie``: what ``mix`` decides by.
 
-    ``sources`` is an array: the sources a document counts for. ``weight_of`` gives
-    a source's weight from its place in the order of all sources. A second frame,
-    the plan, has ``pattern, words, flow`` and, for patterns of one source,
-    ``target``.
+    ``sources`` is an array: the sources that a document counts for.
     """
-    scratch = Scratch(docs.sparkSession, "mix")
-    sized = docs.select(
-        "*",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("__size"),
-        F.array_distinct(sources).alias("__pattern"),
-        F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("__order"),
-    ).withColumn("__slot", F.substring("__order", 1, 3))
-    rows = scratch.save(sized, "rows")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return docs.withColumns(
+        {
+            "__size": F.regexp_count(text, F.lit(WORD)).cast("long"),
+            "__pattern": F.array_distinct(sources),
+            "__order": order,
+            "__slot": F.substring(order, 1, 3),
+            "__tie": F.xxhash64("doc_id", text),
+        }
+    )
+
+
+def mix(rows: DataFrame, weight_of, share: float = 1.5, repeats: int = 2) -> DataFrame:
+    """Adds ``__copies``, and ``words`` and ``target`` of the row's pattern, to ``sized`` rows.
+
+    ``weight_of`` gives a source's weight from its place in the order of all sources.
+    ``target`` is null for patterns of several sources. ``rows`` are read three
+    times and only those of the last ranges move, so they may hold texts.
+    """
+    scratch = Scratch(rows.sparkSession, "mix")
     slots = scratch.save(rows.groupBy("__pattern", "__slot").agg(F.sum("__size").alias("__words")), "slots")
     found = slots.groupBy("__pattern").agg(F.sum("__words").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
@@ -124,37 +134,41 @@ def mix(docs: DataFrame, sources: Column, weight_of, share: float = 1.5, repeats
     sizes = {s: sum(r["words"] for r in found if s in r["__pattern"]) for s in names}
     target = quotas(sizes, {s: weight_of(place[s]) for s in names}, share * sum(r["words"] for r in found), float(repeats)) if names else {}
     flow = route([r["words"] for r in found], [[place[s] for s in r["__pattern"]] for r in found], [int(target[s]) for s in names], repeats)
-    plan = docs.sparkSession.createDataFrame(
-        [(r["__pattern"], r["words"], f, target[r["__pattern"][0]] if len(r["__pattern"]) == 1 else None) for r, f in zip(found, flow)],
-        slots.schema["__pattern"].dataType.simpleString().join(("pattern ", ", words long, flow long, target double")),
+    plan = rows.sparkSession.createDataFrame(
+        [
+            (r["__pattern"], r["words"], target[r["__pattern"][0]] if len(r["__pattern"]) == 1 else None, f // max(1, r["words"]), f % max(1, r["words"]))
+            for r, f in zip(found, flow)
+        ],
+        "pattern array<string>, words long, target double, __full long, __rest long",
     )
-    by_plan = F.broadcast(plan)  # at most MAX_PATTERNS rows
-    rest = F.when(F.col("words") > 0, F.col("flow") % F.when(F.col("words") > 0, F.col("words"))).otherwise(0)
-    # the range of the seeded hash in which each pattern's last pass ends
+    plan = F.broadcast(plan)  # at most MAX_PATTERNS rows
     earlier = Window.partitionBy("__pattern").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    # the range of the seeded hash in which each pattern's last pass ends
     ends = (
         slots.withColumn("__before", F.coalesce(F.sum("__words").over(earlier), F.lit(0)))
-        .join(by_plan, F.col("__pattern").eqNullSafe(F.col("pattern")))
-        .filter((F.col("__before") <= rest) & (F.col("__before") + F.col("__words") > rest))
-        .groupBy(F.col("pattern").alias("__ends"))  # the first such range; others hold no words
-        .agg(F.min_by(F.struct("__slot", "__before"), "__slot").alias("__end"))
-    )
-    chosen = scratch.save(
-        rows.join(by_plan, F.col("__pattern").eqNullSafe(F.col("pattern")))
-        .join(F.broadcast(ends), F.col("__pattern").eqNullSafe(F.col("__ends")), "left")  # at most one row for each pattern
-        .withColumn("__rest", rest)
-        .withColumn("__full", F.when(F.col("words") > 0, F.floor(F.col("flow") / F.when(F.col("words") > 0, F.col("words")))).otherwise(0)),
-        "planned",
+        .join(plan, F.col("__pattern").eqNullSafe(F.col("pattern")))
+        .filter("__before <= __rest AND __before + __words > __rest")
+        .groupBy(F.col("pattern").alias("__ends"))
+        .agg(F.min(F.struct("__slot", "__before")).alias("__end"))
     )
+    ends = F.broadcast(scratch.save(ends, "ends"))  # at most one row for each pattern
+    planned = rows.join(plan, F.col("__pattern").eqNullSafe(F.col("pattern"))).join(ends, F.col("pattern").eqNullSafe(F.col("__ends")), "left")
     at_end = F.coalesce(F.col("__slot") == F.col("__end.__slot"), F.lit(False))
-    within = Window.partitionBy("__pattern").orderBy("__order", F.col("doc_id").asc_nulls_first(), "__size", F.xxhash64("text"))
+    within = Window.partitionBy("__pattern").orderBy("__order", F.col("doc_id").asc_nulls_first(), "__size", "__tie")
     prior = F.coalesce(F.sum("__size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__end.__before")
-    more = chosen.filter(~at_end).withColumn("__more", (F.coalesce(F.col("__slot") < F.col("__end.__slot"), F.lit(False))).cast("int"))
-    edge = chosen.filter(at_end).withColumn("__prior", prior)
+    sure = planned.filter(~at_end).withColumn("__more", F.coalesce(F.col("__slot") < F.col("__end.__slot"), F.lit(False)).cast("int"))
+    edge = planned.filter(at_end).withColumn("__prior", prior)
     # a document goes in if that brings the words taken nearer to the flow
     edge = edge.withColumn("__more", (2 * F.col("__prior") + F.col("__size") <= 2 * F.col("__rest")).cast("int")).drop("__prior")
-    taken = F.when(F.col("__size") > 0, F.col("__full") + F.col("__more")).otherwise(0).cast("int")
-    return more.unionByName(edge).withColumn("__copies", taken).drop("__order", "__slot", "__ends", "__end", "__rest", "__full", "__more", "flow", "pattern")
+    copies = F.when(F.col("__size") > 0, F.col("__full") + F.col("__more")).otherwise(0).cast("int")
+    return sure.unionByName(edge).withColumn("__copies", copies)
+
+
+def mixed(docs: DataFrame, sources: Column) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them."""
+    taken = mix(sized(docs, sources), weight)
+    again = F.explode(F.array_repeat(F.lit(1), F.col("__copies"))).alias("__n")
+    return taken.filter("__copies > 0").select(*docs.columns, again).drop("__n")
 
 
 def weight(place: int) -> int:
@@ -162,14 +176,10 @@ def weight(place: int) -> int:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    slim = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))
-    return mix(slim, F.array("source"), weight).select(
-        "doc_id",
-        F.col("__size").alias("size"),
-        F.col("words").alias("source_size"),
-        "target",
-        (F.col("__size") * F.col("__copies")).alias("taken"),
-    )
+    narrow = sized(docs.select("doc_id", "text", "source"), F.array(F.col("source").cast("string"))).drop("text")
+    rows = Scratch(docs.sparkSession, "mix").save(narrow, "rows")
+    taken = (F.col("__size") * F.col("__copies")).alias("taken")
+    return mix(rows, weight).select("doc_id", F.col("__size").alias("size"), F.col("words").alias("source_size"), "target", taken)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

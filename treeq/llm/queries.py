@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from treeq.llm import decontam, linededup, mixing, simhash, urlfilter
-from treeq.llm.common import documents
-
-
-def op5(spark, sf_dir):
-    return simhash.digest(simhash.near_duplicates(documents(spark, sf_dir)))
-
+from treeq.llm import ann, decontam, langid, linededup, mixing, quality, simhash, tokenstore, toxicity, urlfilter
 
 QUERIES = {
     "op1_decontamination": decontam.query,
-    "op5_simhash_dedup": op5,
+    "op2_nearest_neighbours": ann.query,
+    "op3_token_store": tokenstore.query,
+    "op4_quality": quality.query,
+    "op5_simhash_dedup": simhash.query,
+    "op6_language_id": langid.query,
     "op7_url_filter": urlfilter.query,
+    "op8_toxicity": toxicity.query,
     "op9_line_dedup": linededup.query,
     "op10_source_mixing": mixing.query,
 }

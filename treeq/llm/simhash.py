@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeq.llm.common import Scratch, components
+from treeq.llm.common import Scratch, components, documents
 
 BUDGET = 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -136,3 +136,21 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their component: those of its least id.
+
+    Of repeated rows with that id one stays, the one whose text hashes least.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    named = scratch.save(near_duplicates(docs), "named")
+    kept = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"), F.col("fp").alias("__fp")).distinct()
+    kept = kept.groupBy("__kept").agg(F.min("__fp").alias("__fp"))
+    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return rows.withColumn("__place", place).filter("__place = 1").drop("__place")
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(near_duplicates(documents(spark, sf_dir)))
