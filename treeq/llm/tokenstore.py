@@ -24,7 +24,7 @@ interchangeable. Other columns are ignored. An empty table gives an empty store.
 from __future__ import annotations
 
 import os
-import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -32,6 +32,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,48 +45,89 @@ CUT = np.uint64(0xFF << 16)
 SHORTEST, LONGEST = 64, 1024
 FANOUT = 1024
 #: Words and their ids that a worker remembers.
-MEMO = 600_000
-_SPACE = re.compile(r"[ \t\r\n]+")
+MEMO = 500_000
+#: Words of letters that are encoded in one call.
+JOINED = 500
+#: Rows and characters that are encoded at once.
+ROWS, CHARACTERS = 4096, 1 << 23
 _TAIL = ".,!?;:"
 _TOKENIZERS: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
+    """The tokenizer, the type of its ids, a memory of words, and which ids end a word."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        _TOKENIZERS[path] = (t, "<u2" if t.get_vocab_size() <= 1 << 16 else "<u4", {})
+        n = t.get_vocab_size()
+        ends = np.array([(t.id_to_token(i) or "").endswith("</w>") for i in range(n)])
+        _TOKENIZERS[path] = (t, "<u2" if n <= 1 << 16 else "<u4", {"": b""}, ends)
     return _TOKENIZERS[path]
 
 
-def encode(texts: list[str | None], path: str, splits: bool = True) -> list[bytes]:
+def plain(word: str) -> bool:
+    """Letters only, also after normalization: one word to the tokenizer."""
+    return word.isalpha() and (word.isascii() or (unicodedata.is_normalized("NFC", word) and word.lower().isalpha()))
+
+
+def _words(words: list[str], path: str) -> dict[str, bytes]:
+    """The ids of every word. Words of letters are encoded many to a call, spaces between."""
+    t, kind, _, ends = _tokenizer(path)
+    found: dict[str, bytes] = {}
+    letters = [w for w in words if plain(w)]
+    groups = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
+    for group, e in zip(groups, t.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+        ids = np.array(e.ids, dtype=kind)
+        stops = (np.flatnonzero(ends[ids]) + 1) * ids.itemsize
+        if len(stops) == len(group) and stops[-1] == ids.nbytes:
+            data, stops = ids.tobytes(), stops.tolist()
+            found.update((w, data[a:b]) for w, a, b in zip(group, [0, *stops], stops))
+    rest = [w for w in words if w not in found]
+    for w, e in zip(rest, t.encode_batch_fast(rest, add_special_tokens=False)):
+        found[w] = np.array(e.ids, dtype=kind).tobytes()
+    return found
+
+
+def encode(texts: pa.Array, path: str, splits: bool = True) -> list[bytes]:
     """The ids of every text, as bytes.
 
     ``splits`` says that the tokenizer never joins across ASCII white space, and
-    splits letters from the marks in ``_TAIL`` after them. Then texts are looked up
-    word by word, and only words not seen before are encoded.
+    splits letters from the marks in ``_TAIL`` after them. Then each distinct word
+    is looked up once, only words not seen before are encoded, and a text's ids are
+    gathered from its words'.
     """
-    t, kind, memo = _tokenizer(path)
-    pack = lambda ids: np.array(ids, dtype=kind).tobytes()
+    t, kind, memo, _ = _tokenizer(path)
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if not splits:
-        return [pack(e.ids) for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
-    if len(memo) > MEMO:
-        memo.clear()
-    words = [_SPACE.split(x) if x else [] for x in texts]
-    new = {w for own in words for w in own if w not in memo}
-    new.discard("")
-    parts = {}
-    for w in new:
-        stem = w.rstrip(_TAIL)
-        parts[w] = (stem, w[len(stem) :]) if stem and len(stem) < len(w) and stem[-1].isalpha() else (w, "")
-    asked = sorted({p for pair in parts.values() for p in pair if p and p not in memo})
-    found = {p: pack(e.ids) for p, e in zip(asked, t.encode_batch(asked, add_special_tokens=False))}
-    found[""] = b""
-    memo.update({w: b"".join(found[p] if p in found else memo[p] for p in pair) for w, pair in parts.items()})
-    memo[""] = b""
-    return [b"".join([memo[w] for w in own]) for own in words]
+        return [np.array(e.ids, dtype=kind).tobytes() for e in t.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+    lists = pc.ascii_split_whitespace(texts)
+    coded = lists.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    own = list(map(memo.get, distinct))
+    if new := [(i, distinct[i]) for i, x in enumerate(own) if x is None]:
+        pairs = []
+        for i, w in new:
+            stem = w.rstrip(_TAIL)
+            pairs.append((i, stem, w[len(stem) :]) if len(stem) < len(w) and stem[-1:].isalpha() else (i, w, ""))
+        asked = {p for _, *pair in pairs for p in pair if p not in memo}
+        found = _words(sorted(asked), path)
+        for i, stem, tail in pairs:
+            a, b = found.get(stem), found.get(tail)
+            own[i] = (memo[stem] if a is None else a) + (memo[tail] if b is None else b)
+        if len(memo) < MEMO:  # the words that come first are the frequent ones
+            memo.update(found)
+            memo.update((distinct[i], own[i]) for i, _ in new)
+    pool = np.frombuffer(b"".join(own), dtype=kind)
+    sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // np.dtype(kind).itemsize
+    first = np.cumsum(sizes) - sizes
+    at = coded.indices.to_numpy()
+    n = sizes[at]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    stream = pool[np.repeat(first[at] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+    borders = (upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * np.dtype(kind).itemsize).tolist()
+    return [stream[a:b] for a, b in zip(borders, borders[1:])]
 
 
 def mixed(ids: np.ndarray) -> np.ndarray:
@@ -132,6 +174,18 @@ def root(digests: list[bytes]) -> bytes:
     return level[0]
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in portions of some ``CHARACTERS`` bytes; a longer row is one."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(sizes):
+        done = sizes[start - 1] if start else 0
+        stop = int(np.searchsorted(sizes, done + CHARACTERS, side="right"))
+        stop = min(max(stop, start + 1), start + ROWS)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def spread(whole: bytes, i: int) -> bytes:
     """A key by which recipes go anywhere, copies of one document too."""
     return blake2b(whole + i.to_bytes(8, "little"), digest_size=16).digest()
@@ -147,10 +201,10 @@ def _encoded(docs: DataFrame, path: str, end: int, splits: bool) -> DataFrame:
         kind = _tokenizer(path)[1]
         width, last = int(kind[2]), np.array([end], dtype=kind).tobytes()
         sent: set[bytes] = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             ids, chunks = batch.column(0).to_pylist(), {}
             recipes: tuple[list, ...] = ([], [], [], [])
-            for data in encode(batch.column(1).to_pylist(), path, splits):
+            for data in encode(batch.column(1), path, splits):
                 data += last
                 own, at = [], 0
                 for e in cuts(np.frombuffer(data, dtype=kind)):
