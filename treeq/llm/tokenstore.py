@@ -50,7 +50,6 @@ MEMO = 500_000
 JOINED = 500
 #: Rows and characters that are encoded at once.
 ROWS, CHARACTERS = 4096, 1 << 23
-_TAIL = ".,!?;:"
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -61,6 +60,8 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
+        if hasattr(t.model, "_resize_cache"):
+            t.model._resize_cache(0)  # words are remembered here
         n = t.get_vocab_size()
         ends = np.array([(t.id_to_token(i) or "").endswith("</w>") for i in range(n)])
         _TOKENIZERS[path] = (t, "<u2" if n <= 1 << 16 else "<u4", {"": b""}, ends)
@@ -90,43 +91,49 @@ def _words(words: list[str], path: str) -> dict[str, bytes]:
     return found
 
 
+def simplified(texts: pa.Array) -> pa.Array:
+    """Texts with the same ids and fewer distinct words.
+
+    A space goes between a letter and the marks that end its word. Texts within
+    the Latin letters below U+0300, which normalization leaves as they are, are
+    lower-cased; U+0130 isn't, as it becomes two characters.
+    """
+    wide = pc.match_substring_regex(texts, r"[^\x{0}-\x{12F}\x{131}-\x{2FF}]")
+    texts = pc.if_else(wide, texts, pc.utf8_lower(texts))
+    return pc.replace_substring_regex(texts, r"(\pL)([.,!?;:]+)(\s|$)", r"\1 \2\3")
+
+
 def encode(texts: pa.Array, path: str, splits: bool = True) -> list[bytes]:
     """The ids of every text, as bytes.
 
-    ``splits`` says that the tokenizer never joins across ASCII white space, and
-    splits letters from the marks in ``_TAIL`` after them. Then each distinct word
-    is looked up once, only words not seen before are encoded, and a text's ids are
-    gathered from its words'.
+    ``splits`` says that the tokenizer lower-cases, never joins across ASCII white
+    space, and splits letters from marks. Then each distinct word is looked up once,
+    only words not seen before are encoded, and a text's ids are gathered from its
+    words'.
     """
     t, kind, memo, _ = _tokenizer(path)
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if not splits:
         return [np.array(e.ids, dtype=kind).tobytes() for e in t.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-    lists = pc.ascii_split_whitespace(texts)
+    lists = pc.ascii_split_whitespace(simplified(texts))
     coded = lists.flatten().dictionary_encode()
     distinct = coded.dictionary.to_pylist()
     own = list(map(memo.get, distinct))
-    if new := [(i, distinct[i]) for i, x in enumerate(own) if x is None]:
-        pairs = []
-        for i, w in new:
-            stem = w.rstrip(_TAIL)
-            pairs.append((i, stem, w[len(stem) :]) if len(stem) < len(w) and stem[-1:].isalpha() else (i, w, ""))
-        asked = {p for _, *pair in pairs for p in pair if p not in memo}
-        found = _words(sorted(asked), path)
-        for i, stem, tail in pairs:
-            a, b = found.get(stem), found.get(tail)
-            own[i] = (memo[stem] if a is None else a) + (memo[tail] if b is None else b)
+    if new := [i for i, x in enumerate(own) if x is None]:
+        found = _words([distinct[i] for i in new], path)
+        for i in new:
+            own[i] = found[distinct[i]]
         if len(memo) < MEMO:  # the words that come first are the frequent ones
             memo.update(found)
-            memo.update((distinct[i], own[i]) for i, _ in new)
+    width = np.dtype(kind).itemsize
     pool = np.frombuffer(b"".join(own), dtype=kind)
-    sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // np.dtype(kind).itemsize
+    sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // width
     first = np.cumsum(sizes) - sizes
     at = coded.indices.to_numpy()
     n = sizes[at]
     upto = np.concatenate([[0], np.cumsum(n)])
     stream = pool[np.repeat(first[at] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
-    borders = (upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * np.dtype(kind).itemsize).tolist()
+    borders = (upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * width).tolist()
     return [stream[a:b] for a, b in zip(borders, borders[1:])]
 
 
