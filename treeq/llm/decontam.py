@@ -61,33 +61,36 @@ def findings(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity
     )
     span = max(mask[-1] + 1 for mask in SEEDS)
     short = sorted(r[0] for r in tests.select(F.size("item")).filter(F.size("item") < span).distinct().collect())  # under span lengths
-    planted = tests.select("item_id", "item", F.posexplode("item").alias("pos", "word")).select(
-        "item_id", "item", F.col("pos").alias("ipos"), F.explode(seeds_at("item", short)).alias("seed")
-    )
-    # a short item is found as a whole only
+    planted = tests.select("item_id", F.size("item").alias("n"), "item", F.posexplode("item").alias("ipos", "word"))
+    planted = planted.withColumn("pos", F.col("ipos")).select("item_id", "n", "ipos", F.explode(seeds_at("item", short)).alias("seed"))
     planted = scratch.save(planted.filter("seed IS NOT NULL"), "seeds")
     few = planted.count() <= BROADCAST_ROWS
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), word_hashes(F.col("text")).alias("words"))
     at = rows.select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "word"))
     probes = at.select("doc_id", "text_hash", "words", "pos", F.explode(seeds_at("words", short)).alias("probe"))
+    diagonal = (F.col("pos") - F.col("ipos")).alias("diagonal")
     if few:
-        hits = probes.join(F.broadcast(planted), F.col("probe") == F.col("seed"))
+        hits = probes.join(F.broadcast(planted), F.col("probe") == F.col("seed")).select("doc_id", "text_hash", "item_id", "n", "words", diagonal)
     else:
-        slim = probes.select("doc_id", "text_hash", "pos", "probe").join(planted.drop("item"), F.col("probe") == F.col("seed"))
-        slim = slim.select("doc_id", "text_hash", "item_id", "pos", "ipos", (F.col("pos") - F.col("ipos")).alias("diagonal"))
-        slim = scratch.save(slim.dropDuplicates(["doc_id", "text_hash", "item_id", "diagonal"]).drop("diagonal"), "hits")
+        slim = probes.select("doc_id", "text_hash", "pos", "probe").join(planted, F.col("probe") == F.col("seed"))
+        slim = scratch.save(slim.select("doc_id", "text_hash", "item_id", "n", diagonal).distinct(), "hits")
         again = rows.withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
-        hits = slim.join(again, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).join(tests, "item_id")
-
-    same = F.transform("item", lambda w, j: F.when(F.get("words", F.col("pos") - F.col("ipos") + j) == w, 1).otherwise(0))
+        hits = slim.join(again, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
+    # all hits of one overlay are one row, with no more of the text than the item covers
+    covered = F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.greatest(F.col("n") + F.least(F.col("diagonal"), F.lit(0)), F.lit(0)))
+    overlays = hits.select("doc_id", "text_hash", "item_id", "diagonal", covered.alias("covered")).distinct()
+    overlays = overlays.join(F.broadcast(tests) if few else tests, "item_id")
+
+    before = -F.least(F.col("diagonal"), F.lit(0))
+    same = F.transform("item", lambda w, k: F.when((k >= before) & (F.get("covered", k - before) == w), 1).otherwise(0))
     n = F.least(F.lit(window), F.size("same"))
     sums = F.transform(
         F.sequence(F.lit(1), F.size("same") - n + 1), lambda s: F.aggregate(F.slice("same", s, n), F.lit(0), lambda a, x: a + x)
     )
     total = F.aggregate("same", F.lit(0), lambda a, x: a + x)
     return (
-        hits.select("doc_id", "text_hash", "item_id", same.alias("same"))
+        overlays.select("doc_id", "text_hash", "item_id", same.alias("same"))
         .withColumn("overlap", total)
         .filter(F.col("overlap") >= F.ceil(n * similarity))
         .withColumn("matched", F.array_max(sums))
