@@ -112,3 +112,117 @@ def run(name: str):
 
 QUERIES = {name: run(name) for name in PATTERNS}
 ORACLE_SQL = {name: sql for name, (_, _, sql) in PATTERNS.items() if sql}
+
+
+def properties_query(text: str):
+    from treeq.sources import parsed
+
+    return lambda spark, sf_dir: found(parsed.properties(spark, sf_dir).query(text))
+
+
+# the trees of {"k": n}: Object, List, Member, String and Number have the ids 4, 3, 2, 0 and 1
+EVENT = "SELECT event_id AS tree, {id} AS node_id, '{kind}' AS kind FROM events"
+VALUE = "CAST(json_extract(props, '$.k') AS BIGINT)"
+JSON = {
+    "q33_json_member": ("match Member m when m.key.text == '\"k\"'", EVENT.format(id=2, kind="Member")),
+    "q34_to_int": ("match Number n when n.text.to_int() > 50", f"{EVENT.format(id=1, kind='Number')} WHERE {VALUE} > 50"),
+    "q35_nested_fields": ("match Member(key: '\"k\"', value: Number n when n.text.length == 2)", f"{EVENT.format(id=2, kind='Member')} WHERE {VALUE} BETWEEN 10 AND 99"),
+    "q36_list_node": ("match List l when l.length == 1", EVENT.format(id=3, kind="List")),
+    "q51_any_of_list": ("match Object o when any o.members match Member", EVENT.format(id=4, kind="Object")),
+    "q52_index_of_list": ("match Object o when o.members[0].value is { Number n when n.text == '7' }", f"{EVENT.format(id=4, kind='Object')} WHERE {VALUE} = 7"),
+}
+for name, (text, sql) in JSON.items():
+    QUERIES[name] = properties_query(text)
+    ORACLE_SQL[name] = sql
+
+
+def positions(spark, sf_dir):
+    from treeq.sources import parsed
+
+    numbers = parsed.properties(spark, sf_dir).query("match Number")
+    return numbers.select("tree", *[F.col(c).cast("long") for c in ("start_line", "start_col", "start_off", "end_col", "end_off")])
+
+
+QUERIES["q37_positions"] = positions
+ORACLE_SQL["q37_positions"] = (
+    "SELECT event_id AS tree, CAST(1 AS BIGINT) AS start_line, strpos(props, ' ') + 1 AS start_col, strpos(props, ' ') AS start_off, "
+    "CAST(length(props) - 1 AS BIGINT) AS end_col, CAST(length(props) - 1 AS BIGINT) AS end_off FROM events"
+)
+
+
+def difference(spark, sf_dir):
+    from treeq.sources import files
+
+    docs = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text", "source")
+    kept = files.difference(docs.select("path", "text"), docs.filter("source = 'src0'").select("path", "text"))
+    return kept.select("path", F.octet_length("text").cast("long").alias("bytes"))
+
+
+QUERIES["q38_include_exclude"] = difference
+ORACLE_SQL["q38_include_exclude"] = (
+    "SELECT path, strlen(text) AS bytes FROM (SELECT CAST(doc_id AS VARCHAR) AS path, text FROM documents EXCEPT "
+    "SELECT CAST(doc_id AS VARCHAR), text FROM documents WHERE source = 'src0')"
+)
+
+
+def resolved(spark, sf_dir):
+    """The document forest where the first word of a line declares and others refer."""
+    from dataclasses import replace
+
+    from treeq.operators.scopes import solve_flat
+
+    forest = tables.documents(spark, sf_dir)
+    words = forest.nodes.filter("kind = 'Word'").select("tree", F.col("text").alias("name"), F.col("pre").alias("node"), "ord")
+    return replace(forest, refs=solve_flat(words.filter("ord = 0"), words.filter("ord > 0")))
+
+
+NAMES = DOC + ", decl AS (SELECT tree, text, min(node_id) AS decl FROM word WHERE n = 1 GROUP BY tree, text), ref AS (SELECT word.tree, node_id, kind, decl FROM word LEFT JOIN decl ON decl.tree = word.tree AND decl.text = word.text WHERE n > 1) "
+QUERIES["q39_references"] = lambda spark, sf_dir: (
+    resolved(spark, sf_dir).refs.filter("decl IS NOT NULL").select("tree", (F.col("ref") - 2).cast("long").alias("ref"), (F.col("decl") - 2).cast("long").alias("decl"))
+)
+ORACLE_SQL["q39_references"] = NAMES + "SELECT tree, node_id AS ref, decl FROM ref WHERE decl IS NOT NULL"
+QUERIES["q40_unresolved"] = lambda spark, sf_dir: found(resolved(spark, sf_dir).lenient().query("match Word w when w.referenced_decls().length == 0"))
+ORACLE_SQL["q40_unresolved"] = NAMES + "SELECT tree, node_id, kind FROM ref WHERE decl IS NULL"
+QUERIES["q50_any_declaration"] = lambda spark, sf_dir: found(resolved(spark, sf_dir).query("match Word w when any w.referenced_decls() match { Word d when d.text == w.text }"))
+ORACLE_SQL["q50_any_declaration"] = NAMES + "SELECT tree, node_id, kind FROM ref WHERE decl IS NOT NULL"
+
+
+def ruleset():
+    from treeq.operators.rules import Rule, RuleSet
+
+    return RuleSet(
+        "turns",
+        "conversations",
+        (
+            Rule("long_body", "a long turn", "style", "match Body b when b.text.length > 300"),
+            Rule("system_turn", "a system turn", "smell", "match Turn(role: 'system')"),
+            Rule("no_answer", "a last turn of the user", "bug", "match Turn t when t.next_sibling == null && t.role == 'user'", "nobody answers"),
+        ),
+    )
+
+
+def rule_reports(spark, sf_dir):
+    from treeq.operators.rules import check
+
+    return check(tables.conversations(spark, sf_dir), [ruleset()])
+
+
+QUERIES["q41_ruleset"] = lambda spark, sf_dir: rule_reports(spark, sf_dir).select("rule_id", "category", "tree", "node_id", "note")
+HITS = (
+    f"SELECT 'long_body' AS rule_id, 'style' AS category, tree, node_id, NULL AS note FROM ({BODY} WHERE strlen(text) > 300) UNION ALL "
+    f"SELECT 'system_turn', 'smell', tree, node_id, NULL FROM ({TURN} WHERE role = 'system') UNION ALL "
+    f"SELECT 'no_answer', 'bug', tree, node_id, 'nobody answers' FROM ({WINDOWED} WHERE after IS NULL AND role = 'user')"
+)
+ORACLE_SQL["q41_ruleset"] = HITS
+
+
+def severities(spark, sf_dir):
+    from treeq.operators.reports import severity
+
+    return rule_reports(spark, sf_dir).groupBy(severity(F.col("category")).alias("severity")).agg(F.count("*").alias("reports"))
+
+
+QUERIES["q42_severities"] = severities
+ORACLE_SQL["q42_severities"] = (
+    f"SELECT CASE category WHEN 'style' THEN 'help' WHEN 'bug' THEN 'bug' WHEN 'error' THEN 'error' ELSE 'warning' END AS severity, count(*) AS reports FROM ({HITS}) GROUP BY 1"
+)
