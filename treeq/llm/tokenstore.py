@@ -49,7 +49,7 @@ MEMO = 500_000
 #: Words of letters that are encoded in one call.
 JOINED = 500
 #: Rows and characters that are encoded at once.
-ROWS, CHARACTERS = 4096, 1 << 23
+ROWS, CHARACTERS = 8192, 1 << 23
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -190,6 +190,7 @@ def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         stop = int(np.searchsorted(sizes, done + CHARACTERS, side="right"))
         stop = min(max(stop, start + 1), start + ROWS)
         yield batch.slice(start, stop - start)
+        pa.default_memory_pool().release_unused()
         start = stop
 
 
