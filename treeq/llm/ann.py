@@ -52,6 +52,12 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors by powers of two, so that their squares stay numbers; cosines keep every bit."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def centroids(x: np.ndarray, lists: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means on unit vectors."""
     rng = np.random.default_rng(3)
@@ -153,7 +159,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, probed: float = PRO
     def scanned(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(own) and len(queries):
-            x, q = np.stack(own["v"].to_list()).astype(np.float64), np.stack(queries["v"].to_list()).astype(np.float64)
+            x, q = scaled(np.stack(own["v"].to_list())), scaled(np.stack(queries["v"].to_list()))
             rotated, spun = unit(x) @ turned, unit(q) @ turned
             blocks = [np.ascontiguousarray(rotated[:, i : i + BLOCK].T) for i in range(0, dim, BLOCK)]
             norms = np.sqrt((x * x).sum(axis=1))

@@ -117,10 +117,10 @@ def sized(docs: DataFrame, sources: Column, seed: str = SEED) -> DataFrame:
 
 
 def mix(rows: DataFrame, weight_of, share: float = 1.5, repeats: int = 2) -> DataFrame:
-    """Adds ``__copies``, and ``words`` and ``target`` of the row's pattern, to ``sized`` rows.
+    """Adds ``__copies``, and ``__total`` and ``__target`` of the row's pattern, to ``sized`` rows.
 
     ``weight_of`` gives a source's weight from its place in the order of all sources.
-    ``target`` is null for patterns of several sources. ``rows`` are read three
+    ``__target`` is null for patterns of several sources. ``rows`` are read three
     times and only those of the last ranges move, so they may hold texts.
     """
     scratch = Scratch(rows.sparkSession, "mix")
@@ -139,20 +139,20 @@ def mix(rows: DataFrame, weight_of, share: float = 1.5, repeats: int = 2) -> Dat
             (r["__pattern"], r["words"], target[r["__pattern"][0]] if len(r["__pattern"]) == 1 else None, f // max(1, r["words"]), f % max(1, r["words"]))
             for r, f in zip(found, flow)
         ],
-        "pattern array<string>, words long, target double, __full long, __rest long",
+        "__of array<string>, __total long, __target double, __full long, __rest long",
     )
     plan = F.broadcast(plan)  # at most MAX_PATTERNS rows
     earlier = Window.partitionBy("__pattern").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     # the range of the seeded hash in which each pattern's last pass ends
     ends = (
         slots.withColumn("__before", F.coalesce(F.sum("__words").over(earlier), F.lit(0)))
-        .join(plan, F.col("__pattern").eqNullSafe(F.col("pattern")))
+        .join(plan, F.col("__pattern").eqNullSafe(F.col("__of")))
         .filter("__before <= __rest AND __before + __words > __rest")
-        .groupBy(F.col("pattern").alias("__ends"))
+        .groupBy(F.col("__of").alias("__ends"))
         .agg(F.min(F.struct("__slot", "__before")).alias("__end"))
     )
     ends = F.broadcast(scratch.save(ends, "ends"))  # at most one row for each pattern
-    planned = rows.join(plan, F.col("__pattern").eqNullSafe(F.col("pattern"))).join(ends, F.col("pattern").eqNullSafe(F.col("__ends")), "left")
+    planned = rows.join(plan, F.col("__pattern").eqNullSafe(F.col("__of"))).join(ends, F.col("__of").eqNullSafe(F.col("__ends")), "left")
     at_end = F.coalesce(F.col("__slot") == F.col("__end.__slot"), F.lit(False))
     within = Window.partitionBy("__pattern").orderBy("__order", F.col("doc_id").asc_nulls_first(), "__size", "__tie")
     prior = F.coalesce(F.sum("__size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__end.__before")
@@ -179,7 +179,7 @@ def digest(docs: DataFrame) -> DataFrame:
     narrow = sized(docs.select("doc_id", "text", "source"), F.array(F.col("source").cast("string"))).drop("text")
     rows = Scratch(docs.sparkSession, "mix").save(narrow, "rows")
     taken = (F.col("__size") * F.col("__copies")).alias("taken")
-    return mix(rows, weight).select("doc_id", F.col("__size").alias("size"), F.col("words").alias("source_size"), "target", taken)
+    return mix(rows, weight).select("doc_id", F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), taken)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

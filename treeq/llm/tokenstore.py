@@ -199,6 +199,8 @@ def spread(whole: bytes, i: int) -> bytes:
     return blake2b(whole + i.to_bytes(8, "little"), digest_size=16).digest()
 
 
+RECIPES = "place long, doc_id long, start long, n_tokens long, digests array<binary>, root binary"
+MANIFEST = "level int, node long, root binary"
 _ROWS = "key binary, doc_id long, n_tokens long, digests array<binary>, root binary, payload binary, recipe boolean"
 
 
@@ -270,7 +272,10 @@ def write(docs: DataFrame, at: str, path: str, end: int = END, splits: bool = Tr
     jvm = spark._jvm
     fs = jvm.org.apache.hadoop.fs.Path(at).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(jvm.org.apache.hadoop.fs.Path(at))
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(f"{staged}/recipe=false"), jvm.org.apache.hadoop.fs.Path(f"{at}/chunks")):
+    chunks = jvm.org.apache.hadoop.fs.Path(f"{staged}/recipe=false")
+    if fs.exists(chunks):
+        fs.rename(chunks, jvm.org.apache.hadoop.fs.Path(f"{at}/chunks"))
+    else:
         spark.createDataFrame([], "key binary, payload binary").write.parquet(f"{at}/chunks")
     keys = ["doc_id", "root", "n_tokens"]
     recipes = everything.filter("recipe").select("doc_id", "root", "n_tokens", "digests")
@@ -352,7 +357,7 @@ def read_back(spark: SparkSession, at: str, path: str) -> DataFrame:
     scratch = Scratch(spark, "readback")
     width = int(_tokenizer(path)[1][2])
     chunks = scratch.save(check_chunks(spark, at, width), "chunks")
-    recipes = spark.read.parquet(f"{at}/recipes")
+    recipes = spark.read.schema(RECIPES).parquet(f"{at}/recipes")
 
     @F.pandas_udf("boolean")
     def rooted(digests: pd.Series, roots: pd.Series) -> pd.Series:
@@ -362,7 +367,7 @@ def read_back(spark: SparkSession, at: str, path: str) -> DataFrame:
     def moved(crc: pd.Series, after: pd.Series) -> pd.Series:
         return pd.Series(shifted(crc.to_numpy(), after.to_numpy()).astype(np.int64))
 
-    stored = spark.read.parquet(f"{at}/manifest").withColumnRenamed("root", "expected")
+    stored = spark.read.schema(MANIFEST).parquet(f"{at}/manifest").withColumnRenamed("root", "expected")
     wrong = manifest(spark, at).join(stored, ["level", "node"], "full").filter(~F.col("root").eqNullSafe(F.col("expected")))
     if not wrong.isEmpty():
         raise ValueError("the manifest differs from the recipes")
@@ -383,7 +388,7 @@ def read_back(spark: SparkSession, at: str, path: str) -> DataFrame:
 def read_ids(spark: SparkSession, at: str, path: str) -> DataFrame:
     """``doc_id, ids``: whole documents put together again, ids as bytes."""
     chunks = spark.read.schema("key binary, payload binary").parquet(f"{at}/chunks")
-    used = spark.read.parquet(f"{at}/recipes").select("place", "doc_id", F.posexplode("digests").alias("seq", "key")).join(chunks, "key")
+    used = spark.read.schema(RECIPES).parquet(f"{at}/recipes").select("place", "doc_id", F.posexplode("digests").alias("seq", "key")).join(chunks, "key")
     own = F.sort_array(F.collect_list(F.struct("seq", "payload")))
     joined = F.aggregate(own, F.unhex(F.lit("")), lambda a, x: F.concat(a, x["payload"]))
     return used.groupBy("place", "doc_id").agg(joined.alias("ids")).drop("place")

@@ -90,7 +90,7 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     rule = F.concat("rule_host", "rule_path")
     best = F.max_by(F.struct(rule.alias("rule"), "verdict"), F.struct(F.length(rule), F.length("rule_host"), rule, "verdict"))
     chosen = scratch.save(hits.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(best.alias("best")), "chosen")
-    return parsed.join(chosen, (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").select(
+    return parsed.join(chosen.hint("merge"), (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict")
     )
 
