@@ -302,7 +302,9 @@ def test_simhash(spark, sf_dir, odd, none):
     assert sorted(map(str, ((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got))) == sorted(map(str, want))
     assert simhash.near_duplicates(none).count() == 0
     kept = simhash.one_of_each(odd)
-    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 4, 6, 7, None}
+    assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {1, 4, 6, 7, None} and kept.count() == 5
+    one_id = spark.createDataFrame([(1, "a b c d e f"), (1, "quite another text with other words in it"), (1, "a b c d e f")], "doc_id long, text string")
+    assert simhash.one_of_each(one_id).count() == 2
 
 
 def test_fingerprint_by_definition():

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeq.llm.common import Scratch, components, documents
@@ -50,14 +50,20 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``doc_id`` and the signed 64-bit ``fp`` of every row."""
+    """``doc_id``, the signed 64-bit ``fp`` and the ``key`` of every row."""
 
     @F.pandas_udf("long")
     def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(np.array([fingerprint(t, width) for t in batch], dtype=np.uint64).view(np.int64))
 
-    return docs.select("doc_id", fp("text").alias("fp"))
+    return docs.select("doc_id", fp("text").alias("fp"), key_of(docs).alias("key"))
+
+
+def key_of(docs: DataFrame) -> Column:
+    """The id and a hash of the text, as one string."""
+    hashed = F.hex(F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
+    return F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(" "), hashed)
 
 
 def links(distinct: DataFrame, scratch: Scratch, crowd: int = CROWD) -> DataFrame:
@@ -118,7 +124,7 @@ def stars(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row; see the module's text."""
+    """``doc_id, fp, key, component_id, root`` of every row; ``root`` tells components apart."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     rows = scratch.save(fingerprints(docs, width), "rows")
@@ -130,8 +136,8 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
     )
     labelled = scratch.save(labelled, "labelled")
     least = scratch.save(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    named = scratch.save(labelled.join(least, "root").select("fp_key", "component_id"), "named")
-    return rows.join(named, F.col("fp") == F.col("fp_key")).select("doc_id", "fp", "component_id")
+    named = scratch.save(labelled.join(least, "root").select("fp_key", "component_id", "root"), "named")
+    return rows.join(named, F.col("fp") == F.col("fp_key")).select("doc_id", "fp", "key", "component_id", "root")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -139,17 +145,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component: those of its least id.
-
-    Of repeated rows with that id one stays, the one whose text hashes least.
-    """
+    """One row of ``docs`` for each component: that of its least id and then text hash."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    named = scratch.save(near_duplicates(docs), "named")
-    kept = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept"), F.col("fp").alias("__fp")).distinct()
-    kept = kept.groupBy("__kept").agg(F.min("__fp").alias("__fp"))
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return rows.withColumn("__place", place).filter("__place = 1").drop("__place")
+    named = near_duplicates(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
+    kept = scratch.save(named.groupBy("root").agg(first["key"].alias("__key")).select("__key"), "kept")
+    rows = docs.withColumn("__key", key_of(docs)).join(kept, "__key", "left_semi")
+    place = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))  # of equal rows, any
+    return rows.withColumn("__place", place).filter("__place = 1").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
