@@ -6,9 +6,11 @@ number or one row per partition, never rows in proportion to the corpus.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +72,17 @@ def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def tidy() -> None:
+    """Gives memory that a Python worker no longer uses back to the machine.
+
+    Workers live on between stages beside the executor's heap, so what they keep
+    counts against the executor.
+    """
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus

@@ -18,14 +18,14 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeq.llm.common import documents, fold
+from treeq.llm.common import documents, fold, tidy
 from treeq.llm.sample import DIMS, MAX_LABELLED, MEMO, labelled, platt, slot
 
 HELD_OUT = 1
@@ -79,10 +79,10 @@ class NaiveBayesSvm:
     def __init__(self, weights: np.ndarray, bias: float, a: float, b: float):
         self.weights, self.bias, self.a, self.b = weights, bias, a, b
 
-    def margins(self, rows: list[list[int]]) -> np.ndarray:
+    def margins(self, rows: Iterable[list[int]]) -> np.ndarray:
         return np.array([self.weights[r].sum() + self.bias for r in rows])
 
-    def scores(self, rows: list[list[int]]) -> np.ndarray:
+    def scores(self, rows: Iterable[list[int]]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.a * self.margins(rows) + self.b, -30, 30)))
 
 
@@ -142,7 +142,8 @@ def score(docs: DataFrame, model: NaiveBayesSvm):
     @F.pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series(shared.value.scores([terms_of(t) for t in batch]))
+            yield pd.Series(shared.value.scores(terms_of(t) for t in batch))
+            tidy()
 
     return of("text")
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeq.llm.common import Scratch, components, documents
+from treeq.llm.common import Scratch, components, documents, tidy
 
 BUDGET = 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(np.array([fingerprint(t, width) for t in batch], dtype=np.uint64).view(np.int64))
+            tidy()
 
     return docs.select("doc_id", fp("text").alias("fp"), key_of(docs).alias("key"))
 

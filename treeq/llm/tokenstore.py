@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeq.llm.common import Scratch, before, documents, ordered
+from treeq.llm.common import Scratch, before, documents, ordered, tidy
 
 END = 2
 WINDOW = 16
@@ -45,7 +45,7 @@ CUT = np.uint64(0xFF << 16)
 SHORTEST, LONGEST = 64, 1024
 FANOUT = 1024
 #: Words and their ids that a worker remembers.
-MEMO = 500_000
+MEMO = 400_000
 #: Words of letters that are encoded in one call.
 JOINED = 500
 #: Rows and characters that are encoded at once.
@@ -132,7 +132,8 @@ def encode(texts: pa.Array, path: str, splits: bool = True) -> list[bytes]:
     at = coded.indices.to_numpy()
     n = sizes[at]
     upto = np.concatenate([[0], np.cumsum(n)])
-    stream = pool[np.repeat(first[at] - upto[:-1], n) + np.arange(upto[-1])].tobytes()
+    small = np.int32 if max(upto[-1], len(pool)) < 1 << 31 else np.int64
+    stream = pool[np.repeat((first[at] - upto[:-1]).astype(small), n) + np.arange(upto[-1], dtype=small)].tobytes()
     borders = (upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * width).tolist()
     return [stream[a:b] for a, b in zip(borders, borders[1:])]
 
@@ -190,7 +191,7 @@ def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         stop = int(np.searchsorted(sizes, done + CHARACTERS, side="right"))
         stop = min(max(stop, start + 1), start + ROWS)
         yield batch.slice(start, stop - start)
-        pa.default_memory_pool().release_unused()
+        tidy()
         start = stop
 
 

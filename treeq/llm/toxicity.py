@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeq.llm.common import documents, fold
+from treeq.llm.common import documents, fold, tidy
 from treeq.llm.sample import DIMS, MAX_LABELLED, MEMO, labelled, slot
 
 HELD_OUT = 2
@@ -142,6 +142,7 @@ def score(docs: DataFrame, model: FactorizationMachine):
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([shared.value.score(terms_of(t)) for t in batch], dtype="float64")
+            tidy()
 
     return of("text")
 
