@@ -17,7 +17,7 @@ MAX_LABELLED = 16_000
 #: Only fitting is bounded by it: scores are made from all terms.
 MAX_TERMS = 20_000
 #: Entries of a worker's memory of words; it is emptied when full.
-MEMO = 200_000
+MEMO = 100_000
 
 
 def slot(term: str) -> int:

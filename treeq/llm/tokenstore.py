@@ -45,11 +45,11 @@ CUT = np.uint64(0xFF << 16)
 SHORTEST, LONGEST = 64, 1024
 FANOUT = 1024
 #: Words and their ids that a worker remembers.
-MEMO = 400_000
+MEMO = 300_000
 #: Words of letters that are encoded in one call.
 JOINED = 500
 #: Rows and characters that are encoded at once.
-ROWS, CHARACTERS = 8192, 1 << 23
+ROWS, CHARACTERS = 8192, 3 << 21
 _TOKENIZERS: dict[str, tuple] = {}
 
 
