@@ -27,6 +27,7 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -36,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeq.llm.common import Scratch, before, documents, ordered, tidy
+from treeq.llm.common import Scratch, before, documents, ordered
 
 END = 2
 WINDOW = 16
@@ -45,11 +46,11 @@ CUT = np.uint64(0xFF << 16)
 SHORTEST, LONGEST = 64, 1024
 FANOUT = 1024
 #: Words and their ids that a worker remembers.
-MEMO = 300_000
+MEMO = 400_000
 #: Words of letters that are encoded in one call.
 JOINED = 500
 #: Rows and characters that are encoded at once.
-ROWS, CHARACTERS = 8192, 3 << 21
+ROWS, CHARACTERS = 8192, 1 << 23
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -146,9 +147,14 @@ def mixed(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@lru_cache(maxsize=1)
+def mixed_table() -> np.ndarray:
+    return mixed(np.arange(1 << 16))
+
+
 def rolling(ids: np.ndarray) -> np.ndarray:
     """At each place, the hash of the last ``WINDOW`` ids, by doubling the window."""
-    h, width = mixed(ids), 1
+    h, width = mixed_table()[ids] if ids.dtype.itemsize == 2 else mixed(ids), 1
     while width < WINDOW:
         h[width:] = h[width:] + (h[:-width] << np.uint64(width))
         width *= 2
@@ -191,7 +197,7 @@ def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         stop = int(np.searchsorted(sizes, done + CHARACTERS, side="right"))
         stop = min(max(stop, start + 1), start + ROWS)
         yield batch.slice(start, stop - start)
-        tidy()
+        pa.default_memory_pool().release_unused()
         start = stop
 
 
