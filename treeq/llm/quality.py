@@ -143,7 +143,9 @@ def score(docs: DataFrame, model: NaiveBayesSvm):
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series(shared.value.scores(terms_of(t) for t in batch))
-            tidy()
+        _MEMO.clear()  # the worker may go on with other work
+        _SLOTS.clear()
+        tidy()
 
     return of("text")
 

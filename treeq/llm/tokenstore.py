@@ -47,8 +47,8 @@ SHORTEST, LONGEST = 64, 1024
 FANOUT = 1024
 #: Words and their ids that a worker remembers.
 MEMO = 400_000
-#: Words of letters that are encoded in one call.
-JOINED = 500
+#: Words of letters that are encoded as one text, and such texts that are held at once.
+JOINED, CALLS = 500, 32
 #: Rows and characters that are encoded at once.
 ROWS, CHARACTERS = 8192, 1 << 23
 _TOKENIZERS: dict[str, tuple] = {}
@@ -80,12 +80,14 @@ def _words(words: list[str], path: str) -> dict[str, bytes]:
     found: dict[str, bytes] = {}
     letters = [w for w in words if plain(w)]
     groups = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
-    for group, e in zip(groups, t.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-        ids = np.array(e.ids, dtype=kind)
-        stops = (np.flatnonzero(ends[ids]) + 1) * ids.itemsize
-        if len(stops) == len(group) and stops[-1] == ids.nbytes:
-            data, stops = ids.tobytes(), stops.tolist()
-            found.update((w, data[a:b]) for w, a, b in zip(group, [0, *stops], stops))
+    for at in range(0, len(groups), CALLS):
+        some = groups[at : at + CALLS]
+        for group, e in zip(some, t.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=kind)
+            stops = (np.flatnonzero(ends[ids]) + 1) * ids.itemsize
+            if len(stops) == len(group) and stops[-1] == ids.nbytes:
+                data, stops = ids.tobytes(), stops.tolist()
+                found.update((w, data[a:b]) for w, a, b in zip(group, [0, *stops], stops))
     rest = [w for w in words if w not in found]
     for w, e in zip(rest, t.encode_batch_fast(rest, add_special_tokens=False)):
         found[w] = np.array(e.ids, dtype=kind).tobytes()
