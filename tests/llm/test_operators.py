@@ -332,6 +332,16 @@ def test_crowds_link_the_same(spark):
     assert sorted(map(tuple, stars.collect())) == sorted(map(tuple, whole.collect()))
 
 
+def test_crowds_keep_those_at_their_edge(spark):
+    """A fingerprint whose one chain to a crowd starts at the crowd's key, which it only asks for."""
+    crowd = [i << 26 | i << 45 | 1 << 52 for i in range(1, 9)]
+    edge = crowd[0] ^ (1 << 13) ^ (1 << 26) ^ (1 << 39) ^ (1 << 52)
+    df = spark.createDataFrame([(x,) for x in (*crowd, edge)], "fp long")
+    every = {frozenset((a, b)) for a in (*crowd, edge) for b in (*crowd, edge) if a != b and (a ^ b).bit_count() <= 4}
+    found = {frozenset((r["a"], r["b"])) for r in simhash.links(df, Scratch(spark, "test"), crowd=3).collect()}
+    assert any(edge in x for x in every) and {x for x in found if edge in x} == {x for x in every if edge in x}
+
+
 # 7
 
 

@@ -103,7 +103,9 @@ def links(distinct: DataFrame, scratch: Scratch, crowd: int = CROWD) -> DataFram
         near &= F.bit_count(differ.bitwiseAND(mask)) <= length * BUDGET // k
     crowded = scratch.save(index.groupBy("key").count().filter(F.col("count") > crowd).select("key"), "crowded")
     if not crowded.isEmpty():
-        members = index.join(crowded, "key", "left_semi").select("b").distinct()
+        # a fingerprint that only asks for a crowded key may have none of its own
+        asking = probe.select(F.col("a").alias("b"), "key")
+        members = index.select("b", "key").union(asking).join(crowded, "key", "left_semi").select("b").distinct()
         index, probe = index.join(crowded, "key", "left_anti"), probe.join(crowded, "key", "left_anti")
     pairs = probe.alias("probe").join(index.alias("index"), (F.col("probe.key") == F.col("index.key")) & near).select("a", "b")
     return pairs if crowded.isEmpty() else pairs.union(stars(members))
