@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import zlib
 
 import duckdb
@@ -89,6 +90,12 @@ def test_decontamination_tolerates_substitutions(spark):
     assert [r["doc_id"] for r in decontam.findings(short, b).collect()] == [1]
 
 
+def test_seeds_miss_no_window():
+    """Of 13 words, any two may be substituted."""
+    for lost in itertools.combinations(range(decontam.WINDOW), 2):
+        assert any(not {at + i for i in mask} & set(lost) for mask in decontam.SEEDS for at in range(decontam.WINDOW - mask[-1]))
+
+
 def test_decontamination_without_broadcast(spark, sf_dir, monkeypatch):
     near = decontam.query(spark, sf_dir).collect()
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
