@@ -175,7 +175,7 @@ def test_encode_equals_the_library(tokenizer):
     import pyarrow as pa
 
     path, t = tokenizer
-    texts = ["don't stop.", "İstanbul Straße. ΣΑΣ. ΟΔΟΣ!", "a..b ... x.,! 12. 3.5 ½. é. é. क़.", "x<|endoftext|>. <|startoftext|>!", "tab\tnew\nline nbsp\xa0em\u2003", "", " lead trail ", "I'll we've'd 's O'Re.", "J̌. ﬁ. ſ. a̸. ǅ.", "\x0b\x0c\x1c\x85 z.", LONG[:200]]
+    texts = ["don't stop.", "İstanbul Straße. ΣΑΣ. ΟΔΟΣ!", "a..b ... x.,! 12. 3.5 ½. é. é. क़.", "x<|endoftext|>. <|startoftext|>!", "A <|ENDOFTEXT|> b<|StartOfText|>.", "\u0130. \u0958. \ufb2a!", "tab\tnew\nline nbsp\xa0em\u2003", "", " lead trail ", "I'll we've'd 's O'Re.", "J̌. ﬁ. ſ. a̸. ǅ.", "\x0b\x0c\x1c\x85 z.", LONG[:200]]
     want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(x, dtype="<u2").tolist() for x in tokenstore.encode(pa.array(texts), path)] == want
     assert [np.frombuffer(x, dtype="<u2").tolist() for x in tokenstore.encode(pa.array([*texts, None]), path, splits=False)] == [*want, []]

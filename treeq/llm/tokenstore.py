@@ -24,6 +24,7 @@ interchangeable. Other columns are ignored. An empty table gives an empty store.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -55,7 +56,8 @@ _TOKENIZERS: dict[str, tuple] = {}
 
 
 def _tokenizer(path: str):
-    """The tokenizer, the type of its ids, a memory of words, and which ids end a word."""
+    """The tokenizer, the type of its ids, a memory of words, which ids end a word, and
+    a pattern of the texts whose case must stay."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -65,7 +67,9 @@ def _tokenizer(path: str):
             t.model._resize_cache(0)  # words are remembered here
         n = t.get_vocab_size()
         ends = np.array([(t.id_to_token(i) or "").endswith("</w>") for i in range(n)])
-        _TOKENIZERS[path] = (t, "<u2" if n <= 1 << 16 else "<u4", {"": b""}, ends)
+        added = [re.escape(x.content) for x in t.get_added_tokens_decoder().values()]
+        cased = "|".join([r"[^\x{0}-\x{12F}\x{131}-\x{2FF}]", *[f"(?i:{x})" for x in added]])
+        _TOKENIZERS[path] = (t, "<u2" if n <= 1 << 16 else "<u4", {"": b""}, ends, cased)
     return _TOKENIZERS[path]
 
 
@@ -76,7 +80,7 @@ def plain(word: str) -> bool:
 
 def _words(words: list[str], path: str) -> dict[str, bytes]:
     """The ids of every word. Words of letters are encoded many to a call, spaces between."""
-    t, kind, _, ends = _tokenizer(path)
+    t, kind, _, ends, _ = _tokenizer(path)
     found: dict[str, bytes] = {}
     letters = [w for w in words if plain(w)]
     groups = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
@@ -94,16 +98,29 @@ def _words(words: list[str], path: str) -> dict[str, bytes]:
     return found
 
 
-def simplified(texts: pa.Array) -> pa.Array:
+@lru_cache(maxsize=1)
+def ended() -> str:
+    """A pattern of a letter, the marks that end its word, and what follows.
+
+    Not of letters that normalization ends with a combining mark, which would join
+    the marks behind it. Letters past U+1FFFF are ideographs and stay letters.
+    """
+    letters = filter(str.isalpha, map(chr, range(0x20000)))
+    apart = "".join(c for c in letters if not unicodedata.normalize("NFC", c).lower()[-1].isalpha())
+    return rf"([^\PL{apart}])([.,!?;:]+)(\s|$)"
+
+
+def simplified(texts: pa.Array, cased: str) -> pa.Array:
     """Texts with the same ids and fewer distinct words.
 
     A space goes between a letter and the marks that end its word. Texts within
     the Latin letters below U+0300, which normalization leaves as they are, are
-    lower-cased; U+0130 isn't, as it becomes two characters.
+    lower-cased; U+0130 isn't, as it becomes two characters, nor is a text with what
+    would read as a special token then. ``cased`` matches all that stays.
     """
-    wide = pc.match_substring_regex(texts, r"[^\x{0}-\x{12F}\x{131}-\x{2FF}]")
+    wide = pc.match_substring_regex(texts, cased)
     texts = pc.if_else(wide, texts, pc.utf8_lower(texts))
-    return pc.replace_substring_regex(texts, r"(\pL)([.,!?;:]+)(\s|$)", r"\1 \2\3")
+    return pc.replace_substring_regex(texts, ended(), r"\1 \2\3")
 
 
 def encode(texts: pa.Array, path: str, splits: bool = True) -> list[bytes]:
@@ -114,11 +131,11 @@ def encode(texts: pa.Array, path: str, splits: bool = True) -> list[bytes]:
     only words not seen before are encoded, and a text's ids are gathered from its
     words'.
     """
-    t, kind, memo, _ = _tokenizer(path)
+    t, kind, memo, _, cased = _tokenizer(path)
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     if not splits:
         return [np.array(e.ids, dtype=kind).tobytes() for e in t.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-    lists = pc.ascii_split_whitespace(simplified(texts))
+    lists = pc.ascii_split_whitespace(simplified(texts, cased))
     coded = lists.flatten().dictionary_encode()
     distinct = coded.dictionary.to_pylist()
     own = list(map(memo.get, distinct))
