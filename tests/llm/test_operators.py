@@ -148,6 +148,16 @@ def test_neighbours_odd(spark):
     assert ann.search(df.filter("vec_id = 150"), F.lit(True)).count() == 0
 
 
+def test_probes_follow_the_data():
+    rng = np.random.default_rng(6)
+    even = ann.unit(rng.normal(size=(3000, 32)))
+    middle = rng.normal(size=(40, 32))
+    tight = ann.unit(middle[rng.integers(0, 40, 3000)] + 0.1 * rng.normal(size=(3000, 32)))
+    few, many = (ann.probes_for(0.98, x[:200], x[200:], ann.centroids(x[200:], 40), 5) for x in (tight, even))
+    assert few <= 5 and 20 <= many <= 40
+    assert ann.probes_for(0.98, even[:0], even, even[:1], 5) == 1
+
+
 def test_scan_keeps_the_nearest():
     rng = np.random.default_rng(5)
     x = ann.unit(rng.normal(size=(3000, 64))) @ ann.rotation(64)

@@ -2,12 +2,13 @@
 
 Vectors are scaled to length one and turned by a seeded random rotation, which
 spreads every difference evenly over the dimensions. They lie in lists around
-centroids that k-means finds on a bounded sample; every vector is in a list. Within
-each list that a query probes, candidates lie column block by column block (as in
-PDX, SIGMOD 2025). After each block, the distance so far, scaled up to all
-dimensions, is tested against the query's present threshold: a candidate whose
-distance is larger with high confidence is abandoned (ADSampling, SIGMOD 2023).
-What survives gets its exact cosine from the original vectors.
+centroids that k-means finds on a bounded sample; every vector is in a list. How many
+lists a query probes follows from the recall measured on that sample. Within each
+list that it probes, candidates lie column block by column block (as in PDX, SIGMOD
+2025). After each block, the distance so far, scaled up to all dimensions, is tested
+against the query's present threshold: a candidate whose distance is larger with high
+confidence is abandoned (ADSampling, SIGMOD 2023). What survives gets its exact cosine
+from the original vectors.
 
 Equal vectors are one candidate with the smallest of their ids, as many as could be
 returned, and one query; so a vector that a third of all rows share is scanned once.
@@ -32,9 +33,9 @@ from treeq.llm.common import Scratch, documents
 #: Vectors that the centroids are fitted on at most.
 SAMPLE = 20_000
 MAX_LISTS = 1024
-#: Part of the lists that a query probes, and how many at least. Vectors without any
-#: clusters need this many for a recall over 0.95; clustered ones need far fewer.
-PROBED, PROBED_AT_LEAST = 0.75, 24
+#: Part of the true neighbours that lie in the probed lists, as measured on ``TRIALS``
+#: vectors of the sample, and how many lists a query probes at least.
+RECALL, TRIALS, PROBED_AT_LEAST = 0.98, 500, 8
 BLOCK = 16
 #: Standard errors by which a scaled partial distance must exceed the threshold.
 CONFIDENCE = 2.1
@@ -71,6 +72,22 @@ def centroids(x: np.ndarray, lists: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def probes_for(recall: float, tried: np.ndarray, x: np.ndarray, c: np.ndarray, k: int) -> int:
+    """Lists that ``tried`` vectors must probe to meet ``recall`` of their ``k`` nearest in ``x``.
+
+    Neighbours among all vectors are nearer than those in a sample, so they need no
+    more. Vectors in clusters need a few lists, evenly spread ones most of them.
+    """
+    own = np.argmax(x @ c.T, axis=1)
+    found = []
+    for q in np.array_split(tried, max(1, len(tried) // 50)):
+        nearest = np.argsort(-(q @ x.T), axis=1)[:, :k]
+        turn = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1)
+        found.append(np.take_along_axis(turn, own[nearest], axis=1).ravel())
+    turns = np.concatenate(found)
+    return int(np.quantile(turns, recall, method="higher")) + 1 if len(turns) else 1
+
+
 def scan(query: np.ndarray, blocks: list[np.ndarray], k: int, first: int = 256) -> np.ndarray:
     """Places of candidates that may be among the ``k`` nearest of one list's block.
 
@@ -111,7 +128,7 @@ def valid(vectors: DataFrame) -> DataFrame:
     return rows.filter(F.size("v") == (common["n"] if common else 0))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, probed: float = PROBED) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = RECALL) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest found for each query."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
@@ -131,8 +148,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, probed: float = PRO
         return spark.createDataFrame([], schema)
     sample = unit(np.stack(fitted.to_list()))
     lists = int(min(MAX_LISTS, max(1, round(np.sqrt(n) / 2)), len(sample)))
-    probes = min(lists, max(PROBED_AT_LEAST, int(np.ceil(probed * lists))))
-    center = spark.sparkContext.broadcast(centroids(sample, lists))
+    trials = min(TRIALS, (len(sample) - lists) // 2)  # not fitted, so that they are like any other query
+    fits = sample[trials:]
+    found_centers = centroids(fits, lists)
+    probes = min(lists, max(PROBED_AT_LEAST, probes_for(recall, sample[:trials], fits, found_centers, k)))
+    center = spark.sparkContext.broadcast(found_centers)
     dim = sample.shape[1]
 
     def listed(df: DataFrame, count: int) -> DataFrame:
