@@ -403,6 +403,24 @@ def test_lines_tables(odd, none, spark):
     assert [r["text"] for r in linededup.dedup_lines(twice).collect()] == ["w " * 20] * 2
 
 
+def test_lines_closing(spark):
+    """With ``closing``, all lines of the longest runs that an earlier place holds, by brute force."""
+    head, end = " ".join(["word"] * 12), "a short end"
+    docs = spark.createDataFrame([(0, f"{head}\n{end}"), (1, f"x\n{head}\n{end}\ny")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs, closing=True).collect()} == {0: f"{head}\n{end}", 1: "x\ny"}
+    rng = np.random.default_rng(5)
+    made = [[" ".join([f"v{x}"] * (1 + x % 4)) for x in rng.integers(0, 5, n)] for n in (12, 40, 30, 25, 7)]
+    made += [made[1][5:30] + ["once"] + made[2], made[3][:-1], made[4]]
+    want = {i: set() for i in range(len(made))}
+    for (d, p), (e, q) in itertools.combinations([(d, p) for d, text in enumerate(made) for p in range(len(text))], 2):
+        same = list(itertools.takewhile(lambda x: x[0] == x[1], zip(made[d][p:], made[e][q:])))
+        if sum(len(x.split()) for x, _ in same) >= 10:
+            want[e] |= set(range(q, q + len(same)))
+    table = spark.createDataFrame([(i, "\n".join(text)) for i, text in enumerate(made)], "doc_id long, text string")
+    got = {r["__doc"]: set(r["__deleted"] or []) for r in linededup.deleted_lines(table, closing=True).collect()}
+    assert got == want and got != {r["__doc"]: set(r["__deleted"] or []) for r in linededup.deleted_lines(table).collect()}
+
+
 def test_suffix_array(spark):
     rng = np.random.default_rng(3)
     docs = [(i, "\n".join(f"l{x}" for x in rng.integers(0, 4, 30))) for i in range(6)]

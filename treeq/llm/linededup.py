@@ -12,8 +12,14 @@ A run counts once its lines hold ``min_words`` words. Suffixes next to each othe
 the array whose longest common prefix reaches that far form an interval; its first
 suffix in (doc_id, text hash, line) order is the original, all others are later
 copies whose lines go. The interval needs no longer prefix than ``min_words`` lines,
-as each holds a word at least, so doubling stops at that depth: a longer repeated
-run is the union of the runs found at each of its lines.
+as each holds a word at least, so doubling stops at that depth.
+
+By default, as in the SQL, a run is the shortest that counts from its first line on.
+A longer repeated run then loses all but its closing lines, if those hold under
+``min_words`` words in all. With ``closing``, the shortest runs that count up to
+their last line are compared, too, and repeated runs of any length go whole: what
+a line of a repeated run needs is a part of it that counts and can't be shortened
+without losing the line or the count, and such a part is of one kind or the other.
 
 Defined cases: null and blank texts have no lines. Blank lines are no lines: they
 separate nothing, are never deleted and have no number. Rows with equal ``doc_id``
@@ -78,7 +84,7 @@ def suffix_array(lines: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
     return now
 
 
-def later_copies(lines: DataFrame, min_words: int, scratch: Scratch) -> DataFrame:
+def later_copies(lines: DataFrame, min_words: int, scratch: Scratch, closing: bool = False) -> DataFrame:
     """``__doc, __th, seq, run`` of every suffix whose first ``run`` lines are a later copy."""
     suffixes = suffix_array(lines, min_words, scratch)
     ahead = Window.partitionBy(*DOC).orderBy("seq").rangeBetween(0, min_words - 1)
@@ -91,14 +97,15 @@ def later_copies(lines: DataFrame, min_words: int, scratch: Scratch) -> DataFram
     )
     enough = F.array_position(F.transform(words, lambda n: n >= min_words), True).cast("int")
     # a run that counts, as it is; suffixes too short for one are no part of an interval
-    runs = (
-        suffixes.withColumn("ahead", window)
-        .withColumn("lines", unbroken)
-        .withColumn("run", enough)
-        .filter("run > 0")
-        .select(*DOC, "seq", "rank", "run", F.transform(F.slice("lines", F.lit(1), F.col("run")), lambda x: F.struct(x["h"], x["g"])).alias("prefix"))
-    )
-    keys = ["rank", *DOC, "seq"]
+    runs = suffixes.withColumn("ahead", window).withColumn("lines", unbroken).withColumn("run", enough).filter("run > 0")
+    if closing:
+        # also longer runs that would not count without their first line: one at most ends at a line
+        first = F.get("lines", F.lit(0))["w"]
+        longer = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda n: (n > F.col("run")) & (F.get(words, n - 1) - first < min_words))
+        runs = runs.withColumn("run", F.explode(F.concat(F.array("run"), longer)))
+    prefix = F.transform(F.slice("lines", F.lit(1), F.col("run")), lambda x: F.struct(x["h"], x["g"]))
+    runs = runs.select(*DOC, "seq", "rank", "run", prefix.alias("prefix"))
+    keys = [*(["run"] if closing else []), "rank", *DOC, "seq"]  # runs of one length each have an array
     placed = before(ordered(runs, keys, scratch, "array"), {"at": F.lit(1)}, keys)
 
     # neighbours meet in stretches of the array; the last of a stretch is also the first of the next
@@ -127,12 +134,12 @@ def later_copies(lines: DataFrame, min_words: int, scratch: Scratch) -> DataFram
     return intervals.join(firsts, "interval").filter(~position.eqNullSafe(F.col("first"))).select(*DOC, "seq", "run")
 
 
-def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, closing: bool = False) -> DataFrame:
     """``__doc, __th, __n, __deleted`` of each distinct document: its number of lines,
     and the sorted numbers, from 0, of those that a later copy covers."""
     scratch = Scratch(docs.sparkSession, "lines")
     lines = scratch.save(with_lines(docs), "lines")
-    copies = later_copies(lines, min_words, scratch)
+    copies = later_copies(lines, min_words, scratch, closing)
     gone = copies.select(*DOC, F.explode(F.sequence("seq", F.col("seq") + F.col("run") - 1)).alias("seq")).distinct()
     gone = scratch.save(
         gone.groupBy(*DOC).agg(F.sort_array(F.collect_list("seq")).alias("__deleted")).withColumnsRenamed({"__doc": "__d", "__th": "__t"}), "deleted"
@@ -141,9 +148,9 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return each.join(gone, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left").drop("__d", "__t")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, closing: bool = False) -> DataFrame:
     """``docs`` with the lines of later copies taken out of ``text``; other columns stay."""
-    gone = deleted_lines(docs, min_words).filter("__deleted IS NOT NULL").dropDuplicates(DOC)
+    gone = deleted_lines(docs, min_words, closing).filter("__deleted IS NOT NULL").dropDuplicates(DOC)
     text = F.coalesce(F.col("text"), F.lit(""))
     numbered = F.aggregate(
         F.split(text, "\n", -1),
