@@ -5,9 +5,10 @@ from __future__ import annotations
 import collections
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
-from treeq.llm import decontam, quality, simhash
+from treeq.llm import decontam, overlap, quality, simhash
 from treeq.llm.common import Scratch
 
 
@@ -50,6 +51,24 @@ def test_stages(spark, sf_dir):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, last))
 
 
+def test_near_copies_far_apart(spark):
+    """With ``alike``, texts alike to 0.8 by five-word shingles are one, though their fingerprints are over 4 bits apart."""
+    rng = np.random.default_rng(2)
+    docs, want = [], set()
+    for i in range(30):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+        changed = words[:1] + ["other"] + words[2:] if i % 2 else words[:30] + ["other"] + words[31:]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+        alike = [overlap.shingles(t) for _, t in docs[-2:]]
+        share = len(np.intersect1d(*alike)) / len(np.union1d(*alike))
+        far = (simhash.fingerprint(docs[-2][1]) ^ simhash.fingerprint(docs[-1][1])).bit_count() > 4
+        want |= {2 * i} if share >= 0.8 or not far else {2 * i, 2 * i + 1}
+    assert any((simhash.fingerprint(docs[i][1]) ^ simhash.fingerprint(docs[i + 1][1])).bit_count() > 4 for i in range(0, 60, 2))
+    docs.append((99, docs[0][1]))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each(table, alike=True).collect()} == want
+
+
 def test_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).withColumn("words", F.lit("x"))
     for _, stage in corpus_pipeline.STAGES:

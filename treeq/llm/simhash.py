@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from treeq.llm import overlap
 from treeq.llm.common import Scratch, components, documents, tidy
 
 BUDGET = 4
@@ -147,10 +148,20 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each component: that of its least id and then text hash."""
+def one_of_each(docs: DataFrame, alike: bool = False) -> DataFrame:
+    """One row of ``docs`` for each component: that of its least id and then text hash.
+
+    With ``alike``, texts of which ``overlap.LEAST`` of the five-word shingles are common
+    are linked, too, however far their fingerprints are apart.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
     named = near_duplicates(docs)
+    if alike:
+        named = scratch.save(named.select("doc_id", "key", "root"), "named")
+        texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), key_of(docs).alias("key"))
+        grouped = texts.join(named.select("key", F.col("root").alias("group")).distinct(), "key")
+        wider = components(overlap.groups_linked(grouped, scratch), scratch).withColumnRenamed("root", "whole")
+        named = named.join(wider, F.col("root") == F.col("node"), "left").withColumn("root", F.coalesce("whole", "root"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
     kept = scratch.save(named.groupBy("root").agg(first["key"].alias("__key")).select("__key"), "kept")
     rows = docs.withColumn("__key", key_of(docs)).join(kept, "__key", "left_semi")
