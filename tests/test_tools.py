@@ -133,6 +133,19 @@ def test_scopes_as_tables(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
 
 
+def test_scopes_deep_and_in_cycles(spark):
+    g, last = scopes.ScopeGraph(), 0
+    g.add_decl(0, "x", 1)
+    for _ in range(67):
+        last = g.add_scope(last)
+    g.connect(last - 1, last)
+    assert g.lookup(last, "x") == [1] and g.lookup(last, "w") == []
+    edges = [(1, s, p) for s, ps in enumerate(g.parents) for p in ps]
+    refs = [(1, last, "x", 7), (1, last, "w", 8), (1, last, None, 9)]
+    got = scopes.solve(spark.createDataFrame(edges, "tree long, scope int, parent int"), spark.createDataFrame([(1, 0, "x", 1)], "tree long, scope int, name string, node int"), spark.createDataFrame(refs, "tree long, scope int, name string, node int"))
+    assert sorted(map(tuple, got.collect())) == [(1, 7, 1), (1, 8, None), (1, 9, None)]
+
+
 def test_aspects(spark):
     aspects = Aspects()
 

@@ -2,7 +2,9 @@
 
 Two forms of one search: breadth first from the scope of a reference along its
 parents, stopping at the first level where any scope declares the name. A scope gives
-its first declaration, and scopes that are reached twice count twice.
+its first declaration, and scopes that are reached twice at one level count twice. A
+scope that an earlier level looked at without a hit isn't looked at again: what lies
+behind it was reached before, so nothing is lost, and the search of a cycle ends.
 """
 
 from __future__ import annotations
@@ -14,10 +16,8 @@ from pyspark.sql import functions as F
 
 from treeq.lineage import cut
 
-DEEPEST = 64
 
-
-def solve(edges: DataFrame, decls: DataFrame, refs: DataFrame, deepest: int = DEEPEST) -> DataFrame:
+def solve(edges: DataFrame, decls: DataFrame, refs: DataFrame) -> DataFrame:
     """``tree, ref, decl`` for all references; ``decl`` is null where nothing is found.
 
     ``edges`` has ``tree, scope, parent``, ``decls`` has ``tree, scope, name, node`` and
@@ -27,12 +27,20 @@ def solve(edges: DataFrame, decls: DataFrame, refs: DataFrame, deepest: int = DE
     first = decls.groupBy("tree", "scope", "name").agg(F.min("node").alias("decl"))
     front = refs.select("tree", F.col("node").alias("ref"), "name", "scope")
     found: list[DataFrame] = []
-    for _ in range(deepest):
+    at = ["tree", "ref", "name", "scope"]
+    seen: DataFrame | None = None
+    while True:
         looked = front.join(first, ["tree", "scope", "name"], "left")
         any_hit = F.max(F.col("decl").isNotNull()).over(Window.partitionBy("tree", "ref"))
         looked = cut(looked.withColumn("hit", any_hit))
         found.append(looked.filter("decl IS NOT NULL").select("tree", "ref", "decl"))
-        front = looked.filter("NOT hit").join(edges, ["tree", "scope"]).select("tree", "ref", "name", F.col("parent").alias("scope"))
+        missed = looked.filter("NOT hit AND name IS NOT NULL")  # a null name is declared nowhere
+        visited = missed.select(*at)
+        if seen is not None:
+            visited = visited.union(seen.join(missed.select("tree", "ref"), ["tree", "ref"], "left_semi").select(*at))
+        seen = cut(visited.distinct())
+        front = missed.join(edges, ["tree", "scope"]).select("tree", "ref", "name", F.col("parent").alias("scope"))
+        front = front.join(seen, at, "left_anti")
         if front.isEmpty():
             break
     settled = found[0]
@@ -71,12 +79,13 @@ class ScopeGraph:
         self.refs.append((scope, name, node))
 
     def lookup(self, scope: int, name: str) -> list[int]:
-        level = [scope]
-        for _ in range(DEEPEST):
+        level, seen = [scope], set()
+        while level:
             found = [hit for s in level if (hit := next((n for k, n in self.decls[s] if k == name), None)) is not None]
-            if found or not level:
+            if found:
                 return found
-            level = [p for s in level for p in self.parents[s]]
+            seen.update(level)
+            level = [p for s in level for p in self.parents[s] if p not in seen]
         return []
 
     def solve(self) -> list[tuple[int, int | None]]:
