@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from treeq.llm import ann, decontam, langid, linededup, mixing, quality, queries, simhash, tokenstore, toxicity, urlfilter
+from treeq.llm import ann, decontam, langid, linededup, mixing, quality, queries, sample, simhash, tokenstore, toxicity, urlfilter
 from treeq.llm.common import Scratch, components
 
 LONG = "lorem ipsum dolor sit amet " * 30_000
@@ -265,6 +265,16 @@ def test_toxicity(spark, sf_dir, odd, none):
     assert toxicity.fit(docs.limit(0), labels).score([]) < 0.3
 
 
+def test_samples_keep_whole_texts(spark):
+    long = " ".join(f"{i:x}z" for i in range(60_000))
+    docs = spark.createDataFrame([(1, long), (2, "a b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    for terms in (toxicity.terms_of, quality.terms_of):
+        starts, found, y = sample.labelled(docs, labels, "toxic", F.lit(True), terms)
+        assert found[: starts[1]].tolist() == list(terms(long)) and found[starts[1] :].tolist() == list(terms("a b")) and y.tolist() == [1, 0]
+    assert len(toxicity.terms_of(long)) > 20_000
+
+
 def test_factors_learn_pairs():
     """A pair of terms can weigh what neither weighs alone."""
     m = toxicity.FactorizationMachine(np.array([0, 1]), -1.0, np.zeros(2), np.array([[2.0, 0], [2.0, 0]]))

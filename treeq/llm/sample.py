@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 DIMS = 1 << 18
 #: Labelled documents that a classifier is fitted on at most.
 MAX_LABELLED = 16_000
-#: Distinct hashed terms of a document that a sample keeps at most, lowest hash first.
-#: Only fitting is bounded by it: scores are made from all terms.
-MAX_TERMS = 20_000
 #: Entries of a worker's memory of words; it is emptied when full.
 MEMO = 100_000
 
@@ -29,12 +26,12 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, trainable: Column,
 
     ``labels`` are chosen in the order of a hash of their id, so the sample doesn't
     depend on partitions; their ids are few enough to broadcast, so no text moves.
-    ``terms`` maps a text to its hashed terms.
+    ``terms`` maps a text to its distinct hashed terms, ``DIMS`` at most; all are kept.
     """
 
     @F.pandas_udf("array<int>")
     def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(terms(t)[:MAX_TERMS], dtype=np.int32) for t in texts])
+        return pd.Series([np.array(terms(t), dtype=np.int32) for t in texts])
 
     chosen = (
         labels.filter(trainable & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
