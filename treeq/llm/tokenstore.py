@@ -13,8 +13,9 @@ chunks (Muthitacharoen et al., SOSP 2001). The store is a folder of Parquet file
 * ``manifest``: a Merkle tree over the documents' roots in that order, ``FANOUT``
   children to a node; the one node on the top level stands for the whole store.
 
-Chunks and recipes leave one pass over the texts in one shuffle. Reading recomputes
-every digest and root, and raises if one differs.
+Chunks and recipes leave one pass over the texts in one shuffle, after which Spark
+drops repeated chunks, sorting and spilling where it must. Reading recomputes every
+digest and root, and raises if one differs.
 
 Defined cases: a null or empty text is the end id alone. Null ids come first in the
 order; rows with equal ids are in the order of their content, and equal rows are
@@ -38,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeq.llm.common import Scratch, before, documents, ordered
+from treeq.llm.common import Scratch, before, documents, ordered, tidy
 
 END = 2
 WINDOW = 16
@@ -46,12 +47,12 @@ WINDOW = 16
 CUT = np.uint64(0xFF << 16)
 SHORTEST, LONGEST = 64, 1024
 FANOUT = 1024
-#: Words and their ids that a worker remembers.
-MEMO = 400_000
+#: Words and their ids that a worker remembers, and chunks that a task knows it sent.
+MEMO, SENT = 200_000, 100_000
 #: Words of letters that are encoded as one text, and such texts that are held at once.
 JOINED, CALLS = 500, 32
 #: Rows and characters that are encoded at once.
-ROWS, CHARACTERS = 8192, 1 << 23
+ROWS, CHARACTERS = 8192, 1 << 21
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -102,12 +103,12 @@ def _words(words: list[str], path: str) -> dict[str, bytes]:
 def ended() -> str:
     """A pattern of a letter, the marks that end its word, and what follows.
 
-    Not of letters that normalization ends with a combining mark, which would join
+    Marks aren't those that a contraction or a special token may begin with. Not of letters that normalization ends with a combining mark, which would join
     the marks behind it. Letters past U+1FFFF are ideographs and stay letters.
     """
     letters = filter(str.isalpha, map(chr, range(0x20000)))
     apart = "".join(c for c in letters if not unicodedata.normalize("NFC", c).lower()[-1].isalpha())
-    return rf"([^\PL{apart}])([.,!?;:]+)(\s|$)"
+    return rf"([^\PL{apart}])([.,!?;:*#&%$]+)(\s|$)"
 
 
 def simplified(texts: pa.Array, cased: str) -> pa.Array:
@@ -220,27 +221,31 @@ def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         start = stop
 
 
-def spread(whole: bytes, i: int) -> bytes:
-    """A key by which recipes go anywhere, copies of one document too."""
-    return blake2b(whole + i.to_bytes(8, "little"), digest_size=16).digest()
-
-
 RECIPES = "place long, doc_id long, start long, n_tokens long, digests array<binary>, root binary"
 MANIFEST = "level int, node long, root binary"
-_ROWS = "key binary, doc_id long, n_tokens long, digests array<binary>, root binary, payload binary, recipe boolean"
+_ROWS = "key binary, copy long, doc_id long, n_tokens long, digests array<binary>, root binary, payload binary, recipe boolean"
 
 
 def _encoded(docs: DataFrame, path: str, end: int, splits: bool) -> DataFrame:
-    """Recipe rows of all documents and chunk rows, each chunk once in a task."""
+    """Recipe rows of all documents, and chunk rows, which a task may repeat.
+
+    A chunk's ``key`` is its digest and its ``copy`` is null. A recipe's key says
+    where it goes, and its copy tells it from recipes of equal rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         kind = _tokenizer(path)[1]
         width, last = int(kind[2]), np.array([end], dtype=kind).tobytes()
         sent: set[bytes] = set()
+        copy = TaskContext.get().partitionId() << 40
         for batch in (part for whole in batches for part in portions(whole)):
-            ids, chunks = batch.column(0).to_pylist(), {}
-            recipes: tuple[list, ...] = ([], [], [], [])
-            for data in encode(batch.column(1), path, splits):
+            ids = batch.column(0).to_pylist()
+            keys, lengths, digests, roots, chunks = [], [], [], [], {}
+            if len(sent) > SENT:
+                sent.clear()
+            for doc_id, data in zip(ids, encode(batch.column(1), path, splits)):
                 data += last
                 own, at = [], 0
                 for e in cuts(np.frombuffer(data, dtype=kind)):
@@ -252,36 +257,29 @@ def _encoded(docs: DataFrame, path: str, end: int, splits: bool) -> DataFrame:
                         chunks[d] = piece
                     at = e
                 whole = root(own)
-                for out, x in zip(recipes, (len(data) // width, own, whole, spread(whole, len(recipes[0])))):
-                    out.append(x)
-            n, c = len(ids), list(chunks)
-            none = lambda k, t: pa.nulls(k, t)
+                lengths.append(len(data) // width)
+                digests.append(own)
+                roots.append(whole)
+                keys.append(blake2b(whole + repr(doc_id).encode(), digest_size=16).digest())
+            n, c = len(ids), len(chunks)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(recipes[3] + c, pa.binary()),
-                    pa.array(ids + [None] * len(c), pa.int64()),
-                    pa.array(recipes[0] + [None] * len(c), pa.int64()),
-                    pa.array(recipes[1] + [None] * len(c), pa.list_(pa.binary())),
-                    pa.array(recipes[2] + [None] * len(c), pa.binary()),
+                    pa.array([*keys, *chunks], pa.binary()),
+                    pa.array([*range(copy, copy + n), *[None] * c], pa.int64()),
+                    pa.array(ids + [None] * c, pa.int64()),
+                    pa.array(lengths + [None] * c, pa.int64()),
+                    pa.array(digests + [None] * c, pa.list_(pa.binary())),
+                    pa.array(roots + [None] * c, pa.binary()),
                     pa.array([None] * n + list(chunks.values()), pa.binary()),
-                    pa.array([True] * n + [False] * len(c)),
+                    pa.array([True] * n + [False] * c),
                 ],
-                ["key", "doc_id", "n_tokens", "digests", "root", "payload", "recipe"],
+                ["key", "copy", "doc_id", "n_tokens", "digests", "root", "payload", "recipe"],
             )
+            copy += n
+            del keys, lengths, digests, roots, chunks
+        tidy()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ROWS)
-
-
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops chunks that the partition had before; their digest picked the partition."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for key, recipe in zip(batch.column("key").to_pylist(), batch.column("recipe").to_pylist()):
-            keep.append(recipe or key not in seen)
-            if not recipe:
-                seen.add(key)
-        yield batch.filter(pa.array(keep, pa.bool_()))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _ROWS)
 
 
 def write(docs: DataFrame, at: str, path: str, end: int = END, splits: bool = True) -> None:
@@ -292,9 +290,9 @@ def write(docs: DataFrame, at: str, path: str, end: int = END, splits: bool = Tr
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "tokens")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     staged = scratch.path("staged")
-    rows = _encoded(docs, path, end, splits).repartition(parts, "key").mapInArrow(_once, _ROWS)
+    rows = _encoded(docs, path, end, splits).repartition(parts, "key").dropDuplicates(["key", "copy"])
     rows.write.partitionBy("recipe").option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(staged)
-    everything = spark.read.schema(f"{_ROWS}").parquet(staged)
+    everything = spark.read.schema(_ROWS).parquet(staged)
     jvm = spark._jvm
     fs = jvm.org.apache.hadoop.fs.Path(at).getFileSystem(spark._jsc.hadoopConfiguration())
     fs.mkdirs(jvm.org.apache.hadoop.fs.Path(at))
