@@ -27,7 +27,7 @@ ODD = [
     (6, LONG, "de", "c"),
     (7, "été ÀÉ ß 日本 😀 \x00 x", "fr", "b"),
 ]
-EXTRA = ("fp", "size", "words", "target", "rank", "key", "pos", "score", "root", "place", "item_id", "embedding", "label", "n", "h", "list")
+EXTRA = ("__doc", "__th", "__score", "__key", "__copies", "__words", "__size", "__row", "__deleted", "doc", "th", "deleted", "score", "copies", "fp", "size", "words", "target", "rank", "key", "pos", "root", "place", "item_id", "embedding", "label", "n", "h", "list")
 
 
 @pytest.fixture(scope="module")
@@ -86,14 +86,45 @@ def test_decontamination_tolerates_substitutions(spark):
     found = decontam.findings(d, b).collect()
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 7), (3, 7), (None, 7)}
     assert {r["doc_id"] for r in decontam.decontaminate(d, b).collect()} == {2, 4}
-    short = spark.createDataFrame([(1, "here: An item, of six words only!"), (2, "an item of seven words only")], "doc_id long, text string")
-    assert [r["doc_id"] for r in decontam.findings(short, b).collect()] == [1]
-
-
-def test_seeds_miss_no_window():
-    """Of 13 words, any two may be substituted."""
-    for lost in itertools.combinations(range(decontam.WINDOW), 2):
-        assert any(not {at + i for i in mask} & set(lost) for mask in decontam.SEEDS for at in range(decontam.WINDOW - mask[-1]))
+    # one of six words may be substituted, two may not
+    short = spark.createDataFrame([(1, "here: An item, of six words only!"), (2, "an item of seven words only"), (3, "an item of seven words maybe")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in decontam.findings(short, b).collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("n", range(5, 17))
+def test_masks_miss_no_overlap(n):
+    """Whichever words may be substituted, one mask fits between them."""
+    lost = n - decontam.needed(n, 0.8)
+    found = decontam.masks(n, lost)
+    assert len(found) <= decontam.MASKS
+    for gone in itertools.combinations(range(n), lost):
+        assert any(not {at + i for i in mask} & set(gone) for mask in found for at in range(n - mask[-1]))
+
+
+def test_decontamination_equals_all_alignments(spark):
+    """Items of 5 to 14 words with every pattern of one or two substituted words, among words of other items."""
+    items = {n: [f"i{n}w{i}" for i in range(n)] for n in range(4, 15)}
+    docs = []
+    for n, words in items.items():
+        for k in (0, 1, 2, 3):
+            for gone in itertools.combinations(range(n), k):
+                if k < 3 or gone[0] == 0:
+                    docs.append(["x"] * (len(docs) % 4) + ["zz" if i in gone else w for i, w in enumerate(words)] + items[4][:2])
+    docs += [items[12][3:], items[13][:-2], items[14][2:] + items[5][1:]]
+    want = {}
+    for d, text in enumerate(docs):
+        for n, item in items.items():
+            if n < decontam.MIN_WORDS:
+                continue
+            w = min(n, decontam.WINDOW)
+            for shift in range(-n, len(text)):
+                same = [0 <= shift + j < len(text) and text[shift + j] == word for j, word in enumerate(item)]
+                most = max(sum(same[j : j + w]) for j in range(n - w + 1))
+                if most >= 0.8 * w:
+                    want[d, n] = max(want.get((d, n), 0), most)
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(n, " ".join(t)) for n, t in items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["matched"] for r in decontam.findings(d, b).collect()} == want
 
 
 def test_decontamination_without_broadcast(spark, sf_dir, monkeypatch):
@@ -246,11 +277,56 @@ def test_quality(spark, sf_dir, odd, none):
     assert len(rows) == len(ODD) and all(0 <= r["s"] <= 1 for r in rows)
     assert quality.keep_good(odd, labels).columns == odd.columns and quality.keep_good(none, labels).count() == 0
     assert quality.fit(docs, labels.limit(0)).scores([[]])[0] == pytest.approx(0.5)
-    assert quality.terms_of(None) == quality.terms_of(" ") == []
+    assert len(quality.terms_of(None)) == len(quality.terms_of(" ")) == 0
+
+
+def sparse(rows):
+    return np.concatenate([[0], np.cumsum([len(r) for r in rows])]), np.concatenate([np.asarray(r, dtype=np.int32) for r in rows])
+
+
+def test_quality_by_brute_force():
+    """Ratios by counting, and the dual's maximum by gradient steps over dense rows."""
+    rng = np.random.default_rng(3)
+    rows = [sorted({int(x) for x in rng.integers(0, 30, 8)} | ({31} if i % 3 else {32}) | ({33} if rng.random() < 0.5 else set())) for i in range(60)]
+    y = np.array([int(i % 3 > 0) ^ int(rng.random() < 0.1) for i in range(60)])
+    starts, terms = sparse(rows)
+    ratio = quality.log_ratios(np.repeat(np.arange(60), np.diff(starts)), terms, y)
+    share = {k: {t: 1 + sum(t in r for r, c in zip(rows, y) if c == k) for t in range(40)} for k in (0, 1)}
+    total = {k: sum(v.values()) + quality.DIMS - 40 for k, v in share.items()}
+    for t in range(40):
+        want = np.log(share[1][t] / total[1]) - np.log(share[0][t] / total[0]) if any(t in r for r in rows) else 0.0
+        assert ratio[t] == pytest.approx(want)
+    sign = np.where(y == 1, 1.0, -1.0)
+    w, bias, alpha = quality.descend(starts, terms, sign, ratio, 0.1, 2000, least=1e-10)
+    x = np.zeros((60, 41))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r]
+    x[:, 40] = 1.0
+    q = (sign[:, None] * x) @ (sign[:, None] * x).T
+    plain = np.zeros(60)
+    for _ in range(5_000):
+        plain = np.clip(plain + (1 - q @ plain) / np.linalg.norm(q, 2), 0, 0.1)
+    value = lambda a: a.sum() - a @ q @ a / 2
+    assert value(plain) <= value(alpha) + 1e-9 and value(alpha) == pytest.approx(value(plain), rel=1e-4)
+    assert np.allclose(np.append(w[:40], bias), (alpha * sign) @ x)
+    slack = 1 - q @ alpha
+    assert np.all(slack[alpha < 1e-9] < 1e-6) and np.all(slack[alpha > 0.1 - 1e-9] > -1e-6) and np.all(np.abs(slack[(alpha > 1e-9) & (alpha < 0.1 - 1e-9)]) < 1e-6)
+
+
+def test_quality_terms_by_definition():
+    text = "The cat, the CAT! Cat! Cat! 3.5"
+    words = text.split()
+    shapes = [quality.codes(w)[0] for w in words]
+    shapes[5] = quality.SAME
+    plain = [quality.codes(w)[1] for w in words]
+    assert plain[0] == plain[2] and plain[1] == plain[3] == plain[4] and shapes[1] != shapes[3]
+    one = lambda tag, *parts: quality.grams(tag, *[np.array([p], dtype=np.uint64) for p in parts])[0]
+    want = {one(n, *shapes[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)} | {one(3 + n, *plain[i : i + n]) for n in (1, 2) for i in range(len(words) - n + 1)}
+    assert set(quality.terms_of(text).tolist()) == want
 
 
 def test_shapes():
-    assert [quality.shape(w) for w in ("Word,", "WORD!!", "a***", "3.14", "naïve", "ÀÉx")] == ["Aa,", "A!!", "a**", "9.9", "a", "Aa"]
+    assert [quality.shape(w) for w in ("Word,", "WORD!!", "a***", "3.14", "naïve", "ÀÉx", "a-1-b-2-c-3-d")] == ["Aa,", "A!!", "a**", "9.9", "a", "Aa", "a-9-a-9-a-9-a"]
 
 
 def test_toxicity(spark, sf_dir, odd, none):
@@ -275,10 +351,46 @@ def test_samples_keep_whole_texts(spark):
     assert len(toxicity.terms_of(long)) > 20_000
 
 
-def test_factors_learn_pairs():
-    """A pair of terms can weigh what neither weighs alone."""
-    m = toxicity.FactorizationMachine(np.array([0, 1]), -1.0, np.zeros(2), np.array([[2.0, 0], [2.0, 0]]))
-    assert m.margin(np.array([0])) == m.margin(np.array([1])) == -1.0 and m.margin(np.array([0, 1])) == 3.0
+def test_samples_are_bounded(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"t{i}x{j}" for j in range(10))) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    starts, _, y = sample.labelled(docs, labels, "toxic", F.lit(True), lambda t: range(len(t.split())), total=105)
+    assert len(y) == 10 and starts[-1] == 100
+
+
+def test_margins_are_sums_over_pairs():
+    rng = np.random.default_rng(9)
+    m = toxicity.FactorizationMachine(np.arange(50), 0.3, rng.normal(size=50), rng.normal(size=(50, toxicity.RANK)))
+    for size in (0, 1, 2, 17):
+        at = rng.choice(50, size, replace=False)
+        want = 0.3 + sum(m.weights[i] for i in at) + sum(m.factors[i] @ m.factors[j] for i, j in itertools.combinations(at, 2))
+        assert m.margin(at) == pytest.approx(want)
+
+
+def test_pairs_are_learned():
+    """Toxic only if exactly one of two words occurs: neither tells the classes apart alone."""
+    rng = np.random.default_rng(0)
+    vocab = [f"word{i}" for i in range(60)]
+    docs, y = [], []
+    for a, b in rng.integers(0, 2, (1200, 2)):
+        docs.append(" ".join([*rng.choice(vocab, 12), *["alpha"] * a, *["omega"] * b]))
+        y.append(int(a != b))
+    rows, y = [toxicity.terms_of(t) for t in docs], np.array(y)
+    starts, terms = sparse(rows[:900])
+    model = toxicity.fitted(starts, terms, y[:900])
+    assert model.place[toxicity.slot("w alpha")] >= 0 and model.place[toxicity.slot("w omega")] >= 0
+    scores = np.array([model.score(r) for r in rows[900:]])
+    assert np.mean((scores >= 0.5) == y[900:]) > 0.95
+    assert model.texts(docs[900:], {}) == pytest.approx(scores.tolist())
+    additive = toxicity.FactorizationMachine(model.place, model.bias, model.weights, np.zeros_like(model.factors))
+    assert np.mean([(additive.score(r) >= 0.5) == c for r, c in zip(rows[900:], y[900:])]) < 0.8
+
+
+def test_toxic_terms():
+    """Words, their first letters, and beginnings that two words share."""
+    s = toxicity.slot
+    want = {s("w abcdef"), s("4 abcd"), s("5 abcde"), s("w abcdxyz"), s("5 abcdx"), toxicity.shared(s("4 abcd")), s("w ab")}
+    assert set(toxicity.terms_of("Abcdef, abcdxyz (ABCDEF) ab")) == want
 
 
 def test_languages(spark, sf_dir, odd, none):
@@ -402,7 +514,7 @@ def test_lines_odd(spark, same):
     )
     same(got, sql_of("op9_line_dedup", documents=docs))
     kept = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()}
-    assert kept[0] == run and kept[1] == "intro\n\nthird\nend" and kept[3] is None and kept[8] == "x\ny" and kept[9] == "a b c d e\nf g h i j"
+    assert kept[0] == run and kept[1] == "intro\n\nend" and kept[3] is None and kept[8] == "x\ny" and kept[9] == "a b c d e\nf g h i j"
     assert linededup.dedup_lines(docs).columns == docs.columns
 
 
@@ -414,10 +526,10 @@ def test_lines_tables(odd, none, spark):
 
 
 def test_lines_closing(spark):
-    """With ``closing``, all lines of the longest runs that an earlier place holds, by brute force."""
+    """All lines of the longest runs that an earlier place holds, by brute force."""
     head, end = " ".join(["word"] * 12), "a short end"
     docs = spark.createDataFrame([(0, f"{head}\n{end}"), (1, f"x\n{head}\n{end}\ny")], "doc_id long, text string")
-    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs, closing=True).collect()} == {0: f"{head}\n{end}", 1: "x\ny"}
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).collect()} == {0: f"{head}\n{end}", 1: "x\ny"}
     rng = np.random.default_rng(5)
     made = [[" ".join([f"v{x}"] * (1 + x % 4)) for x in rng.integers(0, 5, n)] for n in (12, 40, 30, 25, 7)]
     made += [made[1][5:30] + ["once"] + made[2], made[3][:-1], made[4]]
@@ -427,8 +539,8 @@ def test_lines_closing(spark):
         if sum(len(x.split()) for x, _ in same) >= 10:
             want[e] |= set(range(q, q + len(same)))
     table = spark.createDataFrame([(i, "\n".join(text)) for i, text in enumerate(made)], "doc_id long, text string")
-    got = {r["__doc"]: set(r["__deleted"] or []) for r in linededup.deleted_lines(table, closing=True).collect()}
-    assert got == want and got != {r["__doc"]: set(r["__deleted"] or []) for r in linededup.deleted_lines(table).collect()}
+    got = {r["__doc"]: set(r["__deleted"] or []) for r in linededup.deleted_lines(table).collect()}
+    assert got == want and got != {r["__doc"]: set(r["__deleted"] or []) for r in linededup.deleted_lines(table, closing=False).collect()}
 
 
 def test_suffix_array(spark):
@@ -471,7 +583,7 @@ def test_quotas_by_dealing_anew():
     rng = np.random.default_rng(6)
     for _ in range(50):
         sizes = {i: int(x) for i, x in enumerate(rng.integers(1, 1000, 9))}
-        weights = {i: mixing.weight(i) for i in sizes}
+        weights = {i: mixing.WEIGHTS[i % 3] for i in sizes}
         goal = 1.5 * sum(sizes.values())
         left, open_, want = goal, set(sizes), dict.fromkeys(sizes, 0.0)
         while left > 1e-9:
@@ -492,3 +604,46 @@ def test_flow_prefers_first_passes():
     # the shared pattern fills the gap of the small source before anything repeats
     assert mixing.route([10, 10, 10], [[0], [1], [0, 1]], [15, 15], 2) == [10, 10, 10]
     assert sum(mixing.route([10, 10], [[0], [0, 1]], [5, 30], 2)) == 25
+
+
+def test_flow_is_least_cost():
+    """Against all integer flows of small cases: most words, then fewest repeated ones."""
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        supply = rng.integers(0, 4, 3).tolist()
+        member = [sorted(set(rng.integers(0, 3, 2).tolist())) for _ in supply]
+        demand = rng.integers(0, 6, 3).tolist()
+        best = None
+        for flow in itertools.product(*[range(2 * s + 1) for s in supply]):
+            # a flow fits if no set of patterns sends more than their sources ask
+            if all(sum(flow[i] for i in some) <= sum(demand[s] for s in {s for i in some for s in member[i]}) for k in (1, 2, 3) for some in itertools.combinations(range(3), k)):
+                worth = sum(flow), -sum(max(0, f - s) for f, s in zip(flow, supply))
+                best = max(best or worth, worth)
+        got = mixing.route(supply, member, demand, 2)
+        assert (sum(got), -sum(max(0, f - s) for f, s in zip(got, supply))) == best
+
+
+def test_mixing_as_tables(spark, odd, monkeypatch):
+    """Quotas and flows computed as tables give what the driver does; so do overlapping sources."""
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 23)), f"s{i % 37}" if i % 11 else None) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    some = mixing.sized(docs, F.when(F.col("doc_id") % 5 == 0, F.array("source", F.lit("s1"))).otherwise(F.array("source")))
+    key = lambda df: sorted(map(str, df.collect()))
+    cols = ["doc_id", "__copies", "__total", "__target"]
+    want = key(mixing.digest(docs)), key(mixing.digest(odd)), key(mixing.mix(some).select(*cols))
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 0)
+    assert (key(mixing.digest(docs)), key(mixing.digest(odd)), key(mixing.mix(some).select(*cols))) == want
+    assert mixing.digest(docs.limit(0)).count() == 0
+    monkeypatch.setattr(mixing, "MAX_ROUTED", 3)
+    with pytest.raises(ValueError):
+        mixing.mix(some)
+
+
+def test_names_are_kept(odd, spark, sf_dir):
+    """Columns that operators also use come back with their values."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    items = spark.createDataFrame([(1, ODD[3][1])], "item_id long, text string")
+    for made in (linededup.dedup_lines(odd), decontam.decontaminate(odd, items), quality.keep_good(odd, labels, 0.0), simhash.one_of_each(odd), mixing.mixed(odd, F.array("source"))):
+        assert made.columns == odd.columns and made.schema.simpleString() == odd.schema.simpleString()
+        rows = made.collect()
+        assert rows and all(r[c] == "x" for r in rows for c in EXTRA)

@@ -14,14 +14,16 @@ suffix in (doc_id, text hash, line) order is the original, all others are later
 copies whose lines go. The interval needs no longer prefix than ``min_words`` lines,
 as each holds a word at least, so doubling stops at that depth.
 
-By default, as in the SQL, a run is the shortest that counts from its first line on.
-A longer repeated run then loses all but its closing lines, if those hold under
-``min_words`` words in all. With ``closing``, the shortest runs that count up to
-their last line are compared, too, and repeated runs of any length go whole: what
-a line of a repeated run needs is a part of it that counts and can't be shortened
-without losing the line or the count, and such a part is of one kind or the other.
-
-Defined cases: null and blank texts have no lines. Blank lines are no lines: they
+Maximal runs go whole, but are never put together: what a line of a repeated run needs
+is a part of the run that counts and can't be shortened without losing the line or the
+count. Such a part is either the shortest that counts from its first line on or the
+shortest up to its last, so prefixes of these two kinds are compared, and the lines of
+all later copies are the union of the maximal runs. Without ``closing``, only the first
+kind is: a longer repeated run then keeps its closing lines in later copies, if those
+hold under ``min_words`` words in all.
+
+Defined cases: null and blank texts have no lines; very long ones are cut up whole,
+into rows of one line each. Blank lines are no lines: they
 separate nothing, are never deleted and have no number. Rows with equal ``doc_id``
 and text count as one document, so repeated rows delete nothing from each other.
 Null ids sort first. Other columns are kept as they are; an empty table gives an
@@ -33,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from treeq.llm.common import WORD, Scratch, before, documents, ordered
+from treeq.llm.common import WORD, Scratch, before, documents, fresh, ordered
 
 MIN_WORDS = 10
 #: Suffixes whose neighbours are compared in one window.
@@ -62,8 +64,9 @@ def ranked(distinct: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
 def suffix_array(lines: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
     """Rows ``__doc, __th, seq, h, g, w, rank`` of all suffixes, by ``depth`` lines or more.
 
-    ``lines`` is the output of ``with_lines``. Suffixes with equal ranks share as
-    many lines.
+    ``lines`` is the output of ``with_lines``. Doubling stops at the first power of two
+    from ``depth`` on: suffixes with equal ranks share as many lines, or end together.
+    For the order of whole suffixes, ``depth`` is the length of the longest document.
     """
     rows = lines.select(*DOC, F.posexplode("__lines")).select(*DOC, F.col("pos").alias("seq"), "col.h", "col.g", "col.w")
     repeated = rows.groupBy("h", "g").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -84,7 +87,7 @@ def suffix_array(lines: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
     return now
 
 
-def later_copies(lines: DataFrame, min_words: int, scratch: Scratch, closing: bool = False) -> DataFrame:
+def later_copies(lines: DataFrame, min_words: int, scratch: Scratch, closing: bool = True) -> DataFrame:
     """``__doc, __th, seq, run`` of every suffix whose first ``run`` lines are a later copy."""
     suffixes = suffix_array(lines, min_words, scratch)
     ahead = Window.partitionBy(*DOC).orderBy("seq").rangeBetween(0, min_words - 1)
@@ -122,10 +125,12 @@ def later_copies(lines: DataFrame, min_words: int, scratch: Scratch, closing: bo
         .drop("prefix", "rank"),
         "intervals",
     )
-    ends = array.groupBy("stretch").agg(F.max("opens").alias("last"))
-    carried = ends.select(
-        "stretch", F.max("last").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("carried")
-    )
+    # an interval that opened in an earlier stretch: the last one to open there, looked up in two steps
+    ends = array.groupBy("stretch").agg(F.max("opens").alias("last")).withColumn("block", F.floor(F.col("stretch") / STRETCH))
+    prior = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = ends.groupBy("block").agg(F.max("last").alias("end")).withColumn("far", F.max("end").over(prior(Window.orderBy("block"))))
+    near = F.max("last").over(prior(Window.partitionBy("block").orderBy("stretch")))
+    carried = ends.withColumn("near", near).join(blocks.drop("end"), "block").select("stretch", F.coalesce("near", "far").alias("carried"))
     array = array.join(carried, "stretch").withColumn("interval", F.coalesce("start", "carried"))
     position = F.struct("__doc", "__th", "seq")
     intervals = array.select("interval", *DOC, "seq", "run")
@@ -134,7 +139,7 @@ def later_copies(lines: DataFrame, min_words: int, scratch: Scratch, closing: bo
     return intervals.join(firsts, "interval").filter(~position.eqNullSafe(F.col("first"))).select(*DOC, "seq", "run")
 
 
-def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, closing: bool = False) -> DataFrame:
+def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, closing: bool = True) -> DataFrame:
     """``__doc, __th, __n, __deleted`` of each distinct document: its number of lines,
     and the sorted numbers, from 0, of those that a later copy covers."""
     scratch = Scratch(docs.sparkSession, "lines")
@@ -148,9 +153,11 @@ def deleted_lines(docs: DataFrame, min_words: int = MIN_WORDS, closing: bool = F
     return each.join(gone, F.col("__doc").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left").drop("__d", "__t")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, closing: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, closing: bool = True) -> DataFrame:
     """``docs`` with the lines of later copies taken out of ``text``; other columns stay."""
+    doc, th, deleted = fresh(docs, "doc", "th", "deleted")
     gone = deleted_lines(docs, min_words, closing).filter("__deleted IS NOT NULL").dropDuplicates(DOC)
+    gone = gone.select(F.col("__doc").alias(doc), F.col("__th").alias(th), F.col("__deleted").alias(deleted))
     text = F.coalesce(F.col("text"), F.lit(""))
     numbered = F.aggregate(
         F.split(text, "\n", -1),
@@ -158,13 +165,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, closing: bool = Fal
         lambda s, x: F.when(~F.rlike(x, F.lit(WORD)), F.struct(s["n"].alias("n"), F.array_append(s["kept"], x).alias("kept"))).otherwise(
             F.struct(
                 (s["n"] + 1).alias("n"),
-                F.when(F.array_contains("__deleted", s["n"]), s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"),
+                F.when(F.array_contains(deleted, s["n"]), s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"),
             )
         ),
         lambda s: F.array_join(s["kept"], "\n"),
     )
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64(text) == F.col("__th")), "left")
-    return joined.withColumn("text", F.when(F.col("__deleted").isNull(), F.col("text")).otherwise(numbered)).select(*docs.columns)
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(th)), "left")
+    return joined.withColumn("text", F.when(F.col(deleted).isNull(), F.col("text")).otherwise(numbered)).drop(doc, th, deleted)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,8 +190,9 @@ WITH l AS (
 c AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
 k AS (SELECT doc_id, seq, list(line) OVER ahead AS lines, list(w) OVER ahead AS ws FROM c
       WINDOW ahead AS (PARTITION BY doc_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)),
-m AS (SELECT *, list_position(list_transform(range(1, len(ws) + 1), lambda n: list_sum(ws[1:n]) >= 10), true) AS run FROM k),
-p AS (SELECT doc_id, seq, run, lines[1:run] AS prefix FROM m WHERE run > 0),
+m AS (SELECT *, unnest(range(1, len(ws) + 1)) AS run FROM k),
+p AS (SELECT doc_id, seq, run, lines[1:run] AS prefix FROM m
+      WHERE list_sum(ws[1:run]) >= 10 AND (list_sum(ws[1:run]) - ws[run] < 10 OR list_sum(ws[1:run]) - ws[1] < 10)),
 f AS (SELECT *, first_value(doc_id) OVER o AS fd, first_value(seq) OVER o AS fs FROM p WINDOW o AS (PARTITION BY prefix ORDER BY doc_id, seq)),
 g AS (SELECT DISTINCT doc_id, unnest(range(seq, seq + run)) AS seq FROM f WHERE NOT (doc_id = fd AND seq = fs)),
 a AS (SELECT doc_id, count(*) AS n, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS gone FROM g GROUP BY doc_id)

@@ -2,22 +2,25 @@
 
 Indicators of n-grams are scaled by the log-ratio of their smoothed class counts,
 then a linear hinge-loss model is fitted by dual coordinate descent (Wang and
-Manning, ACL 2012; Hsieh et al., ICML 2008). Tokens are the shapes of words, such as
-``Aa.`` or ``A!!``, with ``=`` for a word that repeats the one before, so the model
-carries over to words it never saw. N-grams of one to three tokens are hashed.
+Manning, ACL 2012; Hsieh et al., ICML 2008). N-grams are of one or two lower-cased
+words, and of one to three shapes of words, such as ``Aa.`` or ``A!!``, with a mark of
+its own for a word that repeats the one before; shapes carry over to words that the
+model never saw. N-grams are hashed.
 
 Fitting uses ``MAX_LABELLED`` labelled documents at most; scoring uses whole texts.
 
 Defined cases: null and blank texts have no n-grams and get the score of the bias
-alone. Labels other than 0 and 1 and labels of unknown documents are ignored; with
-only one class, or none, every score is that class's share, 0.5 without any. Repeated
-rows each get their score; other columns are ignored, and kept by the filter. An
-empty table gives an empty result.
+alone; very long texts are scored whole. Labels other than 0 and 1 and labels of
+unknown documents are ignored; with only one class, or none, every score is that
+class's share, 0.5 without any. Repeated rows each get their score; other columns,
+whatever their names, are ignored, and kept by the filter. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,15 +28,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeq.llm.common import documents, fold, tidy
-from treeq.llm.sample import DIMS, MAX_LABELLED, MEMO, labelled, platt, slot
+from treeq.llm.common import documents, fold, fresh, tidy
+from treeq.llm.sample import DIMS, MAX_LABELLED, MEMO, labelled, platt
 
 HELD_OUT = 1
 FOLDS = 3
-SHAPE_LENGTH = 8
+MARKS = ".,!?;:*#&%$\"'()"
 _RUNS = re.compile(r"(?P<upper>[A-ZÀ-ÖØ-Þ]+)|(?P<digit>\d+)|(?P<letter>[^\W\d_]+)|(?P<mark>(.)\5?)\5*", re.S)
-_MEMO: dict[str, str] = {}
-_SLOTS: dict[tuple[str, ...], int] = {}
+_MEMO: dict[str, tuple[int, int]] = {}
+#: What stands for the shape of a word that repeats the one before.
+SAME = 1
 
 
 def shape(word: str) -> str:
@@ -41,36 +45,39 @@ def shape(word: str) -> str:
     parts = []
     for m in _RUNS.finditer(word):
         parts.append({"upper": "A", "digit": "9", "letter": "a"}.get(m.lastgroup or "", "") or m["mark"] or m[0][:2])
-    return "".join(parts)[:SHAPE_LENGTH]
+    return "".join(parts)
 
 
-def terms_of(text: str | None) -> list[int]:
+def codes(word: str) -> tuple[int, int]:
+    """Numbers of a word's shape and of the word in lower case, without marks at its ends."""
+    plain = word.strip(MARKS).lower() or word
+    return zlib.crc32(shape(word).encode("utf-8", "surrogatepass")) + 2, zlib.crc32(plain.encode("utf-8", "surrogatepass")) + 2
+
+
+def grams(tag: int, *at: np.ndarray) -> np.ndarray:
+    """The slots of n-grams, from the numbers of their parts (finishing steps of SplitMix64)."""
+    x = np.full(len(at[0]), tag, dtype=np.uint64)
+    for part in at:
+        x = (x ^ part) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(44)).astype(np.int32) & np.int32(DIMS - 1)
+
+
+def terms_of(text: str | None) -> np.ndarray:
     """Hashed distinct n-grams of a whole text, sorted."""
+    words = (text or "").split()
+    if not words:
+        return np.zeros(0, dtype=np.int32)
     if len(_MEMO) > MEMO:
         _MEMO.clear()
-    if len(_SLOTS) > MEMO:
-        _SLOTS.clear()
-    words = (text or "").split()
-    shapes, last = [], None
-    for w in words:
-        if w == last:
-            shapes.append("=")
-            continue
-        last = w
-        s = _MEMO.get(w)
-        if s is None:
-            s = _MEMO[w] = shape(w)
-        shapes.append(s)
-    grams = set(zip(shapes))
-    grams.update(zip(shapes, shapes[1:]))
-    grams.update(zip(shapes, shapes[1:], shapes[2:]))
-    out = set()
-    for g in grams:
-        h = _SLOTS.get(g)
-        if h is None:
-            h = _SLOTS[g] = slot("\x00".join(g))
-        out.add(h)
-    return sorted(out)
+    for w in set(words):
+        if w not in _MEMO:
+            _MEMO[w] = codes(w)
+    both = np.array([_MEMO[w] for w in words], dtype=np.uint64)
+    s, w = both[:, 0].copy(), both[:, 1]
+    s[1:][(s[1:] == s[:-1]) & (w[1:] == w[:-1])] = SAME
+    found = [grams(1, s), grams(2, s[:-1], s[1:]), grams(3, s[:-2], s[1:-1], s[2:]), grams(4, w), grams(5, w[:-1], w[1:])]
+    return np.unique(np.concatenate(found))
 
 
 class NaiveBayesSvm:
@@ -79,24 +86,41 @@ class NaiveBayesSvm:
     def __init__(self, weights: np.ndarray, bias: float, a: float, b: float):
         self.weights, self.bias, self.a, self.b = weights, bias, a, b
 
-    def margins(self, rows: Iterable[list[int]]) -> np.ndarray:
-        return np.array([self.weights[r].sum() + self.bias for r in rows])
+    def margins(self, rows: Iterable[np.ndarray]) -> np.ndarray:
+        return np.array([self.weights[np.asarray(r, dtype=np.int64)].sum(dtype=np.float64) + self.bias for r in rows])
 
-    def scores(self, rows: Iterable[list[int]]) -> np.ndarray:
+    def scores(self, rows: Iterable[np.ndarray]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.a * self.margins(rows) + self.b, -30, 30)))
 
 
-def descend(starts: np.ndarray, terms: np.ndarray, sign: np.ndarray, ratio: np.ndarray, c: float, epochs: int) -> tuple[np.ndarray, float]:
-    """Dual coordinate descent for the L1-loss SVM over scaled indicators."""
+def log_ratios(row: np.ndarray, terms: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By slot, the log-ratio of its share of all indicators in class 1 and in class 0,
+    counted from 1; 0 for slots that no row has."""
+    counts = [1.0 + np.bincount(terms[y[row] == k], minlength=DIMS) for k in (0, 1)]
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    seen = np.zeros(DIMS, dtype=bool)
+    seen[terms] = True
+    ratio[~seen] = 0.0
+    return ratio
+
+
+def descend(
+    starts: np.ndarray, terms: np.ndarray, sign: np.ndarray, ratio: np.ndarray, c: float, epochs: int, least: float = 1e-3
+) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, bias and duals of the L1-loss SVM over scaled indicators, by dual coordinate descent.
+
+    Maximizes ``sum(a) - |sum(a * sign * x)|^2 / 2`` for duals ``a`` from 0 to ``c``, the
+    bias being one more indicator.
+    """
     w, bias, n = np.zeros(DIMS), 0.0, len(sign)
     alpha = np.zeros(n)
-    values = [ratio[terms[starts[i] : starts[i + 1]]] for i in range(n)]
-    norms = np.array([v @ v + 1.0 for v in values])
+    values = ratio[terms]
+    norms = np.add.reduceat(np.append(values * values, 0.0), starts[:-1]) * (np.diff(starts) > 0) + 1.0
     order = np.random.default_rng(7)
     for _ in range(epochs):
         worst = 0.0
         for i in order.permutation(n):
-            at, v = terms[starts[i] : starts[i + 1]], values[i]
+            at, v = terms[starts[i] : starts[i + 1]], values[starts[i] : starts[i + 1]]
             gradient = sign[i] * (w[at] @ v + bias) - 1.0
             new = min(max(alpha[i] - gradient / norms[i], 0.0), c)
             if (move := (new - alpha[i]) * sign[i]) != 0.0:
@@ -104,33 +128,38 @@ def descend(starts: np.ndarray, terms: np.ndarray, sign: np.ndarray, ratio: np.n
                 bias += move
                 worst = max(worst, abs(move) * norms[i])
                 alpha[i] = new
-        if worst < 1e-3:
+        if worst < least:
             break
-    return w, bias
+    return w, bias, alpha
+
+
+def part(starts: np.ndarray, terms: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some rows of a sparse layout, in a layout of their own."""
+    sizes = np.diff(starts)[rows]
+    ends = np.cumsum(sizes)
+    at = np.repeat(starts[rows] - (ends - sizes), sizes) + np.arange(sizes.sum())
+    return np.concatenate([[0], ends]), terms[at]
 
 
 def fit(docs: DataFrame, labels: DataFrame, c: float = 0.1, epochs: int = 12, most: int = MAX_LABELLED) -> NaiveBayesSvm:
     """Learns only from rows whose id's fold isn't held out."""
     trainable = fold(F.col("doc_id"), FOLDS) != HELD_OUT
-    starts, terms, y = labelled(docs, labels, "quality", trainable, terms_of, most)
+    return fitted(*labelled(docs, labels, "quality", trainable, terms_of, most), c, epochs)
+
+
+def fitted(starts: np.ndarray, terms: np.ndarray, y: np.ndarray, c: float = 0.1, epochs: int = 12) -> NaiveBayesSvm:
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
-        return NaiveBayesSvm(np.zeros(DIMS), 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    row = np.repeat(np.arange(len(y)), np.diff(starts))
-    counts = [1.0 + np.bincount(terms[y[row] == k], minlength=DIMS) for k in (0, 1)]
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    seen = np.zeros(DIMS, dtype=bool)
-    seen[terms] = True
-    ratio[~seen] = 0.0
+        return NaiveBayesSvm(np.zeros(DIMS, dtype=np.float32), 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+    ratio = log_ratios(np.repeat(np.arange(len(y)), np.diff(starts)), terms, y)
     # every fifth row is left to fit the curve
     fits = np.flatnonzero(np.arange(len(y)) % 5 != 4)
     held = np.flatnonzero(np.arange(len(y)) % 5 == 4)
     if len(set(y[held].tolist())) < 2:
         fits = held = np.arange(len(y))
-    pick = np.concatenate([terms[starts[i] : starts[i + 1]] for i in fits])
-    at = np.concatenate([[0], np.cumsum(np.diff(starts)[fits])])
-    w, bias = descend(at, pick, np.where(y[fits] == 1, 1.0, -1.0), ratio, c, epochs)
-    model = NaiveBayesSvm(w * ratio, bias, 1.0, 0.0)
+    at, pick = part(starts, terms, fits)
+    w, bias, _ = descend(at, pick, np.where(y[fits] == 1, 1.0, -1.0), ratio, c, epochs)
+    model = NaiveBayesSvm((w * ratio).astype(np.float32), bias, 1.0, 0.0)
     model.a, model.b = platt(model.margins([terms[starts[i] : starts[i + 1]] for i in held]), y[held])
     return model
 
@@ -144,15 +173,15 @@ def score(docs: DataFrame, model: NaiveBayesSvm):
         for batch in texts:
             yield pd.Series(shared.value.scores(terms_of(t) for t in batch))
         _MEMO.clear()  # the worker may go on with other work
-        _SLOTS.clear()
         tidy()
 
-    return of("text")
+    return of(docs["text"].cast("string"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts."""
-    return docs.withColumn("__score", score(docs, fit(docs, labels))).filter(F.col("__score") >= least).drop("__score")
+    (name,) = fresh(docs, "score")
+    return docs.withColumn(name, score(docs, fit(docs, labels))).filter(F.col(name) >= least).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

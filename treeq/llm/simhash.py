@@ -9,7 +9,7 @@ by both segments as they are and the other is probed with every one-bit variant.
 The longer chains and the full distance are checked on what the join proposes.
 
 Defined cases: a null or blank text has fingerprint zero, which links like any
-other. Rows keep their own result: repeated rows give repeated rows. A null
+other; a very long text counts all its shingles, some at a time. Rows keep their own result: repeated rows give repeated rows. A null
 ``doc_id`` never becomes a component id unless its component has no other. Other
 columns are ignored, whatever their names. An empty table gives an empty result.
 """
@@ -21,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeq.llm import overlap
-from treeq.llm.common import Scratch, components, documents, tidy
+from treeq.llm.common import Scratch, bounded, components, documents, fresh, tidy
 
 BUDGET = 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             yield pd.Series(np.array([fingerprint(t, width) for t in batch], dtype=np.uint64).view(np.int64))
             tidy()
 
-    return docs.select("doc_id", fp("text").alias("fp"), key_of(docs).alias("key"))
+    return docs.select("doc_id", fp(docs["text"].cast("string")).alias("fp"), key_of(docs).alias("key"))
 
 
 def key_of(docs: DataFrame) -> Column:
@@ -141,6 +141,8 @@ def near_duplicates(docs: DataFrame, width: int = 4) -> DataFrame:
     labelled = scratch.save(labelled, "labelled")
     least = scratch.save(labelled.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     named = scratch.save(labelled.join(least, "root").select("fp_key", "component_id", "root"), "named")
+    for done in (distinct, pairs, labelled, least):
+        scratch.drop(done)
     return rows.join(named, F.col("fp") == F.col("fp_key")).select("doc_id", "fp", "key", "component_id", "root")
 
 
@@ -152,21 +154,24 @@ def one_of_each(docs: DataFrame, alike: bool = False) -> DataFrame:
     """One row of ``docs`` for each component: that of its least id and then text hash.
 
     With ``alike``, texts of which ``overlap.LEAST`` of the five-word shingles are common
-    are linked, too, however far their fingerprints are apart.
+    are linked, too, however far their fingerprints are apart. Of equal rows any one
+    stays; only such rows are grouped, all others are read where they lie.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    named = near_duplicates(docs)
+    named = scratch.save(near_duplicates(docs).select("doc_id", "key", "root"), "named")
     if alike:
-        named = scratch.save(named.select("doc_id", "key", "root"), "named")
         texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), key_of(docs).alias("key"))
         grouped = texts.join(named.select("key", F.col("root").alias("group")).distinct(), "key")
         wider = components(overlap.groups_linked(grouped, scratch), scratch).withColumnRenamed("root", "whole")
         named = named.join(wider, F.col("root") == F.col("node"), "left").withColumn("root", F.coalesce("whole", "root"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
-    kept = scratch.save(named.groupBy("root").agg(first["key"].alias("__key")).select("__key"), "kept")
-    rows = docs.withColumn("__key", key_of(docs)).join(kept, "__key", "left_semi")
-    place = F.row_number().over(Window.partitionBy("__key").orderBy(F.lit(0)))  # of equal rows, any
-    return rows.withColumn("__place", place).filter("__place = 1").select(*docs.columns)
+    (key,) = fresh(docs, "key")
+    each = named.groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", "n"))
+    kept = scratch.save(each.groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias(key), "first.n"), "kept")
+    rows = docs.withColumn(key, key_of(docs))
+    once = rows.join(bounded(kept.filter("n = 1").select(key)), key, "left_semi")
+    several = rows.join(bounded(kept.filter("n > 1").select(key)), key, "left_semi").dropDuplicates([key])
+    return once.unionByName(several).drop(key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

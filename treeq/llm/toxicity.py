@@ -1,18 +1,21 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are lower-cased words and their first four and five letters. Each document is
-the set of its hashed terms; the model adds a weight for each term and the inner
+Terms are lower-cased words, their first four and five letters, and those beginnings
+that two words or more of the document share. Each document is the set of its hashed
+terms; the model adds a weight for each term and the inner
 product of the factors of every two of them (Rendle, ICDM 2010), so an insult beside
-a group's name can weigh more than both alone. Terms are first screened: those whose
-presence tells the classes apart (likelihood ratio) on the fitting sample are kept,
-all others weigh nothing, so long clean documents gather no noise.
+a group's name can weigh more than both alone. Terms are first screened on the fitting
+sample, so long clean documents gather no noise: a term is kept if its presence tells
+the classes apart (likelihood ratio), or if its presence together with another does so
+much better than either alone. All others weigh nothing.
 
 Fitting uses ``MAX_LABELLED`` labelled documents at most; scoring uses whole texts.
 
-Defined cases: null and blank texts have no terms and get the bias's score. Labels
-other than 0 and 1 and labels of unknown documents are ignored; with only one class
-every score is that class's share, 0 without any. Repeated rows each get their
-score; other columns are ignored; an empty table gives an empty result.
+Defined cases: null and blank texts have no terms and get the bias's score; very long
+texts are scored whole. Labels other than 0 and 1 and labels of unknown documents are
+ignored; with only one class every score is that class's share, 0 without any. Repeated
+rows each get their score; other columns, whatever their names, are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,32 +35,47 @@ HELD_OUT = 2
 FOLDS = 4
 LEAST = 0.3
 RANK = 8
-KEPT = 4096
-#: Likelihood ratio from which on a term is kept.
-TELLING = 20.0
+#: Terms that the model holds at most, and the likelihood ratio from which on one is kept.
+KEPT, TELLING = 4096, 20.0
+#: Pairs are sought among so many frequent terms, which so many documents have at least;
+#: a pair's likelihood ratio must exceed those of its terms by so much.
+FREQUENT, OFTEN, GAIN = 1024, 8, 40.0
 _WORD = re.compile(r"[^\W_]+")
-_MEMO: dict[str, tuple[int, ...]] = {}
+#: A word's slot and those of its beginnings.
+Word = tuple[int, tuple[int, ...]]
+_MEMO: dict[str, tuple[Word, ...]] = {}
 
 
-def _slots(piece: str) -> tuple[int, ...]:
-    out = []
-    for w in _WORD.findall(piece.lower()):
-        out.append(slot(f"w {w}"))
-        out.extend(slot(f"{n} {w[:n]}") for n in (4, 5) if len(w) > n)
-    return tuple(out)
+def _slots(piece: str) -> tuple[Word, ...]:
+    return tuple((slot(f"w {w}"), tuple(slot(f"{n} {w[:n]}") for n in (4, 5) if len(w) > n)) for w in _WORD.findall(piece.lower()))
+
+
+def shared(beginning: int) -> int:
+    """The slot of a beginning that several words share."""
+    return (beginning * 0x9E3779B1 + 0x7F4A7C15) & (DIMS - 1)
+
+
+def gathered(words: set[Word]) -> set[int]:
+    """The terms of a document from its distinct words."""
+    once: set[int] = set()
+    again: set[int] = set()
+    for _, beginnings in words:
+        for b in beginnings:
+            (again if b in once else once).add(b)
+    return once.union((w for w, _ in words), map(shared, again))
 
 
 def terms_of(text: str | None) -> list[int]:
     """Hashed distinct terms of a whole text, sorted."""
     if len(_MEMO) > MEMO:
         _MEMO.clear()
-    out: set[int] = set()
+    words: set[Word] = set()
     for piece in set((text or "").split()):
         found = _MEMO.get(piece)
         if found is None:
             found = _MEMO[piece] = _slots(piece)
-        out.update(found)
-    return sorted(out)
+        words.update(found)
+    return sorted(gathered(words))
 
 
 class FactorizationMachine:
@@ -71,19 +89,40 @@ class FactorizationMachine:
         both = v.sum(axis=0)
         return float(self.bias + self.weights[at].sum() + 0.5 * (both @ both - (v * v).sum()))
 
-    def score(self, terms: list[int]) -> float:
-        at = self.place[terms] if len(terms) else np.zeros(0, dtype=np.int64)
-        return float(1 / (1 + np.exp(-np.clip(self.margin(at[at >= 0]), -30, 30))))
-
-    def kept(self) -> dict[int, int]:
-        return {int(h): int(p) for h, p in enumerate(self.place) if p >= 0}
-
-
-def screen(row: np.ndarray, terms: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Hashes of at most ``KEPT`` terms by likelihood ratio of presence against class."""
-    pos, neg = float((y == 1).sum()), float((y == 0).sum())
-    a = np.bincount(terms[y[row] == 1], minlength=DIMS).astype(float)
-    b = np.bincount(terms[y[row] == 0], minlength=DIMS).astype(float)
+    def score(self, terms) -> float:
+        at = self.place[np.asarray(terms, dtype=np.int64)]
+        return self.of(at[at >= 0])
+
+    def of(self, at) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.margin(at), -30, 30))))
+
+    def matters(self, piece: str) -> tuple[Word, ...]:
+        """The words of a piece of text, as far as the model holds a term of theirs."""
+        place, out = self.place, []
+        for w, beginnings in _slots(piece):
+            if place[w] >= 0 or any(place[b] >= 0 or place[shared(b)] >= 0 for b in beginnings):
+                out.append((w, beginnings))
+        return tuple(out)
+
+    def texts(self, texts: pd.Series, memo: dict[str, tuple[Word, ...]]) -> list[float]:
+        """Scores of whole texts; ``memo`` keeps what matters of a piece."""
+        out = []
+        for text in texts:
+            words: set[Word] = set()
+            for piece in set((text or "").split()):
+                own = memo.get(piece)
+                if own is None:
+                    own = memo[piece] = self.matters(piece)
+                if own:
+                    words.update(own)
+            out.append(self.score(sorted(gathered(words))))
+            if len(memo) > MEMO:
+                memo.clear()
+        return out
+
+
+def likelihood_ratio(a: np.ndarray, b: np.ndarray, pos: float, neg: float) -> np.ndarray:
+    """Of presence against class: ``a`` of ``pos`` and ``b`` of ``neg`` documents have it."""
     both = (a + b) / (pos + neg)
 
     def part(k, n):
@@ -91,15 +130,42 @@ def screen(row: np.ndarray, terms: np.ndarray, y: np.ndarray) -> np.ndarray:
             n - k > 0, (n - k) * np.log(np.maximum(n - k, 1e-12) / np.maximum(n * (1 - both), 1e-12)), 0
         )
 
-    ratio = 2 * (part(a, pos) + part(b, neg))
-    best = np.lexsort((np.arange(DIMS), -ratio))[:KEPT]
-    return best[ratio[best] >= TELLING]
+    return 2 * (part(a, pos) + part(b, neg))
+
+
+def screen(row: np.ndarray, terms: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Hashes of at most ``KEPT`` terms, those that tell the classes apart most, alone or in pairs."""
+    pos, neg = float((y == 1).sum()), float((y == 0).sum())
+    a = np.bincount(terms[y[row] == 1], minlength=DIMS).astype(float)
+    b = np.bincount(terms[y[row] == 0], minlength=DIMS).astype(float)
+    own = likelihood_ratio(a, b, pos, neg)
+    telling = np.where(own >= TELLING, own, 0.0)
+
+    often = np.lexsort((np.arange(DIMS), -(a + b)))[:FREQUENT]
+    often = often[(a + b)[often] >= OFTEN]
+    where = np.full(DIMS, -1)
+    where[often] = np.arange(len(often))
+    at = where[terms]
+    has = np.zeros((len(y), len(often)), dtype=np.float32)
+    has[row[at >= 0], at[at >= 0]] = 1
+    together = [has[y == k].T @ has[y == k] for k in (1, 0)]
+    pairs = likelihood_ratio(together[0].astype(float), together[1].astype(float), pos, neg)
+    gain = pairs - np.maximum(own[often][:, None], own[often][None, :])
+    np.fill_diagonal(gain, 0.0)
+    if len(often):
+        best = gain.max(axis=1)
+        telling[often] = np.maximum(telling[often], np.where(best >= GAIN, pairs[np.arange(len(often)), gain.argmax(axis=1)], 0.0))
+    order = np.lexsort((np.arange(DIMS), -telling))[:KEPT]
+    return order[telling[order] > 0]
 
 
 def fit(docs: DataFrame, labels: DataFrame, epochs: int = 10, rate: float = 0.1, decay: float = 1e-4, most: int = MAX_LABELLED) -> FactorizationMachine:
     """Learns only from rows whose id's fold isn't held out; AdaGrad on the logistic loss."""
     trainable = fold(F.col("doc_id"), FOLDS) != HELD_OUT
-    starts, terms, y = labelled(docs, labels, "toxic", trainable, terms_of, most)
+    return fitted(*labelled(docs, labels, "toxic", trainable, terms_of, most), epochs, rate, decay)
+
+
+def fitted(starts: np.ndarray, terms: np.ndarray, y: np.ndarray, epochs: int = 10, rate: float = 0.1, decay: float = 1e-4) -> FactorizationMachine:
     place = np.full(DIMS, -1, dtype=np.int32)
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
@@ -136,15 +202,17 @@ def fit(docs: DataFrame, labels: DataFrame, epochs: int = 10, rate: float = 0.1,
 
 def score(docs: DataFrame, model: FactorizationMachine):
     """A column over ``docs``: the score of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS places, KEPT weights
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # DIMS places, KEPT weights
 
     @F.pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo: dict[str, tuple[Word, ...]] = {}
         for batch in texts:
-            yield pd.Series([shared.value.score(terms_of(t)) for t in batch], dtype="float64")
-            tidy()
+            yield pd.Series(sent.value.texts(batch, memo), dtype="float64")
+        memo.clear()  # the worker may go on with other work
+        tidy()
 
-    return of("text")
+    return of(docs["text"].cast("string"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
