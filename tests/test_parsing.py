@@ -21,7 +21,11 @@ rule inner = E { '(' expr ')' }
 def shape(parser, text):
     tree, wrong = parser.parse(text)
     assert not wrong
-    show = lambda t: f"[{' '.join(map(show, t.children))}]" if t.children else text[t.start : t.end]
+
+    def show(t):
+        parts = [show(c) for c in t.children if c.kind != "Comment"]
+        return f"[{' '.join(parts)}]" if parts else text[t.start : t.end]
+
     return show(tree)
 
 
@@ -87,7 +91,7 @@ def test_positions():
 def test_errors():
     p = Parser(read_spec(builtin_spec("json")))
     tree, wrong = p.parse('{"a": 1')
-    assert wrong[0].code == "unexpected_eof" and tree.kind == "Member"
+    assert wrong[0].code == "unexpected_eof" and tree.kind == "Pair"
     assert p.parse('{"a": }')[1][0].at == 6
     for bad, code in (
         ("node A { } node A { } rule main = A { 'x' }", "MultipleDecl"),
@@ -106,3 +110,18 @@ def test_a_long_list():
     text = "[" + ",".join(map(str, range(3000))) + "]"
     p = Parser(read_spec(builtin_spec("json")))
     assert rows(p.parse(text)[0], text, p)[0]["hi"] == 3001
+
+
+def test_deep_nesting():
+    text = "[" * 10_000 + "]" * 10_000
+    p = Parser(read_spec(builtin_spec("json")))
+    assert rows(p.parse(text)[0], text, p)[-1]["depth"] == 19_999
+
+
+def test_comments_are_children():
+    p = Parser(read_spec(SUMS))
+    text = "(* é *) 1 (* one *) + (2 (* two *) * 3) (* end *)"
+    found = rows(p.parse(text)[0], text, p)
+    notes = [(r["text"], found[r["parent"]]["kind"], r["ord"], r["start_off"], r["end_off"]) for r in found if r["kind"] == "Comment"]
+    assert notes == [("(* é *)", "Bin", 0, 0, 8), ("(* one *)", "Num", 0, 11, 20), ("(* two *)", "Num", 0, 26, 35), ("(* end *)", "E", 1, 41, 50)]
+    assert [r["n"] for r in found if r["kind"] == "Bin"] == [3, 2]

@@ -8,27 +8,32 @@ from treeq.errors import CompileError
 from treeq.functions.text import java_regex
 from treeq.sources import parsed
 
-A = "node A { } node B { first: A, second: A }\n"
 SUITES = {
-    "compare": ("node P { field: List<A> } node A { } term T = `a+`\nrule main = P { field@sepBy1(',', a) }\nrule a = A { T }", "aa,a,aaa"),
-    "lengths": ("node P { values: List<A> } node A { field: List<B> } node B { }\nrule main = P { values@sepBy1(',', a) }\nrule a = A { field@b+ }\nrule b = B { 'b' }", "bb,bbb,bb"),
-    "nulls": (A + "node P { field: List<B> }\nrule main = P { field@sepBy1(',', b) }\nrule b = B { first@a second@a? }\nrule a = A { 'a' }", "a,aa"),
-    "groups": ("node P { groups: List<G> } node G { values: List<A> } node A { } node B { }\nrule main = P { groups@sepBy1(`\\n`, g) }\nrule g = G { values@x+ }\nrule x = A { 'a' } | B { 'b' }", "aa\nab\nbb"),
+    "words": ("node Text { words: List<Word> } node Word { }\nterm LETTERS = `[a-zé]+`\nignore term GAP = ` +`\nrule main = Text { words@some(word) }\nrule word = Word { LETTERS }", "ox élan ox yak"),
+    "table": ("node Table { rows: List<Row> } node Row { cells: List<Cell> } node Cell { }\nterm DIGITS = `[0-9]+`\nrule main = Table { rows@sepBy1(';', row) }\nrule row = Row { cells@sepBy1(' ', cell) }\nrule cell = Cell { DIGITS }", "1 2;30 4 5;6"),
+    "items": ("node Items { each: List<Item> } node Item { name: Name, note: Note } node Name { } node Note { }\nterm ID = `[a-z]+`\nrule main = Items { each@sepBy1('/', item) }\nrule item = Item { name@name note@note? }\nrule name = Name { ID }\nrule note = Note { ':' ID }", "p/q:x/r"),
+    "marks": ("node Sheet { lines: List<Group> } node Group { marks: List<Mark> } node Mark { } node Plus: Mark { } node Minus: Mark { }\nrule main = Sheet { lines@sepBy1(`\\n`, group) }\nrule group = Group { marks@mark+ }\nrule mark = Plus { '+' } | Minus { '-' }", "++\n+-\n--"),
+    "notes": ("node Sum { left: Num, right: Num } node Num { }\nterm DIGITS = `[0-9]+`\nignore term GAP = `\\s+`\ncomment term NOTE = `#[^\\n]*`\nrule main = Sum { left@num '+' right@num }\nrule num = Num { DIGITS }", "# top\n1 # one\n+ # plus\n2"),
 }
 GOLDEN = [
-    ("compare", 'match a@A when a == "a"', ["A 1:4-1:4"]),
-    ("compare", 'match a@A when a != "a"', ["A 1:1-1:2", "A 1:6-1:8"]),
-    ("lengths", "match A a when a.field.length > 2", ["A 1:4-1:6"]),
-    ("lengths", "match Program p when p.values[1].field.length == 3".replace("Program", "P"), ["P 1:1-1:9"]),
-    ("lengths", "match a@A when a[0].length == 3", ["A 1:4-1:6"]),
-    ("lengths", "match a@A when all a.field match B", ["A 1:1-1:2", "A 1:4-1:6", "A 1:8-1:9"]),
-    ("nulls", "match B(second: 'a')", ["B 1:3-1:4"]),
-    ("nulls", "match B b when b.second == null", ["B 1:1-1:1"]),
-    ("nulls", "match B b when b.second?.text?.length == 1", ["B 1:3-1:4"]),
-    ("groups", "match g@G when any g.values match A", ["G 1:1-1:2", "G 2:1-2:2"]),
-    ("groups", "match g@G when all g.values match A", ["G 1:1-1:2"]),
-    ("groups", "match g@G when no g.values match A", ["G 3:1-3:2"]),
-    ("groups", "match g@G when any g.values match { A a when a.next_sibling is B } || g.text == 'bb'", ["G 2:1-2:2", "G 3:1-3:2"]),
+    ("words", 'match w@Word when w == "ox"', ["Word 1:1-1:3", "Word 1:9-1:11"]),
+    ("words", 'match w@Word when w != "ox"', ["Word 1:4-1:8", "Word 1:12-1:14"]),
+    ("words", "match Word w when w.text.length == 5", ["Word 1:4-1:8"]),
+    ("table", "match Row r when r.cells.length > 2", ["Row 1:5-1:10"]),
+    ("table", "match Table t when t.rows[1].cells.length == 3", ["Table 1:1-1:12"]),
+    ("table", "match r@Row when r[0][0] == '30'", ["Row 1:5-1:10"]),
+    ("table", "match Row r when r[0].length == 1", ["Row 1:12-1:12"]),
+    ("table", "match Row r when all r.cells match { Cell c when c.text.length == 1 }", ["Row 1:1-1:3", "Row 1:12-1:12"]),
+    ("items", "match Item(note: ':x')", ["Item 1:3-1:5"]),
+    ("items", "match Item i when i.note == null", ["Item 1:1-1:1", "Item 1:7-1:7"]),
+    ("items", "match Item i when i.note?.text?.length == 2", ["Item 1:3-1:5"]),
+    ("marks", "match Group g when any g.marks match Plus", ["Group 1:1-1:2", "Group 2:1-2:2"]),
+    ("marks", "match Group g when all g.marks match Plus", ["Group 1:1-1:2"]),
+    ("marks", "match Group g when no g.marks match Plus", ["Group 3:1-3:2"]),
+    ("marks", "match g@Group when any g.marks match { Plus p when p.next_sibling is Minus } || g.text == '--'", ["Group 2:1-2:2", "Group 3:1-3:2"]),
+    ("notes", "match Comment", ["Comment 1:1-1:5", "Comment 2:3-2:7", "Comment 3:3-3:8"]),
+    ("notes", "match Comment c when c.parent is Num", ["Comment 2:3-2:7"]),
+    ("notes", "match Sum s when s.children.length == 4 && s.left.children[0] == '# one'", ["Sum 2:1-4:1"]),
 ]
 
 
@@ -50,38 +55,63 @@ def test_golden(spark, suite, query, want):
 @pytest.mark.parametrize(
     ("query", "code"),
     [
-        ("match X", "InvalidKind"), ("match List<A>", "InvalidKind"), ("match A a when b == 1", "UnknownIdentifier"), ("match A a when a.nope == 1", "InvalidPropertyName"),
-        ("match A a when a.nope()", "InvalidPropertyName"), ("match A a when a.text.matches()", "UnexpectedArity"), ("match A a when a.text.to_int(1) == 1", "UnexpectedArity"),
-        ("match A a when a.parents(1).length == 1", "UnexpectedArg"), ("match A a when a.parents(depth = 1, b = 2, c = 3).length == 1", "UnexpectedArity"),
-        ("match A a when a.parents()[0] == null", "IndexError"), ("match A a when a.text < 1", "InvalidKind"), ("match A a when a.text", "InvalidKind"), ("match A a when any a.text match A", "InvalidKind"),
-        ("match A a when any a.children match { B inner } && inner == null", "UnknownIdentifier"),
+        ("match X", "InvalidKind"), ("match List<Name>", "InvalidKind"), ("match Name a when b == 1", "UnknownIdentifier"), ("match Name a when a.nope == 1", "InvalidPropertyName"),
+        ("match Name a when a.nope()", "InvalidPropertyName"), ("match Name a when a.text.matches()", "UnexpectedArity"), ("match Name a when a.text.to_int(1) == 1", "UnexpectedArity"),
+        ("match Name a when a.parents(1).length == 1", "UnexpectedArg"), ("match Name a when a.parents(depth = 1, b = 2, c = 3).length == 1", "UnexpectedArity"),
+        ("match Name a when a.parents()[0] == null", "IndexError"), ("match Name a when a.text < 1", "InvalidKind"), ("match Name a when a.text", "InvalidKind"), ("match Name a when any a.text match Name", "InvalidKind"),
+        ("match Name a when any a.children match { Note inner } && inner == null", "UnknownIdentifier"),
     ],
 )
 def test_compile_errors(spark, query, code):
     with pytest.raises(CompileError) as e:
-        forest(spark, "nulls").query(query)
+        forest(spark, "items").query(query)
     assert e.value.code == code
 
 
 @pytest.mark.parametrize(
     "query",
-    ["match B b when b.second.text == 'a'", "match A a when a.first == null", "match B b when b[1] == 'a'", "match A a when a.text.to_int() == 1", "match A a when a.length == 1", "match B([1]: A)"],
+    ["match Item i when i.note.text == ':x'", "match Name n when n.note == null", "match Item i when i[1] == ':x'", "match Name n when n.text.to_int() == 1", "match Name n when n.length == 1", "match Item([1]: Note)"],
 )
 def test_strict_forests_fail_and_lenient_ones_do_not(spark, query):
-    f = forest(spark, "nulls")
+    f = forest(spark, "items")
     with pytest.raises(Exception, match="InvalidKind|InvalidField|IndexError|NotAnInt"):
         f.query(query).collect()
     f.lenient().query(query).collect()
 
 
 def test_left_sides_guard_right_sides(spark):
-    assert listed(forest(spark, "nulls").query("match B b when b.second != null && b.second.text == 'a'")) == ["B 1:3-1:4"]
-    assert len(listed(forest(spark, "nulls").query("match B b when b.second == null || b.second.text == 'a'"))) == 2
+    assert listed(forest(spark, "items").query("match Item i when i.note != null && i.note.text == ':x'")) == ["Item 1:3-1:5"]
+    assert len(listed(forest(spark, "items").query("match Item i when i.note == null || i.note.text == ':x'"))) == 3
+
+
+@pytest.mark.parametrize(
+    ("query", "texts"),
+    [
+        ("match Num|Str n when n.parent is List && n.text.to_int() > 1", ["2"]),
+        ("match Num|Str n when any n.parents() match Seq && n.text.to_int() > 1", ["2"]),
+        ("match Num|Str n when n.parent is List && n.text.to_int() > 0 && n.previous_sibling != null", ["2"]),
+        ("match Num|Str n when n.parent is Pair || n.text.to_int() == 2", ['"j"', '"k"', '"x"', "2"]),
+        ("match Seq s when any s.items match { _ n when n.text.to_int() == 2 }", ["[1, 2]"]),
+        ("match Pair p when p.value is Seq && any p.value.children match { _ l when any l.children match { _ n when n.text.to_int() == 2 } }", ['"k": [1, 2]']),
+        ("match Pair(value: Seq) p when all p.value.items match { _ n when n.text.to_int() < 3 }", ['"k": [1, 2]']),
+    ],
+)
+def test_what_is_excluded_raises_nothing(spark, query, texts):
+    f = parsed.forest(spark.createDataFrame([(1, '{"k": [1, 2], "j": "x"}')], "tree long, text string"), parsed.builtin_spec("json"))
+    assert sorted(r["text"] for r in f.query(query).collect()) == texts
+
+
+def test_rules_guard_too(spark):
+    from treeq.operators.rules import Rule, RuleSet, check
+
+    f = parsed.forest(spark.createDataFrame([(1, '{"k": [1, 2], "j": "x"}')], "tree long, text string"), parsed.builtin_spec("json"))
+    rules = RuleSet("r", "json", (Rule("far", "far", "bug", "match Num|Str n when any n.parents() match Seq && n.text.to_int() > 1"), Rule("here", "here", "bug", "match Num|Str n when n is Num && n.text.to_int() > 1")))
+    assert [(r["rule_id"], r["kind"]) for r in check(f, [rules]).orderBy("rule_id").collect()] == [("far", "Num"), ("here", "Num")]
 
 
 def test_second_depth_argument_is_the_most(spark):
-    f = forest(spark, "groups")
-    assert f.query("match A a when a.parents(min_depth = 2, foo = 3).length == 2").count() == 3
+    f = forest(spark, "marks")
+    assert f.query("match Plus p when p.parents(min_depth = 2, foo = 3).length == 2").count() == 3
 
 
 def test_regex_dialect(spark):

@@ -14,14 +14,14 @@ from treeq.sources import files, parsed, project
 from treeq.streaming import matches as streams
 
 RULES = """
-id: json_rules
+id: house_style
 language: json
 rules:
-  - {id: long, message: too long, category: style, query: "match String s when s.text.length > 8 && s.parent is {Member m when m.key == '\\"d\\"'}"}
-  - {id: format, message: wrong name, category: smell, query: "match String s when !s.text.matches(`^\\"[a-z]+\\"$`) && s.parent is {Member(key: '\\"name\\"')}"}
-  - {id: both, message: either or, category: error, note: choose one, query: "match Object o when any o.members match {Member(key: '\\"t\\"')} && any o.members match {Member(key: '\\"v\\"')}"}
+  - {id: shouting, message: all capitals, category: style, query: "match Str s when s.text.matches(`^\\\"[A-Z]+\\\"$`)"}
+  - {id: big_number, message: a large value, category: bug, query: "match Num n when n.parent is Pair && n.text.to_int() > 1000"}
+  - {id: mixed_list, message: several kinds, category: error, note: keep one kind, query: "match Seq s when any s.items match Num && any s.items match Str"}
 """
-GOOD, BAD = '{"name": "abc", "d": "short"}', '[{"name": "A b", "d": "much too long"},\n {"t": 1, "v": 2} ]'
+GOOD, BAD = '{"city": "Oslo", "size": 12}', '[{"city": "OSLO", "size": 4096},\n [1, "a"] ]'
 
 
 @pytest.fixture
@@ -41,19 +41,19 @@ def test_check(spark, folder, capsys):
     assert cli.main(["check", "--config", config(folder, "good.json")]) == 0
     assert cli.main(["check", "--config", config(folder, "*.json")]) == 1
     out = capsys.readouterr().out
-    assert [line.split(":")[0] for line in out.splitlines() if "[" in line and "]:" in line] == ["error[both]", "warning[format]", "help[long]"]
-    assert "bad.json:2:2" in out and "= choose one" in out and '2 │  {"t": 1, "v": 2} ]' in out
+    assert [line.split(":")[0] for line in out.splitlines() if "[" in line and "]:" in line] == ["error[mixed_list]", "bug[big_number]", "help[shouting]"]
+    assert "bad.json:2:2" in out and "= keep one kind" in out and '2 │  [1, "a"] ]' in out
     found = Session(spark).check(config(folder, "bad.json"))
-    assert [r["rule_id"] for r in found.collect()] == ["both", "format", "long"] and reports.failed(found) == 1
+    assert [r["rule_id"] for r in found.collect()] == ["mixed_list", "big_number", "shouting"] and reports.failed(found) == 1
     assert json.loads(reports.records(found, found["path"]).toJSON().first())["severity"] == "error"
 
 
 def test_command_line(spark, folder, capsys, monkeypatch):
-    assert cli.main(["query", "-l", "json", "-f", f"{folder}/*.json", "-e", f"{folder}/bad.json", "-q", "match Member"]) == 0
-    assert [line.split("good.json")[1] for line in capsys.readouterr().out.splitlines()] == [":1:2-1:14]", ":1:17-1:28]"]
+    assert cli.main(["query", "-l", "json", "-f", f"{folder}/*.json", "-e", f"{folder}/bad.json", "-q", "match Pair"]) == 0
+    assert [line.split("good.json")[1] for line in capsys.readouterr().out.splitlines()] == [":1:2-1:15]", ":1:18-1:27]"]
     (folder / "x.json").write_text('{"a": ')
     assert cli.main(["parse", "--spec", "json", "--file", f"{folder}/good.json"]) == 0
-    assert ". . . ● key: String { \"name\" }" in capsys.readouterr().out
+    assert ". . . ● name: Str { \"city\" }" in capsys.readouterr().out
     assert cli.main(["parse", "--spec", "json", "--file", f"{folder}/x.json"]) == 1
     assert cli.main(["ruleset", "run", "--rulesets", f"{folder}/rules.yaml", "-f", f"{folder}/bad.json"]) == 1
     assert cli.main(["query", "-l", "json", "-f", f"{folder}/good.json", "-q", "match Nothing"]) == 2
@@ -63,11 +63,11 @@ def test_command_line(spark, folder, capsys, monkeypatch):
 
 def test_prompt(spark, capsys):
     forest = parsed.forest(spark.createDataFrame([(1, GOOD)], "tree long, text string"), parsed.builtin_spec("json"))
-    lines = ["match Member m;", "$0.key.text", "$0.key.text.length", "$0.parent.parent.parent", ":print $1", ":print_ast $1", "$0.next_sibling == $1", "bad bad", ":quit", "never"]
+    lines = ["match Pair p;", "$0.name.text", "$0.name.text.length", "$0.parent.parent.parent", ":print $1", ":print_ast $1", "$0.next_sibling == $1", "bad bad", ":quit", "never"]
     cli.prompt(Session(spark), forest, None, lines)
     out = capsys.readouterr().out.splitlines()
-    assert out[:6] == ["$0: [Member 1:2]", "$1: [Member 1:17]", '"name"', "6", "null", '"d": "short"']
-    assert out[6:] == ["Member {", '. ● key: String { "d" }', '. ● value: String { "short" }', "}", "true", "error: expected the end at 1:5"]
+    assert out[:6] == ["$0: [Pair 1:2]", "$1: [Pair 1:18]", '"city"', "6", "null", '"size": 12']
+    assert out[6:] == ["Pair {", '. ● name: Str { "size" }', '. ● value: Num { 12 }', "}", "true", "error: expected the end at 1:5"]
 
 
 def test_cache_forgets_and_fills_gaps():
@@ -149,27 +149,27 @@ def test_scopes_deep_and_in_cycles(spark):
 def test_aspects(spark):
     aspects = Aspects()
 
-    @aspects("Member", "sg_gen")
+    @aspects("Pair", "sg_gen")
     def declare(node, scope):
-        scope.add_decl(node.key.text, node)
+        scope.add_decl(node.name.text, node)
 
-    @aspects("String", "sg_gen")
+    @aspects("Str", "sg_gen")
     def refer(node, scope):
         scope.add_ref(node.text, node)
 
     with pytest.raises(Exception):
         aspects("String", "other")(refer)
     f = parsed.forest(spark.createDataFrame([(1, '{"a": "b", "b": "c"}')], "tree long, text string"), parsed.builtin_spec("json"))
-    found = resolve(f, aspects).query("match String s when any s.referenced_decls() match { Member m when m.value.text == '\"c\"' }").collect()
+    found = resolve(f, aspects).query("match Str s when any s.referenced_decls() match { Pair m when m.value.text == '\"c\"' }").collect()
     assert [r["text"] for r in found] == ['"b"', '"b"']
-    assert resolve(f, aspects).query("match String s when s.referenced_decls().length == 0").count() == 1
+    assert resolve(f, aspects).query("match Str s when s.referenced_decls().length == 0").count() == 1
     assert regex.compile("b+").match("abbb")[0] == "bbb"
 
 
 def test_trees_written_out(spark):
     f = parsed.forest(spark.createDataFrame([(1, "[1, null]"), (2, "[]")], "tree long, text string"), parsed.builtin_spec("json"))
     out = {r["tree"]: r["rendered"] for r in reports.pretty_trees(f.nodes).collect()}
-    assert out[1] == "Array {\n. ● elems: List {\n. . Number { 1 }\n. . Null { null }\n. }\n}" and out[2] == "Array {\n. ● elems: List { }\n}"
+    assert out[1] == "Seq {\n. ● items: List {\n. . Num { 1 }\n. . Nil { null }\n. }\n}" and out[2] == "Seq {\n. ● items: List { }\n}"
     wrong = parsed.reports(spark.createDataFrame([(1, "[1"), (2, "[]"), (3, None)], "tree long, text string"), parsed.builtin_spec("json")).collect()
     assert [(r["tree"], r["code"], r["col"]) for r in wrong] == [(1, "unexpected_eof", 3)]
 
@@ -180,7 +180,7 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("[1, 22, 3]")
     stream = spark.readStream.text(str(tmp_path / "in"), wholetext=True).select(F.xxhash64("value").alias("tree"), F.col("value").alias("text"))
-    found = streams.matches(stream, parsed.builtin_spec("json"), "match Number n when n.text.length > 1")
+    found = streams.matches(stream, parsed.builtin_spec("json"), "match Num n when n.text.length > 1")
     q = found.writeStream.format("memory").queryName("hits").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     (tmp_path / "in" / "b.txt").write_text("[44]")
@@ -189,9 +189,9 @@ def test_streams(spark, tmp_path):
     q.stop()
     assert sorted(r["text"] for r in spark.table("hits").collect()) == ["22", "44"]
     with pytest.raises(Exception):
-        streams.matches(stream, parsed.builtin_spec("json"), "match Number n when n.next_sibling != null")
+        streams.matches(stream, parsed.builtin_spec("json"), "match Num n when n.next_sibling != null")
     got = []
-    q = streams.by_batches(stream, parsed.builtin_spec("json"), "match Number n when n.next_sibling != null", lambda df, n: got.extend(r["text"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "d")).start()
+    q = streams.by_batches(stream, parsed.builtin_spec("json"), "match Num n when n.next_sibling != null", lambda df, n: got.extend(r["text"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "d")).start()
     q.processAllAvailable()
     q.stop()
     assert sorted(got) == ["1", "22"]

@@ -120,16 +120,20 @@ def properties_query(text: str):
     return lambda spark, sf_dir: found(parsed.properties(spark, sf_dir).query(text))
 
 
-# the trees of {"k": n}: Object, List, Member, String and Number have the ids 4, 3, 2, 0 and 1
+# the trees of {"k": n}: Map, List, Pair, Str and Num have the ids 4, 3, 2, 0 and 1
 EVENT = "SELECT event_id AS tree, {id} AS node_id, '{kind}' AS kind FROM events"
 VALUE = "CAST(json_extract(props, '$.k') AS BIGINT)"
 JSON = {
-    "q33_json_member": ("match Member m when m.key.text == '\"k\"'", EVENT.format(id=2, kind="Member")),
-    "q34_to_int": ("match Number n when n.text.to_int() > 50", f"{EVENT.format(id=1, kind='Number')} WHERE {VALUE} > 50"),
-    "q35_nested_fields": ("match Member(key: '\"k\"', value: Number n when n.text.length == 2)", f"{EVENT.format(id=2, kind='Member')} WHERE {VALUE} BETWEEN 10 AND 99"),
+    "q33_json_member": ("match Pair p when p.name.text == '\"k\"'", EVENT.format(id=2, kind="Pair")),
+    "q34_to_int": ("match Num n when n.text.to_int() > 50", f"{EVENT.format(id=1, kind='Num')} WHERE {VALUE} > 50"),
+    "q35_nested_fields": ("match Pair(name: '\"k\"', value: Num n when n.text.length == 2)", f"{EVENT.format(id=2, kind='Pair')} WHERE {VALUE} BETWEEN 10 AND 99"),
     "q36_list_node": ("match List l when l.length == 1", EVENT.format(id=3, kind="List")),
-    "q51_any_of_list": ("match Object o when any o.members match Member", EVENT.format(id=4, kind="Object")),
-    "q52_index_of_list": ("match Object o when o.members[0].value is { Number n when n.text == '7' }", f"{EVENT.format(id=4, kind='Object')} WHERE {VALUE} = 7"),
+    "q51_any_of_list": ("match Map m when any m.pairs match Pair", EVENT.format(id=4, kind="Map")),
+    "q52_index_of_list": ("match Map m when m.pairs[0].value is { Num n when n.text == '7' }", f"{EVENT.format(id=4, kind='Map')} WHERE {VALUE} = 7"),
+    # strict: the left side keeps strings away from to_int
+    "q53_guarded_by_parent": ("match Num|Str n when n.parent is { Pair p when p.value is Num } && n.previous_sibling is Str && n.text.to_int() > 50", f"{EVENT.format(id=1, kind='Num')} WHERE {VALUE} > 50"),
+    "q54_guarded_by_any": ("match Num|Str n when any n.previous_siblings() match Str && n.text.to_int() < 7", f"{EVENT.format(id=1, kind='Num')} WHERE {VALUE} < 7"),
+    "q55_guarded_by_axis": ("match Pair p when any p.children match { Num n when n.text.to_int() == 7 }", f"{EVENT.format(id=2, kind='Pair')} WHERE {VALUE} = 7"),
 }
 for name, (text, sql) in JSON.items():
     QUERIES[name] = properties_query(text)
@@ -139,7 +143,7 @@ for name, (text, sql) in JSON.items():
 def positions(spark, sf_dir):
     from treeq.sources import parsed
 
-    numbers = parsed.properties(spark, sf_dir).query("match Number")
+    numbers = parsed.properties(spark, sf_dir).query("match Num")
     return numbers.select("tree", *[F.col(c).cast("long") for c in ("start_line", "start_col", "start_off", "end_col", "end_off")])
 
 

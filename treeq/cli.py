@@ -90,10 +90,10 @@ def main(argv: list[str] | None = None) -> int:
             sets = [project.read_ruleset(r) for r in a.rulesets]
             codes = []
             for language in sorted({s.language for s in sets}):
-                forest = parsed.forest(sources, session.language(language))
+                forest = parsed.forest(sources, session.language(language)).written()
                 codes.append(write_reports(rules.check(forest, [s for s in sets if s.language == language]), sources))
             return max(codes)
-        forest = parsed.forest(sources, session.language(a.language)).kept()
+        forest = parsed.forest(sources, session.language(a.language)).written()
         if a.interactive:
             return prompt(session, forest, sources)
         print("\n".join(listed(forest.query(a.query), sources)))

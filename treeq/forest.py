@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from treeq.lineage import Scratch
 from treeq.syntax import Syntax
 
 NODE = {
@@ -62,6 +63,6 @@ class Forest:
         """The same forest, where what would be an error makes a condition false."""
         return replace(self, strict=False)
 
-    def kept(self) -> Forest:
-        """The same forest with its nodes by tree and in memory, for several queries."""
-        return replace(self, nodes=self.nodes.repartition("tree").persist())
+    def written(self) -> Forest:
+        """The same forest with its nodes written in the shared folder, for several queries."""
+        return replace(self, nodes=Scratch(self.nodes.sparkSession, self.name).save(self.nodes, "nodes"))

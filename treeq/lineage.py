@@ -1,15 +1,111 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Cutting lineage in the folder that all executors share, and order over partitions."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share. One of its own is set only on a single machine."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        at = f"{tempfile.gettempdir()}/treeq-shared"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder of the session; a private one only where none is set."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/treeq-shared")
+    """``df`` written to the checkpoint folder of the session."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+class Scratch:
+    """Tables written in the shared folder, so that lost executors lose no work.
+
+    A written table also fixes what depends on the run: sampled range borders
+    and partition numbers. What isn't deleted before goes when the application ends.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark = spark
+        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.made = 0
+
+    def path(self, name: str) -> str:
+        if not self.made:
+            path, fs = self.file_system(self.root)
+            fs.deleteOnExit(path)
+        self.made += 1
+        return f"{self.root}/{name}-{self.made}"
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        at = self.path(name)
+        df.write.option("compression", "zstd").parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete the files of a table that ``save`` made, once nothing reads it."""
+        if files := df.inputFiles():
+            self.delete(files[0].rsplit("/", 1)[0])
+
+    def delete(self, at: str) -> None:
+        path, fs = self.file_system(at)
+        fs.delete(path, True)
+
+    def file_system(self, at: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+
+_KEPT: dict[tuple, dict[str, DataFrame]] = {}
+
+
+def kept(spark: SparkSession, label: str, inputs: list[DataFrame], build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """The tables that ``build`` gives, written once in a session for the same input files."""
+    session = spark.sparkContext.applicationId, spark._jsparkSession.hashCode()
+    scratch = Scratch(spark, label)
+    stamps = []
+    for df in inputs:
+        for file in df.inputFiles():
+            path, fs = scratch.file_system(file)
+            status = fs.getFileStatus(path)
+            stamps.append((file, status.getModificationTime(), status.getLen()))
+    key = *session, label, hash(tuple(stamps))
+    if key not in _KEPT:
+        _KEPT[key] = {name: scratch.save(df, name) for name, df in build().items()}
+    return _KEPT[key]
+
+
+def ordered(df: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """``df`` in global order of ``keys`` with its partition in ``__part``, written."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(k).asc_nulls_first() for k in keys]
+    return scratch.save(
+        df.repartitionByRange(parts, *cols).withColumn("__part", F.spark_partition_id()).sortWithinPartitions(*cols), name
+    )
+
+
+def before(df: DataFrame, sums: dict[str, Column], keys: list[str]) -> DataFrame:
+    """Adds sums over all rows that come before, in ``ordered`` order, by their names.
+
+    Each range partition sums its own rows; what precedes a partition is added from
+    a table with one row for each partition.
+    """
+    prior = Window.unboundedPreceding, -1
+    within = Window.partitionBy("__part").orderBy(*[F.col(k).asc_nulls_first() for k in keys]).rowsBetween(*prior)
+    over = Window.orderBy("__part").rowsBetween(*prior)
+    totals = df.groupBy("__part").agg(*[F.sum(x).alias(f"__{k}") for k, x in sums.items()])
+    offsets = totals.select("__part", *[F.coalesce(F.sum(f"__{k}").over(over), F.lit(0)).alias(f"__{k}") for k in sums])
+    summed = df.withColumns({k: F.coalesce(F.sum(x).over(within), F.lit(0)) for k, x in sums.items()})
+    joined = summed.join(F.broadcast(offsets), "__part")  # one row for each range partition
+    return joined.withColumns({k: F.col(k) + F.col(f"__{k}") for k in sums}).drop("__part", *[f"__{k}" for k in sums])

@@ -8,9 +8,10 @@ or ``!``. What a pattern doesn't refer to is never part of its join: a pattern t
 names nothing from outside is filtered before it meets the outer nodes.
 
 Types are known while compiling, so comparisons and checks are chosen here. A strict
-forest raises where the language says that evaluation fails; conditions guard their
-right sides, so what a left side excludes raises nothing. Otherwise such a condition
-is false.
+forest raises where the language says that evaluation fails; otherwise such a condition
+is false. What a left side, a pattern's kinds and fields or an axis exclude raises
+nothing: a condition that can raise holds these in one expression with itself, in a form
+that the optimizer neither splits nor moves below the joins that it needs.
 """
 
 from __future__ import annotations
@@ -77,6 +78,11 @@ class Plan:
     keys: list[str]  # prefixes that tell the rows of ``df`` apart
     joined: dict[tuple, str] = field(default_factory=dict)
     made: list[int] = field(default_factory=lambda: [0])
+    #: How many conditions that can raise were compiled, in this plan and those inside it.
+    raises: list[int] = field(default_factory=lambda: [0])
+    #: What must hold before a condition of a filter or of a flag is looked at.
+    guard: Column | None = None
+    only: Column | None = None
 
     # joins
 
@@ -119,6 +125,7 @@ class Plan:
     def guarded(self, ref: Ref | None, col: Column) -> Column:
         """The column, or an error if the node's checks fail where the forest is strict."""
         for ok, message in reversed(ref.checks) if ref and self.forest.strict else ():
+            self.raises[0] += 1
             col = F.when(ok, col).otherwise(F.raise_error(F.lit(message)))
         return col
 
@@ -127,12 +134,30 @@ class Plan:
 
     def keep(self, condition: Column) -> None:
         """Filters the rows by a condition whose joins are in the plan by now."""
-        self.df = self.df.filter(condition)
+        self.df = self.df.filter(condition if self.guard is None else both(self.guard, condition, True))
+
+    def raising(self, compile) -> bool:
+        """Whether what ``compile`` does to a copy of this plan can raise."""
+        if not self.forest.strict:
+            return False
+        before = self.raises[0]
+        compile(replace(self, names=dict(self.names), joined=dict(self.joined)))
+        found = self.raises[0] > before
+        self.raises[0] = before
+        return found
+
+    def guarding(self, condition: Column) -> None:
+        """Keeps the rows for which the condition holds, and looks at nothing else before."""
+        self.keep(condition)
+        self.guard = condition if self.guard is None else both(self.guard, condition, True)
 
     def where(self, x) -> None:
         """Keeps the rows for which the expression holds."""
         if isinstance(x, L.Binary) and x.op == "&&":
-            self.where(x.left)
+            if self.raising(lambda plan: plan.where(x.right)):
+                self.guarding(self.bool(x.left))
+            else:
+                self.where(x.left)
             self.where(x.right)
         elif isinstance(x, L.Quantified):
             self.quantified(x, True)
@@ -151,10 +176,17 @@ class Plan:
         if kinds is not None:
             self.keep(ref["kind"].isin(*kinds))
         ref = replace(ref, kinds=kinds)
-        if any(o.fields for o in pattern.node.options):
-            self.keep(self.fits(ref, replace(pattern, when=None)))
+        outer = dict(self.names)
         if pattern.node.name:
             self.names[pattern.node.name] = ref
+        if any(o.fields for o in pattern.node.options):
+            named, self.names = self.names, outer
+            fields = self.fits(ref, L.QueryPattern(replace(pattern.node, name=None), None))
+            self.names = named
+            if pattern.when is not None and self.raising(lambda plan: plan.where(pattern.when)):
+                self.guarding(fields)
+            else:
+                self.keep(fields)
         if pattern.when is not None:
             self.where(pattern.when)
 
@@ -169,7 +201,7 @@ class Plan:
         for o in pattern.node.options:
             ok = ref.present if o.kind is None else F.coalesce(ref["kind"].isin(*self.forest.syntax.closure(o.kind)), F.lit(False))
             for f in o.fields:
-                ok = both(ok, self.field_fits(ref, f))
+                ok = self.then(ok, lambda: self.field_fits(ref, f))
             options.append(ok)
         found = reduce(lambda a, b: a | b, options)
         if pattern.when is not None or pattern.node.name:
@@ -177,10 +209,24 @@ class Plan:
             if pattern.node.name:
                 self.names[pattern.node.name] = replace(ref, nullable=False, checks=(), kinds=self.kinds_of(pattern.node))
             if pattern.when is not None:
-                found = both(found, self.bool(pattern.when))
+                found = self.then(found, lambda: self.bool(pattern.when))
             self.names = outer
         return found
 
+    def then(self, first: Column, compile) -> Column:
+        """Both ``first`` and what ``compile`` gives, which is looked at only where ``first`` holds."""
+        before = self.raises[0]
+        second = self.where_only(first, compile)
+        return both(first, second, self.raises[0] > before)
+
+    def where_only(self, holds: Column, compile) -> Column:
+        """What ``compile`` gives, where flags need only be right for rows that ``holds``."""
+        only = self.only
+        self.only = holds if only is None else both(only, holds, True)
+        found = compile()
+        self.only = only
+        return found
+
     def field_fits(self, ref: Ref, f: L.FieldPattern) -> Column:
         if isinstance(f.at, int):
             child = self.child(ref, F.lit(f.at), f.at)
@@ -237,25 +283,26 @@ class Plan:
             condition = None
         else:
             condition = self.related(n, x, nodes)
-        if outer or condition is None:
+        alone = Plan(self.forest, self.named(at), inside, [at], {}, self.made, self.raises)
+        # what can raise is looked at for nodes on the axis only
+        if outer or condition is None or alone.raising(lambda plan: plan.select(x, q)):
             keys = [(f"{k}_{c}", f"{at}k{i}{c}") for i, k in enumerate(self.keys) for c in ("tree", "pre")]
-            right = self.named(at)
+            start = self.df if self.only is None else self.df.filter(self.only)
             if condition is None:
                 refs = self.refs().select(*[F.col(c).alias(f"{at}r_{c}") for c in ("tree", "ref", "decl")])
                 leads = (F.col(f"{at}r_tree") == n["tree"]) & (F.col(f"{at}r_ref") == n["pre"])
-                start = self.df.join(refs, leads)
+                start = start.join(refs, leads)
                 condition = (x["tree"] == F.col(f"{at}r_tree")) & (x["pre"] == F.col(f"{at}r_decl"))
-            else:
-                start = self.df
-            inner = Plan(self.forest, start.join(right, condition), inside, [*self.keys, at], dict(self.joined), self.made)
+            inner = Plan(self.forest, start.join(self.named(at), condition), inside, [*self.keys, at], dict(self.joined), self.made, self.raises)
+            if inner.raising(lambda plan: plan.select(x, q)):
+                inner.guard = condition
             inner.select(x, q)
             found = inner.df.select(*[F.col(a).alias(b) for a, b in keys])
             meets = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in keys])
             flag_keys = [b for _, b in keys]
         else:
-            inner = Plan(self.forest, self.named(at), inside, [at], {}, self.made)
-            inner.select(x, q)
-            found, meets = inner.df.select(*[f"{at}_{c}" for c in NODE]), condition
+            alone.select(x, q)
+            found, meets = alone.df.select(*[f"{at}_{c}" for c in NODE]), condition
             flag_keys = [f"{at}_tree", f"{at}_parent"] if nodes.axis == "children" else None
         if filters:
             self.df = self.df.join(found, meets, "left_semi" if q.kind == "any" else "left_anti")
@@ -267,9 +314,10 @@ class Plan:
             found = rows.select(*[F.col(a).alias(b) for a, b in keys])
             meets = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in keys])
             flag_keys = [b for _, b in keys]
-        flags = found.select(*flag_keys).distinct().withColumn(f"{at}_any", F.lit(True))
+        # a count, as the optimizer would see through a literal and drop what the flag guards
+        flags = found.groupBy(*flag_keys).agg(F.count("*").alias(f"{at}_any"))
         self.df = self.df.join(flags, meets, "left")
-        flag = F.coalesce(F.col(f"{at}_any"), F.lit(False))
+        flag = F.coalesce(F.col(f"{at}_any"), F.lit(0)) > 0
         return self.guarded(n, flag if q.kind == "any" else ~flag)
 
     def select(self, x: Ref, q: L.Quantified) -> None:
@@ -335,8 +383,10 @@ class Plan:
 
     def _binary(self, x: L.Binary) -> Value:
         if x.op in ("&&", "||"):
-            a, b = self.bool(x.left), self.bool(x.right)
-            return Value("bool", both(a, b) if x.op == "&&" else F.when(a, F.lit(True)).otherwise(b))
+            a = self.bool(x.left)
+            if x.op == "&&":
+                return Value("bool", self.then(a, lambda: self.bool(x.right)))
+            return Value("bool", F.when(a, F.lit(True)).otherwise(self.where_only(~F.coalesce(a, F.lit(False)), lambda: self.bool(x.right))))
         a, b = self.value(x.left), self.value(x.right)
         if x.op in ("==", "!="):
             same = self.equal(a, b)
@@ -347,6 +397,7 @@ class Plan:
         return Value("bool", F.coalesce(less, self.never(F.lit(False), f"InvalidKind: {x.op} can't compare null")))
 
     def never(self, lenient: Column, message: str) -> Column:
+        self.raises[0] += self.forest.strict
         return F.raise_error(F.lit(message)).cast("boolean") if self.forest.strict else lenient
 
     def scalar(self, v: Value) -> Column:
@@ -421,6 +472,7 @@ class Plan:
         v = self.value(x.of)
         if v.kind == "string":
             fail = self.forest.strict and v.nullable and not x.safe
+            self.raises[0] += fail
             bad = F.raise_error(F.lit("InvalidKind: null has no length")).cast("long") if fail else F.lit(None).cast("long")
             return Value("int", F.when(v.col.isNull(), bad).otherwise(fn.byte_length(v.col)), nullable=v.nullable)
         if v.kind == "list":
@@ -454,6 +506,7 @@ class Plan:
             at = self.fresh()
             found = self.refs().groupBy(F.col("tree").alias(f"{at}_tree"), F.col("ref").alias(f"{at}_pre")).agg(F.count("decl").alias(f"{at}_count"))
             self.df = self.df.join(found, (F.col(f"{at}_tree") == n["tree"]) & (F.col(f"{at}_pre") == n["pre"]), "left")
+            self.raises[0] += self.forest.strict
             fail = F.raise_error(F.lit("InvalidKind: null has no length")).cast("long") if self.forest.strict else F.lit(None).cast("long")
             return F.coalesce(F.col(f"{at}_count"), fail)
         at = self.fresh()
@@ -484,6 +537,7 @@ class Plan:
                 return v
             if v.kind != "string":
                 raise CompileError(f"a {v.kind} is no number", "InvalidKind")
+            self.raises[0] += self.forest.strict
             return Value("int", fn.to_int(v.col, self.forest.strict), nullable=True)
         n = self.node(x.of, x.name, x.safe)
         if x.name == "referenced_decls":
@@ -499,9 +553,13 @@ def only_at(at: str, name: Column) -> Column:
     return F.col(f"{at}_field") == name
 
 
-def both(a: Column, b: Column) -> Column:
-    """``a`` and ``b``, where ``b`` is looked at only if ``a`` holds."""
-    return F.when(a, b).otherwise(F.lit(False))
+def both(a: Column, b: Column, whole: bool = False) -> Column:
+    """``a`` and ``b``, where ``b`` is looked at only if ``a`` holds.
+
+    As a condition of a filter, the optimizer makes this an ``AND`` and moves its sides
+    apart, unless it must stay ``whole``.
+    """
+    return F.coalesce(F.when(a, b), F.lit(False)) if whole else F.when(a, b).otherwise(F.lit(False))
 
 
 def bounds(args) -> tuple[int, int]:

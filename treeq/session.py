@@ -48,7 +48,7 @@ class Session:
             spec = str(folder / p.language) if (folder / p.language).exists() else p.language
             sources = files.sources(self.spark, list(p.include), list(p.exclude), root)
             sets = [project.read_ruleset(project.local_path(r, folder)) for r in p.rulesets]
-            own = rules.check(parsed.forest(sources, self.language(spec)), sets)
+            own = rules.check(parsed.forest(sources, self.language(spec)).written(), sets)
             own = own.join(sources.select("tree", "path"), "tree")
             found = own if found is None else found.unionByName(own)
         return reports.ordered(found)

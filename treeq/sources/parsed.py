@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from dataclasses import replace
 from pathlib import Path
 
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeq.forest import NODE, Forest
+from treeq.lineage import kept
 from treeq.spec.meta import read_spec
 from treeq.spec.parse import Parser, rows
 
@@ -73,6 +76,12 @@ def reports(sources: DataFrame, spec: str, start: str = "main") -> DataFrame:
 
 
 def properties(spark: SparkSession, sf_dir: str) -> Forest:
-    """The JSON trees of ``events.props``."""
+    """The JSON trees of ``events.props``, parsed once in a session."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return forest(events.select(F.col("event_id").alias("tree"), F.col("props").alias("text")), builtin_spec("json"), name="properties")
+    return once(events.select(F.col("event_id").alias("tree"), F.col("props").alias("text")), builtin_spec("json"), "properties")
+
+
+def once(sources: DataFrame, spec: str, name: str) -> Forest:
+    """``forest`` with its nodes written, so that a query reads them as often as it likes."""
+    lazy = forest(sources, spec, name=name)
+    return replace(lazy, nodes=kept(sources.sparkSession, f"{name}-{zlib.crc32(spec.encode())}", [sources], lambda: {"nodes": lazy.nodes})["nodes"])

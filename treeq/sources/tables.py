@@ -2,7 +2,8 @@
 
 Each level of a tree is a branch of a union whose kind and field are literals, so a
 query that names kinds or fields reads only their branches: Catalyst folds the
-others away.
+others away. Where levels are numbered by windows or joins, that is done once in a
+session and written, so a query that names a level several times only reads it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeq.forest import Forest, nodes
+from treeq.lineage import Scratch, before, kept, ordered
 from treeq.syntax import Syntax
 
 
@@ -47,18 +49,9 @@ ORDERS = Syntax.of(Customer=(), Order=(), Lineitem=("returnflag", "linestatus"),
 
 def orders(spark: SparkSession, sf_dir: str) -> Forest:
     """``Customer > Order > Lineitem(returnflag, linestatus)``, a tree for each customer."""
-    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    line_order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    sizes = li.groupBy("l_orderkey").agg(F.count("*").alias("lines"))
-    placed = o.select("o_custkey", "o_orderkey").join(sizes, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    placed = placed.select("o_custkey", "o_orderkey", F.coalesce("lines", F.lit(0)).alias("lines"))
-    by_customer = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    before = F.sum(1 + 3 * F.col("lines")).over(by_customer.rowsBetween(Window.unboundedPreceding, -1))
-    placed = placed.withColumns({"at": 1 + F.coalesce(before, F.lit(0)), "place": F.row_number().over(by_customer) - 1})
-    roots = placed.groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum(1 + 3 * F.col("lines")).alias("below"))
-    customers = table(spark, sf_dir, "customer").select("c_custkey").join(roots, F.col("c_custkey") == F.col("o_custkey"), "left")
-    lines = li.withColumn("line", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*line_order)) - 1)
-    lines = lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+    o, li, c = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
+    made = kept(spark, "orders", [o, li, c], lambda: numbered(o, li, c))
+    customers, placed, lines = made["customers"], made["placed"], made["lines"]
     at = F.col("at") + 1 + 3 * F.col("line")
     leaf = lambda i, kind: nodes(lines, F.col("o_custkey"), at + i, at + i, 3, at, i - 1, 0, kind, F.col("l_" + kind.lower()), kind.lower())
     parts = [
@@ -71,6 +64,25 @@ def orders(spark: SparkSession, sf_dir: str) -> Forest:
     return Forest(union(parts), ORDERS, "orders")
 
 
+def numbered(o: DataFrame, li: DataFrame, c: DataFrame) -> dict[str, DataFrame]:
+    """The levels of ``orders``, each row with its place in its tree."""
+    line_order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    by_order = Window.partitionBy("l_orderkey")
+    lines = li.select("l_orderkey", "l_returnflag", "l_linestatus", (F.row_number().over(by_order.orderBy(*line_order)) - 1).alias("line"))
+    sizes = lines.groupBy("l_orderkey").agg(F.count("*").alias("lines"))
+    placed = o.select("o_custkey", "o_orderkey").join(sizes, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    placed = placed.select("o_custkey", "o_orderkey", F.coalesce("lines", F.lit(0)).alias("lines"))
+    by_customer = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    earlier = F.sum(1 + 3 * F.col("lines")).over(by_customer.rowsBetween(Window.unboundedPreceding, -1))
+    placed = placed.withColumns({"at": 1 + F.coalesce(earlier, F.lit(0)), "place": F.row_number().over(by_customer) - 1})
+    scratch = Scratch(o.sparkSession, "placed")
+    placed = scratch.save(placed, "placed")
+    roots = placed.groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum(1 + 3 * F.col("lines")).alias("below"))
+    customers = c.select("c_custkey").join(roots, F.col("c_custkey") == F.col("o_custkey"), "left").drop("o_custkey")
+    lines = lines.join(placed.select("o_custkey", "o_orderkey", "at"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return {"customers": customers, "placed": placed, "lines": lines.drop("l_orderkey", "o_orderkey")}
+
+
 GEOGRAPHY = Syntax.of(Region=("name",), Nation=("name",), Name=(), Party=(), Supplier=("Party",), Customer=("Party",))
 
 
@@ -79,19 +91,9 @@ def geography(spark: SparkSession, sf_dir: str) -> Forest:
 
     The levels above parties are a few rows in number, by the schema.
     """
-    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nk"), F.lit("Supplier").alias("kind"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
-    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nk"), F.lit("Customer").alias("kind"), F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
-    parties = s.unionByName(c)
-    counts = parties.groupBy("nk").agg(F.count("*").alias("parties"))
-    placed = n.join(counts, F.col("nk") == F.col("n_nationkey"), "left").withColumn("parties", F.coalesce("parties", F.lit(0)))
-    by_region = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
-    before = F.sum(F.col("parties") + 2).over(by_region.rowsBetween(Window.unboundedPreceding, -1))
-    placed = placed.withColumns({"at": 2 + F.coalesce(before, F.lit(0)), "place": F.row_number().over(by_region)}).drop("nk")
-    roots = placed.groupBy("n_regionkey").agg(F.sum(F.col("parties") + 2).alias("below"), F.count("*").alias("nations"))
-    top = r.join(roots, F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    own = parties.withColumn("party", F.row_number().over(Window.partitionBy("nk").orderBy(F.col("kind").desc(), "key")))
-    own = own.join(placed.select("n_nationkey", "n_regionkey", "at"), F.col("nk") == F.col("n_nationkey"))
+    r, n, s, c = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier", "customer"))
+    made = kept(spark, "geography", [r, n, s, c], lambda: located(r, n, s, c))
+    top, placed, own = made["top"], made["placed"], made["own"]
     at = F.col("at") + 1 + F.col("party")
     parts = [
         nodes(top, F.col("r_regionkey"), 0, 1 + F.coalesce("below", F.lit(0)), 0, None, None, 1 + F.coalesce("nations", F.lit(0)), "Region"),
@@ -104,6 +106,27 @@ def geography(spark: SparkSession, sf_dir: str) -> Forest:
     return Forest(union(parts), GEOGRAPHY, "geography")
 
 
+def located(r: DataFrame, n: DataFrame, s: DataFrame, c: DataFrame) -> dict[str, DataFrame]:
+    """The levels of ``geography``. Parties are numbered over range partitions, so that
+    no task gets a whole nation's."""
+    scratch = Scratch(r.sparkSession, "parties")
+    columns = lambda x, kind, level: [F.col(f"{x}_nationkey").alias("nk"), F.lit(level).alias("level"), F.lit(kind).alias("kind"), F.col(f"{x}_{'supp' if x == 's' else 'cust'}key").alias("key"), F.col(f"{x}_name").alias("name")]
+    parties = s.select(*columns("s", "Supplier", 0)).unionByName(c.select(*columns("c", "Customer", 1)))
+    keys = ["nk", "level", "key"]
+    ranked = scratch.save(before(ordered(parties, keys, scratch, "parties"), {"rank": F.lit(1)}, keys), "ranked")
+    counts = ranked.groupBy("nk").agg(F.count("*").alias("parties"), F.min("rank").alias("first"))
+    placed = n.join(counts, F.col("nk") == F.col("n_nationkey"), "left").withColumn("parties", F.coalesce("parties", F.lit(0)))
+    by_region = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    earlier = F.sum(F.col("parties") + 2).over(by_region.rowsBetween(Window.unboundedPreceding, -1))
+    placed = placed.withColumns({"at": 2 + F.coalesce(earlier, F.lit(0)), "place": F.row_number().over(by_region)}).drop("nk")
+    placed = scratch.save(placed, "placed")
+    roots = placed.groupBy("n_regionkey").agg(F.sum(F.col("parties") + 2).alias("below"), F.count("*").alias("nations"))
+    top = r.join(roots, F.col("r_regionkey") == F.col("n_regionkey"), "left").drop("n_regionkey")
+    own = ranked.join(F.broadcast(placed.select("n_nationkey", "n_regionkey", "at", "first")), F.col("nk") == F.col("n_nationkey"))  # a row for each nation
+    own = own.select("n_regionkey", "at", "kind", "name", (F.col("rank") - F.col("first") + 1).alias("party"))
+    return {"top": top, "placed": placed, "own": own}
+
+
 DOCUMENTS = Syntax.of(Document=(), Line=(), Word=())
 
 

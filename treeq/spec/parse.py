@@ -4,13 +4,20 @@ There is no separate lexer. At each place only the terminals that some rule can
 there compete: the longest wins, and a literal beats a pattern of its length. Ignored
 text and comments are passed over only where nothing fits. Of several trees, levels
 and sides rule some out, and then the first alternative and the longest part win.
+A comment is a child of the innermost node that holds the token before it, or of the
+root if there is none.
+
+Trees are put together by generators that ask for their parts, on a stack of our own,
+so nesting is as deep as memory allows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 from treeq.spec.meta import Alternative, Grammar, Part
 
@@ -68,13 +75,26 @@ class Scanner:
         literal = {n for n in longest if self.grammar.terminals[n].literal is not None}
         return dict.fromkeys(literal or longest, far)
 
-    def passed(self, text: str, at: int) -> int:
-        """The end of ignored text or a comment that starts here."""
+    def passed(self, text: str, at: int) -> tuple[int, bool]:
+        """The end of ignored text or a comment that starts here, and whether it is a comment."""
         for names in (self.grammar.ignored, self.grammar.comments):
             ends = [e for n in names if (e := self.match(n, text, at)) is not None]
             if ends:
-                return max(ends)
-        return at
+                return max(ends), names is self.grammar.comments
+        return at, False
+
+
+def settled(request):
+    """The result of a generator that yields the generators whose results it needs."""
+    stack, value = [request], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as e:
+            stack.pop()
+            value = e.value
+    return value
 
 
 class Parser:
@@ -129,6 +149,7 @@ class Run:
         self.p, self.text = parser, text
         self.edges: dict[int, dict[str, int]] = {}
         self.moved: dict[int, int] = {}
+        self.comments: set[tuple[int, int]] = set()
         self.ends: dict[tuple, set[int]] = {}
         self.reports: list[Report] = []
         self.recognise()
@@ -185,9 +206,11 @@ class Run:
                     for n, e in taken.items():
                         sets.setdefault(e, []).extend((s, i, d + 1, o) for s, i, d, o in wanted[n])
                     break
-                after = self.p.scanner.passed(text, place)
+                after, comment = self.p.scanner.passed(text, place)
                 if after == place:
                     break
+                if comment:
+                    self.comments.add((place, after))
                 self.moved[place] = place = after
         stop = self.settle(far)
         whole = ("rule", self.p.start)
@@ -200,38 +223,63 @@ class Run:
 
     def tree(self) -> Tree | None:
         self.memo: dict = {}
+        found = None
         if self.done is not None:
-            return self.rule(self.p.start, 0, self.done, None, frozenset())
-        # what was read: the widest part that is whole, the last of equal ones
-        spans = [(e - o, o, s[1], e) for (s, o), ends in self.ends.items() if s[0] == "rule" for e in ends]
-        for _, o, name, e in sorted(spans, key=lambda x: (-x[0], -x[1], x[2])):
-            if found := self.rule(name, o, e, None, frozenset()):
-                return found
-        return None
+            found = settled(self.rule(self.p.start, 0, self.done, None, frozenset()))
+        else:
+            # what was read: the widest part that is whole, the last of equal ones
+            spans = [(e - o, o, s[1], e) for (s, o), ends in self.ends.items() if s[0] == "rule" for e in ends]
+            for _, o, name, e in sorted(spans, key=lambda x: (-x[0], -x[1], x[2])):
+                if found := settled(self.rule(name, o, e, None, frozenset())):
+                    break
+        if found:
+            self.comment(found)
+        return found
+
+    def comment(self, root: Tree) -> None:
+        """Adds the comments that lie in or behind the tree's tokens."""
+        skipped = {after: at for at, after in self.moved.items()}
+        for at, after in sorted(self.comments):
+            before = at
+            while before in skipped:
+                before = skipped[before]
+            t = root
+            if root.start < before <= root.end:
+                while True:
+                    i = bisect_right(t.children, before - 1, key=lambda c: c.start) - 1
+                    if i < 0 or not t.children[i].start < before <= t.children[i].end:
+                        break
+                    t = t.children[i]
+            elif before or at > root.start:
+                continue  # behind another part of a text that wasn't read whole
+            place = bisect_right(t.children, at, key=lambda c: c.start)
+            t.children.insert(place, Tree("Comment", None, at, after))
 
     def spot(self, at: int) -> int:
         return self.settle(at)
 
-    def rule(self, name: str, start: int, end: int, label: str | None, barred: frozenset) -> Tree | None:
+    # what follows yields requests to ``settled``
+
+    def rule(self, name: str, start: int, end: int, label: str | None, barred: frozenset):
         key = name, start, end, barred
         if key not in self.memo:
             self.memo[key] = None  # a rule that stands for itself gives no tree
-            self.memo[key] = self._rule(name, start, end, barred)
+            self.memo[key] = yield self._rule(name, start, end, barred)
         found = self.memo[key]
         return found and Tree(found.kind, label, found.start, found.end, found.children)
 
-    def _rule(self, name: str, start: int, end: int, barred: frozenset) -> Tree | None:
+    def _rule(self, name: str, start: int, end: int, barred: frozenset):
         for a in self.p.grammar.rules[name]:
             if a.node is None:
-                if end in self.ends.get((("rule", a.parts[0].what), start), ()) and (t := self.rule(a.parts[0].what, start, end, None, barred)):
+                if end in self.ends.get((("rule", a.parts[0].what), start), ()) and (t := (yield self.rule(a.parts[0].what, start, end, None, barred))):
                     return t
             elif (a.rule, a.place) not in barred:
-                children = self.split(a, 0, start, end)
+                children = yield self.split(a, 0, start, end)
                 if children is not None:
                     return node(a.node, None, self.spot(start), children)
         return None
 
-    def split(self, a: Alternative, i: int, at: int, end: int) -> list | None:
+    def split(self, a: Alternative, i: int, at: int, end: int):
         """Children and tokens of the alternative's parts from ``i`` on."""
         if i == len(a.parts):
             return [] if at == end else None
@@ -243,22 +291,22 @@ class Run:
         for stop in self.stops(p, at):
             if stop > end:
                 continue
-            rest = self.split(a, i + 1, stop, end)
+            rest = yield self.split(a, i + 1, stop, end)
             if rest is None:
                 continue
             if p.kind == "term":
                 own = [(self.spot(at), stop)]
             elif p.kind == "list":
-                t = self.items(p, at, stop)
+                t = yield self.items(p, at, stop)
                 own = [t] if t else None
             else:
-                t = self.rule(p.what, at, stop, p.field, self.barred(a, i))
+                t = yield self.rule(p.what, at, stop, p.field, self.barred(a, i))
                 own = [t] if t else None
             if own is not None:
                 self.memo[key] = own + rest
                 return self.memo[key]
         if p.optional:
-            self.memo[key] = self.split(a, i + 1, at, end)
+            self.memo[key] = yield self.split(a, i + 1, at, end)
         return self.memo[key]
 
     def stops(self, p: Part, at: int) -> list[int]:
@@ -267,7 +315,7 @@ class Run:
             return [] if e is None else [e]
         return sorted(self.ends.get(((p.kind, p.what), at), ()), reverse=True)
 
-    def items(self, p: Part, at: int, end: int) -> Tree | None:
+    def items(self, p: Part, at: int, end: int):
         """The list node over the span; elements one after the other, with a way back."""
         element, separators, empty, trailing = self.p.grammar.lists[p.what]
         if at == end:
@@ -278,7 +326,7 @@ class Run:
         while todo:
             depth, o, _, gap, e = todo.pop()
             del path[depth:]
-            t = self.rule(element, o, e, None, frozenset())
+            t = yield self.rule(element, o, e, None, frozenset())
             if t is None:
                 continue
             path.append((gap, t))
@@ -324,24 +372,30 @@ def node(kind: str, label: str | None, start: int, parts: list) -> Tree:
 def rows(tree: Tree, text: str, parser: Parser) -> list[dict]:
     """The tree's nodes in pre-order, with the columns of a parsed forest."""
     lines = [0] + [i + 1 for i, c in enumerate(text) if c == "\n"]
-    ascii_only = text.isascii()
+    sizes = None if text.isascii() else [0, *accumulate(1 + (c > "\x7f") + (c > "\u07ff") + (c > "\uffff") for c in text)]
+    trails: dict[int, int] = {}
 
     def position(at: int) -> tuple[int, int]:
-        import bisect
-
-        line = bisect.bisect_right(lines, at) - 1
+        line = bisect_right(lines, at) - 1
         return line + 1, at - lines[line] + 1
 
     def offset(at: int) -> int:
-        return at if ascii_only else len(text[:at].encode())
+        return at if sizes is None else sizes[at]
+
+    def trailing(end: int) -> int:
+        """The end of ignored text and comments behind a token."""
+        if end not in trails:
+            at = end
+            while (after := parser.scanner.passed(text, at)[0]) > at:
+                at = after
+            trails[end] = at
+        return trails[end]
 
     out: list[dict] = []
     todo: list[tuple] = [(tree, None, 0, 0, tree.label)]
     while todo:
         t, parent, depth, place, label = todo.pop()
-        trail = t.end
-        while t.end > t.start and (after := parser.scanner.passed(text, trail)) > trail:
-            trail = after
+        trail = trailing(t.end) if t.end > t.start and t.kind != "Comment" else t.end
         a, b = position(t.start), position(max(t.start, trail - 1))
         out.append(
             {
