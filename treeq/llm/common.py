@@ -1,4 +1,4 @@
-"""What the corpus operators share: lineage cuts, global order, components, bounds.
+"""What the corpus operators share: components, bounds, folds; lineage cuts and order from the library.
 
 Every helper keeps bulk data on the executors. What reaches the driver is one
 number or one row per partition, never rows in proportion to the corpus.
@@ -7,13 +7,15 @@ number or one row per partition, never rows in proportion to the corpus.
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treeq.lineage import Scratch, before, ordered
+
+__all__ = ["BROADCAST_ROWS", "WORD", "Scratch", "before", "bounded", "components", "documents", "fold", "fresh", "ordered", "tidy"]
+
 #: A word, wherever a contract counts words: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,47 +28,6 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a private one only where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = f"{tempfile.gettempdir()}/treeq-shared"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-class Scratch:
-    """Tables written in the shared folder, so that lost executors lose no work.
-
-    A written table also fixes what depends on the run: sampled range borders
-    and partition numbers.
-    """
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        self.made = 0
-
-    def path(self, name: str) -> str:
-        self.made += 1
-        return f"{self.root}/{name}-{self.made}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        at = self.path(name)
-        df.write.option("compression", "zstd").parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def drop(self, df: DataFrame) -> None:
-        """Delete the files of a table that ``save`` made, once nothing reads it."""
-        if files := df.inputFiles():
-            self.delete(files[0].rsplit("/", 1)[0])
-
-    def delete(self, at: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that no column of ``df`` has, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -99,31 +60,6 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
 
 
-def ordered(df: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
-    """``df`` in global order of ``keys`` with its partition in ``__part``, written."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = [F.col(k).asc_nulls_first() for k in keys]
-    return scratch.save(
-        df.repartitionByRange(parts, *cols).withColumn("__part", F.spark_partition_id()).sortWithinPartitions(*cols), name
-    )
-
-
-def before(df: DataFrame, sums: dict[str, Column], keys: list[str]) -> DataFrame:
-    """Adds sums over all rows that come before, in ``ordered`` order, by their names.
-
-    Each range partition sums its own rows; what precedes a partition is added from
-    a table with one row for each partition.
-    """
-    prior = Window.unboundedPreceding, -1
-    within = Window.partitionBy("__part").orderBy(*[F.col(k).asc_nulls_first() for k in keys]).rowsBetween(*prior)
-    over = Window.orderBy("__part").rowsBetween(*prior)
-    totals = df.groupBy("__part").agg(*[F.sum(x).alias(f"__{k}") for k, x in sums.items()])
-    offsets = totals.select("__part", *[F.coalesce(F.sum(f"__{k}").over(over), F.lit(0)).alias(f"__{k}") for k in sums])
-    summed = df.withColumns({k: F.coalesce(F.sum(x).over(within), F.lit(0)) for k, x in sums.items()})
-    joined = summed.join(F.broadcast(offsets), "__part")  # one row for each range partition
-    return joined.withColumns({k: F.col(k) + F.col(f"__{k}") for k in sums}).drop("__part", *[f"__{k}" for k in sums])
-
-
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(node, root)``, roots included.
 
