@@ -3,16 +3,18 @@
 Vectors are scaled to length one and turned by a seeded random rotation, which
 spreads every difference evenly over the dimensions. They lie in lists around
 centroids that k-means finds on a bounded sample; every vector is in a list. How many
-lists a query probes follows from the recall measured on that sample. Within each
-list that it probes, candidates lie column block by column block (as in PDX, SIGMOD
-2025). After each block, the distance so far, scaled up to all dimensions, is tested
-against the query's present threshold: a candidate whose distance is larger with high
-confidence is abandoned (ADSampling, SIGMOD 2023). What survives gets its exact cosine
-from the original vectors.
+lists a query probes follows from the recall measured on that sample, early abandoning
+included. Within each list that it probes, candidates lie column block by column block
+(as in PDX, SIGMOD 2025). After each block, the distance so far, scaled up to all
+dimensions, is tested against the query's present threshold: a candidate whose distance
+is larger with high confidence is abandoned (ADSampling, SIGMOD 2023). While many pairs
+of queries and candidates are left, a block is one matrix product; then only the pairs
+left are looked at. What survives gets its exact cosine from the original vectors.
 
 Equal vectors are one candidate with the smallest of their ids, as many as could be
 returned, and one query; so a vector that a third of all rows share is scanned once.
-Lists are cut into blocks of bounded size, and so are the queries that probe them.
+Lists are cut into cells of bounded size. A task holds one cell at a time, and the
+queries that probe it stream by; a cell is only copied for every ``QUERIES`` of them.
 
 Defined cases: vectors that are null, zero, of another length than most, or with a
 null or non-finite component take no part, nor do null ids. Equal scores go by
@@ -23,25 +25,34 @@ gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeq.llm.common import Scratch, documents
 
-#: Vectors that the centroids are fitted on at most.
-SAMPLE = 20_000
-MAX_LISTS = 1024
+#: Vectors that the centroids are fitted on at most, and numbers in them.
+SAMPLE, SAMPLE_NUMBERS = 65_536, 1 << 22
+MAX_LISTS = 4096
 #: Part of the true neighbours that lie in the probed lists, as measured on ``TRIALS``
 #: vectors of the sample, and how many lists a query probes at least.
 RECALL, TRIALS, PROBED_AT_LEAST = 0.98, 500, 8
 BLOCK = 16
 #: Standard errors by which a scaled partial distance must exceed the threshold.
 CONFIDENCE = 2.1
-CELL, QUERIES = 4096, 512
+CELL, QUERIES = 4096, 1 << 16
+#: Queries and candidates that are compared at once, and the part of their pairs from which on each is looked at.
+TOGETHER, PORTION, FEW = 512, 1024, 1 / 8
+#: Rounding of distances between unit vectors.
+SLACK = 1e-12
 
 
+@lru_cache(maxsize=1)
 def rotation(dim: int) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(2).normal(size=(dim, dim)))
     return q * np.sign(np.diag(r))
@@ -73,49 +84,87 @@ def centroids(x: np.ndarray, lists: int, rounds: int = 12) -> np.ndarray:
 
 
 def probes_for(recall: float, tried: np.ndarray, x: np.ndarray, c: np.ndarray, k: int) -> int:
-    """Lists that ``tried`` vectors must probe to meet ``recall`` of their ``k`` nearest in ``x``.
+    """Lists that ``tried`` vectors must probe to find ``recall`` of their ``k`` nearest in ``x``.
 
-    Neighbours among all vectors are nearer than those in a sample, so they need no
-    more. Vectors in clusters need a few lists, evenly spread ones most of them.
+    Neighbours that the scan of their list abandons count as found nowhere. Neighbours
+    among all vectors are nearer than those in a sample, so they need no more lists.
+    Vectors in clusters need a few lists, evenly spread ones most of them.
     """
+    if not len(tried):
+        return 1
     own = np.argmax(x @ c.T, axis=1)
-    found = []
+    nearest, turns = [], []
     for q in np.array_split(tried, max(1, len(tried) // 50)):
-        nearest = np.argsort(-(q @ x.T), axis=1)[:, :k]
-        turn = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1)
-        found.append(np.take_along_axis(turn, own[nearest], axis=1).ravel())
-    turns = np.concatenate(found)
-    return int(np.quantile(turns, recall, method="higher")) + 1 if len(turns) else 1
-
-
-def scan(query: np.ndarray, blocks: list[np.ndarray], k: int, first: int = 256) -> np.ndarray:
-    """Places of candidates that may be among the ``k`` nearest of one list's block.
-
-    ``blocks`` hold the rotated candidates, ``BLOCK`` dimensions each, one row for a
-    dimension. Candidates go in portions; the first sets the threshold.
+        nearest.append(np.argsort(-(q @ x.T), axis=1)[:, :k])
+        turn = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1).astype(float)
+        turns.append(np.take_along_axis(turn, own[nearest[-1]], axis=1))
+    nearest, turns = np.concatenate(nearest), np.concatenate(turns)
+    turned = rotation(x.shape[1])
+    spun, rotated = tried @ turned, x @ turned
+    for i in np.unique(own[nearest]):
+        members, asking = np.flatnonzero(own == i), np.flatnonzero((own[nearest] == i).any(axis=1))
+        rows, cols = scan(spun[asking], blocked(rotated[members]), k + 1)
+        found = set(zip(asking[rows].tolist(), members[cols].tolist()))
+        for q in asking:
+            for j in np.flatnonzero(own[nearest[q]] == i):
+                if (int(q), int(nearest[q, j])) not in found:
+                    turns[q, j] = np.inf
+    least = np.quantile(turns.ravel(), recall, method="higher")
+    return int(least) + 1 if np.isfinite(least) else len(c)
+
+
+def blocked(x: np.ndarray) -> list[np.ndarray]:
+    """Vectors as blocks of ``BLOCK`` dimensions, one row for a dimension."""
+    return [np.ascontiguousarray(x[:, i : i + BLOCK].T) for i in range(0, x.shape[1], BLOCK)]
+
+
+def scan(queries: np.ndarray, blocks: list[np.ndarray], k: int, first: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a query and a candidate that may be among its ``k`` nearest in one cell.
+
+    ``blocks`` hold the rotated candidates. They go in portions; the first sets the
+    thresholds, and each one after it lowers them.
     """
-    n, dim = blocks[0].shape[1], len(query)
-    kept, best = [], np.zeros(0)
+    m, n, dim = len(queries), blocks[0].shape[1], queries.shape[1]
+    own = [queries[:, i : i + BLOCK] for i in range(0, dim, BLOCK)]
+    best = np.full((m, k), np.inf)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     lo = 0
     while lo < n:
-        hi = min(n, lo + (first if lo == 0 else 2048))
-        alive, part, seen = np.arange(lo, hi), np.zeros(hi - lo), 0
-        limit = best[k - 1] if len(best) >= k else np.inf
-        for b in blocks:
-            d = b[:, alive] - query[seen : seen + len(b), None]
-            part = part + np.einsum("ij,ij->j", d, d)
+        hi = min(n, lo + (first if lo == 0 else PORTION))
+        limit, whole, seen = best[:, k - 1] + SLACK, np.zeros((m, hi - lo)), 0
+        pairs = None
+        for q, b in zip(own, blocks):
+            b = b[:, lo:hi]
+            if pairs is None:
+                whole += (b * b).sum(axis=0) + (q * q).sum(axis=1)[:, None] - 2 * (q @ b)
+            else:
+                d = b.T[pairs[1]] - q[pairs[0]]
+                part += np.einsum("ij,ij->i", d, d)
             seen += len(b)
-            if seen < dim and np.isfinite(limit):
-                # the hypothesis that the whole distance is within the limit
-                stays = part * (dim / seen) <= limit * (1 + CONFIDENCE / np.sqrt(seen)) ** 2
-                alive, part = alive[stays], part[stays]
-                if not len(alive):
-                    break
-        near = part <= limit
-        kept.append(alive[near])
-        best = np.sort(np.concatenate([best, part[near]]))[:k]
+            if seen == dim:
+                break
+            # the hypothesis that the whole distance is within the limit
+            bound = limit * (1 + CONFIDENCE / np.sqrt(seen)) ** 2 * (seen / dim)
+            if pairs is None:
+                stays = whole <= bound[:, None]
+                if stays.mean() < FEW:
+                    pairs = np.nonzero(stays)
+                    part = whole[pairs]
+                else:
+                    whole[~stays] = np.inf
+            else:
+                stays = part <= bound[pairs[0]]
+                pairs, part = (pairs[0][stays], pairs[1][stays]), part[stays]
+        if pairs is not None:
+            whole = np.full((m, hi - lo), np.inf)
+            whole[pairs] = part
+        best = np.sort(np.partition(np.concatenate([best, whole], axis=1), k - 1, axis=1)[:, :k], axis=1)
+        rows, cols = np.nonzero(whole <= np.minimum(best[:, k - 1] + SLACK, np.finfo(float).max)[:, None])
+        found.append((rows, cols + lo, whole[rows, cols]))
         lo = hi
-    return np.concatenate(kept)
+    rows, cols, far = (np.concatenate(x) for x in zip(*found))
+    stays = far <= best[rows, k - 1] + SLACK
+    return rows[stays], cols[stays]
 
 
 def valid(vectors: DataFrame) -> DataFrame:
@@ -142,10 +191,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = REC
     asked_vectors = distinct.join(asked.select("h", "g").distinct(), ["h", "g"], "left_semi")
 
     n = distinct.count()
-    fitted = distinct.orderBy("h", "g").limit(SAMPLE).select("v").toPandas()["v"] if n else []  # SAMPLE rows
     schema = "query_id long, rank int, vec_id long, score double"
-    if not len(fitted):
+    if not n:
         return spark.createDataFrame([], schema)
+    dim = distinct.select(F.size("v")).first()[0]
+    fitted = distinct.orderBy("h", "g").limit(max(k, min(SAMPLE, SAMPLE_NUMBERS // dim))).select("v").toPandas()["v"]  # the sample
     sample = unit(np.stack(fitted.to_list()))
     lists = int(min(MAX_LISTS, max(1, round(np.sqrt(n) / 2)), len(sample)))
     trials = min(TRIALS, (len(sample) - lists) // 2)  # not fitted, so that they are like any other query
@@ -153,7 +203,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = REC
     found_centers = centroids(fits, lists)
     probes = min(lists, max(PROBED_AT_LEAST, probes_for(recall, sample[:trials], fits, found_centers, k)))
     center = spark.sparkContext.broadcast(found_centers)
-    dim = sample.shape[1]
 
     def listed(df: DataFrame, count: int) -> DataFrame:
         @F.pandas_udf("array<int>")
@@ -167,34 +216,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = REC
     probing = scratch.save(listed(asked_vectors.drop("ids"), probes), "probes")
     sizes = dict(base.groupBy("list").count().collect())  # MAX_LISTS rows
     loads = dict(probing.groupBy("list").count().collect())
-    cells = F.create_map(*[F.lit(x) for i in range(lists) for x in (i, -(-sizes.get(i, 0) // CELL) or 1)])
-    turns = F.create_map(*[F.lit(x) for i in range(lists) for x in (i, -(-loads.get(i, 0) // QUERIES) or 1)])
-    many, several = F.element_at(cells, F.col("list")), F.element_at(turns, F.col("list"))
+    cells = F.array(*[F.lit(-(-sizes.get(i, 0) // CELL) or 1) for i in range(lists)])
+    turns = F.array(*[F.lit(-(-loads.get(i, 0) // QUERIES) or 1) for i in range(lists)])
+    many, several = F.get(cells, F.col("list")), F.get(turns, F.col("list"))
     spot = lambda count: F.pmod(F.xxhash64("h", "g"), count)
     upto = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), (count - 1).cast("long")))
-    left = base.withColumn("cell", spot(many)).withColumn("turn", upto(several))
-    right = probing.withColumn("turn", spot(several)).withColumn("cell", upto(many))
-    turned = rotation(dim)
-
-    def scanned(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own) and len(queries):
-            x, q = scaled(np.stack(own["v"].to_list())), scaled(np.stack(queries["v"].to_list()))
-            rotated, spun = unit(x) @ turned, unit(q) @ turned
-            blocks = [np.ascontiguousarray(rotated[:, i : i + BLOCK].T) for i in range(0, dim, BLOCK)]
-            norms = np.sqrt((x * x).sum(axis=1))
-            every = own["ids"].to_list()
-            for i in range(len(q)):
-                at = scan(spun[i], blocks, k + 1)
-                score = (x[at] @ q[i]) / (norms[at] * np.sqrt(q[i] @ q[i]))
-                for j in np.lexsort(([every[a][0] for a in at], -score))[: k + 1]:
-                    out.extend((queries["h"].iat[i], queries["g"].iat[i], score[j], v) for v in every[at[j]])
-        return pd.DataFrame(out, columns=["h", "g", "score", "vec_id"]).astype({"h": "int64", "g": "int32", "score": "float64", "vec_id": "int64"})
-
     cell = ["list", "cell", "turn"]
-    found = left.select(*cell, "v", "ids").groupBy(*cell).cogroup(right.select(*cell, "h", "g", "v").groupBy(*cell)).applyInPandas(
-        scanned, "h long, g int, score double, vec_id long"
-    )
+    left = base.withColumn("cell", spot(many)).withColumn("turn", upto(several)).withColumn("asks", F.lit(0))
+    right = probing.withColumn("turn", spot(several)).withColumn("cell", upto(many)).withColumns({"asks": F.lit(1), "ids": F.lit(None).cast("array<bigint>")})
+    columns = [*cell, "asks", "h", "g", "v", "ids"]
+    met = left.select(*columns).unionByName(right.select(*columns)).repartition(*cell).sortWithinPartitions(*cell, "asks")
+    found = met.mapInArrow(scanner(dim, k), "h long, g int, score double, vec_id long")
     best = F.row_number().over(Window.partitionBy("h", "g").orderBy(F.desc("score"), "vec_id"))
     found = scratch.save(found.withColumn("n", best).filter(F.col("n") <= k + 1), "found")
     lists_of = found.groupBy("h", "g").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))  # k + 1 each
@@ -206,5 +238,52 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = REC
     )
 
 
+def scanner(dim: int, k: int):
+    """What turns cells and the queries behind each into scored candidates, by ``k + 1`` a query."""
+
+    def vectors(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turned = rotation(dim)
+        at, own, ready = None, [], None
+        for batch in batches:
+            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for lo, hi in zip(edges, edges[1:]):
+                if lo == hi:
+                    continue
+                if at != (now := tuple(key[lo, :3])):
+                    at, own, ready = now, [], None
+                if key[lo, 3] == 0:
+                    own.append((vectors(batch.column(6).slice(lo, hi - lo)), batch.column(7).slice(lo, hi - lo).to_pylist()))
+                    continue
+                if not own:
+                    continue
+                if ready is None:
+                    x = scaled(np.concatenate([v for v, _ in own]))
+                    every = [ids for _, part in own for ids in part]
+                    ready = x, every, np.array([ids[0] for ids in every]), blocked(unit(x) @ turned), np.sqrt((x * x).sum(axis=1))
+                for i in range(lo, hi, TOGETHER):
+                    yield scored(batch.slice(i, min(hi, i + TOGETHER) - i), *ready)
+
+    def scored(asked: pa.RecordBatch, x, every, least, blocks, norms) -> pa.RecordBatch:
+        q = scaled(vectors(asked.column(6)))
+        rows, cols = scan(unit(q) @ rotation(dim), blocks, k + 1)
+        score = np.einsum("ij,ij->i", x[cols], q[rows]) / (norms[cols] * np.sqrt((q * q).sum(axis=1))[rows])
+        order = np.lexsort((least[cols], -score, rows))
+        rows, cols, score = rows[order], cols[order], score[order]
+        first = np.searchsorted(rows, rows)  # rows are sorted: places count from the first of a query
+        near = np.arange(len(rows)) - first <= k
+        rows, cols, score = rows[near], cols[near], score[near]
+        ids = [every[c] for c in cols]
+        n = [len(x) for x in ids]
+        keys = [np.repeat(asked.column(c).to_numpy()[rows], n) for c in (4, 5)]
+        flat = [i for x in ids for i in x]
+        return pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(np.repeat(score, n)), pa.array(flat, pa.int64())], ["h", "g", "score", "vec_id"])
+
+    return run
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
