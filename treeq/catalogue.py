@@ -230,3 +230,266 @@ QUERIES["q42_severities"] = severities
 ORACLE_SQL["q42_severities"] = (
     f"SELECT CASE category WHEN 'style' THEN 'help' WHEN 'bug' THEN 'bug' WHEN 'error' THEN 'error' ELSE 'warning' END AS severity, count(*) AS reports FROM ({HITS}) GROUP BY 1"
 )
+
+
+# what is made of found nodes and reports
+
+PROPS = "SELECT event_id AS tree, strpos(props, ' ') + 1 AS first, length(props) - 1 AS last, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"
+
+
+def lines(spark, sf_dir):
+    from treeq.operators.reports import listing
+    from treeq.sources import parsed
+
+    numbers = parsed.properties(spark, sf_dir).query("match Num")
+    return listing(numbers, F.format_string("events/%d.json", "tree")).select("tree", "line")
+
+
+QUERIES["q56_listing"] = lines
+ORACLE_SQL["q56_listing"] = f"SELECT tree, format('[Num events/{{}}.json:1:{{}}-1:{{}}]', tree, first, last) AS line FROM ({PROPS})"
+
+
+def written_trees(spark, sf_dir):
+    from treeq.operators.reports import pretty_trees
+    from treeq.sources import parsed
+
+    return pretty_trees(parsed.properties(spark, sf_dir).nodes)
+
+
+QUERIES["q57_pretty_trees"] = written_trees
+ORACLE_SQL["q57_pretty_trees"] = (
+    "SELECT tree, concat_ws(chr(10), 'Map {', '. ● pairs: List {', '. . Pair {', '. . . ● name: Str { \"k\" }', format('. . . ● value: Num {{ {} }}', k), '. . }', '. }', '}') AS rendered "
+    f"FROM ({PROPS})"
+)
+
+
+def large_values():
+    from treeq.operators.rules import Rule, RuleSet
+
+    return RuleSet("values", "json", (Rule("large", "a large value", "bug", "match Num n when n.parent is Pair && n.text.to_int() > 90", "below 91"), Rule("zero", "no value", "style", "match Num n when n == '0'")))
+
+
+def value_reports(spark, sf_dir):
+    from treeq.operators.rules import check
+    from treeq.sources import parsed
+
+    return check(parsed.properties(spark, sf_dir), [large_values()])
+
+
+def shown(spark, sf_dir):
+    from treeq.operators.reports import diagnostics
+
+    events = tables.table(spark, sf_dir, "events")
+    sources = events.select(F.col("event_id").alias("tree"), F.format_string("%d.json", "event_id").alias("path"), F.col("props").alias("text"))
+    return diagnostics(value_reports(spark, sf_dir), sources)
+
+
+QUERIES["q58_diagnostics"] = shown
+ORACLE_SQL["q58_diagnostics"] = (
+    "SELECT tree, CAST(1 AS BIGINT) AS node_id, rule AS rule_id, concat_ws(chr(10), level || '[' || rule || ']: ' || message, format('  ┌─ {}.json:1:{}', tree, first), '  │', '1 │ ' || props, "
+    "'  │ ' || repeat(' ', CAST(first - 1 AS BIGINT)) || repeat('^', CAST(last - first + 1 AS BIGINT)), note) AS shown FROM ("
+    "SELECT *, 'large' AS rule, 'bug' AS level, 'a large value' AS message, '  = below 91' AS note FROM p WHERE k > 90 UNION ALL "
+    "SELECT *, 'zero', 'help', 'no value', NULL FROM p WHERE k = 0)"
+)
+ORACLE_SQL["q58_diagnostics"] = f"WITH p AS (SELECT p.*, props FROM ({PROPS}) p JOIN events ON tree = event_id) " + ORACLE_SQL["q58_diagnostics"]
+
+
+def nested_records(spark, sf_dir):
+    from treeq.operators.reports import records
+
+    made = records(value_reports(spark, sf_dir), F.format_string("%d.json", "tree"))
+    return made.select("code", "kind", "severity", "file_path", F.col("start.column").cast("long").alias("first"), F.col("end.column").cast("long").alias("last"), "message", "note")
+
+
+QUERIES["q59_records"] = nested_records
+ORACLE_SQL["q59_records"] = (
+    f"SELECT 'large' AS code, 'BUG' AS kind, 'bug' AS severity, tree || '.json' AS file_path, first, last, 'a large value' AS message, 'below 91' AS note FROM ({PROPS}) WHERE k > 90 UNION ALL "
+    f"SELECT 'zero', 'STYLE', 'help', tree || '.json', first, last, 'no value', NULL FROM ({PROPS}) WHERE k = 0"
+)
+
+
+def worst(spark, sf_dir):
+    from treeq.operators.reports import ordered
+
+    return ordered(rule_reports(spark, sf_dir)).select("rule_id", "tree", "node_id").limit(25)
+
+
+QUERIES["q60_worst_reports"] = worst
+ORACLE_SQL["q60_worst_reports"] = (
+    f"SELECT rule_id, tree, node_id FROM ({HITS}) ORDER BY CASE category WHEN 'error' THEN 4 WHEN 'bug' THEN 3 WHEN 'deprecated' THEN 2 WHEN 'smell' THEN 1 ELSE 0 END DESC, tree DESC, node_id DESC LIMIT 25"
+)
+
+
+def exit_codes(spark, sf_dir):
+    from treeq.operators.reports import failed
+
+    found = rule_reports(spark, sf_dir)
+    return spark.createDataFrame([("all", failed(found)), ("none", failed(found.filter("rule_id = 'nothing'")))], "reports string, exit_code long")
+
+
+QUERIES["q61_exit_codes"] = exit_codes
+ORACLE_SQL["q61_exit_codes"] = f"SELECT 'all' AS reports, CAST(count(*) > 0 AS BIGINT) AS exit_code FROM ({HITS}) UNION ALL SELECT 'none', 0"
+
+
+def both_languages(spark, sf_dir):
+    from treeq.operators.rules import check_all
+    from treeq.sources import parsed
+
+    found = check_all({"json": parsed.properties(spark, sf_dir), "conversations": tables.conversations(spark, sf_dir)}, [ruleset(), large_values()])
+    return found.groupBy("language", "ruleset").agg(F.count("*").alias("reports"))
+
+
+QUERIES["q62_by_language"] = both_languages
+ORACLE_SQL["q62_by_language"] = (
+    f"SELECT 'conversations' AS language, 'turns' AS ruleset, count(*) AS reports FROM ({HITS}) UNION ALL SELECT 'json', 'values', count(*) FROM ({PROPS}) WHERE k > 90 OR k = 0"
+)
+QUERIES["q63_bound_node"] = lambda spark, sf_dir: found(tables.conversations(spark, sf_dir).query("match Turn t when t.parent == $0", {"$0": (1, 0)}))
+ORACLE_SQL["q63_bound_node"] = f"{TURN} WHERE conv_id = 1"
+add("q64_escapes", d, r"match Line l when l.text.matches(`[\`,]`) && l.text != 'it\'s'", DOC + PICK + "line WHERE (contains(text, '`') OR contains(text, ',')) AND text <> 'it''s'")
+
+# parsing
+
+BROKEN = "SELECT event_id AS tree, substr(props, 1, length(props) - 1) AS text FROM events"
+
+
+def broken(spark, sf_dir):
+    events = tables.table(spark, sf_dir, "events")
+    return events.select(F.col("event_id").alias("tree"), F.expr("substr(props, 1, length(props) - 1)").alias("text"))
+
+
+def parse_errors(spark, sf_dir):
+    from treeq.sources import parsed
+
+    made = parsed.reports(broken(spark, sf_dir), parsed.builtin_spec("json"))
+    return made.select("tree", "code", F.col("line").cast("long").alias("line"), F.col("col").cast("long").alias("col"), F.col("off").cast("long").alias("off"))
+
+
+QUERIES["q65_parse_errors"] = parse_errors
+ORACLE_SQL["q65_parse_errors"] = f"SELECT tree, 'unexpected_eof' AS code, CAST(1 AS BIGINT) AS line, length(text) + 1 AS col, length(text) AS off FROM ({BROKEN})"
+
+
+def partial_trees(spark, sf_dir):
+    from treeq.sources import parsed
+
+    made = parsed.once(broken(spark, sf_dir), parsed.builtin_spec("json"), "broken")
+    return found(made.query("match _ n when n.parent == null"))
+
+
+QUERIES["q66_partial_trees"] = partial_trees
+ORACLE_SQL["q66_partial_trees"] = f"SELECT tree, CAST(2 AS BIGINT) AS node_id, 'Pair' AS kind FROM ({BROKEN})"
+
+# small programs, one for each event: a call with a list, a sum with a product, comments of both kinds, a keyword and a name that begins like it
+
+
+def programs(spark, sf_dir):
+    from treeq.sources import parsed
+
+    e = tables.table(spark, sf_dir, "events")
+    items = F.expr("concat(repeat('1,', cast(event_id % 3 as int)), '2')")
+    text = F.format_string("f(%s) /* %s */\nifs = %d + %d * 2 - 1; // %s", items, "event_type", "event_id", "user_id", "event_type")
+    return parsed.once(e.select(F.col("event_id").alias("tree"), text.alias("text")), parsed.builtin_spec("javascript"), "programs")
+
+
+def program_query(text: str, *columns):
+    return lambda spark, sf_dir: programs(spark, sf_dir).query(text).select("tree", "text", *columns)
+
+
+PROGRAMS = {
+    "q67_comments": ("match Comment", "SELECT event_id AS tree, '/* ' || event_type || ' */' AS text FROM events UNION ALL SELECT event_id, '// ' || event_type FROM events"),
+    "q68_precedence": ("match BinaryExpression b when b.operator is Mul", "SELECT event_id AS tree, user_id || ' * 2' AS text FROM events"),
+    "q69_left_side": ("match BinaryExpression b when b.operator is Sub && b.left is BinaryExpression", "SELECT event_id AS tree, event_id || ' + ' || user_id || ' * 2 - 1' AS text FROM events"),
+    "q70_longest_token": ("match AssignmentExpression(left: Identifier i when i.text.length == 3)", "SELECT event_id AS tree, 'ifs = ' || event_id || ' + ' || user_id || ' * 2 - 1' AS text FROM events"),
+    "q71_separated_list": ("match List l when l.parent is Arguments && l.length == 3", "SELECT event_id AS tree, '1,1,2' AS text FROM events WHERE event_id % 3 = 2"),
+    "q72_optional_absent": ("match Program p when no p.descendants() match { IfStatement|ElseClause|EmptyStatement }", "SELECT event_id AS tree, 'f(' || repeat('1,', CAST(event_id % 3 AS INT)) || '2) /* ' || event_type || ' */' || chr(10) || 'ifs = ' || event_id || ' + ' || user_id || ' * 2 - 1;' AS text FROM events"),
+}
+for name, (text, sql) in PROGRAMS.items():
+    QUERIES[name] = program_query(text)
+    ORACLE_SQL[name] = sql
+
+
+def python_calls(spark, sf_dir):
+    from treeq.sources import parsed
+
+    e = tables.table(spark, sf_dir, "events")
+    text = F.format_string("def handle(x):\n    # %s\n    return x + %d\n", "event_type", "user_id")
+    made = parsed.once(e.select(F.col("event_id").alias("tree"), text.alias("text")), parsed.builtin_spec("python"), "python")
+    return made.query("match BinaryOperator b when b.operator is Add && any b.parents() match { FunctionDefinition f when f.name == 'handle' }").select("tree", "kind", "text", F.col("start_col").cast("long").alias("col"))
+
+
+QUERIES["q73_python"] = python_calls
+ORACLE_SQL["q73_python"] = "SELECT event_id AS tree, 'BinaryOperator' AS kind, 'x + ' || user_id AS text, CAST(12 AS BIGINT) AS col FROM events"
+
+
+def yaml_pairs(spark, sf_dir):
+    from treeq.sources import parsed
+
+    e = tables.table(spark, sf_dir, "events")
+    text = F.format_string("type: %s\nuser:\n  id: %d\n", "event_type", "user_id")
+    made = parsed.once(e.select(F.col("event_id").alias("tree"), text.alias("text")), parsed.builtin_spec("yaml"), "yaml")
+    return made.query("match BlockMappingPair(key: 'id')").select("tree", "text")
+
+
+QUERIES["q74_yaml"] = yaml_pairs
+ORACLE_SQL["q74_yaml"] = "SELECT event_id AS tree, 'id: ' || user_id AS text FROM events"
+
+# names
+
+
+def answered(spark, sf_dir):
+    """Each turn is a scope in that of the turn before it and declares its role; a turn asks for the next turn's role."""
+    from treeq.operators.scopes import solve
+
+    t = tables.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("tree"), F.col("turn").alias("scope"), F.col("role").alias("name"))
+    edges = t.filter("scope > 0").select("tree", "scope", (F.col("scope") - 1).alias("parent"))
+    refs = t.filter("scope > 0").select("tree", (F.col("scope") - 1).alias("scope"), "name", F.col("scope").alias("node"))
+    return solve(edges, t.withColumn("node", F.col("scope")), refs)
+
+
+QUERIES["q75_nested_scopes"] = answered
+ORACLE_SQL["q75_nested_scopes"] = (
+    "SELECT conv_id AS tree, turn AS ref, (SELECT max(u.turn) FROM conversations u WHERE u.conv_id = t.conv_id AND u.turn < t.turn AND u.role = t.role) AS decl FROM conversations t WHERE turn > 0"
+)
+
+
+def declared(spark, sf_dir):
+    """Pairs declare their names in a scope for each tree, numbers refer to the name ``k``."""
+    from treeq.operators.aspects import Script, resolve
+    from treeq.sources import parsed
+
+    script = Script(
+        """
+@Pair.sg_gen()
+def declare(node, scope):
+    if re.compile("k").match(node.name.text):
+        scope.add_decl("k", node)
+
+@Num.sg_gen()
+def refer(node, scope):
+    scope.add_ref("k" if int(node.text) % 2 else "other", node)
+"""
+    )
+    forest = resolve(parsed.properties(spark, sf_dir), script.aspects)
+    return found(forest.query("match Num n when any n.referenced_decls() match { Pair p when p.value == n }"))
+
+
+QUERIES["q76_aspects"] = declared
+ORACLE_SQL["q76_aspects"] = f"{EVENT.format(id=1, kind='Num')} WHERE {VALUE} % 2 = 1"
+
+
+def remembered(spark, sf_dir):
+    """Numbers of the nodes that a session remembers after twelve results of one node each."""
+    from treeq.session import Cache
+
+    cache = Cache()
+    two = tables.conversations(spark, sf_dir).query("match Turn t when t.previous_siblings().length < 2").filter("tree = 0").orderBy("pre").select("tree", "pre").collect()
+    for turn in range(12):
+        cache.add([tuple(two[turn % 2])])
+    return spark.createDataFrame([(name, tree, pre) for name, (tree, pre) in cache.nodes().items()], "name string, tree long, pre long")
+
+
+QUERIES["q77_remembered"] = remembered
+ORACLE_SQL["q77_remembered"] = (
+    "SELECT '$' || (CASE n WHEN 11 THEN 0 ELSE n END) AS name, conv_id AS tree, CAST(1 + 3 * turn AS BIGINT) AS pre FROM conversations JOIN (SELECT unnest(range(2, 12)) AS n) ON n % 2 = turn WHERE conv_id = 0"
+)
+QUERIES["q64_escapes"] = run("q64_escapes")
+ORACLE_SQL["q64_escapes"] = PATTERNS["q64_escapes"][2]

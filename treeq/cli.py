@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 from pathlib import Path
 
@@ -14,10 +15,6 @@ from treeq.operators import reports, rules
 from treeq.session import Session
 from treeq.sources import files, parsed, project
 
-# File name endings by language, for ``init``.
-ENDINGS = {"json": (".json",)}
-
-
 def arguments() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="treeq")
     commands = top.add_subparsers(dest="command", required=True)
@@ -38,27 +35,28 @@ def arguments() -> argparse.ArgumentParser:
     return top
 
 
-def listed(found, sources) -> list[str]:
+def listed(found, sources):
     joined = found.join(sources.select("tree", "path"), "tree")
-    rows = joined.orderBy("path", F.col("hi") - F.col("depth"))
-    at = F.format_string("[%s %s:%d:%d-%d:%d]", "kind", "path", "start_line", "start_col", "end_line", "end_col")
-    return [r[0] for r in rows.select(at).toLocalIterator()]
+    lines = reports.listing(joined.orderBy("path", F.col("hi") - F.col("depth")), F.col("path"))
+    return (r["line"] for r in lines.toLocalIterator())
 
 
 def write_reports(found, sources) -> int:
-    texts = {r["tree"]: (r["path"], r["text"]) for r in sources.join(found.select("tree").distinct(), "tree", "left_semi").toLocalIterator()}
-    for r in reports.ordered(found.drop("path") if "path" in found.columns else found).toLocalIterator():
-        path, text = texts[r["tree"]]
-        print(reports.diagnostic(r.asDict(), text, path), end="\n\n")
+    shown = reports.diagnostics(found.drop("path") if "path" in found.columns else found, sources)
+    for r in shown.toLocalIterator():
+        print(r["shown"], end="\n\n")
     return reports.failed(found)
 
 
 def init(folder: str) -> int:
-    """Writes a configuration with one project for each language that files are found of."""
-    out = ["projects:"]
-    for language, endings in ENDINGS.items():
-        if any(p.suffix in endings for p in Path(folder).rglob("*")):
-            out += [f"  - language: {language}", "    include:", *[f'      - "**/*{e}"' for e in endings], "    rulesets: []"]
+    """Writes a configuration with the projects that are found."""
+    out = ["projects:" if (found := project.detect(folder)) else "projects: []"]
+    for p in found:
+        lead = "  - "
+        for key, value in p.items():
+            shown = json.dumps(value)  # also YAML
+            out.append(f"{lead}{key}: {shown}")
+            lead = "    "
     (Path(folder) / project.CONFIG[0]).write_text("\n".join(out) + "\n")
     return 0
 
@@ -96,15 +94,24 @@ def main(argv: list[str] | None = None) -> int:
         forest = parsed.forest(sources, session.language(a.language)).written()
         if a.interactive:
             return prompt(session, forest, sources)
-        print("\n".join(listed(forest.query(a.query), sources)))
+        for line in listed(forest.query(a.query), sources):
+            print(line)
         return 0
     except TreeqError as e:
         print(f"{e.code}: {e}", file=sys.stderr)
         return 2
 
 
+def tree_at(sources, path: str) -> int:
+    """The tree of the one file whose path ends so."""
+    found = sources.filter(F.col("path").endswith(path)).select("tree").limit(2).collect()
+    if len(found) != 1:
+        raise TreeqError(f"{path}: {len(found) or 'no'} such files")
+    return found[0]["tree"]
+
+
 def prompt(session: Session, forest, sources, lines=sys.stdin) -> int:
-    """``match ...`` lists and numbers nodes; ``:print``, ``:print_ast`` show one; else an expression."""
+    """``match ...`` lists and numbers nodes; ``:print``, ``:print_ast`` show one, or a file; else an expression."""
     for line in lines:
         line = line.strip().rstrip(";")
         try:
@@ -112,7 +119,7 @@ def prompt(session: Session, forest, sources, lines=sys.stdin) -> int:
                 break
             if line.startswith((":print_ast ", ":print ")):
                 word, name = line.split(None, 1)
-                tree, pre = session.cache.nodes()[name]
+                tree, pre = session.cache.nodes()[name] if name.startswith("$") else (tree_at(sources, name), 0)
                 rows = forest.nodes.filter((F.col("tree") == tree) & (F.col("pre") >= pre)).orderBy("pre")
                 top = rows.first()
                 if word == ":print":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+import os
 import re
 from dataclasses import replace
 
@@ -85,6 +87,53 @@ class regex:
         return type("Pattern", (), {"match": staticmethod(compiled.search)})
 
 
+class Script:
+    """A script of aspects. ``@Call.sg_gen()`` above a function gives a kind its aspect;
+    all other functions can be called by name. Scripts have ``path``, ``os``, ``re`` and ``yaml``."""
+
+    def __init__(self, text: str):
+        self.aspects = Aspects()
+        module, marked = ast.parse(text), []
+        for f in module.body:
+            own = [d for d in getattr(f, "decorator_list", ()) if self.mark(d)]
+            if len(own) > 1:
+                raise TreeqError(f"{f.name} has several aspects", "MultipleDecorators")
+            if own:
+                marked.append((f.name, *self.mark(own[0])))
+                f.decorator_list.remove(own[0])
+        self.names = {"__name__": "script", "path": os.path, "os": os, "re": regex, "yaml": yaml_reader()}
+        exec(compile(module, "<script>", "exec"), self.names)
+        for name, kind, aspect in marked:
+            self.aspects(kind, aspect)(self.names[name])
+
+    @staticmethod
+    def mark(d: ast.expr) -> tuple[str, str] | None:
+        """The kind and the aspect of a decorator ``Kind.aspect()``."""
+        if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and isinstance(d.func.value, ast.Name):
+            return d.func.value.id, d.func.attr
+        return None
+
+    def call(self, name: str, *args):
+        if not callable(self.names.get(name)):
+            raise TreeqError(f"no function {name}", "UnknownFunction")
+        return self.names[name](*args)
+
+
+def yaml_reader():
+    """``load`` of an open file and ``loads`` of a text."""
+
+    class reader:
+        @staticmethod
+        def loads(text: str):
+            import yaml
+
+            return yaml.safe_load(text)
+
+        load = staticmethod(lambda file: reader.loads(file.read()))
+
+    return reader
+
+
 def resolve(forest: Forest, aspects: Aspects) -> Forest:
     """The forest with the references that its ``sg_gen`` aspects make.
 

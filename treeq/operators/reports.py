@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +83,22 @@ def diagnostic(report: dict, source: str, path: str) -> str:
     return "\n".join(out + ([f"{' ' * gutter} = {report['note']}"] if report.get("note") else []))
 
 
+def diagnostics(reports: DataFrame, sources: DataFrame) -> DataFrame:
+    """``tree, node_id, rule_id, shown``: every report with its line, worst first.
+
+    ``sources`` has ``tree, path, text``. A report meets its line on the executors.
+    """
+
+    @F.pandas_udf("string")
+    def shown(report: pd.DataFrame, text: pd.Series, path: pd.Series) -> pd.Series:
+        rows = report.astype(object).where(report.notna(), None).to_dict("records")
+        return pd.Series([diagnostic(r, t, p) for r, t, p in zip(rows, text, path)], dtype=object)
+
+    fields = F.struct("rule_id", "category", "message", "note", "start_line", "start_col", "end_line", "end_col")
+    joined = reports.join(sources.select("tree", "path", "text"), "tree").withColumn("shown", shown(fields, F.col("text"), F.col("path")))
+    return ordered(joined).select("tree", "node_id", "rule_id", "shown")
+
+
 def records(reports: DataFrame, path: Column) -> DataFrame:
     """What a dashboard takes: one nested record a report, for ``write.json``."""
     place = lambda side: F.struct(F.col(f"{side}_line").alias("line"), F.col(f"{side}_col").alias("column"))

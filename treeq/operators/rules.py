@@ -87,3 +87,18 @@ def check(forest: Forest, rulesets: list[RuleSet]) -> DataFrame:
     if not parts:
         raise ConfigError("no rules")
     return reduce(DataFrame.unionByName, parts)
+
+
+def by_language(rulesets: list[RuleSet]) -> dict[str, list[RuleSet]]:
+    found: dict[str, list[RuleSet]] = {}
+    for s in rulesets:
+        found.setdefault(s.language, []).append(s)
+    return found
+
+
+def check_all(forests: dict[str, Forest], rulesets: list[RuleSet]) -> DataFrame:
+    """``check`` of every language's forest by its own rulesets, with the language in ``language``."""
+    parts = [check(forests[name], own).withColumn("language", F.lit(name)) for name, own in by_language(rulesets).items() if name in forests]
+    if not parts:
+        raise ConfigError("no rules")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -16,6 +16,7 @@ that the optimizer neither splits nor moves below the joins that it needs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -29,6 +30,8 @@ from treeq.functions import text as fn
 
 GENERATORS = ("parents", "descendants", "siblings", "previous_siblings", "next_siblings")
 FAR = 1 << 30
+#: Methods that extensions add: name to a function of the plan, the value and the arguments.
+METHODS: dict[str, Callable[[Plan, Value, tuple], Value]] = {}
 
 
 @dataclass(frozen=True)
@@ -539,6 +542,8 @@ class Plan:
                 raise CompileError(f"a {v.kind} is no number", "InvalidKind")
             self.raises[0] += self.forest.strict
             return Value("int", fn.to_int(v.col, self.forest.strict), nullable=True)
+        if x.name in METHODS:
+            return METHODS[x.name](self, self.value(x.of), x.args)
         n = self.node(x.of, x.name, x.safe)
         if x.name == "referenced_decls":
             self.refs()

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 
 from treeq import language as L
 from treeq.forest import Forest
-from treeq.operators import reports, rules
+from treeq.operators import aspects, reports, rules
 from treeq.plans.compiler import start
 from treeq.sources import files, parsed, project
-from treeq.spec.meta import read_spec
-from treeq.spec.parse import Parser, rows
+from treeq.spec.parse import rows
 
 
 class Session:
@@ -23,11 +22,19 @@ class Session:
         self.cache = Cache()
 
     def language(self, name: str) -> str:
-        """The text of a specification: a built-in name or a local file."""
+        """The text of a specification: a built-in name, a local file or a stem that names one."""
         try:
             return parsed.builtin_spec(name)
         except FileNotFoundError:
-            return project.local_path(name).read_text()
+            pass
+        path = project.local_path(name)
+        return project.stem(path).spec if path.suffix in (".yml", ".yaml") else path.read_text()
+
+    def resolved(self, forest: Forest, name: str) -> Forest:
+        """The forest with the references that the aspects of a language's stem make."""
+        for script in project.stem(project.local_path(name)).aspects:
+            forest = aspects.resolve(forest, aspects.Script(script).aspects)
+        return forest
 
     def files(self, include: list[str], language: str, exclude: list[str] = (), root: str | None = None) -> Forest:
         found = files.sources(self.spark, list(include), list(exclude), root)
@@ -35,7 +42,7 @@ class Session:
 
     def parse(self, text: str, language: str, start_rule: str = "main") -> tuple[str, list]:
         """One text's tree, written out, and what went wrong."""
-        parser = Parser(read_spec(self.language(language)), start_rule)
+        parser, _ = parsed.made_ready(self.language(language), start_rule)
         tree, wrong = parser.parse(text)
         return reports.pretty(rows(tree, text, parser)) if tree else "", wrong
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from treeq.forest import NODE, Forest
 from treeq.lineage import kept
+from treeq.spec.builtin import LANGUAGES
 from treeq.spec.meta import read_spec
 from treeq.spec.parse import Parser, rows
 
@@ -26,13 +27,25 @@ _READY: dict = {}
 
 
 def builtin_spec(name: str) -> str:
+    """The specification of a built-in language, or ``builtin:`` and its name where Python has its parser."""
+    if name in LANGUAGES:
+        return f"builtin:{name}"
     return (Path(__file__).parent.parent / "spec" / f"{name}.syl").read_text()
 
 
+def made_ready(spec: str, start: str):
+    """What parses texts of a language, and its syntax."""
+    if spec.startswith("builtin:"):
+        language = LANGUAGES[spec.removeprefix("builtin:")]()
+        return language, language.syntax
+    grammar = read_spec(spec)
+    return Parser(grammar, start), grammar.syntax
+
+
 def ready(spec: str, start: str):
     """The parser of a specification and its memory, once in each worker."""
     if (spec, start) not in _READY:
-        _READY[spec, start] = Parser(read_spec(spec), start), OrderedDict()
+        _READY[spec, start] = made_ready(spec, start)[0], OrderedDict()
     return _READY[spec, start]
 
 
@@ -49,7 +62,7 @@ def parsed(spec: str, start: str, text: str):
 
 def forest(sources: DataFrame, spec: str, start: str = "main", name: str = "parsed") -> Forest:
     """The forest of ``sources(tree, text)``; null texts have no tree."""
-    grammar = read_spec(spec)
+    syntax = made_ready(spec, start)[1]
     columns = [*NODE, *POSITIONS]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -61,7 +74,7 @@ def forest(sources: DataFrame, spec: str, start: str = "main", name: str = "pars
             yield made
 
     rows_of = sources.select("tree", "text").filter("text IS NOT NULL").mapInPandas(run, PARSED)
-    return Forest(rows_of.withColumn("ord", F.when(F.col("depth") > 0, F.col("ord"))), grammar.syntax, name)
+    return Forest(rows_of.withColumn("ord", F.when(F.col("depth") > 0, F.col("ord"))), syntax, name)
 
 
 def reports(sources: DataFrame, spec: str, start: str = "main") -> DataFrame:

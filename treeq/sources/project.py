@@ -79,3 +79,44 @@ def discover(start: str | Path = ".") -> Path | None:
             if (folder / name).is_file():
                 return folder / name
     return None
+
+
+@dataclass(frozen=True)
+class Stem:
+    """A language: the text of its specification and of the scripts with its aspects."""
+
+    id: str
+    spec: str
+    aspects: tuple[str, ...] = ()
+
+
+def stem(path: str | Path) -> Stem:
+    """A language's YAML file ``{id, spec, aspects}``; its paths start from its folder."""
+    data, folder = load_yaml(path), Path(path).parent
+    try:
+        return Stem(data["id"], local_path(data["spec"], folder).read_text(), tuple(local_path(a, folder).read_text() for a in data.get("aspects") or ()))
+    except KeyError as e:
+        raise ConfigError(f"a language lacks {e}") from None
+
+
+# By language, file name endings, files that mark a project, and folders that are never part of one.
+ENDINGS = {"json": (".json",), "python": (".py",), "javascript": (".js", ".mjs", ".cjs"), "yaml": (".yaml", ".yml")}
+MARKERS = {"python": ("pyproject.toml", "setup.py", "setup.cfg", "requirements.txt"), "javascript": ("package.json",)}
+PASSED = ("node_modules", ".venv", "venv", "__pycache__", ".git")
+
+
+def detect(folder: str | Path) -> list[dict]:
+    """Projects below a folder: for each language, the topmost folders with a marker, or the
+    whole folder if there is none, as far as they hold files of the language."""
+    top = Path(folder)
+    files = [p.relative_to(top) for p in sorted(top.rglob("*")) if p.is_file() and not set(p.relative_to(top).parts[:-1]) & set(PASSED)]
+    found = []
+    for language, endings in ENDINGS.items():
+        own = [p for p in files if p.suffix in endings and p.name not in CONFIG]
+        marked = sorted({p.parent for p in files if p.name in MARKERS.get(language, ())})
+        roots = [r for r in marked if not any(o != r and o in (r, *r.parents) for o in marked)] or [Path(".")]
+        for root in roots:
+            if any(root in (p, *p.parents) for p in own):
+                made = {"language": language, "include": [f"**/*{e}" for e in endings], "exclude": [f"**/{x}/**" for x in PASSED], "rulesets": []}
+                found.append(({"root": str(root)} if str(root) != "." else {}) | made)
+    return found
