@@ -307,7 +307,7 @@ def test_quality_by_brute_force():
     share = {k: {t: 1 + sum(t in r for r, c in zip(rows, y) if c == k) for t in range(40)} for k in (0, 1)}
     total = {k: sum(v.values()) + quality.DIMS - 40 for k, v in share.items()}
     for t in range(40):
-        want = np.log(share[1][t] / total[1]) - np.log(share[0][t] / total[0]) if any(t in r for r in rows) else 0.0
+        want = np.log(share[1][t] / total[1]) - np.log(share[0][t] / total[0]) if sum(t in r for r in rows) >= quality.LEAST else 0.0
         assert ratio[t] == pytest.approx(want)
     sign = np.where(y == 1, 1.0, -1.0)
     w, bias, alpha = quality.descend(starts, terms, sign, ratio, 0.1, 2000, least=1e-10)
@@ -329,9 +329,11 @@ def test_quality_by_brute_force():
 def test_quality_terms_by_definition():
     text = "The cat, the CAT! Cat! Cat! 3.5"
     words = text.split()
-    shapes = [quality.codes(w)[0] for w in words]
+    shapes = [quality.code(w) >> 32 for w in words]
     shapes[5] = quality.SAME
-    plain = [quality.codes(w)[1] for w in words]
+    plain = [quality.code(w) & 0xFFFFFFFF for w in words]
+    for w in ("abc", "ABC", "Abc", "aBc", "É", "Éa", "abc.", "abc!!!", "abc.,", "(abc)", "...", "3.5"):
+        assert quality.code(w) >> 32 == zlib.crc32(quality.shape(w).encode()) & ~1
     assert plain[0] == plain[2] and plain[1] == plain[3] == plain[4] and shapes[1] != shapes[3]
     one = lambda tag, *parts: quality.grams(tag, *[np.array([p], dtype=np.uint64) for p in parts])[0]
     want = {one(n, *shapes[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)} | {one(3 + n, *plain[i : i + n]) for n in (1, 2) for i in range(len(words) - n + 1)}
@@ -506,6 +508,15 @@ def test_urls_odd(spark, same):
     assert {r["verdict"] for r in urlfilter.judge(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_large_url_lists(spark, monkeypatch):
+    """A filter that is joined by block finds what one in the row finds."""
+    pages = spark.createDataFrame([(i, f"http://{'a.' * (i % 3)}h{i % 50}.org/p{i % 7}/x") for i in range(300)], "page_id long, url string")
+    rules = spark.createDataFrame([("block", f"h{i}.org", f"/p{i % 5}") for i in range(40)], "verdict string, host string, path string")
+    want = sorted(map(str, urlfilter.judge(pages, rules).collect()))
+    monkeypatch.setattr(urlfilter, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, urlfilter.judge(pages, rules).collect())) == want and sum("block" in x for x in want) == sum(i % 50 < 40 and i % 7 == (i % 50) % 5 for i in range(300))
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(500).select(F.concat(F.lit("k"), "id").alias("key"))
     words = urlfilter.bloom(keys, 100)

@@ -116,16 +116,19 @@ def findings(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity
     probes = at.select("doc_id", "text_hash", "words", "pos", F.explode(seeds_at("words", dict.fromkeys(asks, F.lit(True)))).alias("probe"))
     diagonal = (F.col("pos") - F.col("ipos")).alias("diagonal")
     if few:
-        hits = probes.join(F.broadcast(planted), F.col("probe") == F.col("seed")).select("doc_id", "text_hash", "item_id", "words", diagonal)
+        hits = probes.join(F.broadcast(planted), F.col("probe") == F.col("seed")).select("doc_id", "text_hash", "item_id", "n", "words", diagonal)
     else:
         slim = probes.select("doc_id", "text_hash", "pos", "probe").join(planted, F.col("probe") == F.col("seed"))
-        slim = scratch.save(slim.select("doc_id", "text_hash", "item_id", diagonal).distinct(), "hits")
+        slim = scratch.save(slim.select("doc_id", "text_hash", "item_id", "n", diagonal).distinct(), "hits")
         again = rows.withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
         hits = slim.join(again, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
+    # no more of the text leaves the lookup than the item covers
+    covered = F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.greatest(F.col("n") + F.least(F.col("diagonal"), F.lit(0)), F.lit(0)))
+    hits = hits.select("doc_id", "text_hash", "item_id", F.least(F.col("diagonal"), F.lit(0)).alias("shift"), covered.alias("covered"))
     tests = tests.select(F.col("item_id").alias("i"), "item")
     overlays = hits.join(F.broadcast(tests) if few else tests, F.col("item_id").eqNullSafe(F.col("i")))  # seeds bound the words of items
 
-    same = F.transform("item", lambda w, k: F.when((F.col("diagonal") + k >= 0) & (F.get("words", F.col("diagonal") + k) == w), 1).otherwise(0))
+    same = F.transform("item", lambda w, k: F.when(F.get("covered", F.col("shift") + k) == w, 1).otherwise(0))
     n = F.least(F.lit(window), F.size("same"))
     sums = F.transform(
         F.sequence(F.lit(1), F.size("same") - n + 1), lambda s: F.aggregate(F.slice("same", s, n), F.lit(0), lambda a, x: a + x)

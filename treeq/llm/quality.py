@@ -35,9 +35,12 @@ HELD_OUT = 1
 FOLDS = 3
 MARKS = ".,!?;:*#&%$\"'()"
 _RUNS = re.compile(r"(?P<upper>[A-ZÀ-ÖØ-Þ]+)|(?P<digit>\d+)|(?P<letter>[^\W\d_]+)|(?P<mark>(.)\5?)\5*", re.S)
-_MEMO: dict[str, tuple[int, int]] = {}
-#: What stands for the shape of a word that repeats the one before.
+_MEMO: dict[str, int] = {}
+_SHAPES: dict[str, int] = {}
+#: What stands for the shape of a word that repeats the one before; other shapes have even numbers.
 SAME = 1
+#: Labelled documents that must have a term for it to weigh anything.
+LEAST = 2
 
 
 def shape(word: str) -> str:
@@ -48,10 +51,26 @@ def shape(word: str) -> str:
     return "".join(parts)
 
 
-def codes(word: str) -> tuple[int, int]:
-    """Numbers of a word's shape and of the word in lower case, without marks at its ends."""
-    plain = word.strip(MARKS).lower() or word
-    return zlib.crc32(shape(word).encode("utf-8", "surrogatepass")) + 2, zlib.crc32(plain.encode("utf-8", "surrogatepass")) + 2
+def code(word: str) -> int:
+    """Two numbers in one: of the word's shape, and of the word in lower case without marks at its ends."""
+    plain = word.strip(MARKS)
+    tail = word[len(plain) :]
+    if plain.isascii() and plain.isalpha() and word.startswith(plain) and (not tail or tail == tail[0] * len(tail)):
+        # what ``shape`` gives, for most words
+        if plain.islower():
+            own = f"a{tail[:2]}"
+        elif plain.isupper():
+            own = f"A{tail[:2]}"
+        else:
+            own = f"Aa{tail[:2]}" if plain[0].isupper() and plain[1:].islower() else shape(word)
+    else:
+        own = shape(word)
+    known = _SHAPES.get(own)
+    if known is None:
+        known = zlib.crc32(own.encode("utf-8", "surrogatepass")) & ~1
+        if len(_SHAPES) < MEMO:
+            _SHAPES[own] = known
+    return known << 32 | zlib.crc32((plain.lower() or word).encode("utf-8", "surrogatepass"))
 
 
 def grams(tag: int, *at: np.ndarray) -> np.ndarray:
@@ -70,14 +89,14 @@ def terms_of(text: str | None) -> np.ndarray:
         return np.zeros(0, dtype=np.int32)
     if len(_MEMO) > MEMO:
         _MEMO.clear()
-    for w in set(words):
-        if w not in _MEMO:
-            _MEMO[w] = codes(w)
-    both = np.array([_MEMO[w] for w in words], dtype=np.uint64)
-    s, w = both[:, 0].copy(), both[:, 1]
-    s[1:][(s[1:] == s[:-1]) & (w[1:] == w[:-1])] = SAME
-    found = [grams(1, s), grams(2, s[:-1], s[1:]), grams(3, s[:-2], s[1:-1], s[2:]), grams(4, w), grams(5, w[:-1], w[1:])]
-    return np.unique(np.concatenate(found))
+    for w in set(words).difference(_MEMO):
+        _MEMO[w] = code(w)
+    both = np.fromiter(map(_MEMO.__getitem__, words), dtype=np.uint64, count=len(words))
+    s, w = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
+    s[1:][both[1:] == both[:-1]] = SAME
+    found = np.concatenate([grams(1, s), grams(2, s[:-1], s[1:]), grams(3, s[:-2], s[1:-1], s[2:]), grams(4, w), grams(5, w[:-1], w[1:])])
+    found.sort()
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 class NaiveBayesSvm:
@@ -95,12 +114,10 @@ class NaiveBayesSvm:
 
 def log_ratios(row: np.ndarray, terms: np.ndarray, y: np.ndarray) -> np.ndarray:
     """By slot, the log-ratio of its share of all indicators in class 1 and in class 0,
-    counted from 1; 0 for slots that no row has."""
+    counted from 1; 0 for slots that fewer than ``LEAST`` rows have."""
     counts = [1.0 + np.bincount(terms[y[row] == k], minlength=DIMS) for k in (0, 1)]
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    seen = np.zeros(DIMS, dtype=bool)
-    seen[terms] = True
-    ratio[~seen] = 0.0
+    ratio[counts[0] + counts[1] < 2 + LEAST] = 0.0
     return ratio
 
 
@@ -141,17 +158,20 @@ def part(starts: np.ndarray, terms: np.ndarray, rows: np.ndarray) -> tuple[np.nd
     return np.concatenate([[0], ends]), terms[at]
 
 
-def fit(docs: DataFrame, labels: DataFrame, c: float = 0.1, epochs: int = 12, most: int = MAX_LABELLED) -> NaiveBayesSvm:
+def fit(docs: DataFrame, labels: DataFrame, c: float = 0.1, epochs: int = 6, most: int = MAX_LABELLED) -> NaiveBayesSvm:
     """Learns only from rows whose id's fold isn't held out."""
     trainable = fold(F.col("doc_id"), FOLDS) != HELD_OUT
     return fitted(*labelled(docs, labels, "quality", trainable, terms_of, most), c, epochs)
 
 
-def fitted(starts: np.ndarray, terms: np.ndarray, y: np.ndarray, c: float = 0.1, epochs: int = 12) -> NaiveBayesSvm:
+def fitted(starts: np.ndarray, terms: np.ndarray, y: np.ndarray, c: float = 0.1, epochs: int = 6) -> NaiveBayesSvm:
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
         return NaiveBayesSvm(np.zeros(DIMS, dtype=np.float32), 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    ratio = log_ratios(np.repeat(np.arange(len(y)), np.diff(starts)), terms, y)
+    row = np.repeat(np.arange(len(y)), np.diff(starts))
+    ratio = log_ratios(row, terms, y)
+    telling = ratio[terms] != 0.0
+    starts, terms = np.concatenate([[0], np.cumsum(np.bincount(row[telling], minlength=len(y)))]), terms[telling]
     # every fifth row is left to fit the curve
     fits = np.flatnonzero(np.arange(len(y)) % 5 != 4)
     held = np.flatnonzero(np.arange(len(y)) % 5 == 4)
@@ -173,6 +193,7 @@ def score(docs: DataFrame, model: NaiveBayesSvm):
         for batch in texts:
             yield pd.Series(shared.value.scores(terms_of(t) for t in batch))
         _MEMO.clear()  # the worker may go on with other work
+        _SHAPES.clear()
         tidy()
 
     return of(docs["text"].cast("string"))

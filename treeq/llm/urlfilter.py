@@ -5,20 +5,23 @@ its own host or of a parent domain if its path starts with the rule's, so it ask
 for every pair of a host suffix and a path prefix whose length some rule has. Each
 asked pair is first looked up in a Bloom filter made of 64-bit blocks (one hash
 picks the block, the others set bits in it), and only what passes goes to the exact
-join, which removes false positives.
+join, which removes false positives. A filter of up to ``BROADCAST_ROWS`` blocks is part
+of the plan and looked up in the URL's own row, so what it stops is never a row; a larger
+one is joined by block.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and
-fits no rule. A URL that fits no rule is allowed. Of the rules that fit, the one
+fits no rule; very long ones are looked at whole. A URL that fits no rule is allowed. Of the rules that fit, the one
 with the longest text wins, then the one with the longer host. Repeated rows give
 repeated rows; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeq.llm.common import Scratch, bounded, documents
+from treeq.llm.common import BROADCAST_ROWS, Scratch, bounded, documents
 
 RULES = (
     ("allow", "com", "/"),
@@ -78,14 +81,19 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     lengths = F.array(*[F.lit(x) for x in facts["lengths"]]) if facts["lengths"] else F.array().cast("array<int>")
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring("path", F.lit(1), n))
-    asked = asked.select("host", "path", F.explode(suffixes).alias("asked_host"), prefixes.alias("prefixes"))
-    asked = asked.select("host", "path", "asked_host", F.explode("prefixes").alias("asked_path"))
-    asked = asked.select("host", "path", F.concat("asked_host", F.lit("\n"), "asked_path").alias("asked"))
-    possible = (
-        asked.withColumn("block", block_of(F.col("asked"), blocks))
-        .join(bounded(words), "block")
-        .filter(F.col("word").bitwiseAND(bits_of(F.col("asked"))) == bits_of(F.col("asked")))
-    )
+    pairs = F.flatten(F.transform(suffixes, lambda h: F.transform("prefixes", lambda p: F.concat(h, F.lit("\n"), p))))
+    asked = asked.withColumn("prefixes", prefixes)
+    passes = lambda word, pair: word.bitwiseAND(bits_of(pair)) == bits_of(pair)
+    if blocks <= BROADCAST_ROWS:
+        dense = np.zeros(blocks, dtype=np.int64)
+        for r in words.collect():  # one row for each block
+            dense[r["block"]] = r["word"]
+        table = F.lit(dense)
+        possible = F.filter(pairs, lambda pair: passes(F.get(table, block_of(pair, blocks).cast("int")), pair))
+        possible = asked.select("host", "path", F.explode(possible).alias("asked"))
+    else:
+        possible = asked.select("host", "path", F.explode(pairs).alias("asked")).withColumn("block", block_of(F.col("asked"), blocks))
+        possible = possible.join(bounded(words), "block").filter(passes(F.col("word"), F.col("asked")))
     hits = possible.join(bounded(listed), F.col("asked") == F.col("key"))
     rule = F.concat("rule_host", "rule_path")
     best = F.max_by(F.struct(rule.alias("rule"), "verdict"), F.struct(F.length(rule), F.length("rule_host"), rule, "verdict"))
