@@ -69,6 +69,24 @@ def test_near_copies_far_apart(spark):
     assert {r["doc_id"] for r in simhash.one_of_each(table, alike=True).collect()} == want
 
 
+def test_odd_rows(spark, sf_dir):
+    """Nulls, repeated rows and ids, a very long text and clashing names pass all stages."""
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, None, "a"), (2, "", None), (3, "some words of a text", "a"), (3, "some words of a text", "a"), (3, "another text with this id", "b"), (None, "no id at all here", "b"), (4, long, None)]
+    names = ["__key", "__score", "__copies", "__doc", "__row", "score", "key"]
+    docs = spark.createDataFrame([(d, t, "en", s, len(t or ""), *["x"] * len(names)) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    single = simhash.one_of_each(docs)
+    assert sorted(str((r["doc_id"], (r["text"] or "")[:9])) for r in single.collect()) == sorted(str(x) for x in [(1, ""), (3, "some word"), (3, "another t"), (None, "no id at "), (4, "w0 w1 w2 ")])
+    kept = single
+    for _, stage in corpus_pipeline.STAGES[2:4]:
+        kept = stage(spark, kept, sf_dir)
+        assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert {(r["doc_id"], (r["text"] or "")[:4]) for r in rows} == {(3, "some"), (3, "anot"), (None, "no i"), (4, "w0 w")} and all(r[n] == "x" for r in rows for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir).count() == len(rows)
+    assert corpus_pipeline.STAGES[0][1](spark, docs, sf_dir).columns == docs.columns
+
+
 def test_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).withColumn("words", F.lit("x"))
     for _, stage in corpus_pipeline.STAGES:

@@ -11,8 +11,8 @@ Spark adds up the counts. Only profiles, ``TOP`` rows a language, reach the driv
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so
 is every text if nothing can be learned. Null languages teach nothing. Equal counts
-rank by code, equal distances by the language's code points. Repeated rows each get
-their result; other columns are ignored; an empty table gives an empty result.
+rank by code, equal distances by the language's code points. Very long texts are
+ranked whole. Repeated rows each get their result; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
