@@ -3,6 +3,13 @@
 Each stage takes the session, the documents its predecessor kept and the folder of
 the tables, and returns documents with the same columns; the last returns what it
 reads back from the token store.
+
+Defined cases: a null or blank text has the score of the classifier's bias; if it stays,
+all such texts are one near-duplicate group, hit no benchmark item, hold no words, so
+the mix takes none, and the store gets none. Rows with null ids are kept like others.
+Of repeated rows one stays, until the mix repeats rows. Texts are looked at whole,
+however long. Ties go by smaller id, then text hash. Other columns stay as they are,
+whatever their names. An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
