@@ -125,3 +125,69 @@ def test_comments_are_children():
     notes = [(r["text"], found[r["parent"]]["kind"], r["ord"], r["start_off"], r["end_off"]) for r in found if r["kind"] == "Comment"]
     assert notes == [("(* é *)", "Bin", 0, 0, 8), ("(* one *)", "Num", 0, 11, 20), ("(* two *)", "Num", 0, 26, 35), ("(* end *)", "E", 1, 41, 50)]
     assert [r["n"] for r in found if r["kind"] == "Bin"] == [3, 2]
+
+
+JAVASCRIPT = [
+    ("a + b * c ** d ** e - f", "[[a + [b * [c ** [d ** e]]]] - f]"),
+    ("a && b || c ?? d", "[[[a && b] || c] ?? d]"),
+    ("x = y ? z : w", "[x [y z w]]"),
+    ("!a.b(c)[d]", "[! [[[a b] [[c]]] d]]"),
+    ("new T(1).x", "[[T [[1]]] x]"),
+    ("(a, b) => a < b", "[[[a b]] [a < b]]"),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), JAVASCRIPT)
+def test_javascript_expressions(text, want):
+    parser = Parser(read_spec(builtin_spec("javascript")))
+    tree, wrong = parser.parse(text)
+    show = lambda t: f"[{' '.join(map(show, t.children))}]" if t.children else text[t.start : t.end]
+    assert not wrong and show(tree) == f"[[[{want}]]]"
+
+
+def test_javascript_program():
+    """Every statement of the grammar, with nested lists."""
+    text = """
+import d from 'm'; import { a as b, c, } from "n"; export function f(x = 1, [y, { z: w }], ...r) { return x + r[0] /* r */; }
+export default class_; // a name
+class K extends f.g { constructor(a) { super(a); } static s() { } get v() { return this.x; } q = 1; }
+let i = 0, { j, k: [l] } = o; var m; const t = `${i}`;
+if (i === 1) { } else if (j) ; else { throw new E('x'); }
+for (let n = 0; n < 3; n++) { continue; } for (const p of s) { break; }
+while (!i) { i += 1; } do { j--; } while (j >= 0);
+switch (i) { case 1: f(); default: g(...h, y => ({ a: 1, b, [c]: 2, d() { }, ...e })); }
+try { a?.b; } catch (e) { } finally { debugger; }
+outer: while (true) { break outer; }
+"""
+    parser = Parser(read_spec(builtin_spec("javascript")))
+    tree, wrong = parser.parse(text)
+    found = rows(tree, text, parser)
+    kinds = {r["kind"] for r in found}
+    assert not wrong and len(parser.grammar.rules) > 70 and sum(map(len, parser.grammar.rules.values())) > 200
+    assert {"ImportStatement", "ExportStatement", "ClassDeclaration", "MethodDefinition", "ForInStatement", "SwitchDefault", "FinallyClause", "LabeledStatement", "RestPattern", "SpreadElement", "Comment"} <= kinds
+    assert [r["n"] for r in found if r["kind"] == "List" and r["parent"] == 0] == [16]
+
+
+def test_python_trees():
+    from treeq.sources.parsed import made_ready
+
+    language, syntax = made_ready("builtin:python", "main")
+    text = "class A(B):\n    def f(self, é=1):  # note\n        return not é.x[0] == -y\n"
+    tree, wrong = language.parse(text)
+    found = rows(tree, text, language)
+    assert not wrong and {r["kind"] for r in found} <= set(syntax.kinds)
+    assert [(r["kind"], r["text"]) for r in found if r["field"] == "name"] == [("Identifier", "A"), ("Identifier", "f")]
+    assert [r["text"] for r in found if r["kind"] in ("Comment", "Attribute", "UnaryOperator")] == ["# note", "not é.x[0] == -y", "é.x", "-y"]
+    assert language.parse("def (:")[1][0].code == "unexpected_token"
+
+
+def test_yaml_trees():
+    pytest.importorskip("yaml")
+    from treeq.sources.parsed import made_ready
+
+    language, syntax = made_ready("builtin:yaml", "main")
+    text = "a: {b: 'x', c: [1, 2.5]}\nd:\n- true\n- é\n---\n|\n  lines\n"
+    found = rows(language.parse(text)[0], text, language)
+    assert {r["kind"] for r in found} <= set(syntax.kinds)
+    assert [(r["kind"], r["text"]) for r in found if r["kind"].endswith("Scalar") and r["n"] == 0 and r["field"] is None][:4] == [("StringScalar", "a"), ("StringScalar", "b"), ("SingleQuoteScalar", "'x'"), ("StringScalar", "c")]
+    assert sum(r["kind"] == "Document" for r in found) == 2 and language.parse("a: [1")[1]

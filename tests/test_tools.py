@@ -63,11 +63,11 @@ def test_command_line(spark, folder, capsys, monkeypatch):
 
 def test_prompt(spark, capsys):
     forest = parsed.forest(spark.createDataFrame([(1, GOOD)], "tree long, text string"), parsed.builtin_spec("json"))
-    lines = ["match Pair p;", "$0.name.text", "$0.name.text.length", "$0.parent.parent.parent", ":print $1", ":print_ast $1", "$0.next_sibling == $1", "bad bad", ":quit", "never"]
-    cli.prompt(Session(spark), forest, None, lines)
+    lines = ["match Pair p;", "$0.name.text", "$0.name.text.length", "$0.parent.parent.parent", ":print $1", ":print_ast $1", ":print other.json", "$0.next_sibling == $1", "bad bad", ":quit", "never"]
+    cli.prompt(Session(spark), forest, spark.createDataFrame([(1, "a/good.json", GOOD)], "tree long, path string, text string"), [*lines[:6], ":print good.json", *lines[6:]])
     out = capsys.readouterr().out.splitlines()
     assert out[:6] == ["$0: [Pair 1:2]", "$1: [Pair 1:18]", '"city"', "6", "null", '"size": 12']
-    assert out[6:] == ["Pair {", '. ● name: Str { "size" }', '. ● value: Num { 12 }', "}", "true", "error: expected the end at 1:5"]
+    assert out[6] == GOOD and out[7:] == ["Pair {", '. ● name: Str { "size" }', '. ● value: Num { 12 }', "}", "error: other.json: no such files", "true", "error: expected the end at 1:5"]
 
 
 def test_cache_forgets_and_fills_gaps():
@@ -166,6 +166,68 @@ def test_aspects(spark):
     assert regex.compile("b+").match("abbb")[0] == "bbb"
 
 
+SCRIPT = """
+@Pair.sg_gen()
+def declare(node, scope):
+    scope.add_decl(node.name.text, node)
+
+@Str.sg_gen()
+def refer(node, scope):
+    scope.add_ref(node.text, node)
+
+def joined(a, b):
+    return path.join(a, b), re.compile("b").match("abc")[0], yaml.loads("[1]")
+"""
+
+
+def test_scripts():
+    from treeq.errors import TreeqError
+    from treeq.operators.aspects import Script
+
+    s = Script(SCRIPT)
+    assert set(s.aspects.by_kind) == {("Pair", "sg_gen"), ("Str", "sg_gen")} and s.call("joined", "a", "b") == ("a/b", "b", [1])
+    with pytest.raises(TreeqError):
+        Script("@A.x()\n@B.x()\ndef f(): pass")
+    with pytest.raises(TreeqError):
+        s.call("nothing")
+
+
+def test_language_stems(spark, folder):
+    (folder / "own.syl").write_text(parsed.builtin_spec("json"))
+    (folder / "own.py").write_text(SCRIPT)
+    (folder / "own.yaml").write_text("id: own\nspec: own.syl\naspects: [own.py]\n")
+    session = Session(spark)
+    f = session.files(["good.json"], str(folder / "own.yaml"), root=str(folder))
+    assert f.query("match Pair").count() == 2
+    assert session.resolved(f, str(folder / "own.yaml")).query("match Str s when any s.referenced_decls() match Pair").count() == 2
+    (folder / "bad.yaml").write_text("id: own\n")
+    with pytest.raises(ConfigError):
+        session.language(str(folder / "bad.yaml"))
+
+
+def test_projects_are_detected(tmp_path):
+    for name in ("a/setup.py", "a/sub/x.py", "a/sub/setup.py", "web/package.json", "web/src/i.js", "web/node_modules/m/package.json", "web/node_modules/m/i.js", "docs/c.yaml"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("")
+    assert [(p["language"], p.get("root")) for p in project.detect(tmp_path)] == [("json", None), ("python", "a"), ("javascript", "web"), ("yaml", None)]
+    assert cli.main(["init", str(tmp_path)]) == 0
+    made = project.projects(project.load_yaml(tmp_path / "treeq.yml"))
+    assert [(p.language, p.root) for p in made] == [("json", None), ("python", "a"), ("javascript", "web"), ("yaml", None)] and made[1].include == ("**/*.py",)
+
+
+def test_methods_can_be_added(spark):
+    from pyspark.sql import functions as F
+
+    from treeq.plans import compiler
+
+    compiler.METHODS["upper"] = lambda plan, value, args: compiler.Value("string", F.upper(value.col))
+    try:
+        f = parsed.forest(spark.createDataFrame([(1, GOOD)], "tree long, text string"), parsed.builtin_spec("json"))
+        assert [r["text"] for r in f.query("match Str s when s.text.upper() == '\"CITY\"'").collect()] == ['"city"']
+    finally:
+        del compiler.METHODS["upper"]
+
+
 def test_trees_written_out(spark):
     f = parsed.forest(spark.createDataFrame([(1, "[1, null]"), (2, "[]")], "tree long, text string"), parsed.builtin_spec("json"))
     out = {r["tree"]: r["rendered"] for r in reports.pretty_trees(f.nodes).collect()}

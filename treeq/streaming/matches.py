@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from treeq.errors import CompileError
+from treeq.lineage import Scratch
 from treeq.sources import parsed
 
 
@@ -23,5 +24,11 @@ def matches(sources: DataFrame, spec: str, query: str) -> DataFrame:
 
 
 def by_batches(sources: DataFrame, spec: str, query: str, write) -> DataStreamWriter:
-    """Any query, batch by batch; ``write(matches, number)`` takes each result."""
-    return sources.writeStream.foreachBatch(lambda batch, number: write(parsed.forest(batch, spec).query(query), number))
+    """Any query, batch by batch; ``write(matches, number)`` takes each result. A batch is parsed once."""
+
+    def one(batch: DataFrame, number: int) -> None:
+        made = parsed.forest(batch, spec).written()
+        write(made.query(query), number)
+        Scratch(batch.sparkSession, "streamed").drop(made.nodes)
+
+    return sources.writeStream.foreachBatch(one)
