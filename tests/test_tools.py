@@ -43,6 +43,9 @@ def test_check(spark, folder, capsys):
     out = capsys.readouterr().out
     assert [line.split(":")[0] for line in out.splitlines() if "[" in line and "]:" in line] == ["error[mixed_list]", "bug[big_number]", "help[shouting]"]
     assert "bad.json:2:2" in out and "= keep one kind" in out and '2 │  [1, "a"] ]' in out
+    (folder / "open.json").write_text('{"a": ')
+    assert cli.main(["check", "--config", config(folder, "open.json")]) == 1
+    assert "unexpected_eof: " in (out := capsys.readouterr().out) and "open.json:1:7: unexpected end of file" in out
     found = Session(spark).check(config(folder, "bad.json"))
     assert [r["rule_id"] for r in found.collect()] == ["mixed_list", "big_number", "shouting"] and reports.failed(found) == 1
     assert json.loads(reports.records(found, found["path"]).toJSON().first())["severity"] == "error"
@@ -59,6 +62,11 @@ def test_command_line(spark, folder, capsys, monkeypatch):
     assert cli.main(["query", "-l", "json", "-f", f"{folder}/good.json", "-q", "match Nothing"]) == 2
     assert cli.main(["init", str(folder)]) == 0 and project.projects(project.load_yaml(folder / "treeq.yml"))[0].language == "json"
     assert project.discover(folder) == folder / "treeq.yml"
+    for below in ("in/.treeq", "in/deep"):
+        (folder / below).mkdir(parents=True)
+    (folder / "in" / "treeq.yaml").write_text("[]")
+    (folder / "in" / "deep" / "treeq.yaml").write_text("[]")
+    assert project.discover(folder / "in" / "deep") == folder / "in" / "treeq.yaml"
 
 
 def test_prompt(spark, capsys):

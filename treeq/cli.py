@@ -80,9 +80,13 @@ def main(argv: list[str] | None = None) -> int:
             if not config:
                 print("no configuration", file=sys.stderr)
                 return 2
+            wrong = 0
+            for r in session.errors(str(config)).toLocalIterator():
+                print(f"{r['code']}: {r['path']}:{r['line']}:{r['col']}: {r['message']}")
+                wrong = 1
             found = session.check(str(config)).persist()
             paths = [r["path"].removeprefix("file:") for r in found.select("path").distinct().toLocalIterator()]
-            return write_reports(found, files.sources(spark, paths)) if paths else 0
+            return max(wrong, write_reports(found, files.sources(spark, paths)) if paths else 0)
         sources = files.sources(spark, a.files, a.exclude)
         if a.command == "ruleset":
             sets = [project.read_ruleset(r) for r in a.rulesets]

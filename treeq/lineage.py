@@ -44,7 +44,8 @@ class Scratch:
     def path(self, name: str) -> str:
         if not self.made:
             path, fs = self.file_system(self.root)
-            fs.deleteOnExit(path)
+            fs.mkdirs(path)
+            fs.deleteOnExit(path)  # only of what is there
         self.made += 1
         return f"{self.root}/{name}-{self.made}"
 

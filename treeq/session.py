@@ -49,16 +49,28 @@ class Session:
     def check(self, config: str) -> DataFrame:
         """Reports of all projects of a configuration file, worst first."""
         found = None
+        for sources, spec, sets in self.projects(config):
+            own = rules.check(parsed.forest(sources, spec).written(), sets)
+            own = own.join(sources.select("tree", "path"), "tree")
+            found = own if found is None else found.unionByName(own)
+        return reports.ordered(found)
+
+    def errors(self, config: str) -> DataFrame:
+        """``path, code, message, line, col`` of what couldn't be parsed in the projects of a configuration file."""
+        found = None
+        for sources, spec, _ in self.projects(config):
+            own = parsed.reports(sources, spec).join(sources.select("tree", "path"), "tree")
+            found = own if found is None else found.unionByName(own)
+        return found.select("path", "code", "message", "line", "col").distinct().orderBy("path", "line", "col")
+
+    def projects(self, config: str):
+        """The sources, specification and rulesets of every project of a configuration file."""
         folder = Path(config).parent
         for p in project.projects(project.load_yaml(config)):
             root = str(folder / p.root) if p.root else str(folder)
-            spec = str(folder / p.language) if (folder / p.language).exists() else p.language
+            language = str(folder / p.language) if (folder / p.language).exists() else p.language
             sources = files.sources(self.spark, list(p.include), list(p.exclude), root)
-            sets = [project.read_ruleset(project.local_path(r, folder)) for r in p.rulesets]
-            own = rules.check(parsed.forest(sources, self.language(spec)).written(), sets)
-            own = own.join(sources.select("tree", "path"), "tree")
-            found = own if found is None else found.unionByName(own)
-        return reports.ordered(found)
+            yield sources, self.language(language), [project.read_ruleset(project.local_path(r, folder)) for r in p.rulesets]
 
     def eval(self, forest: Forest, text: str):
         """The value of an expression over remembered nodes (``$0``), as text."""

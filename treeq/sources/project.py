@@ -9,7 +9,7 @@ from pathlib import Path
 from treeq.errors import ConfigError
 from treeq.operators.rules import RuleSet
 
-CONFIG = ("treeq.yml", "treeq.yaml")
+CONFIG, MARKER = ("treeq.yml", "treeq.yaml"), ".treeq"
 
 
 def load_yaml(path: str | Path):
@@ -72,9 +72,11 @@ def read_ruleset(path: str | Path) -> RuleSet:
 
 
 def discover(start: str | Path = ".") -> Path | None:
-    """The configuration in the folder or the nearest one above it."""
+    """The configuration beside the nearest ``MARKER`` folder upwards, or else the nearest one upwards."""
     here = Path(start).resolve()
-    for folder in (here, *here.parents):
+    folders = [here, *here.parents]
+    marked = [f for f in folders if (f / MARKER).is_dir()][:1]
+    for folder in (*marked, *folders):
         for name in CONFIG:
             if (folder / name).is_file():
                 return folder / name
