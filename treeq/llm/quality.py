@@ -112,10 +112,11 @@ class NaiveBayesSvm:
         return 1 / (1 + np.exp(-np.clip(self.a * self.margins(rows) + self.b, -30, 30)))
 
 
-def log_ratios(row: np.ndarray, terms: np.ndarray, y: np.ndarray) -> np.ndarray:
+def log_ratios(starts: np.ndarray, terms: np.ndarray, y: np.ndarray) -> np.ndarray:
     """By slot, the log-ratio of its share of all indicators in class 1 and in class 0,
     counted from 1; 0 for slots that fewer than ``LEAST`` rows have."""
-    counts = [1.0 + np.bincount(terms[y[row] == k], minlength=DIMS) for k in (0, 1)]
+    kind = np.repeat(y.astype(np.int8), np.diff(starts))
+    counts = [1.0 + np.bincount(terms[kind == k], minlength=DIMS) for k in (0, 1)]
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     ratio[counts[0] + counts[1] < 2 + LEAST] = 0.0
     return ratio
@@ -168,10 +169,9 @@ def fitted(starts: np.ndarray, terms: np.ndarray, y: np.ndarray, c: float = 0.1,
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.5
         return NaiveBayesSvm(np.zeros(DIMS, dtype=np.float32), 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    row = np.repeat(np.arange(len(y)), np.diff(starts))
-    ratio = log_ratios(row, terms, y)
-    telling = ratio[terms] != 0.0
-    starts, terms = np.concatenate([[0], np.cumsum(np.bincount(row[telling], minlength=len(y)))]), terms[telling]
+    ratio = log_ratios(starts, terms, y)
+    telling = (ratio != 0.0)[terms]
+    starts, terms = np.concatenate([[0], np.cumsum(telling)])[starts], terms[telling]
     # every fifth row is left to fit the curve
     fits = np.flatnonzero(np.arange(len(y)) % 5 != 4)
     held = np.flatnonzero(np.arange(len(y)) % 5 == 4)

@@ -14,7 +14,7 @@ from treeq.llm.common import Scratch, tidy
 #: Hashed terms are numbers below this; a model is a fixed number of arrays of this length.
 DIMS = 1 << 20
 #: Labelled documents that a classifier is fitted on at most, and the terms in all of them.
-MAX_LABELLED, MAX_TERMS = 16_000, 1 << 24
+MAX_LABELLED, MAX_TERMS = 16_000, 1 << 23
 #: Entries of a worker's memory of words; it is emptied when full.
 MEMO = 100_000
 
