@@ -170,7 +170,7 @@ def fitted(starts: np.ndarray, terms: np.ndarray, y: np.ndarray, epochs: int = 1
     if len(set(y.tolist())) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return FactorizationMachine(place, float(np.log((share + 1e-9) / (1 - share + 1e-9))), np.zeros(0), np.zeros((0, RANK)))
-    row = np.repeat(np.arange(len(y)), np.diff(starts))
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(starts))
     kept = screen(row, terms, y)
     place[kept] = np.arange(len(kept))
     rng = np.random.default_rng(8)
