@@ -72,7 +72,7 @@ def test_command_line(spark, folder, capsys, monkeypatch):
 def test_prompt(spark, capsys):
     forest = parsed.forest(spark.createDataFrame([(1, GOOD)], "tree long, text string"), parsed.builtin_spec("json"))
     lines = ["match Pair p;", "$0.name.text", "$0.name.text.length", "$0.parent.parent.parent", ":print $1", ":print_ast $1", ":print other.json", "$0.next_sibling == $1", "bad bad", ":quit", "never"]
-    cli.prompt(Session(spark), forest, spark.createDataFrame([(1, "a/good.json", GOOD)], "tree long, path string, text string"), [*lines[:6], ":print good.json", *lines[6:]])
+    cli.prompt(Session(spark), forest, spark.createDataFrame([(1, "a/good.json", GOOD)], "tree long, path string, text string"), [*lines[:5], ":print good.json", *lines[5:]])
     out = capsys.readouterr().out.splitlines()
     assert out[:6] == ["$0: [Pair 1:2]", "$1: [Pair 1:18]", '"city"', "6", "null", '"size": 12']
     assert out[6] == GOOD and out[7:] == ["Pair {", '. ● name: Str { "size" }', '. ● value: Num { 12 }', "}", "error: other.json: no such files", "true", "error: expected the end at 1:5"]
