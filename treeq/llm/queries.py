@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treeq.llm import ann, decontam, langid, linededup, mixing, quality, simhash, tokenstore, toxicity, urlfilter
+from treeq.llm import ann, decontam, hardneg, langid, linededup, mixing, quality, simhash, tokenstore, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontamination": decontam.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_line_dedup": linededup.query,
     "op10_source_mixing": mixing.query,
+    "op11_hard_negatives": hardneg.query,
+    "op13_warc": warc.query,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,6 @@ ORACLE_SQL = {
     "op7_url_filter": urlfilter.ORACLE_SQL,
     "op9_line_dedup": linededup.ORACLE_SQL,
     "op10_source_mixing": mixing.ORACLE_SQL,
+    "op11_hard_negatives": hardneg.ORACLE_SQL,
+    "op13_warc": warc.ORACLE_SQL,
 }
