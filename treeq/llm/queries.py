@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from treeq.llm import ann, decontam, hardneg, langid, linededup, mixing, quality, simhash, tokenstore, toxicity, urlfilter, warc
+from treeq.llm import ann, crosstok, decontam, hardneg, langid, linededup, mixing, quality, simhash, tokenstore, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_decontamination": decontam.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": linededup.query,
     "op10_source_mixing": mixing.query,
     "op11_hard_negatives": hardneg.query,
+    "op12_cross_tokenizer": crosstok.query,
     "op13_warc": warc.query,
 }
 
