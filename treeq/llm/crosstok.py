@@ -1,9 +1,9 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
 ``align`` is relational: it posexplodes the tokens of each key, sums their lengths in a
-window, joins both sides on key and end, numbers the groups between common ends by a
-running count of cuts, and joins the groups. Ends are bytes. The tokens of a key are dealt
-out once, as arrays; what follows keeps that partitioning.
+window, joins both sides on key and end, and numbers the groups between common ends by a
+running count of cuts; a group's tokens are the range of places between two cuts. Ends are
+bytes. Tokens lie in buckets by key, so none of these steps deals them out again.
 
 Neither tokenizer joins across a space between two characters that aren't white space,
 so such a space begins a token on both sides. ``aligned`` cuts texts there into segments, counts each
@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from hashlib import sha256
 
@@ -46,7 +47,7 @@ ODD = rf"^ | $|^$| {_BLANK}|{_BLANK} "
 #: Segments that are broadcast, and their longest in bytes, which bounds a row to some 600 bytes.
 HOT, HOT_LENGTH = 400_000, 48
 #: Bytes of text that are cut at once, and segments that are encoded at once.
-BYTES, ENCODED = 4 << 20, 1 << 18
+BYTES, ENCODED = 8 << 20, 1 << 20
 _LOADED: dict[tuple[str, str], tuple] = {}
 
 
@@ -126,8 +127,21 @@ def whole(texts: pa.Array, a: str, b: str, splits: bool, fine: dict[str, bool])
     return np.array(out, dtype=bool)
 
 
-def counted(docs: DataFrame, a: str, b: str, splits: bool) -> DataFrame:
-    """``segment, n``: the distinct segments of the texts that have tokens, with their occurrences."""
+def keys_of(segments: pa.Array) -> pa.Array:
+    """A short name for each segment: itself, or a digest of a long one."""
+    short = pc.less_equal(pc.binary_length(segments), HOT_LENGTH)
+    keys = pc.binary_join_element_wise("=", segments, "")
+    if pc.all(short).as_py() is False:
+        long = pa.array(["#" + sha256(s.encode()).hexdigest() for s in segments.filter(pc.invert(short)).to_pylist()], keys.type)
+        keys = pc.replace_with_mask(keys, pc.invert(short), long)
+    return keys
+
+
+def counted(docs: DataFrame, a: str, b: str, splits: bool, count: int) -> DataFrame:
+    """``key, text, n``: the distinct segments of the texts that have tokens, with their occurrences.
+
+    ``text`` is null where the key holds it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fine: dict[str, bool] = {}
@@ -135,38 +149,79 @@ def counted(docs: DataFrame, a: str, b: str, splits: bool) -> DataFrame:
             for part in portions(batch, 0):
                 texts = part.column(0)
                 found = pieces(texts.filter(pa.array(whole(texts, a, b, splits, fine))), splits).flatten().value_counts()
-                yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["segment", "n"])
+                segments = found.field("values")
+                keys = keys_of(segments)
+                text = pc.if_else(pc.starts_with(keys, "#"), segments, None)
+                yield pa.RecordBatch.from_arrays([keys, text, found.field("counts")], ["key", "text", "n"])
         tidy()
 
-    return docs.select("text").mapInArrow(run, "segment string, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(run, "key string, text string, n long")
+    return rows.repartition(count, "key").groupBy("key", "text").agg(F.sum("n").alias("n"))
 
 
 TOKENS = ["a", "a_bytes", "b", "b_bytes"]
-
-
-def tokenized(segments: DataFrame, a: str, b: str) -> DataFrame:
-    """Adds the ids of both sides and the lengths of their tokens as arrays."""
-
-    def lists(rows: list[list[int]], sizes: np.ndarray) -> list[pa.Array]:
-        ids = np.fromiter((i for r in rows for i in r), dtype=np.int32)
-        offsets = pa.array(np.cumsum([0, *map(len, rows)], dtype=np.int32))
-        return [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids, sizes[ids])]
+#: Segments that are encoded as one text.
+JOINED = 500
+
+
+def side_of(groups: list[list[int]], texts: list[bytes], ends: list[np.ndarray], of: list[bytes], sizes: np.ndarray):
+    """Ids of all texts, and how many each of their segments has; None where a segment's end is no token's."""
+    ids, counts = [], []
+    for own, text, stops in zip(groups, texts, ends):
+        x = np.array(own, dtype=np.int32)
+        upto = np.cumsum(sizes[x])
+        at = np.searchsorted(upto, stops)
+        if b"".join(map(of.__getitem__, own)) != text or (upto[np.minimum(at, len(upto) - 1)] != stops).any():
+            return None
+        ids.append(x)
+        counts.append(np.diff(at + 1, prepend=0))
+    empty = np.zeros(0, dtype=np.int32)
+    return np.concatenate([empty, *ids]), np.concatenate([empty, *counts])
+
+
+def tokens_of(segments: list[str], a: str, b: str, splits: bool) -> list[np.ndarray]:
+    """Ids and counts of both sides. Many segments are encoded as one text where no token joins across their spaces."""
+    left, right, of_a, of_b = loaded(a, b)
+    size_a, size_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (of_a, of_b))
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for lo in range(0, len(segments), JOINED):
+        some = segments[lo : lo + JOINED]
+        joins = splits and all(s and not s[0].isspace() and not s[-1].isspace() for s in some)
+        for parts in ([[some], [[s] for s in some]] if joins else [[[s] for s in some]]):
+            texts = [" ".join(p) for p in parts]
+            raw = [(" " + t).encode() for t in texts]
+            ends = [np.cumsum([len(s.encode()) + 1 for s in p]) for p in parts]
+            ours = side_of([e.ids for e in left.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], raw, ends, of_a, size_a)
+            theirs = side_of(right.encode(texts, num_threads=1), raw, ends, of_b, size_b)
+            if ours and theirs:
+                break
+        else:
+            # their characters come back one by one, but not together
+            raise ValueError(f"the tokens don't give back one of {some[:3]!r}")
+        for held, x in zip(out, [*ours, *theirs]):
+            held.append(x)
+    return [np.concatenate([np.zeros(0, dtype=np.int32), *x]) for x in out]
+
+
+def tokenized(segments: DataFrame, a: str, b: str, splits: bool) -> DataFrame:
+    """``key, n`` with the ids of both sides and the lengths of their tokens as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, of_a, of_b = loaded(a, b)
         size_a, size_b = (np.array(list(map(len, x)), dtype=np.int32) for x in (of_a, of_b))
         for batch in batches:
-            for part in portions(batch, 0, ENCODED):
-                segments = part.column(0).to_pylist()
-                both = list(encoded(segments, a, b))
-                if None in both:
-                    # its characters come back one by one, but not together
-                    raise ValueError(f"the tokens don't give back {segments[both.index(None)][:100]!r}")
-                columns = lists([x for x, _ in both], size_a) + lists([y for _, y in both], size_b)
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *TOKENS])
+            for part in portions(batch, 1, ENCODED):
+                keys = part.column(0)
+                texts = pc.coalesce(part.column(1), pc.utf8_slice_codeunits(keys, 1)).to_pylist()
+                ids_a, n_a, ids_b, n_b = tokens_of(texts, a, b, splits)
+                columns = []
+                for ids, n, sizes in ((ids_a, n_a, size_a), (ids_b, n_b, size_b)):
+                    offsets = pa.array(np.cumsum([0, *n], dtype=np.int32))
+                    columns += [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (ids, sizes[ids])]
+                yield pa.RecordBatch.from_arrays([keys, part.column(2), *columns], ["key", "n", *TOKENS])
         tidy()
 
-    return segments.mapInArrow(run, "segment string, n long, key long, " + ", ".join(f"{c} array<int>" for c in TOKENS))
+    return segments.mapInArrow(run, "key string, n long, " + ", ".join(f"{c} array<int>" for c in TOKENS))
 
 
 @contextmanager
@@ -182,35 +237,39 @@ def dealt_by_key(spark: SparkSession):
 
 
 def align(tokens: DataFrame) -> DataFrame:
-    """``key, grp, a, b, link`` of ``tokens(key, a, a_bytes, b, b_bytes)``.
+    """``key, cuts`` of ``tokens(key, a, a_bytes, b, b_bytes)``: for each key its cuts in order, ``grp, a_to, b_to``.
 
-    A row is a group, numbered from 0: the ids of both sides in order. ``link`` holds the two tokens
-    that end together, the last of each side. Both sides of a key cover the same bytes, and a token holds
-    one at least, so no two tokens of a side end together and every group has its link.
+    A cut is an end that both sides share; ``grp`` is the running count of cuts before it, and the places of the
+    two tokens that end there close group ``grp``. They are the group's link. A token holds at
+    least one byte, so no two tokens of a side end together.
     """
 
     def side(name: str) -> DataFrame:
-        own = tokens.select("key", name, f"{name}_bytes").repartition("key")
-        rows = own.select("key", F.posexplode(F.arrays_zip(name, f"{name}_bytes")).alias("pos", "t"))
-        upto = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-        return rows.select("key", "pos", F.col(f"t.{name}").alias(name), F.sum(f"t.{name}_bytes").over(upto).alias("end"))
+        rows = tokens.select("key", F.posexplode(f"{name}_bytes").alias(f"{name}_to", "bytes"))
+        upto = Window.partitionBy("key").orderBy(f"{name}_to").rowsBetween(Window.unboundedPreceding, 0)
+        return rows.select("key", f"{name}_to", F.sum("bytes").over(upto).alias("end"))
+
+    both = side("a").join(side("b"), ["key", "end"])
+    grp = (F.row_number().over(Window.partitionBy("key").orderBy("end")) - 1).alias("grp")
+    cuts = both.select("key", F.struct(grp, "a_to", "b_to").alias("cut"))
+    return cuts.groupBy("key").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+
+
+def ranges(ids: Column, to: str) -> Callable[[Column, Column], Column]:
+    """The part of ``ids`` that belongs to a cut: what comes after the one before, up to its own place."""
 
-    def grouped(own: DataFrame, ends: DataFrame, name: str, other: str) -> DataFrame:
-        before = Window.partitionBy("key").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-        marked = own.join(ends.select("key", "end", F.col(other)), ["key", "end"], "left")
-        cut = F.when(F.col(other).isNotNull(), 1).otherwise(0)
-        numbered = marked.withColumn("grp", F.coalesce(F.sum(cut).over(before), F.lit(0)))
-        ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", name))), lambda t: t[name])
-        return numbered.groupBy("key", "grp").agg(ids.alias("ids"), F.max(F.when(cut == 1, F.struct("a", "b"))).alias("link"))
+    def own(cut: Column, i: Column) -> Column:
+        last = F.coalesce(F.get("cuts", i - 1)[to], F.lit(-1))
+        return F.slice(ids, last + 2, cut[to] - last)
 
-    left, right = side("a"), side("b")
-    ours = grouped(left, right, "a", "b").withColumnRenamed("ids", "a")
-    theirs = grouped(right, left, "b", "a").select("key", "grp", F.col("ids").alias("b"))
-    return ours.join(theirs, ["key", "grp"]).select("key", "grp", "a", "b", "link")
+    return own
 
 
-def shown(ids: Column) -> Column:
-    return F.array_join(ids.cast("array<string>"), ",")
+def groups(tokens: DataFrame) -> DataFrame:
+    """``key, grp, a, b``: the ids of both sides in each group; the last of each are linked."""
+    joined = tokens.join(align(tokens), "key")
+    both = F.transform("cuts", lambda c, i: F.struct(ranges(F.col("a"), "a_to")(c, i).alias("a"), ranges(F.col("b"), "b_to")(c, i).alias("b")))
+    return joined.select("key", F.posexplode(both).alias("grp", "g")).select("key", "grp", "g.a", "g.b")
 
 
 FIGURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -218,28 +277,30 @@ _NUMBERS = ", ".join(f"{c} long" for c in FIGURES)
 
 
 def segment_table(docs: DataFrame, scratch: Scratch, a: str, b: str, splits: bool) -> DataFrame:
-    """``segment, n, groups`` and ``FIGURES`` of every distinct segment of the texts that have tokens."""
-    segments = scratch.save(counted(docs, a, b, splits), "segments")
-    tokens = scratch.save(tokenized(segments.withColumn("key", F.monotonically_increasing_id()), a, b), "tokens")
+    """``key, n, groups`` and ``FIGURES`` of every distinct segment of the texts that have tokens, in buckets by key."""
+    count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = scratch.bucketed(tokenized(counted(docs, a, b, splits, count), a, b, splits), "tokens", ["key"], count)
     with dealt_by_key(docs.sparkSession):
-        string = F.concat(shown(F.col("a")), F.lit("|"), shown(F.col("b")))
-        rows = align(tokens).select("key", F.struct("grp", string.alias("s"), "link").alias("g"))
-        rows = rows.groupBy("key").agg(F.array_sort(F.collect_list("g")).alias("g"))
-        groups = F.array_join(F.transform("g", lambda g: g["s"]), ";").alias("groups")
-        parts = scratch.save(rows.select("key", groups, F.transform("g", lambda g: g["link"]).alias("links")), "groups")
-    weights = tokens.select("key", "n")
-    pairs = parts.join(weights, "key").select("key", "n", F.explode("links").alias("x")).select("key", "n", "x.a", "x.b")
-    counts = scratch.save(pairs.groupBy("a", "b").agg(F.sum("n").alias("count")), "counts")
-    best = counts.groupBy("b").agg(F.max("count").alias("most"))
-    valued = counts.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
-    valued = scratch.save(valued, "valued")
-    met = pairs.drop("n").join(bounded(valued), ["a", "b"])
-    sums = met.groupBy("key").agg(
-        F.count("*").alias("n_links"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum")
-    )
-    facts = tokens.select("key", "segment", "n", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"))
-    texts = parts.select("key", "groups", F.size("links").cast("long").alias("n_groups"))
-    return scratch.save(facts.join(texts, "key").join(sums, "key").select("segment", "n", "groups", *FIGURES), "table")
+        joined = tokens.join(align(tokens), "key").withColumns({"sa": F.col("a").cast("array<string>"), "sb": F.col("b").cast("array<string>")})
+        shown = lambda ids, to: lambda c, i: F.array_join(ranges(F.col(ids), to)(c, i), ",")
+        string = F.transform("cuts", lambda c, i: F.concat(shown("sa", "a_to")(c, i), F.lit("|"), shown("sb", "b_to")(c, i)))
+        parts = joined.select(
+            "key", "n", F.array_join(string, ";").alias("groups"),
+            F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.size("cuts").cast("long").alias("n_groups"),
+            F.transform("cuts", lambda c: F.get("a", c["a_to"])).alias("link_a"), F.transform("cuts", lambda c: F.get("b", c["b_to"])).alias("link_b"),
+        )
+        parts = scratch.bucketed(parts, "parts", ["key"], count)
+        scratch.drop(tokens)
+        links = parts.select("key", "n", F.explode(F.arrays_zip("link_a", "link_b")).alias("x")).select("key", "n", F.col("x.link_a").alias("a"), F.col("x.link_b").alias("b"))
+        counts = scratch.save(links.groupBy("a", "b").agg(F.sum("n").alias("count")), "counts")
+        best = counts.groupBy("b").agg(F.max("count").alias("most"))
+        valued = counts.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
+        valued = scratch.save(valued, "valued")
+        sums = links.drop("n").join(bounded(valued), ["a", "b"]).groupBy("key")
+        sums = sums.agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        table = scratch.bucketed(parts.join(sums, "key").select("key", "n", "groups", *FIGURES), "table", ["key"], count)
+        scratch.drop(parts)
+    return table
 
 
 def coded(docs: DataFrame, hot, a: str, b: str, splits: bool) -> DataFrame:
@@ -260,8 +321,8 @@ def coded(docs: DataFrame, hot, a: str, b: str, splits: bool) -> DataFrame:
                 has = whole(texts, a, b, splits, fine)
                 lists = pieces(texts.filter(pa.array(has)), splits)
                 own = lists.flatten().dictionary_encode()
-                words = own.dictionary.to_pylist()
-                place = np.fromiter((index.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+                keys = keys_of(own.dictionary).to_pylist()
+                place = np.fromiter((index.get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
                 at = own.indices.to_numpy()
                 borders = lists.offsets.to_numpy() - lists.offsets[0].as_py()
                 rows = iter(zip(borders, borders[1:]))
@@ -276,10 +337,10 @@ def coded(docs: DataFrame, hot, a: str, b: str, splits: bool) -> DataFrame:
                     if (mine < 0).any():
                         distinct, turn = np.unique(at[lo:hi][mine < 0], return_inverse=True)
                         mine[mine < 0] = len(names) + turn
-                        rare.append([words[i] for i in distinct])
+                        rare.append([keys[i] for i in distinct])
                     else:
                         rare.append([])
-                    codes.append(mine.astype("<u4").tobytes())
+                    codes.append(zlib.compress(mine.astype("<u4").tobytes(), 1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["doc_id", "codes", "rare"])
         tidy()
 
@@ -298,7 +359,7 @@ def composed(hot):
                     if codes is None:
                         digests.append("")
                         continue
-                    at = np.frombuffer(codes, dtype="<u4").astype(np.int64)
+                    at = np.frombuffer(zlib.decompress(codes), dtype="<u4").astype(np.int64)
                     if own:
                         own.sort(key=lambda x: x["pos"])
                         far = at >= len(groups)
@@ -323,16 +384,16 @@ def aligned(docs: DataFrame, a: str | None = None, b: str | None = None, splits:
     a, b = a or public_tokenizers.path(A), b or public_tokenizers.path(B)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = segment_table(docs, scratch, a, b, splits)
-    short = table.filter(F.octet_length("segment") <= HOT_LENGTH)
-    frequent = short.orderBy(F.desc("n"), "segment").limit(hot).toArrow()  # bounded in rows and bytes
+    short = table.filter(F.col("key").startswith("="))
+    frequent = short.orderBy(F.desc("n"), "key").limit(hot).toArrow()  # bounded in rows and bytes
     figures = np.stack([frequent.column(f).to_numpy() for f in FIGURES], axis=1) if frequent.num_rows else np.zeros((0, len(FIGURES)), dtype=np.int64)
-    known = spark.sparkContext.broadcast((frequent.column("segment").to_pylist(), frequent.column("groups").to_pylist(), figures))
+    known = spark.sparkContext.broadcast((frequent.column("key").to_pylist(), frequent.column("groups").to_pylist(), figures))
     del frequent, figures
-    texts = scratch.save(coded(docs, known, a, b, splits).withColumn("key", F.monotonically_increasing_id()), "codes")
-    rare = texts.select("key", F.posexplode("rare").alias("pos", "segment"))
-    brought = rare.join(table.drop("n"), "segment").select("key", F.struct("pos", "groups", *FIGURES).alias("x"))
-    brought = brought.groupBy("key").agg(F.collect_list("x").alias("own"))  # a text's own segments
-    met = texts.select("key", "doc_id", "codes").join(brought, "key", "left").select("doc_id", "codes", "own")
+    texts = scratch.save(coded(docs, known, a, b, splits).withColumn("row", F.monotonically_increasing_id()), "codes")
+    rare = texts.select("row", F.posexplode("rare").alias("pos", "key"))
+    brought = rare.join(table.drop("n"), "key").select("row", F.struct("pos", "groups", *FIGURES).alias("x"))
+    brought = brought.groupBy("row").agg(F.collect_list("x").alias("own"))  # a text's own segments
+    met = texts.select("row", "doc_id", "codes").join(brought, "row", "left").select("doc_id", "codes", "own")
     return met.mapInArrow(composed(known), f"doc_id long, {_NUMBERS}, groups_sha256 string")
 
 
