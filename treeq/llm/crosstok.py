@@ -45,9 +45,9 @@ BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 ODD = rf"^ | $|^$| {_BLANK}|{_BLANK} "
 #: Segments that are broadcast, and their longest in bytes, which bounds a row to some 600 bytes.
-HOT, HOT_LENGTH = 400_000, 48
-#: Bytes of text that are cut at once, and segments that are encoded at once.
-BYTES, ENCODED = 8 << 20, 1 << 20
+HOT, HOT_LENGTH = 600_000, 48
+#: Bytes of text that are cut at once, of segments that are encoded at once, and of packed codes.
+BYTES, ENCODED, CODES = 8 << 20, 1 << 20, 1 << 19
 _LOADED: dict[tuple[str, str], tuple] = {}
 
 
@@ -112,19 +112,23 @@ def portions(batch: pa.RecordBatch, column: int, most: int = BYTES) -> Iterator[
         start = stop
 
 
-def whole(texts: pa.Array, a: str, b: str, splits: bool, fine: dict[str, bool]) -> np.ndarray:
-    """Which texts the tokens of both sides give back. ``fine`` remembers characters.
+def whole(texts: pa.Array, a: str, b: str, splits: bool, fine: set[str]) -> pa.Array:
+    """Which texts the tokens of both sides give back. ``fine`` remembers characters that do.
 
-    Texts of characters that each come back pass at once; of others, the segments are encoded.
+    Texts of such characters pass at once; of others, the segments are encoded.
     """
-    out = []
-    for text in texts.to_pylist():
-        own = set(text or "")
-        if new := [c for c in own if c not in fine]:
-            fine.update((c, x is not None) for c, x in zip(new, encoded(new, a, b)))
-        good = all(map(fine.__getitem__, own))
-        out.append(bool(text) and (good or None not in encoded(BETWEEN.split(text) if splits else [text], a, b)))
-    return np.array(out, dtype=bool)
+    texts = pc.fill_null(texts, "")
+    other = f"[^{''.join(rf'\x{{{ord(c):X}}}' for c in sorted(fine))}]" if fine else "(?s)."
+    odd = pc.match_substring_regex(texts, other)
+    passed = dict.fromkeys(np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist(), True)
+    for i in passed:
+        text = texts[i].as_py()
+        new = sorted(set(text).difference(fine))
+        fine.update(c for c, x in zip(new, encoded(new, a, b)) if x)
+        passed[i] = fine.issuperset(text) or None not in encoded(BETWEEN.split(text) if splits else [text], a, b)
+    good = pc.not_equal(texts, "").to_numpy(zero_copy_only=False).copy()
+    good[list(passed)] = list(passed.values())
+    return pa.array(good)
 
 
 def keys_of(segments: pa.Array) -> pa.Array:
@@ -144,11 +148,11 @@ def counted(docs: DataFrame, a: str, b: str, splits: bool, count: int) -> DataFr
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fine: dict[str, bool] = {}
+        fine: set[str] = set()
         for batch in batches:
             for part in portions(batch, 0):
                 texts = part.column(0)
-                found = pieces(texts.filter(pa.array(whole(texts, a, b, splits, fine))), splits).flatten().value_counts()
+                found = pieces(texts.filter(whole(texts, a, b, splits, fine)), splits).flatten().value_counts()
                 segments = found.field("values")
                 keys = keys_of(segments)
                 text = pc.if_else(pc.starts_with(keys, "#"), segments, None)
@@ -277,7 +281,10 @@ _NUMBERS = ", ".join(f"{c} long" for c in FIGURES)
 
 
 def segment_table(docs: DataFrame, scratch: Scratch, a: str, b: str, splits: bool) -> DataFrame:
-    """``key, n, groups`` and ``FIGURES`` of every distinct segment of the texts that have tokens, in buckets by key."""
+    """``key, n, groups, n_a, n_best, count_sum`` of every distinct segment of the texts that have tokens, in buckets by key.
+
+    ``groups`` reads ``a1,a2|b1;a3|b2,b3``, so the other figures are counts of its marks.
+    """
     count = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = scratch.bucketed(tokenized(counted(docs, a, b, splits, count), a, b, splits), "tokens", ["key"], count)
     with dealt_by_key(docs.sparkSession):
@@ -286,7 +293,7 @@ def segment_table(docs: DataFrame, scratch: Scratch, a: str, b: str, splits: boo
         string = F.transform("cuts", lambda c, i: F.concat(shown("sa", "a_to")(c, i), F.lit("|"), shown("sb", "b_to")(c, i)))
         parts = joined.select(
             "key", "n", F.array_join(string, ";").alias("groups"),
-            F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), F.size("cuts").cast("long").alias("n_groups"),
+            F.size("a").cast("long").alias("n_a"),
             F.transform("cuts", lambda c: F.get("a", c["a_to"])).alias("link_a"), F.transform("cuts", lambda c: F.get("b", c["b_to"])).alias("link_b"),
         )
         parts = scratch.bucketed(parts, "parts", ["key"], count)
@@ -297,80 +304,84 @@ def segment_table(docs: DataFrame, scratch: Scratch, a: str, b: str, splits: boo
         valued = counts.join(best, "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
         valued = scratch.save(valued, "valued")
         sums = links.drop("n").join(bounded(valued), ["a", "b"]).groupBy("key")
-        sums = sums.agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-        table = scratch.bucketed(parts.join(sums, "key").select("key", "n", "groups", *FIGURES), "table", ["key"], count)
+        sums = sums.agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+        table = scratch.bucketed(parts.join(sums, "key").select("key", "n", "groups", "n_a", "n_best", "count_sum"), "table", ["key"], count)
         scratch.drop(parts)
     return table
 
 
+def listed(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes], dtype=np.int32)), values)
+
+
 def coded(docs: DataFrame, hot, a: str, b: str, splits: bool) -> DataFrame:
     """``doc_id, codes, rare``: a text's segments as places in the broadcast table, and after its end, in ``rare``.
 
     Codes are null for a text without tokens.
     """
-    index: dict[str, int] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = hot.value[0]
-        if not index:
-            index.update(zip(names, range(len(names))))
-        fine: dict[str, bool] = {}
+        frequent, _, _ = hot.value
+        fine: set[str] = set()
         for batch in batches:
             for part in portions(batch, 1):
                 texts = part.column(1)
                 has = whole(texts, a, b, splits, fine)
-                lists = pieces(texts.filter(pa.array(has)), splits)
+                lists = pieces(texts.filter(has), splits)
                 own = lists.flatten().dictionary_encode()
-                keys = keys_of(own.dictionary).to_pylist()
-                place = np.fromiter((index.get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
+                keys = keys_of(own.dictionary)
+                place = pc.fill_null(pc.index_in(keys, value_set=frequent), -1).to_numpy().astype(np.int64)
                 at = own.indices.to_numpy()
-                borders = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                rows = iter(zip(borders, borders[1:]))
-                codes, rare = [], []
-                for there in has.tolist():
-                    if not there:
-                        codes.append(None)
-                        rare.append([])
-                        continue
-                    lo, hi = next(rows)
-                    mine = place[at[lo:hi]]
-                    if (mine < 0).any():
-                        distinct, turn = np.unique(at[lo:hi][mine < 0], return_inverse=True)
-                        mine[mine < 0] = len(names) + turn
-                        rare.append([keys[i] for i in distinct])
-                    else:
-                        rare.append([])
-                    codes.append(zlib.compress(mine.astype("<u4").tobytes(), 1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))], ["doc_id", "codes", "rare"])
+                sizes = np.zeros(len(texts), dtype=np.int64)
+                sizes[has.to_numpy(zero_copy_only=False)] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(texts)), sizes)
+                codes = place[at]
+                far = codes < 0
+                pairs, turn = np.unique(row[far] * len(keys) + at[far], return_inverse=True)
+                rows, words = np.divmod(pairs, max(1, len(keys)))
+                codes[far] = len(frequent) + turn - np.searchsorted(rows, row[far])
+                data, upto = codes.astype("<u4").tobytes(), np.cumsum([0, *sizes]) * 4
+                packed = [zlib.compress(data[x:y], 1) if y > x else None for x, y in zip(upto.tolist(), upto[1:].tolist())]
+                rare = listed(np.bincount(rows, minlength=len(texts)), keys.take(pa.array(words)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary()), rare], ["doc_id", "codes", "rare"])
         tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, codes binary, rare array<string>")
 
 
+def figured(groups: pa.Array, n_a: np.ndarray, best: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """``FIGURES`` from the strings of groups, the tokens of one side, and what follows from counts."""
+    marks = [pc.count_substring(groups, m).to_numpy(zero_copy_only=False).astype(np.int64) for m in "|;,"]
+    return np.stack([n_a, sum(marks) + 1 - n_a, marks[0], marks[0], best, sums], axis=1)
+
+
 def composed(hot):
     """What turns codes into a document's figures, from the broadcast table and what each row brings of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, groups, figures = hot.value
+        frequent, groups, figures = hot.value
         for batch in batches:
-            for part in portions(batch, 1, 1 << 20):
-                sums, digests = np.zeros((part.num_rows, len(FIGURES)), dtype=np.int64), []
-                for i, (codes, own) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
-                    if codes is None:
-                        digests.append("")
-                        continue
-                    at = np.frombuffer(zlib.decompress(codes), dtype="<u4").astype(np.int64)
-                    if own:
-                        own.sort(key=lambda x: x["pos"])
-                        far = at >= len(groups)
-                        more = np.array([[x[f] for f in FIGURES] for x in own], dtype=np.int64)
-                        sums[i] = more[at[far] - len(groups)].sum(axis=0) + figures[at[~far]].sum(axis=0)
-                        extra = [x["groups"] for x in own]
-                        strings = [groups[k] if k < len(groups) else extra[k - len(groups)] for k in at.tolist()]
-                    else:
-                        sums[i] = figures[at].sum(axis=0)
-                        strings = map(groups.__getitem__, at.tolist())
-                    digests.append(sha256(";".join(strings).encode()).hexdigest())
+            for part in portions(batch, 1, CODES):
+                data = [zlib.decompress(x) if x else b"" for x in part.column(1).to_pylist()]
+                sizes = np.array([len(x) // 4 for x in data], dtype=np.int64)
+                at = np.frombuffer(b"".join(data), dtype="<u4").astype(np.int64)
+                own = part.column(2)
+                n = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                first = np.cumsum(n) - n
+                x = own.flatten()
+                pos, *numbers = (x.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("pos", "n_a", "n_best", "count_sum"))
+                order = np.empty(len(x), dtype=np.int64)
+                order[np.repeat(first, n) + pos] = np.arange(len(x))
+                rare = x.field("groups").take(pa.array(order))
+                pool = pa.concat_arrays([groups, rare])
+                worth = np.concatenate([figures, figured(rare, *[v[order] for v in numbers])])
+                at += np.where(at >= len(frequent), np.repeat(first, sizes), 0)
+                joined = pc.binary_join(listed(sizes, pool.take(pa.array(at))), ";")
+                sums = np.zeros((len(sizes), len(FIGURES)), dtype=np.int64)
+                some = np.flatnonzero(sizes)
+                if len(some):
+                    sums[some] = np.add.reduceat(worth[at], (np.cumsum(sizes) - sizes)[some], axis=0)
+                digests = [sha256(s.as_buffer()).hexdigest() if k else "" for s, k in zip(joined, sizes.tolist())]
                 columns = [part.column(0), *[pa.array(sums[:, j]) for j in range(len(FIGURES))], pa.array(digests, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *FIGURES, "groups_sha256"])
         tidy()
@@ -378,6 +389,10 @@ def composed(hot):
     return run
 
 
+def one(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def aligned(docs: DataFrame, a: str | None = None, b: str | None = None, splits: bool = True, hot: int = HOT) -> DataFrame:
     """``doc_id``, ``FIGURES`` and ``groups_sha256`` of every row of ``docs(doc_id, text)``."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "crosstok")
@@ -385,13 +400,13 @@ def aligned(docs: DataFrame, a: str | None = None, b: str | None = None, splits:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = segment_table(docs, scratch, a, b, splits)
     short = table.filter(F.col("key").startswith("="))
-    frequent = short.orderBy(F.desc("n"), "key").limit(hot).toArrow()  # bounded in rows and bytes
-    figures = np.stack([frequent.column(f).to_numpy() for f in FIGURES], axis=1) if frequent.num_rows else np.zeros((0, len(FIGURES)), dtype=np.int64)
-    known = spark.sparkContext.broadcast((frequent.column("key").to_pylist(), frequent.column("groups").to_pylist(), figures))
-    del frequent, figures
+    frequent = short.orderBy(F.desc("n"), "key").limit(hot).toArrow().combine_chunks()  # bounded in rows and bytes
+    keys, groups = (one(frequent.column(f)).cast(pa.string()) for f in ("key", "groups"))
+    known = spark.sparkContext.broadcast((keys, groups, figured(groups, *[one(frequent.column(f)).to_numpy() for f in ("n_a", "n_best", "count_sum")])))
+    del frequent, keys, groups
     texts = scratch.save(coded(docs, known, a, b, splits).withColumn("row", F.monotonically_increasing_id()), "codes")
     rare = texts.select("row", F.posexplode("rare").alias("pos", "key"))
-    brought = rare.join(table.drop("n"), "key").select("row", F.struct("pos", "groups", *FIGURES).alias("x"))
+    brought = rare.join(table.drop("n"), "key").select("row", F.struct("pos", "groups", "n_a", "n_best", "count_sum").alias("x"))
     brought = brought.groupBy("row").agg(F.collect_list("x").alias("own"))  # a text's own segments
     met = texts.select("row", "doc_id", "codes").join(brought, "row", "left").select("doc_id", "codes", "own")
     return met.mapInArrow(composed(known), f"doc_id long, {_NUMBERS}, groups_sha256 string")
