@@ -7,6 +7,8 @@ target, digest, length); only the payload of a record that passes is inflated an
 decoded. What fails is skipped by the lengths that the writer put into the gzip
 header of each record (the ``sl`` field of the WARC specification), or inflated
 and dropped where an archive has none. ``payloads=false`` reads headers only.
+Spark 4.1 keeps what one query pushed down for later queries on the same loaded frame, so
+every query loads a frame of its own, as ``read`` does.
 
 ``df.write.format("warc")`` writes one gzip member a record into files of bounded
 size. Files count once the driver has listed them in the folder's ``manifest-``
@@ -140,6 +142,12 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
+def read(spark: SparkSession, at: str, condition: str = "true", payloads: bool = True) -> DataFrame:
+    """The records of the archives in a folder that a SQL condition on ``SCHEMA`` selects."""
+    register(spark)
+    return spark.read.format("warc").option("payloads", str(payloads).lower()).load(at).filter(condition)
+
+
 _COMPARE = {
     EqualTo: lambda x, y: x == y,
     In: lambda x, y: x in y,
@@ -478,11 +486,10 @@ def read_pages(spark: SparkSession, at: str) -> DataFrame:
     Length and digest of a response are those of the payload that is read. A revisit has those
     of the response it refers to; the join is on its digest, too, which so is verified.
     """
-    register(spark)
-    responses = spark.read.format("warc").load(at).filter("record_type = 'response'")
+    responses = read(spark, at, "record_type = 'response'")
     responses = responses.select(page_of("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
     responses = Scratch(spark, "warc").save(responses, "responses")
-    revisits = spark.read.format("warc").option("payloads", "false").load(at).filter("record_type = 'revisit'")
+    revisits = read(spark, at, "record_type = 'revisit'", payloads=False)
     revisits = revisits.select(page_of("record_id").alias("page_id"), page_of("refers_to").alias("refers_to"), F.regexp_replace("payload_digest", "^sha256:", "").alias("claimed"))
     kept = responses.select(F.col("page_id").alias("__p"), F.col("payload_digest"), "payload_bytes").distinct()
     revisits = revisits.join(kept, (F.col("refers_to") == F.col("__p")) & (F.col("claimed") == F.col("payload_digest")), "left")
