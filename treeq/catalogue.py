@@ -96,8 +96,8 @@ DOC = (
     "WITH l AS (SELECT doc_id, n - 1 AS place, lines[n] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))), "
     "s AS (SELECT *, string_split(line, ' ') AS words FROM l), "
     "p AS (SELECT *, 1 + coalesce(sum(1 + len(words)) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM s), "
-    "line AS (SELECT doc_id AS tree, CAST(spot + len(words) - 1 AS BIGINT) AS node_id, 'Line' AS kind, line AS text FROM p), "
-    "word AS (SELECT doc_id AS tree, CAST(spot + n - 2 AS BIGINT) AS node_id, 'Word' AS kind, words[n] AS text, n FROM (SELECT doc_id, spot, words, unnest(range(1, len(words) + 1)) AS n FROM p)) "
+    "line AS (SELECT doc_id AS tree, CAST(spot + len(words) - 1 AS BIGINT) AS node_id, 'Line' AS kind, line AS text, place FROM p), "
+    "word AS (SELECT doc_id AS tree, CAST(spot + n - 2 AS BIGINT) AS node_id, 'Word' AS kind, words[n] AS text, n FROM (SELECT doc_id, place, spot, words, unnest(range(1, len(words) + 1)) AS n FROM p)) "
 )
 add("q06_regex", d, "match Line l when l.text.matches(`^The `)", DOC + PICK + "line WHERE regexp_matches(text, '^The ')")
 add("q07_string_compare", d, "match Word w when w.text >= 'th'", DOC + PICK + "word WHERE text >= 'th'")
@@ -493,3 +493,21 @@ ORACLE_SQL["q77_remembered"] = (
 )
 QUERIES["q64_escapes"] = run("q64_escapes")
 ORACLE_SQL["q64_escapes"] = PATTERNS["q64_escapes"][2]
+
+# one tree of all documents: axes on a tree that no task holds
+
+b = tables.library
+SHELF = DOC.replace("SELECT *, 1 + coalesce(sum(1 + len(words)) OVER (PARTITION BY doc_id ORDER BY place ", "SELECT *, 1 + dense_rank() OVER (ORDER BY doc_id) + coalesce(sum(1 + len(words)) OVER (ORDER BY doc_id, place ")
+SHELF = SHELF.replace("line AS (SELECT doc_id AS tree", "line AS (SELECT CAST(0 AS BIGINT) AS tree, doc_id").replace("word AS (SELECT doc_id AS tree", "word AS (SELECT CAST(0 AS BIGINT) AS tree, doc_id, place, len(words) AS among")
+SHELF = SHELF.replace("CAST(spot + len(words) - 1 AS BIGINT) AS node_id, 'Line'", "CAST(spot + len(words) - 2 AS BIGINT) AS node_id, len(words) AS n, 'Line'").replace("CAST(spot + n - 2 AS BIGINT)", "CAST(spot + n - 3 AS BIGINT)")
+SHELF += ", last AS (SELECT doc_id, max(node_id) + 1 AS node_id, sum(n) AS words FROM line GROUP BY doc_id) "
+LAST = "SELECT CAST(0 AS BIGINT) AS tree, node_id, 'Document' AS kind FROM last"
+ONE_TREE = {
+    "q78_descendants_one_tree": ("match Document d when d.descendants(depth = 2).length > 500", SHELF + LAST + " WHERE words > 500"),
+    "q79_parents_one_tree": ("match Word w when any w.parents() match { Line l when l.text.matches(`^The `) } && w.text.length > 9", SHELF + PICK + "word WHERE strlen(text) > 9 AND EXISTS (SELECT 1 FROM line WHERE line.doc_id = word.doc_id AND line.place = word.place AND regexp_matches(line.text, '^The '))"),
+    "q80_no_descendant_one_tree": ("match Document d when no d.descendants() match { Word w when w.text.matches(`^[A-Z]`) }", SHELF + LAST + " WHERE doc_id NOT IN (SELECT doc_id FROM word WHERE regexp_matches(text, '^[A-Z]'))"),
+    "q81_count_above": ("match Line l when l.parents(min_depth = 2).length == 1 && l.descendants(max_depth = 2).length > 90", SHELF + PICK + "line WHERE n > 90"),
+}
+for name, (text, sql) in ONE_TREE.items():
+    add(name, b, text, sql)
+    QUERIES[name], ORACLE_SQL[name] = run(name), sql

@@ -18,12 +18,12 @@ from treeq.syntax import Syntax
 
 NODE = {
     "tree": "bigint",
-    "pre": "int",
-    "hi": "int",
+    "pre": "bigint",
+    "hi": "bigint",
     "depth": "int",
-    "parent": "int",
-    "ord": "int",
-    "n": "int",
+    "parent": "bigint",
+    "ord": "bigint",
+    "n": "bigint",
     "field": "string",
     "kind": "string",
     "text": "string",

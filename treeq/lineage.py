@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -22,11 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder of the session."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    """``df`` written in the shared folder, without what it was made of."""
+    return Scratch(df.sparkSession, "cut").save(df, "cut")
 
 
 class Scratch:
@@ -79,23 +77,40 @@ class Scratch:
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
 
-_KEPT: dict[tuple, dict[str, DataFrame]] = {}
+#: Label and input files to the frames and tables of the last builds.
+_KEPT: dict[tuple, list[tuple[list[DataFrame], dict[str, DataFrame]]]] = {}
+#: Builds of one label over the same files, of different plans, that are remembered.
+_PLANS = 16
 
 
 def kept(spark: SparkSession, label: str, inputs: list[DataFrame], build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
-    """The tables that ``build`` gives, written once in a session for the same input files."""
-    session = spark.sparkContext.applicationId, spark._jsparkSession.hashCode()
-    scratch = Scratch(spark, label)
+    """The tables that ``build`` gives, written once in a session for the same plans over the same input files.
+
+    Frames that read no files, such as local rows, can't be told apart by these, so
+    what is built from them is written each time. Tables whose input files have changed are forgotten;
+    their files stay until the application ends, as frames may still read them.
+    """
+    scratch = Scratch(spark, re.sub(r"\W+", "-", label)[:60])
+    paths = [df.inputFiles() for df in inputs]
+    if not all(paths):
+        return {name: scratch.save(df, name) for name, df in build().items()}
     stamps = []
-    for df in inputs:
-        for file in df.inputFiles():
-            path, fs = scratch.file_system(file)
-            status = fs.getFileStatus(path)
-            stamps.append((file, status.getModificationTime(), status.getLen()))
-    key = *session, label, hash(tuple(stamps))
-    if key not in _KEPT:
-        _KEPT[key] = {name: scratch.save(df, name) for name, df in build().items()}
-    return _KEPT[key]
+    for file in sorted({f for own in paths for f in own}):
+        path, fs = scratch.file_system(file)
+        status = fs.getFileStatus(path)
+        stamps.append((file, status.getModificationTime(), status.getLen()))
+    session = spark.sparkContext.applicationId, spark._jsparkSession.hashCode(), label
+    key = *session, tuple(stamps)
+    for old in [k for k in _KEPT if k[:3] == session and k != key and {x[0] for x in k[3]} == {x[0] for x in stamps}]:
+        del _KEPT[old]
+    known = _KEPT.setdefault(key, [])
+    for frames, tables in known:
+        if len(frames) == len(inputs) and all(a.sameSemantics(b) for a, b in zip(frames, inputs)):
+            return tables
+    tables = {name: scratch.save(df, name) for name, df in build().items()}
+    known.append((inputs, tables))
+    del known[:-_PLANS]
+    return tables
 
 
 def ordered(df: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:

@@ -28,6 +28,9 @@ from treeq.errors import CompileError
 from treeq.forest import NODE, Forest
 from treeq.functions import text as fn
 
+#: Axes from a node to those above and below it meet in bins of so many places of a tree.
+#: A node lies in one bin, and its subtree covers as many as it has nodes over the width, and one.
+BIN = 128
 GENERATORS = ("parents", "descendants", "siblings", "previous_siblings", "next_siblings")
 FAR = 1 << 30
 #: Methods that extensions add: name to a function of the plan, the value and the arguments.
@@ -247,29 +250,48 @@ class Plan:
     def related(self, n: Ref, x: Ref, axis: Nodes) -> Column:
         """The join condition of ``x`` being on the axis from ``n``."""
         same = x["tree"] == n["tree"]
-        steps = {
-            "parents": n["depth"] - x["depth"],
-            "descendants": x["depth"] - n["depth"],
-            "previous_siblings": n["ord"] - x["ord"],
-            "next_siblings": x["ord"] - n["ord"],
-            "siblings": F.abs(x["ord"] - n["ord"]),
-        }.get(axis.axis)
-        if axis.axis == "children":
-            return same & (x["parent"] == n["pre"])
+        least = max(1, axis.least)
+        place = {"parents": ("depth", -1), "descendants": ("depth", 1), "previous_siblings": ("ord", -1), "next_siblings": ("ord", 1)}.get(axis.axis)
+        if place and axis.most == least:
+            near = x[place[0]] == n[place[0]] + place[1] * least  # a key of the join
+        else:
+            steps = F.abs(x["ord"] - n["ord"]) if axis.axis == "siblings" else place and (x[place[0]] - n[place[0]]) * place[1]
+            near = None if steps is None else (steps >= least) if axis.most == FAR else steps.between(least, axis.most)
+        if axis.axis == "children" or axis.axis == "descendants" and axis.most == 1:
+            return same & (x["parent"] == n["pre"]) & F.lit(axis.least <= axis.most)
+        if axis.axis == "parents" and axis.most == 1:
+            return same & (x["pre"] == n["parent"]) & F.lit(axis.least <= axis.most)
         if axis.axis == "parents":
             place = (x["pre"] < n["pre"]) & (n["pre"] <= x["hi"])
         elif axis.axis == "descendants":
             place = (x["pre"] > n["pre"]) & (x["pre"] <= n["hi"])
         else:
             place = x["parent"] == n["parent"]
-        least = max(1, axis.least)
-        near = (steps >= least) if axis.most == FAR else steps.between(least, axis.most)
         if axis.axis == "siblings" and axis.least <= 2 <= axis.most:
             # the walk meets its origin again two steps on, if there is anyone to turn at
             others = self.parent(n)["n"] >= 2
             near = near | ((x["ord"] == n["ord"]) & others)
         return same & place & near
 
+    def meeting(self, left: DataFrame, n: Ref, right: DataFrame, x: Ref, axis: Nodes) -> tuple[DataFrame, DataFrame, Column]:
+        """Both sides and the condition under which ``x`` is on the axis from ``n``.
+
+        Above and below, the sides meet on the tree and a bin of its places, so a large tree is dealt out
+        over many tasks, and a node is compared with what shares or covers its bin. The
+        side above has a row for each bin that it covers; a pair meets in one of them.
+        """
+        condition = self.related(n, x, axis)
+        if axis.axis not in ("parents", "descendants") or axis.most <= 1:
+            return left, right, condition
+        at = self.fresh("bin")
+        place = lambda col: F.floor(col / BIN)
+        covered = lambda a: F.explode(F.when(a["hi"] > a["pre"], F.sequence(place(a["pre"] + 1), place(a["hi"]))))
+        if axis.axis == "descendants":
+            left, right = left.withColumn(f"{at}_n", covered(n)), right.withColumn(f"{at}_x", place(x["pre"]))
+        else:
+            left, right = left.withColumn(f"{at}_n", place(n["pre"])), right.withColumn(f"{at}_x", covered(x))
+        return left, right, (F.col(f"{at}_n") == F.col(f"{at}_x")) & condition
+
     def quantified(self, q: L.Quantified, filters: bool) -> Column | None:
         """Filters the rows, or gives a flag column, by what the quantifier says."""
         nodes, own = self.list_of(q.of), q.pattern.node.name
@@ -282,10 +304,7 @@ class Plan:
         inside = dict(self.names)
         if own:
             inside[own] = x
-        if nodes.axis == "referenced_decls":
-            condition = None
-        else:
-            condition = self.related(n, x, nodes)
+        condition = None if nodes.axis == "referenced_decls" else self.related(n, x, nodes)
         alone = Plan(self.forest, self.named(at), inside, [at], {}, self.made, self.raises)
         # what can raise is looked at for nodes on the axis only
         if outer or condition is None or alone.raising(lambda plan: plan.select(x, q)):
@@ -296,7 +315,11 @@ class Plan:
                 leads = (F.col(f"{at}r_tree") == n["tree"]) & (F.col(f"{at}r_ref") == n["pre"])
                 start = start.join(refs, leads)
                 condition = (x["tree"] == F.col(f"{at}r_tree")) & (x["pre"] == F.col(f"{at}r_decl"))
-            inner = Plan(self.forest, start.join(self.named(at), condition), inside, [*self.keys, at], dict(self.joined), self.made, self.raises)
+                joined = start.join(self.named(at), condition)
+            else:
+                start, other, meets = self.meeting(start, n, self.named(at), x, nodes)
+                joined = start.join(other, meets)
+            inner = Plan(self.forest, joined, inside, [*self.keys, at], dict(self.joined), self.made, self.raises)
             if inner.raising(lambda plan: plan.select(x, q)):
                 inner.guard = condition
             inner.select(x, q)
@@ -305,18 +328,30 @@ class Plan:
             flag_keys = [b for _, b in keys]
         else:
             alone.select(x, q)
-            found, meets = alone.df.select(*[f"{at}_{c}" for c in NODE]), condition
-            flag_keys = [f"{at}_tree", f"{at}_parent"] if nodes.axis == "children" else None
+            found = alone.df.select(*[f"{at}_{c}" for c in NODE])
+            by_parent = nodes.axis == "children" or nodes.axis == "descendants" and nodes.most == 1 >= nodes.least
+            flag_keys = [f"{at}_tree", f"{at}_parent"] if by_parent else None
+            left, found, meets = self.meeting(self.df, n, found, x, nodes)
+            if left is not self.df and nodes.axis == "descendants":
+                # rows of this plan lie in several bins: their keys come back once
+                keys = [(f"{k}_{c}", f"{at}k{i}{c}") for i, k in enumerate(self.keys) for c in ("tree", "pre")]
+                found = left.join(found, meets, "left_semi").select(*[F.col(a).alias(b) for a, b in keys])
+                meets = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in keys])
+                flag_keys = [b for _, b in keys]
+                left = self.df
+            if filters:
+                self.df = left.join(found, meets, "left_semi" if q.kind == "any" else "left_anti")
+                return None
+            if flag_keys is None:
+                # which rows of this plan have a match, by their keys
+                rows = left.join(found, meets, "left_semi")
+                keys = [(f"{k}_{c}", f"{at}k{i}{c}") for i, k in enumerate(self.keys) for c in ("tree", "pre")]
+                found = rows.select(*[F.col(a).alias(b) for a, b in keys])
+                meets = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in keys])
+                flag_keys = [b for _, b in keys]
         if filters:
             self.df = self.df.join(found, meets, "left_semi" if q.kind == "any" else "left_anti")
             return None
-        if flag_keys is None:
-            # which rows of this plan have a match, by their keys
-            rows = self.df.join(found, meets, "left_semi")
-            keys = [(f"{k}_{c}", f"{at}k{i}{c}") for i, k in enumerate(self.keys) for c in ("tree", "pre")]
-            found = rows.select(*[F.col(a).alias(b) for a, b in keys])
-            meets = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in keys])
-            flag_keys = [b for _, b in keys]
         # a count, as the optimizer would see through a literal and drop what the flag guards
         flags = found.groupBy(*flag_keys).agg(F.count("*").alias(f"{at}_any"))
         self.df = self.df.join(flags, meets, "left")
@@ -515,8 +550,8 @@ class Plan:
         at = self.fresh()
         x = Ref(at)
         keys = [(f"{k}_{c}", f"{at}k{i}{c}") for i, k in enumerate(self.keys) for c in ("tree", "pre")]
-        condition = self.related(n, x, nodes)
-        found = self.df.join(self.named(at), condition).groupBy(*[F.col(a).alias(b) for a, b in keys]).agg(F.count("*").alias(f"{at}_count"))
+        left, right, condition = self.meeting(self.df, n, self.named(at), x, nodes)
+        found = left.join(right, condition).groupBy(*[F.col(a).alias(b) for a, b in keys]).agg(F.count("*").alias(f"{at}_count"))
         self.df = self.df.join(found, reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in keys]), "left")
         return F.coalesce(F.col(f"{at}_count"), F.lit(0))
 

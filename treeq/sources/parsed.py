@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import replace
+from hashlib import sha256
 from pathlib import Path
 
 import pandas as pd
@@ -70,7 +70,7 @@ def forest(sources: DataFrame, spec: str, start: str = "main", name: str = "pars
             out = [{"tree": tree, **r} for tree, text in zip(batch["tree"], batch["text"]) for r in parsed(spec, start, text)[0]]
             made = pd.DataFrame(out, columns=columns)
             for c in ("parent", "ord"):
-                made[c] = made[c].astype("Int32")
+                made[c] = made[c].astype("Int64")
             yield made
 
     rows_of = sources.select("tree", "text").filter("text IS NOT NULL").mapInPandas(run, PARSED)
@@ -97,4 +97,4 @@ def properties(spark: SparkSession, sf_dir: str) -> Forest:
 def once(sources: DataFrame, spec: str, name: str) -> Forest:
     """``forest`` with its nodes written, so that a query reads them as often as it likes."""
     lazy = forest(sources, spec, name=name)
-    return replace(lazy, nodes=kept(sources.sparkSession, f"{name}-{zlib.crc32(spec.encode())}", [sources], lambda: {"nodes": lazy.nodes})["nodes"])
+    return replace(lazy, nodes=kept(sources.sparkSession, f"{name}-{sha256(spec.encode()).hexdigest()}", [sources], lambda: {"nodes": lazy.nodes})["nodes"])

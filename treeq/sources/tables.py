@@ -130,24 +130,54 @@ def located(r: DataFrame, n: DataFrame, s: DataFrame, c: DataFrame) -> dict[str,
 DOCUMENTS = Syntax.of(Document=(), Line=(), Word=())
 
 
-def texts(docs: DataFrame) -> Forest:
-    """``Document > Line > Word`` over ``docs(doc_id, text)``: lines end at line feeds,
-    words at single spaces. Positions are computed in the document's own row."""
+def levels(docs: DataFrame, tree: str | int, depth: int) -> list[DataFrame]:
+    """``Document > Line > Word`` over ``docs(doc_id, text, base, parent, place)``, whose documents lie at ``base`` in a tree:
+    lines end at line feeds, words at single spaces. Positions are computed in the document's own row."""
     lines = F.split("text", "\n", -1)
-    sized = docs.select("doc_id", "text", lines.alias("lines")).filter("text IS NOT NULL")
+    sized = docs.select("doc_id", "text", "base", "parent", "place", lines.alias("lines")).filter("text IS NOT NULL")
     words = F.transform("lines", lambda x: F.size(F.split(x, " ", -1)))
     starts = F.aggregate(words, F.array(F.lit(1)), lambda own, n: F.concat(own, F.array(F.element_at(own, -1) + n + 1)))
     sized = sized.withColumn("starts", starts).withColumn("total", F.element_at("starts", -1) - 1)
-    line = sized.select("doc_id", "starts", F.posexplode("lines").alias("place", "line"))
-    line = line.select("doc_id", "place", "line", F.get("starts", F.col("place")).alias("at"), F.split("line", " ", -1).alias("words"))
+    line = sized.select("doc_id", "base", "starts", F.posexplode("lines").alias("nth", "line"))
+    line = line.select("doc_id", "base", "nth", "line", (F.get("starts", F.col("nth")) + F.col("base")).alias("at"), F.split("line", " ", -1).alias("words"))
     word = line.select("doc_id", "at", F.posexplode("words").alias("w", "word"))
-    parts = [
-        nodes(sized, F.col("doc_id"), 0, F.col("total"), 0, None, None, F.size("lines"), "Document", F.col("text")),
-        nodes(line, F.col("doc_id"), F.col("at"), F.col("at") + F.size("words"), 1, 0, F.col("place"), F.size("words"), "Line", F.col("line")),
-        nodes(word, F.col("doc_id"), F.col("at") + 1 + F.col("w"), F.col("at") + 1 + F.col("w"), 2, F.col("at"), F.col("w"), 0, "Word", F.col("word")),
+    of = F.col(tree) if isinstance(tree, str) else F.lit(tree)
+    at = F.col("at") + 1 + F.col("w")
+    return [
+        nodes(sized, of, F.col("base"), F.col("base") + F.col("total"), depth, F.col("parent"), F.col("place"), F.size("lines"), "Document", F.col("text")),
+        nodes(line, of, F.col("at"), F.col("at") + F.size("words"), depth + 1, F.col("base"), F.col("nth"), F.size("words"), "Line", F.col("line")),
+        nodes(word, of, at, at, depth + 2, F.col("at"), F.col("w"), 0, "Word", F.col("word")),
     ]
-    return Forest(union(parts), DOCUMENTS, "documents")
+
+
+def texts(docs: DataFrame) -> Forest:
+    """A tree for each row of ``docs(doc_id, text)``."""
+    none = F.lit(None).cast("long")
+    own = docs.select("doc_id", "text", F.lit(0).cast("long").alias("base"), none.alias("parent"), none.alias("place"))
+    return Forest(union(levels(own, "doc_id", 0)), DOCUMENTS, "documents")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> Forest:
     return texts(table(spark, sf_dir, "documents"))
+
+
+LIBRARY = Syntax.of(Library=(), Document=(), Line=(), Word=())
+
+
+def library(spark: SparkSession, sf_dir: str) -> Forest:
+    """``Library > Document > Line > Word``: all documents in one tree, by id."""
+    docs = table(spark, sf_dir, "documents")
+    made = kept(spark, "library", [docs], lambda: shelved(docs))
+    root = nodes(made["root"], 0, 0, F.col("hi"), 0, None, None, F.col("n"), "Library")
+    return Forest(union([root, *levels(made["documents"], 0, 1)]), LIBRARY, "library")
+
+
+def shelved(docs: DataFrame) -> dict[str, DataFrame]:
+    """Documents with their places in one tree; equal rows are in any order. Sums go over range
+    partitions, so no task holds the tree."""
+    size = F.aggregate(F.split("text", "\n", -1), F.lit(1).cast("long"), lambda n, x: n + 1 + F.size(F.split(x, " ", -1)))
+    sized = docs.filter("text IS NOT NULL").select("doc_id", "text", size.alias("size"))
+    scratch, keys = Scratch(docs.sparkSession, "library"), ["doc_id", "text"]
+    placed = before(ordered(sized, keys, scratch, "documents"), {"at": F.col("size"), "place": F.lit(1)}, keys)
+    placed = scratch.save(placed.select("doc_id", "text", (F.col("at") + 1).alias("base"), F.lit(0).cast("long").alias("parent"), "place", "size"), "placed")
+    return {"documents": placed, "root": placed.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("hi"))}
