@@ -9,34 +9,50 @@ from treeq.functions.text import java_regex
 from treeq.sources import parsed
 
 SUITES = {
-    "words": ("node Text { words: List<Word> } node Word { }\nterm LETTERS = `[a-zé]+`\nignore term GAP = ` +`\nrule main = Text { words@some(word) }\nrule word = Word { LETTERS }", "ox élan ox yak"),
-    "table": ("node Table { rows: List<Row> } node Row { cells: List<Cell> } node Cell { }\nterm DIGITS = `[0-9]+`\nrule main = Table { rows@sepBy1(';', row) }\nrule row = Row { cells@sepBy1(' ', cell) }\nrule cell = Cell { DIGITS }", "1 2;30 4 5;6"),
-    "items": ("node Items { each: List<Item> } node Item { name: Name, note: Note } node Name { } node Note { }\nterm ID = `[a-z]+`\nrule main = Items { each@sepBy1('/', item) }\nrule item = Item { name@name note@note? }\nrule name = Name { ID }\nrule note = Note { ':' ID }", "p/q:x/r"),
-    "marks": ("node Sheet { lines: List<Group> } node Group { marks: List<Mark> } node Mark { } node Plus: Mark { } node Minus: Mark { }\nrule main = Sheet { lines@sepBy1(`\\n`, group) }\nrule group = Group { marks@mark+ }\nrule mark = Plus { '+' } | Minus { '-' }", "++\n+-\n--"),
+    # accounts with an owner and signed movements, an account to a line
+    "ledger": (
+        "node Ledger { accounts: List<Account> } node Account { owner: Owner, moves: List<Move> } node Owner { } node Move { } node Credit: Move { } node Debit: Move { }\n"
+        "term NAME = `[A-Z][a-zé]*`\nterm AMOUNT = `[0-9]+`\nignore term GAP = ` +`\n"
+        "rule main = Ledger { accounts@sepBy1(`\\n`, account) }\nrule account = Account { owner@owner ':' moves@some(move) }\nrule owner = Owner { NAME }\nrule move = Credit { '+' AMOUNT } | Debit { '-' AMOUNT }",
+        "Ann: +20 -5 -5\nBé: -7\nCy: +10 +300",
+    ),
+    # boxes within boxes, a size in front; a lid is optional
+    "boxes": (
+        "node Box { size: Size, inside: Box, lid: Lid } node Size { } node Lid { }\nterm DIGITS = `[0-9]+`\n"
+        "rule main = box\nrule box = Box { '(' size@size inside@box? lid@lid? ')' }\nrule size = Size { DIGITS }\nrule lid = Lid { '~' }",
+        "(40(30(2)~))",
+    ),
     "notes": ("node Sum { left: Num, right: Num } node Num { }\nterm DIGITS = `[0-9]+`\nignore term GAP = `\\s+`\ncomment term NOTE = `#[^\\n]*`\nrule main = Sum { left@num '+' right@num }\nrule num = Num { DIGITS }", "# top\n1 # one\n+ # plus\n2"),
 }
 GOLDEN = [
-    ("words", 'match w@Word when w == "ox"', ["Word 1:1-1:3", "Word 1:9-1:11"]),
-    ("words", 'match w@Word when w != "ox"', ["Word 1:4-1:8", "Word 1:12-1:14"]),
-    ("words", "match Word w when w.text.length == 5", ["Word 1:4-1:8"]),
-    ("table", "match Row r when r.cells.length > 2", ["Row 1:5-1:10"]),
-    ("table", "match Table t when t.rows[1].cells.length == 3", ["Table 1:1-1:12"]),
-    ("table", "match r@Row when r[0][0] == '30'", ["Row 1:5-1:10"]),
-    ("table", "match Row r when r[0].length == 1", ["Row 1:12-1:12"]),
-    ("table", "match Row r when all r.cells match { Cell c when c.text.length == 1 }", ["Row 1:1-1:3", "Row 1:12-1:12"]),
-    ("items", "match Item(note: ':x')", ["Item 1:3-1:5"]),
-    ("items", "match Item i when i.note == null", ["Item 1:1-1:1", "Item 1:7-1:7"]),
-    ("items", "match Item i when i.note?.text?.length == 2", ["Item 1:3-1:5"]),
-    ("marks", "match Group g when any g.marks match Plus", ["Group 1:1-1:2", "Group 2:1-2:2"]),
-    ("marks", "match Group g when all g.marks match Plus", ["Group 1:1-1:2"]),
-    ("marks", "match Group g when no g.marks match Plus", ["Group 3:1-3:2"]),
-    ("marks", "match g@Group when any g.marks match { Plus p when p.next_sibling is Minus } || g.text == '--'", ["Group 2:1-2:2", "Group 3:1-3:2"]),
+    # text, by value, order and bytes
+    ("ledger", "match Debit d when d == '-5'", ["Debit 1:10-1:12", "Debit 1:13-1:14"]),
+    ("ledger", "match Owner o when o.text >= 'B' && o.text < 'C'", ["Owner 2:1-2:2"]),
+    ("ledger", "match Owner o when o.text.length == 3", ["Owner 1:1-1:3", "Owner 2:1-2:2"]),
+    ("ledger", "match Move m when m.text.matches(`00?$`) && m.kind == m.previous_sibling?.kind", ["Credit 3:9-3:12"]),
+    # lists and places in them
+    ("ledger", "match Account a when a.moves.length < a.parent.length", ["Account 2:1-2:6", "Account 3:1-3:12"]),
+    ("ledger", "match Account a when a.moves[0] is Debit", ["Account 2:1-2:6"]),
+    ("ledger", "match Account a when a.moves.length > 1 && a[1][0].text.length < a[1][1].text.length", ["Account 3:1-3:12"]),
+    # quantifiers, one inside the other and beside others
+    ("ledger", "match Owner o when o.parent is { Account a when no a.moves match { Credit c when c.text.length > 2 } }", ["Owner 2:1-2:2"]),
+    ("ledger", "match Account a when all a.moves match { Move m when m.next_sibling == null || m.next_sibling.text.length >= m.text.length }", ["Account 2:1-2:6", "Account 3:1-3:12"]),
+    ("ledger", "match Ledger l when any l.accounts match { Account a when all a.moves match { Debit d when d.previous_sibling == null } }", ["Ledger 1:1-3:12"]),
+    ("ledger", "match Debit d when any d.siblings() match { Move m when m.text == d.text }", ["Debit 1:10-1:12", "Debit 1:13-1:14"]),
+    # what isn't there
+    ("boxes", "match Box b when b.inside == null", ["Box 1:7-1:9"]),
+    ("boxes", "match Box(lid: '~')", ["Box 1:4-1:11"]),
+    ("boxes", "match Box b when b.inside?.lid?.text?.length == 1", ["Box 1:1-1:12"]),
+    # up and down by steps
+    ("boxes", "match Size s when any s.parents(min_depth = 2) match { Box b when b.size.text == '30' }", ["Size 1:8-1:8"]),
+    ("boxes", "match Box b when b.descendants(depth = 2).length == 1", ["Box 1:4-1:11"]),
+    ("boxes", "match Box b when b.parents().length == 1 && no b.descendants(max_depth = 1) match { Size s when s.text.length < 2 }", ["Box 1:4-1:11"]),
+    ("boxes", "match Lid l when l.previous_sibling?.inside == null && l.parent.parent.lid == null", ["Lid 1:10-1:10"]),
     ("notes", "match Comment", ["Comment 1:1-1:5", "Comment 2:3-2:7", "Comment 3:3-3:8"]),
     ("notes", "match Comment c when c.parent is Num", ["Comment 2:3-2:7"]),
     ("notes", "match Sum s when s.children.length == 4 && s.left.children[0] == '# one'", ["Sum 2:1-4:1"]),
 ]
 
-
 def forest(spark, suite):
     spec, text = SUITES[suite]
     return parsed.forest(spark.createDataFrame([(1, text), (2, None)], "tree long, text string"), spec)
@@ -55,45 +71,45 @@ def test_golden(spark, suite, query, want):
 @pytest.mark.parametrize(
     ("query", "code"),
     [
-        ("match X", "InvalidKind"), ("match List<Name>", "InvalidKind"), ("match Name a when b == 1", "UnknownIdentifier"), ("match Name a when a.nope == 1", "InvalidPropertyName"),
-        ("match Name a when a.nope()", "InvalidPropertyName"), ("match Name a when a.text.matches()", "UnexpectedArity"), ("match Name a when a.text.to_int(1) == 1", "UnexpectedArity"),
-        ("match Name a when a.parents(1).length == 1", "UnexpectedArg"), ("match Name a when a.parents(depth = 1, b = 2, c = 3).length == 1", "UnexpectedArity"),
-        ("match Name a when a.parents()[0] == null", "IndexError"), ("match Name a when a.text < 1", "InvalidKind"), ("match Name a when a.text", "InvalidKind"), ("match Name a when any a.text match Name", "InvalidKind"),
-        ("match Name a when any a.children match { Note inner } && inner == null", "UnknownIdentifier"),
+        ("match Crate", "InvalidKind"), ("match List<Size>", "InvalidKind"), ("match Size s when t == 1", "UnknownIdentifier"), ("match Size s when s.weight == 1", "InvalidPropertyName"),
+        ("match Size s when s.open()", "InvalidPropertyName"), ("match Size s when s.text.matches()", "UnexpectedArity"), ("match Size s when s.text.to_int(1) == 1", "UnexpectedArity"),
+        ("match Size s when s.parents(1).length == 1", "UnexpectedArg"), ("match Size s when s.parents(depth = 1, b = 2, c = 3).length == 1", "UnexpectedArity"),
+        ("match Size s when s.parents()[0] == null", "IndexError"), ("match Size s when s.text < 1", "InvalidKind"), ("match Size s when s.text", "InvalidKind"), ("match Size s when any s.text match Size", "InvalidKind"),
+        ("match Size s when any s.children match { Lid inner } && inner == null", "UnknownIdentifier"),
     ],
 )
 def test_compile_errors(spark, query, code):
     with pytest.raises(CompileError) as e:
-        forest(spark, "items").query(query)
+        forest(spark, "boxes").query(query)
     assert e.value.code == code
 
 
 @pytest.mark.parametrize(
     "query",
-    ["match Item i when i.note.text == ':x'", "match Name n when n.note == null", "match Item i when i[1] == ':x'", "match Name n when n.text.to_int() == 1", "match Name n when n.length == 1", "match Item([1]: Note)"],
+    ["match Box b when b.lid.text == '~'", "match Size s when s.lid == null", "match Box b when b[2] == '~'", "match Lid l when l.text.to_int() == 1", "match Size s when s.length == 1", "match Box([2]: Lid)"],
 )
 def test_strict_forests_fail_and_lenient_ones_do_not(spark, query):
-    f = forest(spark, "items")
+    f = forest(spark, "boxes")
     with pytest.raises(Exception, match="InvalidKind|InvalidField|IndexError|NotAnInt"):
         f.query(query).collect()
     f.lenient().query(query).collect()
 
 
 def test_left_sides_guard_right_sides(spark):
-    assert listed(forest(spark, "items").query("match Item i when i.note != null && i.note.text == ':x'")) == ["Item 1:3-1:5"]
-    assert len(listed(forest(spark, "items").query("match Item i when i.note == null || i.note.text == ':x'"))) == 3
+    assert listed(forest(spark, "boxes").query("match Box b when b.lid != null && b.lid.text == '~'")) == ["Box 1:4-1:11"]
+    assert len(listed(forest(spark, "boxes").query("match Box b when b.lid == null || b.lid.text == '~'"))) == 3
 
 
 @pytest.mark.parametrize(
     ("query", "texts"),
     [
-        ("match Num|Str n when n.parent is List && n.text.to_int() > 1", ["2"]),
-        ("match Num|Str n when any n.parents() match Seq && n.text.to_int() > 1", ["2"]),
-        ("match Num|Str n when n.parent is List && n.text.to_int() > 0 && n.previous_sibling != null", ["2"]),
-        ("match Num|Str n when n.parent is Pair || n.text.to_int() == 2", ['"j"', '"k"', '"x"', "2"]),
-        ("match Seq s when any s.items match { _ n when n.text.to_int() == 2 }", ["[1, 2]"]),
-        ("match Pair p when p.value is Seq && any p.value.children match { _ l when any l.children match { _ n when n.text.to_int() == 2 } }", ['"k": [1, 2]']),
-        ("match Pair(value: Seq) p when all p.value.items match { _ n when n.text.to_int() < 3 }", ['"k": [1, 2]']),
+        ("match Scalar|Key n when n.parent is List && n.text.to_int() > 1", ["2"]),
+        ("match Scalar|Key n when any n.parents() match Array && n.text.to_int() > 1", ["2"]),
+        ("match Scalar|Key n when n.parent is List && n.text.to_int() > 0 && n.previous_sibling != null", ["2"]),
+        ("match Scalar|Key n when n.parent is Entry || n.text.to_int() == 2", ['"j"', '"k"', '"x"', "2"]),
+        ("match Array s when any s.data match { _ n when n.text.to_int() == 2 }", ["[1, 2]"]),
+        ("match Entry p when p.datum is Array && any p.datum.children match { _ l when any l.children match { _ n when n.text.to_int() == 2 } }", ['"k": [1, 2]']),
+        ("match Entry(datum: Array) p when all p.datum.data match { _ n when n.text.to_int() < 3 }", ['"k": [1, 2]']),
     ],
 )
 def test_what_is_excluded_raises_nothing(spark, query, texts):
@@ -105,13 +121,101 @@ def test_rules_guard_too(spark):
     from treeq.operators.rules import Rule, RuleSet, check
 
     f = parsed.forest(spark.createDataFrame([(1, '{"k": [1, 2], "j": "x"}')], "tree long, text string"), parsed.builtin_spec("json"))
-    rules = RuleSet("r", "json", (Rule("far", "far", "bug", "match Num|Str n when any n.parents() match Seq && n.text.to_int() > 1"), Rule("here", "here", "bug", "match Num|Str n when n is Num && n.text.to_int() > 1")))
-    assert [(r["rule_id"], r["kind"]) for r in check(f, [rules]).orderBy("rule_id").collect()] == [("far", "Num"), ("here", "Num")]
+    rules = RuleSet("r", "json", (Rule("far", "far", "bug", "match Scalar|Key n when any n.parents() match Array && n.text.to_int() > 1"), Rule("here", "here", "bug", "match Scalar|Key n when n is Whole && n.text.to_int() > 1")))
+    assert [(r["rule_id"], r["kind"]) for r in check(f, [rules]).orderBy("rule_id").collect()] == [("far", "Whole"), ("here", "Whole")]
 
 
 def test_second_depth_argument_is_the_most(spark):
-    f = forest(spark, "marks")
-    assert f.query("match Plus p when p.parents(min_depth = 2, foo = 3).length == 2").count() == 3
+    f = forest(spark, "ledger")
+    assert f.query("match Credit c when c.parents(min_depth = 2, foo = 3).length == 2").count() == 3
+
+
+def random_tree(spark, size, seed):
+    """A forest of one tree whose nodes hang at random on earlier ones on the way to the last, so that it gets deep."""
+    import random
+
+    from treeq.forest import NODE, Forest
+    from treeq.syntax import Syntax
+
+    rng = random.Random(seed)
+    path, rows = [0], [[1, 0, 0, 0, None, None, 0, None, "A", "0"]]
+    for pre in range(1, size):
+        path = path[: rng.randrange(max(1, len(path) - 3), len(path) + 1)]
+        up = rows[path[-1]]
+        rows.append([1, pre, pre, len(path), path[-1], up[6], 0, None, rng.choice("ABC"), str(pre % 7)])
+        up[6] += 1
+        for p in path:
+            rows[p][2] = pre
+        path.append(pre)
+    schema = ", ".join(f"{k} {v}" for k, v in NODE.items())
+    return Forest(spark.createDataFrame([tuple(r) for r in rows], schema), Syntax.of(A=(), B=(), C=()), "random", strict=False)
+
+
+AXES = [
+    "match A a when any a.descendants() match { B b when b.text == '3' }", "match A a when no a.descendants(depth = 2) match C", "match B b when all b.parents() match { A|C n when n.text != '5' }",
+    "match C c when any c.parents(min_depth = 2, max_depth = 5) match { A a when a.text == c.text }", "match A a when any a.descendants(max_depth = 3) match { _ n when n.text == a.text && n.kind != a.kind }",
+    "match _ n when n.descendants(min_depth = 2).length > 3 || any n.parents(depth = 1) match C", "match _ n when n.descendants(max_depth = 4).length == 6", "match _ n when !any n.parents(depth = 3) match A || any n.descendants(depth = 1) match B",
+    "match B b when any b.parents(min_depth = 3) match { A a when any a.descendants(depth = 4) match C }", "match _ n when any n.descendants(min_depth = 3, max_depth = 2) match _",
+]
+
+
+@pytest.mark.parametrize("query", AXES)
+def test_bins_change_nothing(spark, query, monkeypatch):
+    """One bin for a whole tree is the plain join of all pairs in it."""
+    from treeq.plans import compiler
+
+    f = random_tree(spark, 400, 3)
+    answers = []
+    for width in (1 << 40, 128, 5, 1):
+        monkeypatch.setattr(compiler, "BIN", width)
+        answers.append(sorted(r["pre"] for r in f.query(query).select("pre").collect()))
+    assert all(a == answers[0] for a in answers)
+
+
+def test_a_large_tree_is_dealt_out(spark):
+    """A tree of a million nodes: pairs that meet stay in proportion, and many tasks have a part."""
+    from treeq.forest import NODE, Forest
+    from treeq.syntax import Syntax
+
+    n = 1_000_000  # a root, thousands below it with 9 each, and 10 leaves below each of these
+    i = F.col("id")
+    leaf = (i % 111) - 1
+    kind = F.when(i == n, "R").when(i % 111 == 0, "A").when(leaf % 11 == 0, "B").otherwise("C")
+    pre = F.when(i == n, 0).otherwise(i + 1)
+    hi = F.when(i == n, n).when(kind == "A", F.least(i + 111, F.lit(n))).when(kind == "B", F.least(i + 11, F.lit(n))).otherwise(i + 1)
+    depth = F.when(i == n, 0).when(kind == "A", 1).when(kind == "B", 2).otherwise(3)
+    parent = F.when(i == n, None).when(kind == "A", 0).when(kind == "B", i - i % 111 + 1).otherwise(i - leaf % 11 + 1)
+    given = {"tree": F.lit(1), "pre": pre, "hi": hi, "depth": depth, "parent": parent, "ord": F.lit(0), "n": F.lit(0), "field": F.lit(None), "kind": kind, "text": F.lit("")}
+    f = Forest(spark.range(n + 1).select(*[given[k].cast(v).alias(k) for k, v in NODE.items()]), Syntax.of(R=(), A=(), B=(), C=()), "large").written()
+    assert f.query("match A a when any a.descendants(depth = 2) match C").count() == n // 111  # the last has no leaves
+    assert f.query("match C c when any c.parents() match A").count() == f.nodes.filter("kind = 'C'").count()
+    plan = f.query("match C c when any c.parents() match A")._jdf.queryExecution().executedPlan().toString()
+    assert "bin" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_places_beyond_32_bits(spark):
+    from treeq.forest import NODE, Forest
+    from treeq.syntax import Syntax
+
+    far = 1 << 33
+    rows = [(1, 0, far + 3, 0, None, None, 2, None, "A", "a"), (1, far, far + 1, 1, 0, 0, 1, None, "B", "b"), (1, far + 1, far + 1, 2, far, 0, 0, None, "C", "c"), (1, far + 2, far + 3, 1, 0, 1, 1, None, "B", "d"), (1, far + 3, far + 3, 2, far + 2, 0, 0, None, "C", "e")]
+    f = Forest(spark.createDataFrame(rows, ", ".join(f"{k} {v}" for k, v in NODE.items())), Syntax.of(A=(), B=(), C=()), "far")
+    assert [r["text"] for r in f.query("match B b when any b.descendants() match { C c when c.text == 'e' }").collect()] == ["d"]
+    assert f.query("match C c when c.parent.parent.descendants().length > 8589934590 && any c.parents(depth = 1) match B").count() == 2
+
+
+def test_kept_tables_belong_to_a_plan(spark, tmp_path):
+    spec = parsed.builtin_spec("json")
+    spark.createDataFrame([(i, f"[{i}]") for i in range(6)], "tree long, text string").coalesce(1).write.parquet(str(tmp_path / "t"))
+    read = lambda: spark.read.parquet(str(tmp_path / "t"))
+    numbers = lambda df: sorted(int(r["text"]) for r in parsed.once(df, spec, "x").query("match Whole").collect())
+    assert numbers(read().filter("tree < 2")) == [0, 1]
+    assert numbers(read().filter("tree >= 2")) == [2, 3, 4, 5]  # another plan over the same file
+    assert numbers(read().selectExpr("tree", "'[7]' AS text").limit(1)) == [7]
+    assert numbers(spark.createDataFrame([(1, "[1]")], "tree long, text string")) == [1]
+    assert numbers(spark.createDataFrame([(1, "[1,2,3]")], "tree long, text string")) == [1, 2, 3]  # frames without files
+    first, again = (parsed.once(read().filter("tree < 2"), spec, "x").nodes.inputFiles() for _ in range(2))
+    assert first == again
 
 
 def test_regex_dialect(spark):

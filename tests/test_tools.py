@@ -17,9 +17,9 @@ RULES = """
 id: house_style
 language: json
 rules:
-  - {id: shouting, message: all capitals, category: style, query: "match Str s when s.text.matches(`^\\\"[A-Z]+\\\"$`)"}
-  - {id: big_number, message: a large value, category: bug, query: "match Num n when n.parent is Pair && n.text.to_int() > 1000"}
-  - {id: mixed_list, message: several kinds, category: error, note: keep one kind, query: "match Seq s when any s.items match Num && any s.items match Str"}
+  - {id: shouting, message: all capitals, category: style, query: "match Text|Key s when s.text.matches(`^\\\"[A-Z]+\\\"$`)"}
+  - {id: big_number, message: a large value, category: bug, query: "match Whole n when n.parent is Entry && n.text.to_int() > 1000"}
+  - {id: mixed_list, message: several kinds, category: error, note: keep one kind, query: "match Array s when any s.data match Whole && any s.data match Text"}
 """
 GOOD, BAD = '{"city": "Oslo", "size": 12}', '[{"city": "OSLO", "size": 4096},\n [1, "a"] ]'
 
@@ -52,11 +52,11 @@ def test_check(spark, folder, capsys):
 
 
 def test_command_line(spark, folder, capsys, monkeypatch):
-    assert cli.main(["query", "-l", "json", "-f", f"{folder}/*.json", "-e", f"{folder}/bad.json", "-q", "match Pair"]) == 0
+    assert cli.main(["query", "-l", "json", "-f", f"{folder}/*.json", "-e", f"{folder}/bad.json", "-q", "match Entry"]) == 0
     assert [line.split("good.json")[1] for line in capsys.readouterr().out.splitlines()] == [":1:2-1:15]", ":1:18-1:27]"]
     (folder / "x.json").write_text('{"a": ')
     assert cli.main(["parse", "--spec", "json", "--file", f"{folder}/good.json"]) == 0
-    assert ". . . ● name: Str { \"city\" }" in capsys.readouterr().out
+    assert ". . . ● key: Key { \"city\" }" in capsys.readouterr().out
     assert cli.main(["parse", "--spec", "json", "--file", f"{folder}/x.json"]) == 1
     assert cli.main(["ruleset", "run", "--rulesets", f"{folder}/rules.yaml", "-f", f"{folder}/bad.json"]) == 1
     assert cli.main(["query", "-l", "json", "-f", f"{folder}/good.json", "-q", "match Nothing"]) == 2
@@ -71,11 +71,11 @@ def test_command_line(spark, folder, capsys, monkeypatch):
 
 def test_prompt(spark, capsys):
     forest = parsed.forest(spark.createDataFrame([(1, GOOD)], "tree long, text string"), parsed.builtin_spec("json"))
-    lines = ["match Pair p;", "$0.name.text", "$0.name.text.length", "$0.parent.parent.parent", ":print $1", ":print_ast $1", ":print other.json", "$0.next_sibling == $1", "bad bad", ":quit", "never"]
+    lines = ["match Entry p;", "$0.key.text", "$0.key.text.length", "$0.parent.parent.parent", ":print $1", ":print_ast $1", ":print other.json", "$0.next_sibling == $1", "bad bad", ":quit", "never"]
     cli.prompt(Session(spark), forest, spark.createDataFrame([(1, "a/good.json", GOOD)], "tree long, path string, text string"), [*lines[:5], ":print good.json", *lines[5:]])
     out = capsys.readouterr().out.splitlines()
-    assert out[:6] == ["$0: [Pair 1:2]", "$1: [Pair 1:18]", '"city"', "6", "null", '"size": 12']
-    assert out[6] == GOOD and out[7:] == ["Pair {", '. ● name: Str { "size" }', '. ● value: Num { 12 }', "}", "error: other.json: no such files", "true", "error: expected the end at 1:5"]
+    assert out[:6] == ["$0: [Entry 1:2]", "$1: [Entry 1:18]", '"city"', "6", "null", '"size": 12']
+    assert out[6] == GOOD and out[7:] == ["Entry {", '. ● key: Key { "size" }', '. ● datum: Whole { 12 }', "}", "error: other.json: no such files", "true", "error: expected the end at 1:5"]
 
 
 def test_cache_forgets_and_fills_gaps():
@@ -157,29 +157,29 @@ def test_scopes_deep_and_in_cycles(spark):
 def test_aspects(spark):
     aspects = Aspects()
 
-    @aspects("Pair", "sg_gen")
+    @aspects("Entry", "sg_gen")
     def declare(node, scope):
-        scope.add_decl(node.name.text, node)
+        scope.add_decl(node.key.text, node)
 
-    @aspects("Str", "sg_gen")
+    @aspects("Text", "sg_gen")
     def refer(node, scope):
         scope.add_ref(node.text, node)
 
     with pytest.raises(Exception):
         aspects("String", "other")(refer)
     f = parsed.forest(spark.createDataFrame([(1, '{"a": "b", "b": "c"}')], "tree long, text string"), parsed.builtin_spec("json"))
-    found = resolve(f, aspects).query("match Str s when any s.referenced_decls() match { Pair m when m.value.text == '\"c\"' }").collect()
-    assert [r["text"] for r in found] == ['"b"', '"b"']
-    assert resolve(f, aspects).query("match Str s when s.referenced_decls().length == 0").count() == 1
+    found = resolve(f, aspects).query("match Text s when any s.referenced_decls() match { Entry m when m.datum.text == '\"c\"' }").collect()
+    assert [r["text"] for r in found] == ['"b"']
+    assert resolve(f, aspects).query("match Text s when s.referenced_decls().length == 0").count() == 1
     assert regex.compile("b+").match("abbb")[0] == "bbb"
 
 
 SCRIPT = """
-@Pair.sg_gen()
+@Entry.sg_gen()
 def declare(node, scope):
-    scope.add_decl(node.name.text, node)
+    scope.add_decl(node.key.text, node)
 
-@Str.sg_gen()
+@Key.sg_gen()
 def refer(node, scope):
     scope.add_ref(node.text, node)
 
@@ -193,7 +193,7 @@ def test_scripts():
     from treeq.operators.aspects import Script
 
     s = Script(SCRIPT)
-    assert set(s.aspects.by_kind) == {("Pair", "sg_gen"), ("Str", "sg_gen")} and s.call("joined", "a", "b") == ("a/b", "b", [1])
+    assert set(s.aspects.by_kind) == {("Entry", "sg_gen"), ("Key", "sg_gen")} and s.call("joined", "a", "b") == ("a/b", "b", [1])
     with pytest.raises(TreeqError):
         Script("@A.x()\n@B.x()\ndef f(): pass")
     with pytest.raises(TreeqError):
@@ -206,8 +206,8 @@ def test_language_stems(spark, folder):
     (folder / "own.yaml").write_text("id: own\nspec: own.syl\naspects: [own.py]\n")
     session = Session(spark)
     f = session.files(["good.json"], str(folder / "own.yaml"), root=str(folder))
-    assert f.query("match Pair").count() == 2
-    assert session.resolved(f, str(folder / "own.yaml")).query("match Str s when any s.referenced_decls() match Pair").count() == 2
+    assert f.query("match Entry").count() == 2
+    assert session.resolved(f, str(folder / "own.yaml")).query("match Key s when any s.referenced_decls() match Entry").count() == 2
     (folder / "bad.yaml").write_text("id: own\n")
     with pytest.raises(ConfigError):
         session.language(str(folder / "bad.yaml"))
@@ -231,7 +231,7 @@ def test_methods_can_be_added(spark):
     compiler.METHODS["upper"] = lambda plan, value, args: compiler.Value("string", F.upper(value.col))
     try:
         f = parsed.forest(spark.createDataFrame([(1, GOOD)], "tree long, text string"), parsed.builtin_spec("json"))
-        assert [r["text"] for r in f.query("match Str s when s.text.upper() == '\"CITY\"'").collect()] == ['"city"']
+        assert [r["text"] for r in f.query("match Key s when s.text.upper() == '\"CITY\"'").collect()] == ['"city"']
     finally:
         del compiler.METHODS["upper"]
 
@@ -239,7 +239,7 @@ def test_methods_can_be_added(spark):
 def test_trees_written_out(spark):
     f = parsed.forest(spark.createDataFrame([(1, "[1, null]"), (2, "[]")], "tree long, text string"), parsed.builtin_spec("json"))
     out = {r["tree"]: r["rendered"] for r in reports.pretty_trees(f.nodes).collect()}
-    assert out[1] == "Seq {\n. ● items: List {\n. . Num { 1 }\n. . Nil { null }\n. }\n}" and out[2] == "Seq {\n. ● items: List { }\n}"
+    assert out[1] == "Array {\n. ● data: List {\n. . Whole { 1 }\n. . Absent { null }\n. }\n}" and out[2] == "Empty { [] }"
     wrong = parsed.reports(spark.createDataFrame([(1, "[1"), (2, "[]"), (3, None)], "tree long, text string"), parsed.builtin_spec("json")).collect()
     assert [(r["tree"], r["code"], r["col"]) for r in wrong] == [(1, "unexpected_eof", 3)]
 
@@ -250,7 +250,7 @@ def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("[1, 22, 3]")
     stream = spark.readStream.text(str(tmp_path / "in"), wholetext=True).select(F.xxhash64("value").alias("tree"), F.col("value").alias("text"))
-    found = streams.matches(stream, parsed.builtin_spec("json"), "match Num n when n.text.length > 1")
+    found = streams.matches(stream, parsed.builtin_spec("json"), "match Whole n when n.text.length > 1")
     q = found.writeStream.format("memory").queryName("hits").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     (tmp_path / "in" / "b.txt").write_text("[44]")
@@ -259,9 +259,9 @@ def test_streams(spark, tmp_path):
     q.stop()
     assert sorted(r["text"] for r in spark.table("hits").collect()) == ["22", "44"]
     with pytest.raises(Exception):
-        streams.matches(stream, parsed.builtin_spec("json"), "match Num n when n.next_sibling != null")
+        streams.matches(stream, parsed.builtin_spec("json"), "match Whole n when n.next_sibling != null")
     got = []
-    q = streams.by_batches(stream, parsed.builtin_spec("json"), "match Num n when n.next_sibling != null", lambda df, n: got.extend(r["text"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "d")).start()
+    q = streams.by_batches(stream, parsed.builtin_spec("json"), "match Whole n when n.next_sibling != null", lambda df, n: got.extend(r["text"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "d")).start()
     q.processAllAvailable()
     q.stop()
     assert sorted(got) == ["1", "22"]

@@ -120,20 +120,20 @@ def properties_query(text: str):
     return lambda spark, sf_dir: found(parsed.properties(spark, sf_dir).query(text))
 
 
-# the trees of {"k": n}: Map, List, Pair, Str and Num have the ids 4, 3, 2, 0 and 1
+# the trees of {"k": n}: Record, List, Entry, Key and Whole have the ids 4, 3, 2, 0 and 1
 EVENT = "SELECT event_id AS tree, {id} AS node_id, '{kind}' AS kind FROM events"
 VALUE = "CAST(json_extract(props, '$.k') AS BIGINT)"
 JSON = {
-    "q33_json_member": ("match Pair p when p.name.text == '\"k\"'", EVENT.format(id=2, kind="Pair")),
-    "q34_to_int": ("match Num n when n.text.to_int() > 50", f"{EVENT.format(id=1, kind='Num')} WHERE {VALUE} > 50"),
-    "q35_nested_fields": ("match Pair(name: '\"k\"', value: Num n when n.text.length == 2)", f"{EVENT.format(id=2, kind='Pair')} WHERE {VALUE} BETWEEN 10 AND 99"),
+    "q33_json_member": ("match Entry e when e.key.text == '\"k\"'", EVENT.format(id=2, kind="Entry")),
+    "q34_to_int": ("match Whole w when w.text.to_int() > 50", f"{EVENT.format(id=1, kind='Whole')} WHERE {VALUE} > 50"),
+    "q35_nested_fields": ("match Entry(key: '\"k\"', datum: Number n when n.text.length == 2)", f"{EVENT.format(id=2, kind='Entry')} WHERE {VALUE} BETWEEN 10 AND 99"),
     "q36_list_node": ("match List l when l.length == 1", EVENT.format(id=3, kind="List")),
-    "q51_any_of_list": ("match Map m when any m.pairs match Pair", EVENT.format(id=4, kind="Map")),
-    "q52_index_of_list": ("match Map m when m.pairs[0].value is { Num n when n.text == '7' }", f"{EVENT.format(id=4, kind='Map')} WHERE {VALUE} = 7"),
-    # strict: the left side keeps strings away from to_int
-    "q53_guarded_by_parent": ("match Num|Str n when n.parent is { Pair p when p.value is Num } && n.previous_sibling is Str && n.text.to_int() > 50", f"{EVENT.format(id=1, kind='Num')} WHERE {VALUE} > 50"),
-    "q54_guarded_by_any": ("match Num|Str n when any n.previous_siblings() match Str && n.text.to_int() < 7", f"{EVENT.format(id=1, kind='Num')} WHERE {VALUE} < 7"),
-    "q55_guarded_by_axis": ("match Pair p when any p.children match { Num n when n.text.to_int() == 7 }", f"{EVENT.format(id=2, kind='Pair')} WHERE {VALUE} = 7"),
+    "q51_any_of_list": ("match Container c when any c.entries match Entry", EVENT.format(id=4, kind="Record")),
+    "q52_index_of_list": ("match Record r when r.entries[0].datum is { Whole w when w.text == '7' }", f"{EVENT.format(id=4, kind='Record')} WHERE {VALUE} = 7"),
+    # strict: the left side keeps keys away from to_int
+    "q53_guarded_by_parent": ("match Scalar|Key n when n.parent is { Entry e when e.datum is Whole } && n.previous_sibling is Key && n.text.to_int() > 50", f"{EVENT.format(id=1, kind='Whole')} WHERE {VALUE} > 50"),
+    "q54_guarded_by_any": ("match Scalar|Key n when any n.previous_siblings() match Key && n.text.to_int() < 7", f"{EVENT.format(id=1, kind='Whole')} WHERE {VALUE} < 7"),
+    "q55_guarded_by_axis": ("match Entry e when any e.children match { Whole w when w.text.to_int() == 7 }", f"{EVENT.format(id=2, kind='Entry')} WHERE {VALUE} = 7"),
 }
 for name, (text, sql) in JSON.items():
     QUERIES[name] = properties_query(text)
@@ -143,7 +143,7 @@ for name, (text, sql) in JSON.items():
 def positions(spark, sf_dir):
     from treeq.sources import parsed
 
-    numbers = parsed.properties(spark, sf_dir).query("match Num")
+    numbers = parsed.properties(spark, sf_dir).query("match Whole")
     return numbers.select("tree", *[F.col(c).cast("long") for c in ("start_line", "start_col", "start_off", "end_col", "end_off")])
 
 
@@ -241,12 +241,12 @@ def lines(spark, sf_dir):
     from treeq.operators.reports import listing
     from treeq.sources import parsed
 
-    numbers = parsed.properties(spark, sf_dir).query("match Num")
+    numbers = parsed.properties(spark, sf_dir).query("match Whole")
     return listing(numbers, F.format_string("events/%d.json", "tree")).select("tree", "line")
 
 
 QUERIES["q56_listing"] = lines
-ORACLE_SQL["q56_listing"] = f"SELECT tree, format('[Num events/{{}}.json:1:{{}}-1:{{}}]', tree, first, last) AS line FROM ({PROPS})"
+ORACLE_SQL["q56_listing"] = f"SELECT tree, format('[Whole events/{{}}.json:1:{{}}-1:{{}}]', tree, first, last) AS line FROM ({PROPS})"
 
 
 def written_trees(spark, sf_dir):
@@ -258,7 +258,7 @@ def written_trees(spark, sf_dir):
 
 QUERIES["q57_pretty_trees"] = written_trees
 ORACLE_SQL["q57_pretty_trees"] = (
-    "SELECT tree, concat_ws(chr(10), 'Map {', '. ● pairs: List {', '. . Pair {', '. . . ● name: Str { \"k\" }', format('. . . ● value: Num {{ {} }}', k), '. . }', '. }', '}') AS rendered "
+    "SELECT tree, concat_ws(chr(10), 'Record {', '. ● entries: List {', '. . Entry {', '. . . ● key: Key { \"k\" }', format('. . . ● datum: Whole {{ {} }}', k), '. . }', '. }', '}') AS rendered "
     f"FROM ({PROPS})"
 )
 
@@ -266,7 +266,7 @@ ORACLE_SQL["q57_pretty_trees"] = (
 def large_values():
     from treeq.operators.rules import Rule, RuleSet
 
-    return RuleSet("values", "json", (Rule("large", "a large value", "bug", "match Num n when n.parent is Pair && n.text.to_int() > 90", "below 91"), Rule("zero", "no value", "style", "match Num n when n == '0'")))
+    return RuleSet("values", "json", (Rule("large", "a large value", "bug", "match Whole w when w.parent is Entry && w.text.to_int() > 90", "below 91"), Rule("zero", "no value", "style", "match Whole w when w == '0'")))
 
 
 def value_reports(spark, sf_dir):
@@ -376,7 +376,7 @@ def partial_trees(spark, sf_dir):
 
 
 QUERIES["q66_partial_trees"] = partial_trees
-ORACLE_SQL["q66_partial_trees"] = f"SELECT tree, CAST(2 AS BIGINT) AS node_id, 'Pair' AS kind FROM ({BROKEN})"
+ORACLE_SQL["q66_partial_trees"] = f"SELECT tree, CAST(2 AS BIGINT) AS node_id, 'Entry' AS kind FROM ({BROKEN})"
 
 # small programs, one for each event: a call with a list, a sum with a product, comments of both kinds, a keyword and a name that begins like it
 
@@ -458,22 +458,22 @@ def declared(spark, sf_dir):
 
     script = Script(
         """
-@Pair.sg_gen()
+@Entry.sg_gen()
 def declare(node, scope):
-    if re.compile("k").match(node.name.text):
+    if re.compile("k").match(node.key.text):
         scope.add_decl("k", node)
 
-@Num.sg_gen()
+@Whole.sg_gen()
 def refer(node, scope):
     scope.add_ref("k" if int(node.text) % 2 else "other", node)
 """
     )
     forest = resolve(parsed.properties(spark, sf_dir), script.aspects)
-    return found(forest.query("match Num n when any n.referenced_decls() match { Pair p when p.value == n }"))
+    return found(forest.query("match Whole w when any w.referenced_decls() match { Entry e when e.datum == w }"))
 
 
 QUERIES["q76_aspects"] = declared
-ORACLE_SQL["q76_aspects"] = f"{EVENT.format(id=1, kind='Num')} WHERE {VALUE} % 2 = 1"
+ORACLE_SQL["q76_aspects"] = f"{EVENT.format(id=1, kind='Whole')} WHERE {VALUE} % 2 = 1"
 
 
 def remembered(spark, sf_dir):
