@@ -3,7 +3,7 @@
 import pytest
 
 from treeq.errors import SpecError
-from treeq.sources.parsed import builtin_spec
+from treeq.sources.parsed import builtin_spec, made_ready
 from treeq.spec.meta import read_spec
 from treeq.spec.parse import Parser, Scanner, rows
 
@@ -169,7 +169,6 @@ outer: while (true) { break outer; }
 
 
 def test_python_trees():
-    from treeq.sources.parsed import made_ready
 
     language, syntax = made_ready("builtin:python", "main")
     text = "class A(B):\n    def f(self, é=1):  # note\n        return not é.x[0] == -y\n"
@@ -183,7 +182,6 @@ def test_python_trees():
 
 def test_yaml_trees():
     pytest.importorskip("yaml")
-    from treeq.sources.parsed import made_ready
 
     language, syntax = made_ready("builtin:yaml", "main")
     text = "a: {b: 'x', c: [1, 2.5]}\nd:\n- true\n- é\n---\n|\n  lines\n"
@@ -191,3 +189,52 @@ def test_yaml_trees():
     assert {r["kind"] for r in found} <= set(syntax.kinds)
     assert [(r["kind"], r["text"]) for r in found if r["kind"].endswith("Scalar") and r["n"] == 0 and r["field"] is None][:4] == [("StringScalar", "a"), ("StringScalar", "b"), ("SingleQuoteScalar", "'x'"), ("StringScalar", "c")]
     assert sum(r["kind"] == "Document" for r in found) == 2 and language.parse("a: [1")[1]
+
+
+def python_tree(text):
+    language = made_ready("builtin:python", "main")[0]
+    tree, wrong = language.parse(text)
+    return (rows(tree, text, language) if tree else []), wrong
+
+
+@pytest.mark.parametrize(
+    ("name", "text"), [("yaml", "[" * 600 + "]" * 600), ("yaml", "*nothing"), ("python", "a" + ".b" * 20_000), ("python", "(" * 300 + "1" + ")" * 300), ("python", "x = '\x00'"), ("python", "-" * 100_000 + "1")]
+)
+def test_no_text_fails_a_job(name, text):
+    tree, wrong = made_ready(f"builtin:{name}", "main")[0].parse(text)
+    assert tree is None and wrong[0].code == "unexpected_token" or not wrong
+
+
+def test_aliases_are_leaves():
+    language = made_ready("builtin:yaml", "main")[0]
+    for text, aliases in (("&a [*a]", ["*a"]), ("x: &k [1, 2]\ny: *k\nz: [*k, *k]\n", ["*k"] * 3)):
+        tree, wrong = language.parse(text)
+        assert not wrong and [r["text"] for r in rows(tree, text, language) if r["kind"] == "Alias"] == aliases
+
+
+@pytest.mark.parametrize("end", [" ", "\x0c", "\x85", "\x1c"])
+def test_lines_end_where_python_ends_them(end):
+    found, _ = python_tree(f'x = "a{end}b"\nnext = 1  # note\n')
+    named = {r["text"]: (r["start_line"], r["start_col"]) for r in found if r["kind"] in ("Identifier", "Comment")}
+    assert named["next"] == (2, 1) and named["# note"] == (2, 11)
+
+
+def test_lines_of_other_systems():
+    found, _ = python_tree("a = 1\r\nbc = 2\rdef f(): # x\r\n  return bc")
+    assert [r["text"] for r in found if r["kind"] in ("Identifier", "Comment")] == ["a", "bc", "f", "# x", "bc"]
+
+
+def test_operators_are_tokens():
+    for text, at in (("(x # a + b\n + y)", 12), ("x['+'] + y", 7), ("(x) + y", 4), ("x += '+'", 2)):
+        found, _ = python_tree(text)
+        assert [r["start_off"] for r in found if r["field"] == "operator"] == [at]
+
+
+def test_a_long_program_takes_its_time_once():
+    import time
+
+    text = "".join(f"def f{i}(x):  # note {i}\n    return x + {i}  # more\n" for i in range(4000))
+    began = time.perf_counter()
+    found, wrong = python_tree(text)
+    assert not wrong and sum(r["kind"] == "Comment" for r in found) == 8000
+    assert time.perf_counter() - began < 8  # a program of half the length took 30 s when each node was searched for from its place on

@@ -172,6 +172,27 @@ def test_bins_change_nothing(spark, query, monkeypatch):
     assert all(a == answers[0] for a in answers)
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_rules_together_find_what_each_finds_alone(spark, strict):
+    """All rules in one plan against a plan for each."""
+    from dataclasses import replace
+
+    from treeq.operators.rules import Rule, RuleSet, check
+
+    f = replace(random_tree(spark, 300, 8), strict=strict)
+    queries = [*AXES, "match B b when any b.next_siblings() match { C c when any c.children match A }", "match _ n when no n.previous_siblings(min_depth = 2) match B && any n.children match { A a when a.text != '0' }",
+               "match A|B n when all n.children match { _ c when c.next_sibling == null || any c.next_siblings() match C }", "match C c when any c.siblings() match { A a when a.text == '1' } || c.parent?.parent?.text == '2'"]
+    found = check(f, [RuleSet("r", "random", tuple(Rule(str(i), "m", "bug", q) for i, q in enumerate(queries)))])
+    alone = [(str(i), r["hi"] - r["depth"]) for i, q in enumerate(queries) for r in f.query(q).select("hi", "depth").collect()]
+    assert sorted((r["rule_id"], r["node_id"]) for r in found.select("rule_id", "node_id").collect()) == sorted(alone)
+
+
+def test_rules_join_an_axis_once(spark, sf_dir):
+    plan = catalogue.order_reports(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    # children, their field, the next and the upper ones, the rule's own field
+    assert sum(line.strip(" :+-").startswith("Join") for line in plan.splitlines()) <= 7
+
+
 def test_a_large_tree_is_dealt_out(spark):
     """A tree of a million nodes: pairs that meet stay in proportion, and many tasks have a part."""
     from treeq.forest import NODE, Forest
@@ -231,3 +252,52 @@ def test_catalogue(spark, sf_dir, duck, same, name):
 def test_kinds_prune_the_scan(spark, sf_dir):
     plan = catalogue.tables.conversations(spark, sf_dir).query("match Turn(role: 'user')")._jdf.queryExecution().executedPlan().toString()
     assert "Union" not in plan and "PushedFilters" in plan
+
+
+def test_names_in_deep_scopes(spark):
+    """Ten thousand scopes, one in the other: a reference on each level means the nearest declaration above it."""
+    from treeq.operators.names import solve
+
+    n = 10_000
+    i = F.col("id")
+    # level i: scope at 3i, its declaration at 3i + 1 and its reference at 3i + 2; each scope ends with the last node
+    scopes = spark.range(n).select(F.lit(1).cast("long").alias("tree"), (3 * i).alias("pre"), F.lit(3 * n).cast("long").alias("hi"), i.cast("int").alias("depth"))
+    decls = spark.range(n).filter("id % 100 = 7 OR id = 0").select(F.lit(1).cast("long").alias("tree"), (3 * i + 1).alias("node"), i.alias("last"), F.when(i == 0, "top").otherwise("x").alias("name"))
+    refs = spark.range(n).select(F.lit(1).cast("long").alias("tree"), (3 * i + 2).alias("node"), F.when(i % 2 == 0, "x").when(i % 3 == 0, "top").otherwise("none").alias("name"))
+    context = spark.sparkContext
+    context.setJobGroup("names", "names")
+    got = {(r["ref"] - 2) // 3: r["decl"] for r in solve(scopes, decls, refs).collect()}
+    jobs = len(context.statusTracker().getJobIdsForGroup("names"))
+    context.setJobGroup("", "")
+    for level in range(n):
+        nearest = (level - 7) // 100 * 100 + 7
+        want = 1 if level % 2 and level % 3 == 0 else 3 * nearest + 1 if level % 2 == 0 and nearest > 0 else None
+        assert got[level] == want, level
+    assert jobs < 20
+
+
+def test_names_against_the_search_by_levels(spark):
+    """Random scopes: one join against the breadth-first search along parents."""
+    from treeq.operators import names, scopes
+
+    f = random_tree(spark, 500, 4)
+    naming = names.Naming((("match B b", "b.text"),), (("match C c", "c.text"), ("match B b when b.text == '3'", "b.text")), ("match A",))
+    got = names.resolve(f, naming)
+    nodes = [r.asDict() for r in f.nodes.orderBy("pre").collect()]
+    above = lambda r: next((p for p in iter_up(nodes, r) if nodes[p]["kind"] == "A"), -1)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    edges = frame([(1, r["pre"], above(r)) for r in nodes if r["kind"] == "A"], "tree long, scope long, parent long")
+    last = lambda r: r["hi"] - r["depth"]
+    decls = frame([(1, above(r), r["text"], last(r)) for r in nodes if r["kind"] == "B"], "tree long, scope long, name string, node long")
+    refs = frame([(1, above(r), r["text"], r["pre"]) for r in nodes if r["kind"] == "C" or r["kind"] == "B" and r["text"] == "3"], "tree long, scope long, name string, node long")
+    by_last = {last(r): r["pre"] for r in nodes}
+    want = sorted((r["ref"], by_last.get(r["decl"], -1)) for r in scopes.solve(edges, decls, refs).collect())
+    assert sorted((r["ref"], -1 if r["decl"] is None else r["decl"]) for r in got.refs.collect()) == want
+    counts = {r["decl"]: r["refs"] for r in names.referring(got).collect()}
+    assert sum(counts.values()) == sum(d >= 0 for _, d in want)
+
+
+def iter_up(nodes, row):
+    while row["parent"] is not None:
+        yield row["parent"]
+        row = nodes[row["parent"]]

@@ -74,7 +74,7 @@ ORDER = (
     "a AS (SELECT *, 1 + coalesce(sum(1 + 3 * lines) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM s), "
     "ord AS (SELECT o_custkey AS tree, CAST(spot + 3 * lines - 1 AS BIGINT) AS node_id, 'Order' AS kind, lines, o_orderkey FROM a), "
     "cust AS (SELECT c_custkey AS tree, CAST(coalesce(sum(1 + 3 * lines), 0) AS BIGINT) AS node_id, 'Customer' AS kind, coalesce(sum(lines), 0) AS all_lines, count(o_orderkey) AS all_orders FROM customer LEFT JOIN s ON o_custkey = c_custkey GROUP BY c_custkey), "
-    "line AS (SELECT o_custkey AS tree, CAST(spot + 1 + 3 * (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1) AS BIGINT) AS node_id, 'Lineitem' AS kind, l_returnflag, l_linestatus FROM lineitem JOIN a ON o_orderkey = l_orderkey) "
+    "line AS (SELECT o_custkey AS tree, CAST(spot + 1 + 3 * (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1) AS BIGINT) AS node_id, 'Lineitem' AS kind, l_returnflag, l_linestatus, l_orderkey FROM lineitem JOIN a ON o_orderkey = l_orderkey) "
 )
 PICK = "SELECT tree, node_id, kind FROM "
 FLAGGED = "SELECT l_orderkey FROM lineitem WHERE l_returnflag "
@@ -97,7 +97,7 @@ DOC = (
     "s AS (SELECT *, string_split(line, ' ') AS words FROM l), "
     "p AS (SELECT *, 1 + coalesce(sum(1 + len(words)) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM s), "
     "line AS (SELECT doc_id AS tree, CAST(spot + len(words) - 1 AS BIGINT) AS node_id, 'Line' AS kind, line AS text, place FROM p), "
-    "word AS (SELECT doc_id AS tree, CAST(spot + n - 2 AS BIGINT) AS node_id, 'Word' AS kind, words[n] AS text, n FROM (SELECT doc_id, place, spot, words, unnest(range(1, len(words) + 1)) AS n FROM p)) "
+    "word AS (SELECT doc_id AS tree, CAST(spot + n - 2 AS BIGINT) AS node_id, 'Word' AS kind, words[n] AS text, n, place FROM (SELECT doc_id, place, spot, words, unnest(range(1, len(words) + 1)) AS n FROM p)) "
 )
 add("q06_regex", d, "match Line l when l.text.matches(`^The `)", DOC + PICK + "line WHERE regexp_matches(text, '^The ')")
 add("q07_string_compare", d, "match Word w when w.text >= 'th'", DOC + PICK + "word WHERE text >= 'th'")
@@ -498,7 +498,7 @@ ORACLE_SQL["q64_escapes"] = PATTERNS["q64_escapes"][2]
 
 b = tables.library
 SHELF = DOC.replace("SELECT *, 1 + coalesce(sum(1 + len(words)) OVER (PARTITION BY doc_id ORDER BY place ", "SELECT *, 1 + dense_rank() OVER (ORDER BY doc_id) + coalesce(sum(1 + len(words)) OVER (ORDER BY doc_id, place ")
-SHELF = SHELF.replace("line AS (SELECT doc_id AS tree", "line AS (SELECT CAST(0 AS BIGINT) AS tree, doc_id").replace("word AS (SELECT doc_id AS tree", "word AS (SELECT CAST(0 AS BIGINT) AS tree, doc_id, place, len(words) AS among")
+SHELF = SHELF.replace("line AS (SELECT doc_id AS tree", "line AS (SELECT CAST(0 AS BIGINT) AS tree, doc_id").replace("word AS (SELECT doc_id AS tree", "word AS (SELECT CAST(0 AS BIGINT) AS tree, doc_id")
 SHELF = SHELF.replace("CAST(spot + len(words) - 1 AS BIGINT) AS node_id, 'Line'", "CAST(spot + len(words) - 2 AS BIGINT) AS node_id, len(words) AS n, 'Line'").replace("CAST(spot + n - 2 AS BIGINT)", "CAST(spot + n - 3 AS BIGINT)")
 SHELF += ", last AS (SELECT doc_id, max(node_id) + 1 AS node_id, sum(n) AS words FROM line GROUP BY doc_id) "
 LAST = "SELECT CAST(0 AS BIGINT) AS tree, node_id, 'Document' AS kind FROM last"
@@ -511,3 +511,88 @@ ONE_TREE = {
 for name, (text, sql) in ONE_TREE.items():
     add(name, b, text, sql)
     QUERIES[name], ORACLE_SQL[name] = run(name), sql
+
+# ten rules over two axes: one scan, one join for each axis
+
+
+def order_rules():
+    from treeq.operators.rules import Rule, RuleSet
+
+    line = lambda quantifier, flag: f"match Order o when {quantifier} o.children match {{ Lineitem l when l.returnflag == '{flag}' }}"
+    rules = [Rule(f"{q}_{f}", f"{q} {f}", "style", line(q, f)) for q in ("any", "all", "no") for f in "ANR"]
+    return RuleSet("lines", "orders", (*rules, Rule("open_last", "an open line", "bug", "match Lineitem l when l.linestatus == 'O' && no l.next_siblings() match Lineitem && any l.parents() match Customer")))
+
+
+def order_reports(spark, sf_dir):
+    from treeq.operators.rules import check
+
+    return check(tables.orders(spark, sf_dir), [order_rules()]).select("rule_id", "tree", "node_id")
+
+
+QUERIES["q82_rules_share_axes"] = order_reports
+ORACLE_SQL["q82_rules_share_axes"] = (
+    ORDER + "SELECT word || '_' || flag AS rule_id, tree, node_id FROM ord, (VALUES ('any'), ('all'), ('no')) q(word), (VALUES ('A'), ('N'), ('R')) f(flag) WHERE CASE word "
+    "WHEN 'any' THEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = flag) "
+    "WHEN 'no' THEN NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = flag) "
+    "ELSE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag <> flag) END "
+    "UNION ALL SELECT 'open_last', tree, node_id FROM line l WHERE l_linestatus = 'O' AND node_id = (SELECT max(node_id) FROM line m WHERE m.l_orderkey = l.l_orderkey)"
+)
+
+# names as tables: a line is a scope that its first word is declared in; the first line stands for its own first word in the whole document
+
+
+def line_names(spark, sf_dir):
+    from treeq.operators.names import Naming, resolve
+
+    naming = Naming(
+        declares=(("match Word w when w.previous_sibling == null", "w.text"), ("match Line l when l.previous_sibling == null", "l[0].text")),
+        refers=(("match Word w when w.previous_sibling != null", "w.text"),),
+        scopes=("match Line",),
+    )
+    return resolve(tables.documents(spark, sf_dir).written(), naming)
+
+
+def nested_names(spark, sf_dir):
+    forest = line_names(spark, sf_dir)
+    declared = forest.nodes.select("tree", F.col("pre").alias("decl"), (F.col("hi") - F.col("depth")).cast("long").alias("decl_id"), F.col("kind").alias("decl_kind"))
+    return forest.refs.filter("decl IS NOT NULL").join(declared, ["tree", "decl"]).select("tree", (F.col("ref") - 2).cast("long").alias("ref_id"), "decl_id", "decl_kind")
+
+
+MEANT = DOC + (
+    ", f AS (SELECT tree, place, text, node_id FROM word WHERE n = 1), z AS (SELECT l.tree, l.node_id, f.text FROM line l JOIN f ON l.tree = f.tree AND l.place = 0 AND f.place = 0), "
+    "m AS (SELECT w.tree, w.node_id AS ref_id, CASE WHEN f.text = w.text THEN f.node_id WHEN z.text = w.text THEN z.node_id END AS decl_id, CASE WHEN f.text = w.text THEN 'Word' ELSE 'Line' END AS decl_kind "
+    "FROM word w JOIN f ON f.tree = w.tree AND f.place = w.place JOIN z ON z.tree = w.tree WHERE w.n > 1) "
+)
+QUERIES["q83_names_as_tables"] = nested_names
+ORACLE_SQL["q83_names_as_tables"] = MEANT + "SELECT tree, ref_id, decl_id, decl_kind FROM m WHERE decl_id IS NOT NULL"
+
+
+def meant_by(spark, sf_dir):
+    from treeq.operators.names import referring
+
+    forest = line_names(spark, sf_dir)
+    declared = forest.nodes.select("tree", F.col("pre").alias("decl"), (F.col("hi") - F.col("depth")).cast("long").alias("decl_id"))
+    return referring(forest).join(declared, ["tree", "decl"]).select("tree", "decl_id", "refs")
+
+
+QUERIES["q84_references_of_declarations"] = meant_by
+ORACLE_SQL["q84_references_of_declarations"] = MEANT + "SELECT tree, decl_id, count(*) AS refs FROM m WHERE decl_id IS NOT NULL GROUP BY tree, decl_id"
+
+
+def declared_functions(spark, sf_dir):
+    """The built-in names of Python, without a script of the user's."""
+    from treeq.operators.names import BUILTIN, resolve
+    from treeq.sources import parsed
+
+    e = tables.table(spark, sf_dir, "events")
+    text = F.format_string("def f%d(x):\n    return x\n\nf%d(f%d(1))\n", F.col("event_id") % 3, F.col("user_id") % 3, F.col("event_id") % 3)
+    made = parsed.once(e.select(F.col("event_id").alias("tree"), text.alias("text")), parsed.builtin_spec("python"), "functions")
+    found = resolve(made, BUILTIN["python"]).query("match Identifier i when i.parent is Call && any i.referenced_decls() match FunctionDefinition")
+    return found.select("tree", "text", F.col("start_col").cast("long").alias("col"))
+
+
+QUERIES["q85_python_names"] = declared_functions
+ORACLE_SQL["q85_python_names"] = (
+    "SELECT event_id AS tree, 'f' || (event_id % 3) AS text, CAST(4 AS BIGINT) AS col FROM events UNION ALL "
+    "SELECT event_id, 'f' || (user_id % 3), CAST(1 AS BIGINT) FROM events WHERE user_id % 3 = event_id % 3"
+)

@@ -156,10 +156,10 @@ def resolve(forest: Forest, aspects: Aspects) -> Forest:
             if f := by_kind.get(r["kind"]):
                 f(Node(rows, below, int(r["pre"])), scope)
         found = graph.solve()
-        out = pd.DataFrame(found, columns=["ref", "decl"]).astype({"ref": "Int32", "decl": "Int32"})
+        out = pd.DataFrame(found, columns=["ref", "decl"]).astype({"ref": "Int64", "decl": "Int64"})
         out.insert(0, "tree", rows[0]["tree"])
         return out
 
     columns = ["tree", "pre", "hi", "depth", "parent", "field", "kind", "text"]
-    refs = forest.nodes.select(*columns).groupBy("tree").applyInPandas(one, "tree bigint, ref int, decl int")
+    refs = forest.nodes.select(*columns).groupBy("tree").applyInPandas(one, "tree bigint, ref bigint, decl bigint")
     return replace(forest, refs=refs)

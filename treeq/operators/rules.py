@@ -1,7 +1,9 @@
 """Rulesets: many named queries over one forest.
 
-Rules that look at nodes by themselves are decided together in one scan; rules with
-axes get their own joins. A node is reported once by a rule.
+Rules are decided together in one scan, a column for each rule's outcome. What they reach
+from a node is joined once, and so is an axis: the quantifiers of all rules over it ask its nodes in
+one join. A rule gets a plan of its own if it compares the nodes of an axis with one outside, counts
+along an axis that the encoding doesn't count, or can raise on an axis. A node is reported once by a rule.
 """
 
 from __future__ import annotations
@@ -53,21 +55,21 @@ class RuleSet:
             raise ConfigError(f"a ruleset lacks {e}") from None
 
 
+def shares(forest: Forest, pattern: L.QueryPattern) -> bool:
+    """Whether a rule needs no join that only it could use."""
+    plan, root = start(forest, {})
+    plan.batches = {}
+    plan.fits(root, pattern)
+    return not plan.alone[0]
+
+
 def check(forest: Forest, rulesets: list[RuleSet]) -> DataFrame:
     """Reports ``ruleset, rule_id, category, message, note`` with the node's key and place."""
-    alone, joined = [], []
-    shared, root = start(forest, {})
-    before = shared.df
+    together, apart = [], []
     for s in rulesets:
         for r in s.rules:
             pattern = L.parse_query(r.query)
-            condition = shared.fits(root, pattern)
-            if shared.df is before:
-                alone.append((s, r, condition))
-            else:
-                joined.append((s, r))
-                shared, root = start(forest, {})
-                before = shared.df
+            (together if shares(forest, pattern) else apart).append((s, r, pattern))
     extra = [c for c in forest.nodes.columns if c not in NODE]
 
     def tag(s: RuleSet, r: Rule):
@@ -78,12 +80,15 @@ def check(forest: Forest, rulesets: list[RuleSet]) -> DataFrame:
         return df.select("hit.*", "tree", (F.col("hi") - F.col("depth")).cast("long").alias("node_id"), "kind", *extra)
 
     parts = []
-    if alone:
-        plan, _ = start(forest, {})
-        hits = F.array_compact(F.array(*[F.when(c, tag(s, r)) for s, r, c in alone]))
+    if together:
+        plan, root = start(forest, {})
+        plan.batches = {}
+        hits = [F.when(plan.fits(root, pattern), tag(s, r)) for s, r, pattern in together]
+        plan.flush()
+        hits = F.array_compact(F.array(*hits))
         scanned = plan.df.select(*[F.col(f"v0_{c}").alias(c) for c in forest.nodes.columns], F.explode(hits).alias("hit"))
         parts.append(shown(scanned))
-    parts += [shown(match(forest, r.query, {}).withColumn("hit", tag(s, r))) for s, r in joined]
+    parts += [shown(match(forest, r.query, {}).withColumn("hit", tag(s, r))) for s, r, _ in apart]
     if not parts:
         raise ConfigError("no rules")
     return reduce(DataFrame.unionByName, parts)

@@ -76,6 +76,17 @@ class Value:
     nullable: bool = False
 
 
+@dataclass
+class Batch:
+    """Quantifiers over one axis from one node: what they ask of its nodes, decided in one plan and joined once."""
+
+    nodes: Nodes
+    x: Ref
+    plan: Plan
+    asks: list[Column] = field(default_factory=list)
+    kinds: set[str] | None = field(default_factory=set)
+
+
 @dataclass
 class Plan:
     forest: Forest
@@ -89,6 +100,10 @@ class Plan:
     #: What must hold before a condition of a filter or of a flag is looked at.
     guard: Column | None = None
     only: Column | None = None
+    #: Flags that wait for their join, by node and axis; None if each quantifier gets a join of its own.
+    batches: dict[tuple, Batch] | None = None
+    #: How many joins were made for one quantifier or count only.
+    alone: list[int] = field(default_factory=lambda: [0])
 
     # joins
 
@@ -296,6 +311,11 @@ class Plan:
         """Filters the rows, or gives a flag column, by what the quantifier says."""
         nodes, own = self.list_of(q.of), q.pattern.node.name
         n = nodes.of
+        if not filters and self.batches is not None:
+            flag = self.batched(q, nodes)
+            if flag is not None:
+                return flag
+        self.alone[0] += 1
         if filters and n.checks and self.forest.strict:
             self.keep(self.guarded(n, F.lit(True)))
         outer = {name for name in L.names_in(q.pattern) if name in self.names and name != own}
@@ -331,7 +351,18 @@ class Plan:
             found = alone.df.select(*[f"{at}_{c}" for c in NODE])
             by_parent = nodes.axis == "children" or nodes.axis == "descendants" and nodes.most == 1 >= nodes.least
             flag_keys = [f"{at}_tree", f"{at}_parent"] if by_parent else None
-            left, found, meets = self.meeting(self.df, n, found, x, nodes)
+            if nodes.axis in ("next_siblings", "previous_siblings") and nodes.most == FAR:
+                # the last or first of a family's nodes that fit stands for all of them
+                end, least = (F.max if nodes.axis == "next_siblings" else F.min), max(1, nodes.least)
+                found = found.groupBy(f"{at}_tree", f"{at}_parent").agg(end(f"{at}_ord").alias(f"{at}_ord"))
+                meets = (x["tree"] == n["tree"]) & (x["parent"] == n["parent"])
+                meets = meets & (x["ord"] >= n["ord"] + least if nodes.axis == "next_siblings" else x["ord"] <= n["ord"] - least)
+                left = self.df
+            elif by_parent and filters:
+                # parents of nodes that fit, so that a large family meets its parent as one row
+                found, left, meets = found.select(*flag_keys).distinct(), self.df, self.related(n, x, nodes)
+            else:
+                left, found, meets = self.meeting(self.df, n, found, x, nodes)
             if left is not self.df and nodes.axis == "descendants":
                 # rows of this plan lie in several bins: their keys come back once
                 keys = [(f"{k}_{c}", f"{at}k{i}{c}") for i, k in enumerate(self.keys) for c in ("tree", "pre")]
@@ -358,6 +389,63 @@ class Plan:
         flag = F.coalesce(F.col(f"{at}_any"), F.lit(0)) > 0
         return self.guarded(n, flag if q.kind == "any" else ~flag)
 
+    def batched(self, q: L.Quantified, nodes: Nodes) -> Column | None:
+        """The flag of a quantifier that shares its join, unless it names something outside or can raise."""
+        own = q.pattern.node.name
+        if nodes.axis == "referenced_decls" or any(name in self.names and name != own for name in L.names_in(q.pattern)):
+            return None
+        key = nodes.of.at, nodes.axis, nodes.least, nodes.most
+        if key not in self.batches:
+            at = self.fresh("s")
+            plan = Plan(self.forest, self.named(at), {}, [at], {}, self.made, self.raises, batches={}, alone=self.alone)
+            self.batches[key] = Batch(nodes, Ref(at), plan)
+        batch, before = self.batches[key], self.raises[0]
+        asked = F.coalesce(batch.plan.fits(batch.x, q.pattern), F.lit(False))
+        if self.raises[0] > before:
+            self.alone[0] += 1  # for the rule; what was compiled here is of no use
+            return F.lit(False)
+        batch.asks.append(~asked if q.kind == "all" else asked)
+        kinds = None if q.kind == "all" else self.kinds_of(q.pattern.node)
+        batch.kinds = None if kinds is None or batch.kinds is None else batch.kinds | set(kinds)
+        i, at = len(batch.asks) - 1, batch.x.at
+        if nodes.axis in ("next_siblings", "previous_siblings") and nodes.most == FAR:
+            # the last or first of a family's nodes that fit tells for each of its members
+            reach = F.col(f"{at}_any{i}")
+            flag = reach >= nodes.of["ord"] + max(1, nodes.least) if nodes.axis == "next_siblings" else reach <= nodes.of["ord"] - max(1, nodes.least)
+            flag = F.coalesce(flag, F.lit(False))
+        else:
+            flag = F.coalesce(F.col(f"{at}_any{i}"), F.lit(0)) > 0
+        return self.guarded(nodes.of, flag if q.kind == "any" else ~flag)
+
+    def flush(self) -> None:
+        """Joins the flags of all batches: one join for a node and axis, however many conditions ask."""
+        by_family = ("children", "next_siblings", "previous_siblings")
+        # what pairs nodes starts from this plan, so it goes before the others join it
+        for batch in sorted((self.batches or {}).values(), key=lambda b: b.nodes.axis in by_family):
+            if not batch.asks:
+                continue
+            batch.plan.flush()
+            x, nodes, n = batch.x, batch.nodes, batch.nodes.of
+            found = batch.plan.df
+            if batch.kinds is not None:
+                found = found.filter(x["kind"].isin(*sorted(batch.kinds)))
+            found = found.filter(reduce(lambda a, b: a | b, batch.asks))
+            counts = [F.count_if(a).alias(f"{x.at}_any{i}") for i, a in enumerate(batch.asks)]
+            family = [F.col(f"{x.at}_{c}").alias(f"{x.at}f_{c}") for c in ("tree", "parent")]
+            near = (F.col(f"{x.at}f_tree") == n["tree"]) & (F.col(f"{x.at}f_parent") == n["parent"])
+            if nodes.axis == "children" or nodes.axis == "descendants" and nodes.least <= 1 == nodes.most:
+                found = found.groupBy(*family).agg(*counts)
+                near = (F.col(f"{x.at}f_tree") == n["tree"]) & (F.col(f"{x.at}f_parent") == n["pre"])
+            elif nodes.axis in ("next_siblings", "previous_siblings") and nodes.most == FAR:
+                end = F.max if nodes.axis == "next_siblings" else F.min
+                found = found.groupBy(*family).agg(*[end(F.when(a, x["ord"])).alias(f"{x.at}_any{i}") for i, a in enumerate(batch.asks)])
+            else:
+                keys = [(f"{k}_{c}", f"{x.at}k{i}{c}") for i, k in enumerate(self.keys) for c in ("tree", "pre")]
+                left, right, meets = self.meeting(self.df, n, found, x, nodes)
+                found = left.join(right, meets).groupBy(*[F.col(a).alias(b) for a, b in keys]).agg(*counts)
+                near = reduce(lambda a, b: a & b, [F.col(a) == F.col(b) for a, b in keys])
+            self.df = self.df.join(found, near, "left")
+
     def select(self, x: Ref, q: L.Quantified) -> None:
         """Keeps the nodes that decide the quantifier: for ``all``, those that don't fit."""
         if q.kind == "all":
@@ -542,6 +630,7 @@ class Plan:
             return n["hi"] - n["pre"]
         if nodes.axis == "referenced_decls":
             at = self.fresh()
+            self.alone[0] += 1
             found = self.refs().groupBy(F.col("tree").alias(f"{at}_tree"), F.col("ref").alias(f"{at}_pre")).agg(F.count("decl").alias(f"{at}_count"))
             self.df = self.df.join(found, (F.col(f"{at}_tree") == n["tree"]) & (F.col(f"{at}_pre") == n["pre"]), "left")
             self.raises[0] += self.forest.strict
@@ -549,6 +638,7 @@ class Plan:
             return F.coalesce(F.col(f"{at}_count"), fail)
         at = self.fresh()
         x = Ref(at)
+        self.alone[0] += 1
         keys = [(f"{k}_{c}", f"{at}k{i}{c}") for i, k in enumerate(self.keys) for c in ("tree", "pre")]
         left, right, condition = self.meeting(self.df, n, self.named(at), x, nodes)
         found = left.join(right, condition).groupBy(*[F.col(a).alias(b) for a, b in keys]).agg(F.count("*").alias(f"{at}_count"))

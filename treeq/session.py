@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from treeq import language as L
 from treeq.forest import Forest
-from treeq.operators import aspects, reports, rules
+from treeq.operators import aspects, names, reports, rules
 from treeq.plans.compiler import start
 from treeq.sources import files, parsed, project
 from treeq.spec.parse import rows
@@ -31,7 +31,9 @@ class Session:
         return project.stem(path).spec if path.suffix in (".yml", ".yaml") else path.read_text()
 
     def resolved(self, forest: Forest, name: str) -> Forest:
-        """The forest with the references that the aspects of a language's stem make."""
+        """The forest with the references of a built-in language, or those that the aspects of a language's stem make."""
+        if name in names.BUILTIN:
+            return names.resolve(forest, names.BUILTIN[name])
         for script in project.stem(project.local_path(name)).aspects:
             forest = aspects.resolve(forest, aspects.Script(script).aspects)
         return forest

@@ -8,9 +8,9 @@ one place are a ``List`` in the field, and a text with errors has no partial tre
 from __future__ import annotations
 
 import ast
-import io
 import re
 import tokenize
+from bisect import bisect_left, bisect_right
 
 from treeq.errors import ConfigError
 from treeq.spec.parse import Report, Tree
@@ -37,6 +37,8 @@ OPERATORS = {
 # Fields by the name of Python's own.
 FIELDS = {"op": "operator", "func": "function", "attr": "attribute", "test": "condition", "orelse": "alternative", "operand": "argument"}
 CONSTANTS = {int: "Integer", float: "Float", complex: "Float", str: "String", bytes: "String", bool: "Boolean", type(None): "None", type(...): "Ellipsis"}
+#: Lines end where Python ends them: not at form feeds or the separators of Unicode.
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+\Z")
 _NAMED = re.compile(r"(?:async\s+)?(?:def|class)\s+(\w+)")
 
 
@@ -82,10 +84,23 @@ def python_syntax() -> Syntax:
 class PythonTree:
     def __init__(self, text: str):
         self.text = text
-        self.lines = text.splitlines(keepends=True)
+        self.lines = _LINE.findall(text)
         self.starts = [0]
         for line in self.lines:
             self.starts.append(self.starts[-1] + len(line))
+        self.comments: list[tuple[int, str]] = []
+        self.signs: dict[str, list[int]] = {}
+        ends = iter([line.rstrip("\r\n") + "\n" for line in self.lines])
+        try:
+            for token in tokenize.generate_tokens(lambda: next(ends, "")):
+                if token.type in (tokenize.COMMENT, tokenize.OP):
+                    at = self.starts[token.start[0] - 1] + token.start[1]
+                    if token.type == tokenize.COMMENT:
+                        self.comments.append((at, token.string))
+                    else:
+                        self.signs.setdefault(token.string, []).append(at)
+        except (tokenize.TokenError, SyntaxError):
+            pass  # the parser reads it all the same; later comments stay unknown
 
     def place(self, line: int, column: int) -> int:
         """The character at a line and a column in bytes."""
@@ -120,7 +135,7 @@ class PythonTree:
         if name in OPERATORS or isinstance(node, (ast.expr_context,)):
             return None  # their place follows from what is around them
         children: list[Tree] = []
-        if (m := _NAMED.search(self.text, span[0] if span else 0)) and isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and (m := _NAMED.search(self.text, span[0], span[1])):
             children.append(Tree("Identifier", "name", m.start(1), m.end(1), []))
         for label, value in ast.iter_fields(node):
             label = field_of(type(node), label)
@@ -136,7 +151,7 @@ class PythonTree:
         if isinstance(node, ast.Attribute):
             children.append(Tree("Identifier", "attribute", span[1] - len(node.attr), span[1], []))
         if isinstance(node, (ast.BinOp, ast.AugAssign)):
-            self.operator(node.op, children, 0)
+            self.operator(node, children)
         elif isinstance(node, ast.UnaryOp):
             sign = OPERATORS[type(node.op).__name__]
             children.insert(0, Tree(kind_of(type(node.op).__name__), "operator", span[0], span[0] + len(sign), []))
@@ -146,30 +161,40 @@ class PythonTree:
             span = (children[0].start, children[-1].end) if children else (0, 0)
         return Tree(kind_of(name), None, *span, children)
 
-    def operator(self, op: ast.AST, children: list[Tree], i: int) -> None:
-        """The operator behind the i-th child."""
-        sign = OPERATORS[type(op).__name__]
-        at = self.text.find(sign, children[i].end)
-        children.insert(i + 1, Tree(kind_of(type(op).__name__), "operator", at, at + len(sign), []))
+    def operator(self, node: ast.BinOp | ast.AugAssign, children: list[Tree]) -> None:
+        """The operator behind the first child, by the tokens."""
+        name = type(node.op).__name__
+        sign = OPERATORS[name]
+        places = self.signs.get(sign + "=" if isinstance(node, ast.AugAssign) else sign, [])
+        i = bisect_left(places, children[0].end)
+        at = places[i] if i < len(places) and places[i] < children[-1].start else self.text.find(sign, children[0].end)
+        children.insert(1, Tree(kind_of(name), "operator", at, at + len(sign), []))
 
 
 def python(text: str) -> tuple[Tree | None, list[Report]]:
     try:
         root = ast.parse(text)
+    except (RecursionError, MemoryError):
+        return None, [Report("unexpected_token", 0, "nested too deeply")]
     except (SyntaxError, ValueError) as e:
         line, column = getattr(e, "lineno", None) or 1, getattr(e, "offset", None) or 1
-        starts = [0] + [i + 1 for i, c in enumerate(text) if c == "\n"]
+        starts = [0]
+        for own in _LINE.findall(text):
+            starts.append(starts[-1] + len(own))
         return None, [Report("unexpected_token", min(len(text), starts[min(line, len(starts)) - 1] + column - 1), str(getattr(e, "msg", e)))]
     made = PythonTree(text)
     tree = made.tree(root)
-    for token in tokenize.generate_tokens(io.StringIO(text).readline):
-        if token.type == tokenize.COMMENT:
-            at = made.starts[token.start[0] - 1] + token.start[1]
-            place = tree
-            while inner := next((c for c in place.children if c.start <= at and at + len(token.string) <= c.end), None):
-                place = inner
-            i = sum(c.start < at for c in place.children)
-            place.children.insert(i, Tree("Comment", None, at, at + len(token.string), []))
+    begins = lambda c: c.start
+    for at, note in made.comments:
+        place = tree
+        while True:
+            # siblings begin in order; of those that overlap, as a dictionary's keys and values do, one before the last can hold it
+            i = bisect_right(place.children, at, key=begins)
+            inner = next((c for c in place.children[max(0, i - 2) : i][::-1] if at + len(note) <= c.end), None)
+            if inner is None:
+                break
+            place = inner
+        place.children.insert(bisect_left(place.children, at, key=begins), Tree("Comment", None, at, at + len(note), []))
     tree.start, tree.end = (0, len(text.rstrip())) if text.strip() else (0, 0)
     return tree, []
 
@@ -178,7 +203,7 @@ def python(text: str) -> tuple[Tree | None, list[Report]]:
 SCALARS = {"int": "IntegerScalar", "float": "FloatScalar", "bool": "BooleanScalar", "null": "NullScalar", "timestamp": "TimestampScalar"}
 YAML = {
     "Stream": (), "Document": (), "BlockNode": (), "FlowNode": (), "BlockMapping": (), "FlowMapping": (), "BlockMappingPair": ("key", "value"), "FlowPair": ("key", "value"),
-    "BlockSequence": (), "BlockSequenceItem": (), "FlowSequence": (), "PlainScalar": (), "StringScalar": (), "SingleQuoteScalar": (), "DoubleQuoteScalar": (), "BlockScalar": (),
+    "BlockSequence": (), "BlockSequenceItem": (), "FlowSequence": (), "PlainScalar": (), "StringScalar": (), "SingleQuoteScalar": (), "DoubleQuoteScalar": (), "BlockScalar": (), "Alias": (),
     **{k: () for k in SCALARS.values()},
 }
 
@@ -188,8 +213,19 @@ def yaml(text: str) -> tuple[Tree | None, list[Report]]:
         import yaml as reader
     except ImportError:
         raise ConfigError("YAML as a language needs PyYAML") from None
+
+    class Loader(reader.SafeLoader):
+        def compose_node(self, parent, index):
+            """An alias is a leaf of its own, so what it names isn't walked again, or without end."""
+            if self.check_event(reader.AliasEvent) and self.peek_event().anchor in self.anchors:
+                event = self.get_event()
+                return reader.ScalarNode("alias", event.anchor, event.start_mark, event.end_mark)
+            return super().compose_node(parent, index)
+
     try:
-        roots = list(reader.compose_all(text, Loader=reader.SafeLoader))
+        roots = list(reader.compose_all(text, Loader=Loader))
+    except RecursionError:
+        return None, [Report("unexpected_token", 0, "nested too deeply")]
     except reader.YAMLError as e:
         mark = getattr(e, "problem_mark", None)
         return None, [Report("unexpected_token", mark.index if mark else 0, str(getattr(e, "problem", e)))]
@@ -205,6 +241,8 @@ def yaml(text: str) -> tuple[Tree | None, list[Report]]:
         elif isinstance(n, reader.SequenceNode):
             items = [value(x, None) for x in n.value]
             inner = Tree("FlowSequence" if flow else "BlockSequence", None, start, end, items if flow else [Tree("BlockSequenceItem", None, x.start, x.end, [x]) for x in items])
+        elif n.tag == "alias":
+            inner = Tree("Alias", None, start, end, [])
         elif n.style in ("'", '"'):
             inner = Tree("SingleQuoteScalar" if n.style == "'" else "DoubleQuoteScalar", None, start, end, [])
         elif n.style in ("|", ">"):
@@ -213,7 +251,10 @@ def yaml(text: str) -> tuple[Tree | None, list[Report]]:
             inner = Tree("PlainScalar", None, start, end, [Tree(SCALARS.get(n.tag.rsplit(":", 1)[-1], "StringScalar"), None, start, end, [])])
         return Tree("FlowNode" if flow else "BlockNode", label, start, end, [inner])
 
-    documents = [Tree("Document", None, t.start, t.end, [t]) for t in (value(n, None) for n in roots if n is not None)]
+    try:
+        documents = [Tree("Document", None, t.start, t.end, [t]) for t in (value(n, None) for n in roots if n is not None)]
+    except RecursionError:
+        return None, [Report("unexpected_token", 0, "nested too deeply")]
     return Tree("Stream", None, documents[0].start if documents else 0, documents[-1].end if documents else 0, documents), []
 
 
