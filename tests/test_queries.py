@@ -187,6 +187,37 @@ def test_rules_together_find_what_each_finds_alone(spark, strict):
     assert sorted((r["rule_id"], r["node_id"]) for r in found.select("rule_id", "node_id").collect()) == sorted(alone)
 
 
+@pytest.mark.parametrize("query", AXES)
+def test_array_form(spark, query):
+    from treeq.plans.arrays import packed
+
+    f = random_tree(spark, 250, 6)
+    key = lambda df: sorted(r["pre"] for r in df.select("pre").collect())
+    assert key(packed(f).query(query)) == key(f.query(query))
+
+
+@pytest.mark.parametrize(("suite", "query", "want"), [g for g in GOLDEN if g[0] != "notes"])
+def test_golden_in_array_form(spark, suite, query, want):
+    from treeq.plans.arrays import packed
+
+    f = forest(spark, suite)
+    assert packed(f).query(query).count() == len(want)
+    plan = packed(f).query(query)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_array_form_raises_where_rows_do(spark):
+    from dataclasses import replace
+
+    from treeq.plans.arrays import packed
+
+    trees = packed(forest(spark, "boxes"))
+    for query in ("match Box b when b.lid.text == '~'", "match Size s when s.lid == null", "match Box b when b[2] == '~'", "match Lid l when l.text.to_int() == 1", "match Box([2]: Lid)"):
+        with pytest.raises(Exception, match="InvalidKind|InvalidField|IndexError|NotAnInt"):
+            trees.query(query).collect()
+        replace(trees, strict=False).query(query).collect()
+
+
 def test_rules_join_an_axis_once(spark, sf_dir):
     plan = catalogue.order_reports(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     # children, their field, the next and the upper ones, the rule's own field

@@ -260,6 +260,12 @@ def test_streams(spark, tmp_path):
     assert sorted(r["text"] for r in spark.table("hits").collect()) == ["22", "44"]
     with pytest.raises(Exception):
         streams.matches(stream, parsed.builtin_spec("json"), "match Whole n when n.next_sibling != null")
+    nested = streams.matches(stream, parsed.builtin_spec("json"), "match Whole n when any n.next_siblings() match { Whole m when m.text.to_int() > n.text.to_int() } && any n.parents() match Array", arrays=True)
+    assert "Exchange" not in nested._jdf.queryExecution().analyzed().toString()
+    q = nested.writeStream.format("memory").queryName("nested").option("checkpointLocation", str(tmp_path / "e")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["text"] for r in spark.table("nested").collect()) == ["1"]
     got = []
     q = streams.by_batches(stream, parsed.builtin_spec("json"), "match Whole n when n.next_sibling != null", lambda df, n: got.extend(r["text"] for r in df.collect())).option("checkpointLocation", str(tmp_path / "d")).start()
     q.processAllAvailable()

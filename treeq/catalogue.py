@@ -596,3 +596,30 @@ ORACLE_SQL["q85_python_names"] = (
     "SELECT event_id AS tree, 'f' || (event_id % 3) AS text, CAST(4 AS BIGINT) AS col FROM events UNION ALL "
     "SELECT event_id, 'f' || (user_id % 3), CAST(1 AS BIGINT) FROM events WHERE user_id % 3 = event_id % 3"
 )
+
+# the array form: the same queries without a join
+
+
+def array_form(name: str):
+    forest, text, _ = PATTERNS[name]
+
+    def ask(spark, sf_dir):
+        from treeq.plans.arrays import packed
+
+        return found(packed(forest(spark, sf_dir)).query(text))
+
+    return ask
+
+
+for name in ("q24_outer_reference", "q44_negated_any", "q32_near_siblings", "q11_field_nested", "q14_previous_sibling", "q22_all", "q27_descendants_depth"):
+    QUERIES[f"{name}_arrays"], ORACLE_SQL[f"{name}_arrays"] = array_form(name), PATTERNS[name][2]
+
+
+def parsed_arrays(spark, sf_dir):
+    from treeq.sources import parsed
+
+    e = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("tree"), F.col("props").alias("text"))
+    return found(parsed.trees(e, parsed.builtin_spec("json")).query(JSON["q53_guarded_by_parent"][0]))
+
+
+QUERIES["q53_guarded_by_parent_arrays"], ORACLE_SQL["q53_guarded_by_parent_arrays"] = parsed_arrays, JSON["q53_guarded_by_parent"][1]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from treeq.forest import NODE, Forest
 from treeq.lineage import kept
+from treeq.plans.arrays import OWN, ROW, Trees
 from treeq.spec.builtin import LANGUAGES
 from treeq.spec.meta import read_spec
 from treeq.spec.parse import Parser, rows
@@ -77,6 +78,21 @@ def forest(sources: DataFrame, spec: str, start: str = "main", name: str = "pars
     return Forest(rows_of.withColumn("ord", F.when(F.col("depth") > 0, F.col("ord"))), syntax, name)
 
 
+def trees(sources: DataFrame, spec: str, start: str = "main") -> Trees:
+    """The same forest in array form, a row for each text that has a tree; no exchange, so ``sources`` may be a stream."""
+    syntax = made_ready(spec, start)[1]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for tree, text in zip(batch["tree"], batch["text"]):
+                if own := parsed(spec, start, text)[0]:
+                    nodes = [{c: None if c in ("parent", "ord") and not r["depth"] else r[c] for c in OWN} for r in own]
+                    yield pd.DataFrame({"tree": [tree], "nodes": [nodes]})
+
+    rows_of = sources.select("tree", "text").filter("text IS NOT NULL").mapInPandas(run, ROW)
+    return Trees(rows_of, syntax)
+
+
 def reports(sources: DataFrame, spec: str, start: str = "main") -> DataFrame:
     """What went wrong while parsing, by source."""
 
