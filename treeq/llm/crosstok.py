@@ -109,6 +109,7 @@ def portions(batch: pa.RecordBatch, column: int, most: int = BYTES) -> Iterator[
         done = sizes[start - 1] if start else 0
         stop = max(int(np.searchsorted(sizes, done + most, side="right")), start + 1)
         yield batch.slice(start, stop - start)
+        tidy()
         start = stop
 
 
@@ -321,7 +322,7 @@ def coded(docs: DataFrame, hot, a: str, b: str, splits: bool) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, _, _ = hot.value
+        frequent = hot.value
         fine: set[str] = set()
         for batch in batches:
             for part in portions(batch, 1):
@@ -355,11 +356,12 @@ def figured(groups: pa.Array, n_a: np.ndarray, best: np.ndarray, sums: np.ndarra
     return np.stack([n_a, sum(marks) + 1 - n_a, marks[0], marks[0], best, sums], axis=1)
 
 
-def composed(hot):
+def composed(worth):
     """What turns codes into a document's figures, from the broadcast table and what each row brings of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, groups, figures = hot.value
+        groups, numbers = worth.value
+        figures = figured(groups, *numbers)
         for batch in batches:
             for part in portions(batch, 1, CODES):
                 data = [zlib.decompress(x) if x else b"" for x in part.column(1).to_pylist()]
@@ -369,18 +371,18 @@ def composed(hot):
                 n = pc.fill_null(pc.list_value_length(own), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 first = np.cumsum(n) - n
                 x = own.flatten()
-                pos, *numbers = (x.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("pos", "n_a", "n_best", "count_sum"))
+                pos, *own_numbers = (x.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("pos", "n_a", "n_best", "count_sum"))
                 order = np.empty(len(x), dtype=np.int64)
                 order[np.repeat(first, n) + pos] = np.arange(len(x))
                 rare = x.field("groups").take(pa.array(order))
                 pool = pa.concat_arrays([groups, rare])
-                worth = np.concatenate([figures, figured(rare, *[v[order] for v in numbers])])
-                at += np.where(at >= len(frequent), np.repeat(first, sizes), 0)
+                values = np.concatenate([figures, figured(rare, *[v[order] for v in own_numbers])])
+                at += np.where(at >= len(groups), np.repeat(first, sizes), 0)
                 joined = pc.binary_join(listed(sizes, pool.take(pa.array(at))), ";")
                 sums = np.zeros((len(sizes), len(FIGURES)), dtype=np.int64)
                 some = np.flatnonzero(sizes)
                 if len(some):
-                    sums[some] = np.add.reduceat(worth[at], (np.cumsum(sizes) - sizes)[some], axis=0)
+                    sums[some] = np.add.reduceat(values[at], (np.cumsum(sizes) - sizes)[some], axis=0)
                 digests = [sha256(s.as_buffer()).hexdigest() if k else "" for s, k in zip(joined, sizes.tolist())]
                 columns = [part.column(0), *[pa.array(sums[:, j]) for j in range(len(FIGURES))], pa.array(digests, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *FIGURES, "groups_sha256"])
@@ -400,16 +402,20 @@ def aligned(docs: DataFrame, a: str | None = None, b: str | None = None, splits:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = segment_table(docs, scratch, a, b, splits)
     short = table.filter(F.col("key").startswith("="))
-    frequent = short.orderBy(F.desc("n"), "key").limit(hot).toArrow().combine_chunks()  # bounded in rows and bytes
-    keys, groups = (one(frequent.column(f)).cast(pa.string()) for f in ("key", "groups"))
-    known = spark.sparkContext.broadcast((keys, groups, figured(groups, *[one(frequent.column(f)).to_numpy() for f in ("n_a", "n_best", "count_sum")])))
-    del frequent, keys, groups
+    columns = ["key", "groups", "n_a", "n_best", "count_sum"]
+    frequent = short.orderBy(F.desc("n"), "key").limit(hot).select(*columns).toArrow()  # bounded in rows and bytes
+    keys, groups, *numbers = (one(frequent.column(c)) for c in columns)
+    del frequent
+    known = spark.sparkContext.broadcast(keys.cast(pa.string()))
+    worth = spark.sparkContext.broadcast((groups.cast(pa.string()), [x.to_numpy() for x in numbers]))
+    del keys, groups, numbers
+    tidy()
     texts = scratch.save(coded(docs, known, a, b, splits).withColumn("row", F.monotonically_increasing_id()), "codes")
     rare = texts.select("row", F.posexplode("rare").alias("pos", "key"))
     brought = rare.join(table.drop("n"), "key").select("row", F.struct("pos", "groups", "n_a", "n_best", "count_sum").alias("x"))
     brought = brought.groupBy("row").agg(F.collect_list("x").alias("own"))  # a text's own segments
     met = texts.select("row", "doc_id", "codes").join(brought, "row", "left").select("doc_id", "codes", "own")
-    return met.mapInArrow(composed(known), f"doc_id long, {_NUMBERS}, groups_sha256 string")
+    return met.mapInArrow(composed(worth), f"doc_id long, {_NUMBERS}, groups_sha256 string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
