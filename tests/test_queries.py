@@ -332,3 +332,22 @@ def iter_up(nodes, row):
     while row["parent"] is not None:
         yield row["parent"]
         row = nodes[row["parent"]]
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_buckets_need_no_exchange(spark, sf_dir):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("q20_any", "q22_all", "q23_nested_any", "q27_descendants_depth"):
+            assert exchanges(catalogue.QUERIES[name](spark, sf_dir)) == 0
+        f = catalogue.tables.conversations(spark, sf_dir).bucketed(4)
+        for name in ("q13_parent_is", "q14_previous_sibling", "q24_outer_reference", "q44_negated_any"):
+            found = f.query(catalogue.PATTERNS[name][1])
+            assert exchanges(found) == 0
+            assert sorted(catalogue.found(found).collect()) == sorted(catalogue.QUERIES[name](spark, sf_dir).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)

@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeq.lineage import Scratch
+from treeq.lineage import Scratch, by_part_of_keys
 from treeq.syntax import Syntax
 
 NODE = {
@@ -66,3 +66,14 @@ class Forest:
     def written(self) -> Forest:
         """The same forest with its nodes written in the shared folder, for several queries."""
         return replace(self, nodes=Scratch(self.nodes.sparkSession, self.name).save(self.nodes, "nodes"))
+
+    def bucketed(self, count: int | None = None) -> Forest:
+        """The same forest written in ``count`` buckets by tree, so that joins along axes need no exchange.
+
+        That is for forests of many trees: a tree lies in one bucket, and so in one task.
+        A large tree is better ``written``. Joins by tree and place may use the buckets from now on in this session.
+        """
+        spark = self.nodes.sparkSession
+        by_part_of_keys(spark)
+        count = count or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return replace(self, nodes=Scratch(spark, self.name).bucketed(self.nodes.repartition(count, "tree"), "nodes", ["tree"], count))

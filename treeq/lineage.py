@@ -77,23 +77,41 @@ class Scratch:
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
 
+def by_part_of_keys(spark: SparkSession) -> None:
+    """Lets joins use buckets by some of their keys, such as the tree of a tree and a place."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 #: Label and input files to the frames and tables of the last builds.
 _KEPT: dict[tuple, list[tuple[list[DataFrame], dict[str, DataFrame]]]] = {}
 #: Builds of one label over the same files, of different plans, that are remembered.
 _PLANS = 16
 
 
-def kept(spark: SparkSession, label: str, inputs: list[DataFrame], build: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+def kept(
+    spark: SparkSession, label: str, inputs: list[DataFrame], build: Callable[[], dict[str, DataFrame]], buckets: dict[str, str] | None = None
+) -> dict[str, DataFrame]:
     """The tables that ``build`` gives, written once in a session for the same plans over the same input files.
 
+    ``buckets`` names a column for each table that is written in buckets.
+
     Frames that read no files, such as local rows, can't be told apart by these, so
     what is built from them is written each time. Tables whose input files have changed are forgotten;
     their files stay until the application ends, as frames may still read them.
     """
     scratch = Scratch(spark, re.sub(r"\W+", "-", label)[:60])
+
+    def written() -> dict[str, DataFrame]:
+        by, count, out = buckets or {}, int(spark.conf.get("spark.sql.shuffle.partitions")), {}
+        if by:
+            by_part_of_keys(spark)
+        for name, df in build().items():
+            out[name] = scratch.bucketed(df.repartition(count, by[name]), name, [by[name]], count) if name in by else scratch.save(df, name)
+        return out
+
     paths = [df.inputFiles() for df in inputs]
     if not all(paths):
-        return {name: scratch.save(df, name) for name, df in build().items()}
+        return written()
     stamps = []
     for file in sorted({f for own in paths for f in own}):
         path, fs = scratch.file_system(file)
@@ -107,7 +125,7 @@ def kept(spark: SparkSession, label: str, inputs: list[DataFrame], build: Callab
     for frames, tables in known:
         if len(frames) == len(inputs) and all(a.sameSemantics(b) for a, b in zip(frames, inputs)):
             return tables
-    tables = {name: scratch.save(df, name) for name, df in build().items()}
+    tables = written()
     known.append((inputs, tables))
     del known[:-_PLANS]
     return tables

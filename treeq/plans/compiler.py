@@ -40,15 +40,17 @@ METHODS: dict[str, Callable[[Plan, Value, tuple], Value]] = {}
 @dataclass(frozen=True)
 class Ref:
     """A node: the prefix of its columns, whether it can be missing, which kinds it can
-    have if known, and the checks that its use must pass."""
+    have if known, and the checks that its use must pass. One that a join added shares the tree
+    of the node in ``home``, whose column the rows are dealt out by."""
 
     at: str
     nullable: bool = False
     kinds: tuple[str, ...] | None = None
     checks: tuple[tuple[Column, str], ...] = ()
+    home: str | None = None
 
     def __getitem__(self, name: str) -> Column:
-        return F.col(f"{self.at}_{name}")
+        return F.col(f"{self.home if name == 'tree' and self.home else self.at}_{name}")
 
     @property
     def present(self) -> Column:
@@ -114,8 +116,9 @@ class Plan:
     def named(self, at: str) -> DataFrame:
         return self.forest.nodes.select(*[F.col(c).alias(f"{at}_{c}") for c in NODE])
 
-    def left(self, key: tuple, condition, only: Column | None = None, kinds=None) -> Ref:
-        """The node that a left join adds, joined once for each key."""
+    def left(self, n: Ref, key: tuple, condition, only: Column | None = None) -> Ref:
+        """The node that a left join adds, joined once for each node and key."""
+        key = n.at, *key
         if key not in self.joined:
             at = self.fresh()
             right = self.named(at)
@@ -123,23 +126,23 @@ class Plan:
                 right = right.filter(only_at(at, only))
             self.df = self.df.join(right, condition(Ref(at)), "left")
             self.joined[key] = at
-        return Ref(self.joined[key], True, kinds)
+        return Ref(self.joined[key], True, home=n.home or n.at)
 
     def parent(self, n: Ref) -> Ref:
-        return self.left((n.at, "parent"), lambda p: (p["tree"] == n["tree"]) & (p["pre"] == n["parent"]))
+        return self.left(n, ("parent",), lambda p: (p["tree"] == n["tree"]) & (p["pre"] == n["parent"]))
 
     def sibling(self, n: Ref, step: int) -> Ref:
         same = lambda s: (s["tree"] == n["tree"]) & (s["parent"] == n["parent"]) & (s["ord"] == n["ord"] + step)
-        return self.left((n.at, "sibling", step), same)
+        return self.left(n, ("sibling", step), same)
 
     def child(self, n: Ref, place: Column, key) -> Ref:
-        return self.left((n.at, "child", key), lambda c: (c["tree"] == n["tree"]) & (c["parent"] == n["pre"]) & (c["ord"] == place))
+        return self.left(n, ("child", key), lambda c: (c["tree"] == n["tree"]) & (c["parent"] == n["pre"]) & (c["ord"] == place))
 
     def field(self, n: Ref, name: str) -> Ref:
         if name not in self.forest.syntax.fields:
             raise CompileError(f"no kind has a field {name}", "InvalidPropertyName")
         below = lambda c: (c["tree"] == n["tree"]) & (c["parent"] == n["pre"])
-        return self.left((n.at, "field", name), below, only=F.lit(name))
+        return self.left(n, ("field", name), below, only=F.lit(name))
 
     # conditions
 

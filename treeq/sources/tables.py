@@ -50,7 +50,9 @@ ORDERS = Syntax.of(Customer=(), Order=(), Lineitem=("returnflag", "linestatus"),
 def orders(spark: SparkSession, sf_dir: str) -> Forest:
     """``Customer > Order > Lineitem(returnflag, linestatus)``, a tree for each customer."""
     o, li, c = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
-    made = kept(spark, "orders", [o, li, c], lambda: numbered(o, li, c))
+    # a customer's tree is small, so buckets by customer leave axis joins without exchanges
+    by = {"customers": "c_custkey", "placed": "o_custkey", "lines": "o_custkey"}
+    made = kept(spark, "orders", [o, li, c], lambda: numbered(o, li, c), by)
     customers, placed, lines = made["customers"], made["placed"], made["lines"]
     at = F.col("at") + 1 + 3 * F.col("line")
     leaf = lambda i, kind: nodes(lines, F.col("o_custkey"), at + i, at + i, 3, at, i - 1, 0, kind, F.col("l_" + kind.lower()), kind.lower())
