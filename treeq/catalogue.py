@@ -623,3 +623,35 @@ def parsed_arrays(spark, sf_dir):
 
 
 QUERIES["q53_guarded_by_parent_arrays"], ORACLE_SQL["q53_guarded_by_parent_arrays"] = parsed_arrays, JSON["q53_guarded_by_parent"][1]
+
+# files by globs below a root, and a method of an extension
+
+
+def scanned(spark, sf_dir):
+    """Pages written as a file each, read back by globs."""
+    from treeq.lineage import Scratch
+    from treeq.sources import files
+
+    at = Scratch(spark, "pages").path("pages")
+    tables.table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("value")).write.partitionBy("page_id").text(at)
+    found = files.sources(spark, ["*/part-*"], ["page_id=1*/part-*"], root=at)
+    return found.select(F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("long").alias("page_id"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+QUERIES["q86_glob_scan"] = scanned
+ORACLE_SQL["q86_glob_scan"] = "SELECT page_id, strlen(coalesce(html, '')) + 1 AS bytes FROM pages WHERE NOT starts_with(CAST(page_id AS VARCHAR), '1')"
+
+
+def extended(spark, sf_dir):
+    """A method that an extension adds while the query is compiled."""
+    from treeq.plans import compiler
+
+    compiler.METHODS["upper"] = lambda plan, value, args: compiler.Value("string", F.upper(value.col), nullable=value.nullable)
+    try:
+        return found(tables.conversations(spark, sf_dir).query("match Role r when r.text.upper() == 'USER'"))
+    finally:
+        del compiler.METHODS["upper"]
+
+
+QUERIES["q87_method_of_an_extension"] = extended
+ORACLE_SQL["q87_method_of_an_extension"] = f"{ROLE} WHERE upper(role) = 'USER'"
