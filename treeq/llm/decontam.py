@@ -112,7 +112,8 @@ def findings(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity
     few = planted.count() <= BROADCAST_ROWS
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), word_hashes(F.col("text")).alias("words"))
-    at = rows.select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "word"))
+    # outer, as else a filter on the number of words is added below, which splits and hashes the text once more
+    at = rows.select("doc_id", "text_hash", "words", F.posexplode_outer("words").alias("pos", "word"))
     probes = at.select("doc_id", "text_hash", "words", "pos", F.explode(seeds_at("words", dict.fromkeys(asks, F.lit(True)))).alias("probe"))
     diagonal = (F.col("pos") - F.col("ipos")).alias("diagonal")
     if few:
@@ -122,27 +123,29 @@ def findings(docs: DataFrame, items: DataFrame, window: int = WINDOW, similarity
         slim = scratch.save(slim.select("doc_id", "text_hash", "item_id", "n", diagonal).distinct(), "hits")
         again = rows.withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
         hits = slim.join(again, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
-    # no more of the text leaves the lookup than the item covers
+    # no more of the text leaves the lookup than the item covers, once for all seeds of an overlay
     covered = F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.greatest(F.col("n") + F.least(F.col("diagonal"), F.lit(0)), F.lit(0)))
-    hits = hits.select("doc_id", "text_hash", "item_id", F.least(F.col("diagonal"), F.lit(0)).alias("shift"), covered.alias("covered"))
+    hits = hits.select("doc_id", "text_hash", "item_id", F.least(F.col("diagonal"), F.lit(0)).alias("shift"), covered.alias("covered")).distinct()
     tests = tests.select(F.col("item_id").alias("i"), "item")
     overlays = hits.join(F.broadcast(tests) if few else tests, F.col("item_id").eqNullSafe(F.col("i")))  # seeds bound the words of items
 
+    # ``same`` is bound to a variable, as conditions on what follows from it are moved into the join
     same = F.transform("item", lambda w, k: F.when(F.get("covered", F.col("shift") + k) == w, 1).otherwise(0))
-    n = F.least(F.lit(window), F.size("same"))
-    sums = F.transform(
-        F.sequence(F.lit(1), F.size("same") - n + 1), lambda s: F.aggregate(F.slice("same", s, n), F.lit(0), lambda a, x: a + x)
-    )
-    total = F.aggregate("same", F.lit(0), lambda a, x: a + x)
+    n = F.least(F.lit(window), F.size("item"))
     least = F.ceil(n * similarity - 1e-9)
+
+    def total(flags: Column) -> Column:
+        return F.aggregate(flags, F.lit(0), lambda a, x: a + x)
+
+    def best(flags: Column) -> Column:
+        return F.array_max(F.transform(F.sequence(F.lit(1), F.size(flags) - n + 1), lambda s: total(F.slice(flags, s, n))))
+
+    counted = F.transform(F.array(same), lambda flags: F.struct(total(flags).alias("overlap"), F.when(total(flags) >= least, best(flags)).alias("matched")))
     return (
-        overlays.select("doc_id", "text_hash", "item_id", same.alias("same"))
-        .withColumn("overlap", total)
-        .filter(F.col("overlap") >= least)
-        .withColumn("matched", F.array_max(sums))
-        .filter(F.col("matched") >= least)
+        overlays.select("doc_id", "text_hash", "item_id", F.size("item").alias("item_words"), least.alias("least"), F.get(counted, F.lit(0)).alias("m"))
+        .filter(F.col("m.matched") >= F.col("least"))
         .groupBy("doc_id", "text_hash", "item_id")
-        .agg(F.max("matched").alias("matched"), F.max("overlap").alias("overlap"), F.max(F.size("same")).alias("item_words"))
+        .agg(F.max("m.matched").alias("matched"), F.max("m.overlap").alias("overlap"), F.max("item_words").alias("item_words"))
     )
 
 
