@@ -32,7 +32,7 @@ empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeq.llm.common import WORD, Scratch, before, documents, fresh, ordered
@@ -159,19 +159,26 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, closing: bool = Tru
     gone = deleted_lines(docs, min_words, closing).filter("__deleted IS NOT NULL").dropDuplicates(DOC)
     gone = gone.select(F.col("__doc").alias(doc), F.col("__th").alias(th), F.col("__deleted").alias(deleted))
     text = F.coalesce(F.col("text"), F.lit(""))
-    numbered = F.aggregate(
-        F.split(text, "\n", -1),
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept")),
-        lambda s, x: F.when(~F.rlike(x, F.lit(WORD)), F.struct(s["n"].alias("n"), F.array_append(s["kept"], x).alias("kept"))).otherwise(
-            F.struct(
-                (s["n"] + 1).alias("n"),
-                F.when(F.array_contains(deleted, s["n"]), s["kept"]).otherwise(F.array_append(s["kept"], x)).alias("kept"),
-            )
+
+    def places(parts: Column) -> Column:
+        return F.sequence(F.lit(0), F.size(parts) - 1)
+
+    def without(parts: Column, lines: Column) -> Column:
+        dropped = F.transform(F.col(deleted), lambda n: F.get(lines, n))
+        return F.array_join(F.transform(F.array_except(places(parts), dropped), lambda i: F.get(parts, i)), "\n")
+
+    # a text is split once, and its lines that hold a word are found once: both are bound to variables
+    kept = F.transform(
+        F.array(F.split(text, "\n", -1)),
+        lambda parts: F.get(
+            F.transform(
+                F.array(F.filter(places(parts), lambda i: F.rlike(F.get(parts, i), F.lit(WORD)))), lambda lines: without(parts, lines)
+            ),
+            F.lit(0),
         ),
-        lambda s: F.array_join(s["kept"], "\n"),
     )
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64(text) == F.col(th)), "left")
-    return joined.withColumn("text", F.when(F.col(deleted).isNull(), F.col("text")).otherwise(numbered)).drop(doc, th, deleted)
+    return joined.withColumn("text", F.when(F.col(deleted).isNull(), F.col("text")).otherwise(F.get(kept, F.lit(0)))).drop(doc, th, deleted)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
