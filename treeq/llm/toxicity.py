@@ -104,28 +104,46 @@ class FactorizationMachine:
     def of(self, at) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.margin(at), -30, 30))))
 
-    def matters(self, piece: str) -> tuple[Word, ...]:
-        """The words of a piece of text, as far as the model holds a term of theirs."""
-        place, out = self.place, []
-        for w, beginnings in _slots(piece):
-            if place[w] >= 0 or any(place[b] >= 0 or place[shared(b)] >= 0 for b in beginnings):
-                out.append((w, beginnings))
+    def held(self) -> tuple[bytes, bytes]:
+        """For each hash, whether the model holds it, and whether it does as a beginning, alone or shared."""
+        own = self.place >= 0
+        return own.tobytes(), (own | own[shared(np.arange(DIMS, dtype=np.int64))]).tobytes()
+
+    def matters(self, piece: str, own: bytes, begins: bytes, known: dict[str, int]) -> tuple[Word, ...]:
+        """The words of a piece of text with those beginnings that the model holds; ``known`` keeps beginnings."""
+        out = []
+        for word in _WORD.findall(piece.lower()):
+            found = []
+            for n in (4, 5):
+                if len(word) > n:
+                    b = known.get(word[:n])
+                    if b is None:
+                        b = slot(f"{n} {word[:n]}")
+                        b = known[word[:n]] = b if begins[b] else -1
+                    if b >= 0:
+                        found.append(b)
+            w = slot(f"w {word}")
+            if found or own[w]:
+                out.append((w, tuple(found)))
         return tuple(out)
 
     def texts(self, texts: pd.Series, memo: dict[str, tuple[Word, ...]]) -> list[float]:
         """Scores of whole texts; ``memo`` keeps what matters of a piece."""
-        out = []
+        out, known = [], {}
+        own, begins = self.held()
         for text in texts:
             words: set[Word] = set()
             for piece in set((text or "").split()):
-                own = memo.get(piece)
-                if own is None:
-                    own = memo[piece] = self.matters(piece)
-                if own:
-                    words.update(own)
-            out.append(self.score(sorted(gathered(words))))
+                found = memo.get(piece)
+                if found is None:
+                    found = memo[piece] = self.matters(piece, own, begins, known)
+                if found:
+                    words.update(found)
+            terms = gathered(words)
+            out.append(self.score(np.sort(np.fromiter(terms, dtype=np.int64, count=len(terms)))))
             if len(memo) > MEMO:
                 memo.clear()
+                known.clear()
         return out
 
 
